@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..rules.elements import INTENT_WORDS
 from ..rules.insights import HEURISTIC_CATEGORY, STATUS_WORDS, STRICT_EXTRA_STATUS
-from .lookup import any_of, map_value
+from .lookup import map_value
 
 SPACES = r"\s+"
 
@@ -115,4 +115,4 @@ def intent_words(intent: str):
 
 def text_intent(text: Column, intent: str) -> Column:
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return any_of(low.rlike(rf"\b{w}\b") for w in intent_words(intent))
+    return low.rlike(r"\b(" + "|".join(intent_words(intent)) + r")\b")

@@ -2,119 +2,123 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions.lookup import any_of, contains_any, map_value
-from ..functions.selectors import attr, class_tokens, has_attr, has_class_word
-from ..functions.text import intent_words, text_intent, word_boundary_match
+from ..functions.selectors import attr, class_strength, has_attr, lowered, prepared, text_word, unprepared
+from ..functions.text import bounded_pattern, intent_words
 from ..rules import elements as R
 
 
-def pattern_matches(kind: str, pattern: str) -> Column:
-    """One signal of the pattern table against a node."""
+def _holds(kind: str, pattern: str) -> Column:
+    """One signal of the pattern table against a prepared node."""
     if kind == "tag":
         return F.col("tag") == pattern
     if kind == "class":
-        return F.lower(attr("class")).contains(pattern)
+        return F.col("_class").contains(pattern)
     if kind == "role":
-        return F.lower(attr("role")) == pattern
+        return F.col("_role") == pattern
     if kind == "text":
-        return contains_any(F.lower("text"), pattern.split("|"))
+        return contains_any(F.col("_text"), pattern.split("|"))
     name, _, value = pattern.partition("=")
-    return F.lower(attr(name)).contains(value) if value else has_attr(name)
-
-
-def type_weights() -> dict[str, Column]:
-    """Per type: the weights of the signals that hold, NULL for the others."""
-    return {kind: F.array_compact(F.array(*[F.when(pattern_matches(k, p), float(w)) for k, p, w in signals]))
-            for kind, signals in R.ELEMENT_PATTERNS.items()}
+    return lowered(name).contains(value) if value else has_attr(name)
 
 
-def best_type(scores: dict[str, Column], floor: float = R.MIN_TYPE_CONFIDENCE) -> Column:
-    """struct(score, type) of the highest score, the earlier type of equals; NULL below ``floor``."""
-    ranked = F.array(*[F.struct(F.coalesce(s, F.lit(0.0)).alias("score"), F.lit(-i).alias("turn"), F.lit(n).alias("type"))
-                       for i, (n, s) in enumerate(scores.items())])
-    top = F.array_max(ranked)
-    return F.when(top["score"] >= floor, top)
+def _typed(prepared_nodes: DataFrame, scores: dict[str, Column], floor: float = R.MIN_TYPE_CONFIDENCE) -> DataFrame:
+    """Type of the highest score, the earlier type of equals, none below ``floor``."""
+    rows = prepared_nodes.withColumns({f"_s{i}": F.coalesce(c, F.lit(0.0)) for i, c in enumerate(scores.values())})
+    best = F.greatest(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(-i).alias("turn"), F.lit(n).alias("type"))
+                        for i, n in enumerate(scores)])
+    rows = rows.withColumn("_best", best).drop(*[f"_s{i}" for i in range(len(scores))])
+    kept = F.col("_best.score") >= floor
+    return unprepared(rows.withColumns({
+        "element_type": F.when(kept, F.col("_best.type")),
+        "type_confidence": F.when(kept, F.col("_best.score"))}).drop("_best"))
 
 
 def classify_max(nodes: DataFrame) -> DataFrame:
-    """Type with the largest single weight."""
-    best = best_type({n: F.array_max(w) for n, w in type_weights().items()})
-    return nodes.withColumn("_best", best).withColumns({
-        "element_type": F.col("_best.type"), "type_confidence": F.col("_best.score")}).drop("_best")
+    """Type with the largest single weight: each type tests its signals from the strongest down."""
+    scores = {}
+    for name, signals in R.ELEMENT_PATTERNS.items():
+        arms = F
+        for kind, pattern, weight in sorted(signals, key=lambda x: -x[2]):
+            arms = arms.when(_holds(kind, pattern), float(weight))
+        scores[name] = arms
+    return _typed(prepared(nodes), scores)
 
 
 with_type = classify_max
 
 
 def classify_noisy_or(nodes: DataFrame) -> DataFrame:
-    """Type whose signals together are strongest."""
-    best = best_type({n: N.noisy_or(w) for n, w in type_weights().items()})
-    return nodes.withColumn("_best", best).withColumns({
-        "element_type": F.col("_best.type"), "type_confidence": F.col("_best.score")}).drop("_best")
+    """Type whose signals together are strongest, 1 - prod(1 - w), multiplied from the weakest signal up."""
+    scores = {}
+    for name, signals in R.ELEMENT_PATTERNS.items():
+        rest = [F.when(_holds(kind, pattern), 1 - float(weight)).otherwise(1.0)
+                for kind, pattern, weight in sorted(signals, key=lambda x: x[2])]
+        scores[name] = 1 - reduce(lambda a, b: a * b, rest)
+    return _typed(prepared(nodes), scores)
 
 
-def _boosted(signals: Column) -> Column:
+def _boosted(signals: list[Column]) -> Column:
     """Strongest signal plus 0.05 for each further one, at most 0.1 more and 0.99 in all."""
-    boost = F.least(0.05 * (F.size(signals) - 1), F.lit(0.1))
-    return F.when(F.size(signals) > 0, F.least(F.array_max(signals) + boost, F.lit(0.99)))
-
-
-def class_signal(word: str) -> Column:
-    """Strength of the first class that holds the word: the word itself, or bounded by '-' or '_'."""
-    first = F.try_element_at(F.filter(class_tokens(), lambda c: word_boundary_match(c, word)), F.lit(1))
-    return F.when(first == word, 0.95).when(first.isNotNull(), 0.85)
+    n = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), 1).otherwise(0) for s in signals])
+    top = F.greatest(*signals) if len(signals) > 1 else signals[0]
+    return F.when(n > 0, F.least(top + F.least(0.05 * (n - 1), F.lit(0.1)), F.lit(0.99)))
 
 
 def meaning_signal(meaning: str) -> Column:
     """Strength of the tag or role that carries the meaning."""
     tags, roles = R.SEMANTIC_TAGS.get(meaning, ([], []))
-    return F.when(F.col("tag").isin(tags), 0.9).when(F.lower(attr("role")).isin(roles), 0.95) if tags else F.lit(None).cast("double")
+    return F.when(F.col("tag").isin(tags), 0.9).when(F.col("_role").isin(roles), 0.95) if tags else F.lit(None).cast("double")
+
+
+def _says(phrase: str) -> Column:
+    return any_of(F.col("_text_words").contains(text_word(w)) for w in intent_words(phrase))
 
 
 def _given(name: str) -> Column:
     key, _, value = name.partition("=")
-    return F.when(attr(key).contains(value) if value else attr(key) != "", 0.9)
+    return attr(key).contains(value) if value else attr(key) != ""
 
 
 def classify_semantic(nodes: DataFrame) -> DataFrame:
     """Type by meaning, tag, class words, text words and attributes."""
-    scores = {}
-    for name, (meanings, classes, words, tags, attributes) in R.SEMANTIC_PATTERNS.items():
-        signals = [meaning_signal(m) for m in meanings]
+    rows, scores = prepared(nodes), {}
+    for turn, (name, (meanings, classes, words, tags, attributes)) in enumerate(R.SEMANTIC_PATTERNS.items()):
+        signals = [meaning_signal(m) for m in meanings] + [class_strength(c) for c in classes]
         signals += [F.when(F.col("tag").isin(tags), 0.7)] if tags else []
-        signals += [class_signal(c) for c in classes]
-        signals += [F.when(text_intent(F.col("text"), w), 0.8) for w in words]
-        signals += [_given(a) for a in attributes]
-        scores[name] = _boosted(F.array_compact(F.array(*signals)))
-    best = best_type(scores)
-    return nodes.withColumn("_best", best).withColumns({
-        "element_type": F.col("_best.type"), "type_confidence": F.col("_best.score")}).drop("_best")
+        signals += [F.when(_says(w), 0.8) for w in words] + [F.when(_given(a), 0.9) for a in attributes]
+        names = [f"_g{turn}_{i}" for i in range(len(signals))]
+        rows = rows.withColumns(dict(zip(names, signals, strict=True)))
+        scores[name] = _boosted([F.col(n) for n in names])
+    typed = _typed(rows, scores)
+    return typed.drop(*[c for c in typed.columns if c.startswith("_g")])
 
 
 def match_intent(nodes: DataFrame, intent: str) -> DataFrame:
     """How an element expresses an intent: match type of the strongest signal and its confidence."""
-    meaning = meaning_signal(intent)
-    cls = class_signal(intent)
-    label, title = F.lower(attr("aria-label")), F.lower(attr("title"))
-    labelled = any_of(label.contains(w) | title.contains(w) for w in intent_words(intent))
-    signals = [
-        (meaning, F.when(meaning == 0.95, "aria").otherwise("semantic")),
-        (cls, F.when(cls == 0.95, "exact").otherwise("word_boundary")),
-        (F.when((attr("id") != "") & word_boundary_match(attr("id"), intent), 0.8), F.lit("word_boundary")),
-        (F.when(labelled, 0.85), F.lit("aria")),
-        (F.when(text_intent(F.col("text"), intent), 0.8), F.lit("text")),
-        (_behaviour(intent), F.lit("behavioral")),
-    ]
-    found = F.filter(F.array(*[F.struct(c.alias("strength"), F.lit(-i).alias("turn"), kind.alias("kind"))
-                               for i, (c, kind) in enumerate(signals)]), lambda s: s["strength"].isNotNull())
-    return nodes.withColumn("_found", found).withColumns({
-        "confidence": F.coalesce(_boosted(F.transform("_found", lambda s: s["strength"])), F.lit(0.0)),
-        "match_type": F.coalesce(F.array_max("_found")["kind"], F.lit("none")),
-        "signals": F.size("_found")}).drop("_found")
+    title = F.lower(attr("title"))
+    labelled = any_of(F.col("_label").contains(w) | title.contains(w) for w in intent_words(intent))
+    id_word = F.lower(attr("id")).rlike(bounded_pattern(intent))
+    strengths = {"meaning": meaning_signal(intent), "class": class_strength(intent), "id": F.when(id_word, 0.8),
+                 "label": F.when(labelled, 0.85), "text": F.when(_says(intent), 0.8), "behaviour": _behaviour(intent)}
+    rows = prepared(nodes).withColumns({f"_i_{n}": c for n, c in strengths.items()})
+    kinds = {"meaning": F.when(F.col("_i_meaning") == 0.95, "aria").otherwise("semantic"),
+             "class": F.when(F.col("_i_class") == 0.95, "exact").otherwise("word_boundary"),
+             "id": F.lit("word_boundary"), "label": F.lit("aria"), "text": F.lit("text"), "behaviour": F.lit("behavioral")}
+    first = F.greatest(*[F.when(F.col(f"_i_{n}").isNotNull(), F.struct(
+        F.col(f"_i_{n}").alias("strength"), F.lit(-turn).alias("turn"), kind.alias("kind")))
+        for turn, (n, kind) in enumerate(kinds.items())])
+    signals = [F.col(f"_i_{n}") for n in kinds]
+    found = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), 1).otherwise(0) for s in signals])
+    return unprepared(rows.withColumns({
+        "confidence": F.coalesce(_boosted(signals), F.lit(0.0)), "match_type": F.coalesce(first["kind"], F.lit("none")),
+        "signals": found}).drop(*[f"_i_{n}" for n in kinds]))
 
 
 def _behaviour(intent: str) -> Column:

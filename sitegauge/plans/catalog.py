@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tuned
 from ..sources.fixtures import DERIVED
 from ..sources.tables import Tables
 
@@ -43,7 +44,7 @@ def query(name: str, sql: str | None = None, uses: str = ""):
     def register(f):
         if name in QUERIES:
             raise ValueError(f"query '{name}' is already registered")
-        QUERIES[name] = lambda spark, directory: f(Tables(spark, directory))
+        QUERIES[name] = lambda spark, directory: f(Tables(tuned(spark), directory))
         if sql is not None:
             ctes = derived_ctes(uses.split())
             body = sql.strip()

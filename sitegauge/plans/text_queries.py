@@ -6,7 +6,7 @@ from ..functions import numbers as N
 from ..functions import text as S
 from ..functions import urls as U
 from ..functions.lookup import map_value
-from ..functions.selectors import attr, has_class_word
+from ..functions.selectors import attr, has_class_word, prepared
 from ..rules import insights as I
 from ..rules import pages as P
 from ..rules.heuristics import heuristic_rows
@@ -154,7 +154,7 @@ BOUNDED = ["cta", "badge", "cookie", "card"]
     f"len(list_filter(string_split(lower(class_attr), ' '), lambda c: regexp_matches(c, '{S.bounded_pattern(w)}'))) > 0 AS has_{w}"
     for w in BOUNDED) + " FROM nodes", uses="nodes")
 def word_boundary_match(t):
-    return t.nodes.select("page_id", "doc_pos", *[has_class_word(w).alias(f"has_{w}") for w in BOUNDED])
+    return prepared(t.nodes).select("page_id", "doc_pos", *[has_class_word(w).alias(f"has_{w}") for w in BOUNDED])
 
 
 INTENTS = ["cta", "cart", "buy", "trust", "login", "free"]
