@@ -116,3 +116,16 @@ def intent_words(intent: str):
 def text_intent(text: Column, intent: str) -> Column:
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     return low.rlike(r"\b(" + "|".join(intent_words(intent)) + r")\b")
+
+
+def word_set(text: Column) -> Column:
+    bare = F.regexp_replace(F.lower(text), r"[^\w\s]", "")
+    return F.array_distinct(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """Common words over all words of two texts; 1 for equal texts, 0 when either is empty."""
+    x, y = word_set(a), word_set(b)
+    every = F.size(F.array_union(x, y))
+    return (F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).when(a == b, 1.0)
+            .when(every == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / every))
