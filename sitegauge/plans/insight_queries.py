@@ -115,7 +115,7 @@ def union_insights(t):
 
 @query("validate_insights", f"""
 SELECT page_id, count(*) AS total, count_if(length(issue) < 10) AS bad_issue, count_if(length(recommendation) < 10) AS bad_recommendation, count_if(severity NOT IN {Q.in_list(I.SEVERITIES)}) AS bad_severity,
- count_if(category NOT IN {Q.in_list(I.CATEGORIES)}) AS bad_category, count_if(element IS NULL) AS bad_element, count_if(confidence < 0 OR confidence > 1) AS bad_confidence FROM insights GROUP BY page_id""", uses="insights")
+ count_if(category NOT IN {Q.in_list(I.CATEGORIES)}) AS bad_category, count_if(element IS NULL) AS bad_element, count_if(coalesce(confidence < 0 OR confidence > 1, FALSE)) AS bad_confidence FROM insights GROUP BY page_id""", uses="insights")
 def validate_insights(t):
     return O.violations(t.insights, ["page_id"], O.insight_violations())
 
