@@ -225,10 +225,15 @@ def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5,
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "_cut0": [pdf["_cut0"].iloc[0]], "ends": [ends]})
 
     tables = c.df.groupBy("run_id", "_cut0").applyInPandas(tabulate, "run_id BIGINT, _cut0 BIGINT, ends ARRAY<INT>")
-    # A run has one table per chunk; its chain of states is folded from them in order.
-    ordered = Window.partitionBy("run_id").orderBy("_cut0").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.aggregate(F.collect_list("ends").over(ordered), F.lit(0), lambda state, ends: F.get(ends, state))
-    starts = tables.select("run_id", "_cut0", entry.alias("start"))
+    def chain(pdf):
+        """State before each chunk of a run, from one small table per chunk."""
+        pdf, state, before = pdf.sort_values("_cut0"), 0, []
+        for ends in pdf["ends"]:
+            before.append(state)
+            state = ends[state]
+        return pd.DataFrame({"run_id": pdf["run_id"], "_cut0": pdf["_cut0"], "start": before})
+
+    starts = tables.groupBy("run_id").applyInPandas(chain, "run_id BIGINT, _cut0 BIGINT, start INT")
 
     def progress(pdf):
         pdf = pdf.sort_values("step")
