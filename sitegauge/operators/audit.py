@@ -18,6 +18,7 @@ from ..functions.urls import is_homepage
 from ..plans import chunks
 from ..rules import audit as R
 from ..rules.pages import NAVIGATION_HOME_PATHS
+from ..sources.shared import written
 
 OUT = ["page_id", "type", "severity", "category", "element", "issue", "recommendation"]
 
@@ -230,8 +231,12 @@ def audit(pages: DataFrame, typed: DataFrame, names=None, viewport_height: int =
     frames: list[tuple[dict, Callable[[], DataFrame]]] = [
         ({**cta_rules(), **headline_rules()}, lambda: typed), (form_rules(), lambda: forms(typed)),
         (field_rules(), lambda: form_fields(typed)), (page_rules(), lambda: page_sums(pages, typed, viewport_height))]
+    single = [(n, f) for n, f in (("multiple_h1", multiple_h1), ("friction_form", friction_form)) if n in names]
+    if sum(1 for rules, _ in frames if _pick(rules, names)) + len(single) > 1:
+        # Several passes follow. Typing the nodes is the dear part, so it is done once and written.
+        typed = written(typed)
     parts = [fired(rows(), _pick(rules, names)) for rules, rows in frames if _pick(rules, names)]
-    parts += [f(typed) for n, f in (("multiple_h1", multiple_h1), ("friction_form", friction_form)) if n in names]
+    parts += [f(typed) for _, f in single]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -15,31 +15,29 @@ from ..rules import insights as R
 # ---------------------------------------------------------------- replies
 
 
-def parsed_replies(replies: DataFrame, json: Column) -> DataFrame:
-    """Replies with ``parsed``; NULL when the JSON is malformed or holds no evaluations."""
-    whole = F.try_parse_json(json).isNotNull()
-    return replies.withColumn("_json", json).withColumn(
-        "parsed", F.when(whole, F.from_json("_json", RP.EVALUATIONS_SCHEMA))).withColumn(
-        "parsed", F.when(F.col("parsed.evaluations").isNotNull(), F.col("parsed"))).drop("_json")
+def parsed_replies(replies: DataFrame, keys: list[str], json: Column) -> DataFrame:
+    """One row per evaluation of a reply as ``e``; a reply that is malformed or holds no list of evaluations
+    gives one row without. The reply is parsed once for both."""
+    schema = f"{RP.EVALUATIONS_SCHEMA},_malformed STRING"
+    parsed = replies.select(*keys, F.from_json(json, schema, {"columnNameOfCorruptRecord": "_malformed"}).alias("p"))
+    read = F.when(F.col("p._malformed").isNull(), F.col("p.evaluations"))
+    return parsed.select(*keys, read.isNull().alias("unreadable"), F.posexplode_outer(read).alias("pos", "e"))
 
 
 def reply_evaluations(parsed: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
-    """One row per evaluation of a reply. Strict drops unknown statuses and reads percents; the lenient
-    form turns unknown statuses into not_applicable and only clamps."""
-    rows = parsed.filter(F.col("parsed").isNotNull()).select(*keys, F.posexplode("parsed.evaluations").alias("pos", "e"))
+    """Evaluations with status and confidence read. Strict drops unknown statuses and reads percents; the lenient
+    form turns unknown statuses into not_applicable and only clamps. Unreadable replies stay as a NULL row."""
     status = S.normalize_status(F.col("e.status"), strict)
     confidence = N.normalize_confidence(F.col("e.confidence")) if strict else N.clamp01(F.col("e.confidence"))
-    out = rows.select(
-        *keys, "pos", F.col("e.heuristicId").alias("heuristic_id"), status.alias("status"), confidence.alias("confidence"),
-        F.coalesce(F.nullif("e.observation", F.lit("")), F.lit("No observation provided")).alias("observation"),
-        F.when(status.isin("fail", "partial"), F.nullif("e.issue", F.lit(""))).alias("issue"),
-        F.when(status.isin("fail", "partial"), F.nullif("e.recommendation", F.lit(""))).alias("recommendation"))
-    return out.filter((F.col("heuristic_id") != "") & F.col("status").isNotNull()) if strict else out
-
-
-def reply_errors(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """Side table of replies that could not be read."""
-    return parsed.filter(F.col("parsed").isNull()).select(*keys, "response")
+    rows = parsed.select(
+        *keys, "unreadable", "pos", F.col("e.heuristicId").alias("heuristic_id"),
+        F.when(~F.col("unreadable"), status).alias("status"), F.when(~F.col("unreadable"), confidence).alias("confidence"),
+        F.when(~F.col("unreadable"), F.coalesce(F.nullif("e.observation", F.lit("")), F.lit("No observation provided"))).alias("observation"),
+        F.nullif("e.issue", F.lit("")).alias("issue"), F.nullif("e.recommendation", F.lit("")).alias("recommendation"))
+    issue = F.col("status").isin("fail", "partial")
+    out = rows.withColumns({"issue": F.when(issue, F.col("issue")), "recommendation": F.when(issue, F.col("recommendation"))})
+    known = (F.col("heuristic_id") != "") & F.col("status").isNotNull()
+    return out.filter(F.col("unreadable") | known) if strict else out
 
 
 def batched_evaluations(replies: DataFrame, keys: list[str], categories: list[str]) -> DataFrame:

@@ -204,27 +204,33 @@ def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5,
     from its known state. No task holds more than one chunk.
     """
     goals = len(criteria)
-    met = F.array(*[goal_met(c) for c in criteria])
-    c = chunks.Chunked(actions.select("run_id", "step", met.alias("met")), RUN, ORDER, cut(width))
-
-    def walk(met_rows, goal, spent):
-        out = []
-        for flags in met_rows:
-            if goal < goals:
-                spent = 0 if flags[goal] else spent + 1
-                if spent == 0 or spent >= patience:
-                    goal, spent = goal + 1, 0
-            out.append((goal, spent))
-        return out
-
     states = [(g, s) for g in range(goals) for s in range(patience)] + [(goals, 0)]
 
+    def after(state, mask):
+        goal, spent = state
+        if goal == goals:
+            return state
+        if mask >> goal & 1 or spent + 1 >= patience:
+            return goal + 1, 0
+        return goal, spent + 1
+
+    # Next state by (which criteria a step meets, state before it).
+    moves = [[states.index(after(s, mask)) if after(s, mask)[0] < goals else len(states) - 1 for s in states]
+             for mask in range(2 ** goals)]
+    mask = F.lit(0)
+    for i, criterion in enumerate(criteria):
+        mask = mask + F.when(goal_met(criterion), 2 ** i).otherwise(0)
+    c = chunks.Chunked(actions.select("run_id", "step", mask.alias("mask")), RUN, ORDER, cut(width))
+
     def tabulate(pdf):
-        rows = pdf.sort_values("step")["met"].tolist()
-        ends = [states.index(walk(rows, g, s)[-1]) for g, s in states]
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "_cut0": [pdf["_cut0"].iloc[0]], "ends": [ends]})
+        ends = range(len(states))
+        for m in pdf.sort_values("step")["mask"]:
+            move = moves[m]
+            ends = [move[e] for e in ends]
+        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "_cut0": [pdf["_cut0"].iloc[0]], "ends": [list(ends)]})
 
     tables = c.df.groupBy("run_id", "_cut0").applyInPandas(tabulate, "run_id BIGINT, _cut0 BIGINT, ends ARRAY<INT>")
+
     def chain(pdf):
         """State before each chunk of a run, from one small table per chunk."""
         pdf, state, before = pdf.sort_values("_cut0"), 0, []
@@ -236,9 +242,11 @@ def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5,
     starts = tables.groupBy("run_id").applyInPandas(chain, "run_id BIGINT, _cut0 BIGINT, start INT")
 
     def progress(pdf):
-        pdf = pdf.sort_values("step")
-        done = walk(pdf["met"].tolist(), *states[int(pdf["start"].iloc[0])])
-        return pd.DataFrame({"run_id": pdf["run_id"], "step": pdf["step"], "goal": [g for g, _ in done], "spent": [s for _, s in done]})
+        pdf, state, walked = pdf.sort_values("step"), int(pdf["start"].iloc[0]), []
+        for m in pdf["mask"]:
+            state = moves[m][state]
+            walked.append(states[state])
+        return pd.DataFrame({"run_id": pdf["run_id"], "step": pdf["step"], "goal": [g for g, _ in walked], "spent": [s for _, s in walked]})
 
     return c.df.join(starts, ["run_id", "_cut0"]).groupBy("run_id", "_cut0").applyInPandas(
         progress, "run_id BIGINT, step BIGINT, goal INT, spent INT")

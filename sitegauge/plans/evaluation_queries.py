@@ -79,22 +79,16 @@ p AS (SELECT page_id, seq, json_extract_string(js, '$.evaluations[0].heuristicId
 STRICT_SQL = Q.case("st", {**I.STATUS_WORDS, **I.STRICT_EXTRA_STATUS})
 
 
-def parsed(t):
-    return E.parsed_replies(t.replies, RP.extract_json(F.col("response")))
-
-
 @query("parse_evaluations", PARSED_SQL + f"""
 SELECT page_id, seq, heuristic_id, {STRICT_SQL} AS status, CASE WHEN c > 1 AND c <= 100 THEN c / 100 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) END AS confidence, observation
 FROM p WHERE {STRICT_SQL} IS NOT NULL
 UNION ALL SELECT page_id, seq, NULL, 'unreadable', NULL, NULL FROM j WHERE js IS NULL""", uses="replies")
 def parse_evaluations(t):
-    """Evaluations of readable replies, and the side table of unreadable ones."""
-    rows = parsed(t)
-    good = E.reply_evaluations(rows, ["page_id", "seq"]).select("page_id", "seq", "heuristic_id", "status", "confidence", "observation")
-    bad = E.reply_errors(rows, ["page_id", "seq"]).select(
-        "page_id", "seq", F.lit(None).cast("string").alias("heuristic_id"), F.lit("unreadable").alias("status"),
-        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("observation"))
-    return good.unionByName(bad)
+    """Evaluations of readable replies, and the unreadable replies marked as such."""
+    rows = E.parsed_replies(t.replies, ["page_id", "seq"], RP.extract_json(F.col("response")))
+    return E.reply_evaluations(rows, ["page_id", "seq"]).select(
+        "page_id", "seq", "heuristic_id", F.when(F.col("unreadable"), "unreadable").otherwise(F.col("status")).alias("status"),
+        "confidence", "observation")
 
 
 CATEGORIES = ["CTA & Purchase Confidence", "Pricing & Cost Transparency", "Mobile Usability"]

@@ -10,6 +10,7 @@ from ..operators import insights as I
 from ..operators import reports as O
 from ..sources import sinks
 from ..sources.knowledge import builtin_heuristics
+from ..sources.shared import shared_folder
 from ..streaming import streams as S
 from .catalog import query
 from .html_queries import HASH_SQL, TITLE_SQL
@@ -51,7 +52,7 @@ def build_prompt(t):
 @query("audit_log_sink")
 def audit_log_sink(t):
     """Prompts written by category and counted from what was written."""
-    path = f"{S.shared_folder(t.spark)}/prompts"
+    path = f"{shared_folder(t.spark)}/prompts"
     sinks.write_prompts(page_prompts(t), path)
     return t.spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("prompts"), F.sum(F.length("prompt")).alias("chars"))
 

@@ -7,7 +7,6 @@ they come from, so the latest value of a key is the one of its last batch.
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import html as H
-from ..rules import steps as R
+from ..rules.steps import CACHE_SECONDS
+from ..sources.shared import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,15 +25,6 @@ DELAY = "10 minutes"
 FILES_PER_TRIGGER = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/sitegauge-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sitegauge-{uuid.uuid4().hex}"
-
-
 def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Files of one table as they land, with the schema of those that are there."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
@@ -148,11 +139,11 @@ def _cached(key, batches, state):
     seconds = sorted(set(pd.concat(list(batches))["second"]))
     hits = []
     for s in seconds:
-        hit = stored is not None and s - stored <= R.CACHE_SECONDS
+        hit = stored is not None and s - stored <= CACHE_SECONDS
         stored = stored if hit else s
         hits.append(hit)
     state.update((int(stored),))
-    state.setTimeoutTimestamp(max(int(seconds[-1]) * 1000, state.getCurrentWatermarkMs()) + R.CACHE_SECONDS * 1000 + 1)
+    state.setTimeoutTimestamp(max(int(seconds[-1]) * 1000, state.getCurrentWatermarkMs()) + CACHE_SECONDS * 1000 + 1)
     yield pd.DataFrame({"domain": key[0], "second": seconds, "hit": hits})
 
 
