@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions import replies as RP
 from ..functions import text as S
 from ..functions.lookup import map_value
+from ..plans import chunks
 from ..rules import heuristics as H
 from ..rules import insights as R
 
@@ -90,7 +91,7 @@ def cross_validate(evaluations: DataFrame, boxes: DataFrame) -> DataFrame:
     claims = evaluations.filter(F.col("status").isin("fail", "not_applicable")).withColumn("element_type", kind).filter(
         F.col("element_type").isNotNull() & F.concat_ws(" ", "observation", "issue").rlike(R.ABSENCE_CLAIM))
     cents = F.round(F.col("confidence") * 100).cast("bigint")
-    return claims.join(counts, ["page_id", "element_type"]).withColumn(
+    return chunks.salted_join(claims, counts, ["page_id", "element_type"]).withColumn(
         "new_confidence", (cents + F.when(cents % 2 == 1, 1).otherwise(0)) / 2 / 100)
 
 

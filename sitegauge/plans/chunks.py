@@ -116,3 +116,14 @@ def key_totals(df, keys, totals: dict[str, Column], partials: dict[str, Column],
     rows = c.attach(partials, {n: (lambda b, w, e=e: e.over(w)) for n, e in totals.items()})
     return c.drop_cuts(rows)
 
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], buckets: int = 64, how: str = "inner") -> DataFrame:
+    """Join many ``left`` rows per key with few ``right`` rows per key, when one key may hold a third of ``left``.
+
+    The buckets that a key occupies (a small distinct list) meet ``right`` on the key; the rows then meet that on
+    (key, bucket), which splits a hot key over ``buckets`` tasks. ``right`` is never copied for absent buckets.
+    """
+    rows = left.withColumn("_bucket", by_hash(*left.columns, buckets=buckets))
+    spread = rows.select(*keys, "_bucket").distinct().join(right, keys)
+    return rows.join(spread, [*keys, "_bucket"], how).drop("_bucket")

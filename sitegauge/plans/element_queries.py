@@ -286,7 +286,13 @@ def ui_noise(t):
     return C.ui_noise(t.nodes)
 
 
-@query("image_signals")
+BLANK, STAND_IN = "(tag = 'img' AND src_attr IN ('', 'about:blank'))", f"regexp_matches(src_attr, '{RC.PLACEHOLDER_SOURCE}')"
+
+
+@query("image_signals", f"""
+SELECT page_id, count_if(tag = 'img') AS total_images, count_if({BLANK}) AS blank_images, count_if(tag = 'img' AND src_attr <> '' AND {STAND_IN}) AS placeholder_images, 0 AS lazy_pending,
+ bool_or(is_visible AND {Q.any_selector(RC.SPINNERS)}) AS spinner, bool_or(is_visible AND {Q.any_selector(RC.SKELETONS)}) AS skeleton, bool_or(is_visible AND {Q.any_selector(RC.OVERLAYS)}) AS overlay,
+ least(count_if({Q.any_selector(RC.PLACEHOLDER_TEXT_HOLDERS)} AND regexp_matches(trim(text), '{RC.PLACEHOLDER_TEXT}')), 5) AS text_placeholders FROM nodes GROUP BY page_id""", uses="nodes")
 def image_signals(t):
     return C.image_signals(t.nodes)
 

@@ -279,18 +279,23 @@ def classify_discrepancy(t):
     return E.classify_discrepancies(E.compare_runs(t.evaluations)).select("page_id", "heuristic_id", "discrepancy", "cause")
 
 
-@query("quality_match", f"""
+MATCH_SQL = f"""
 WITH {COMPARED_SQL}, {GRADED_SQL}, s AS (SELECT page_id, count_if(verdict IN ('match', 'differs')) AS total, count_if(verdict = 'match') AS matching, count_if(verdict = 'missing_in_optimized') AS missing_in_optimized FROM cmp GROUP BY page_id),
 d AS (SELECT page_id, count_if(discrepancy = 'critical') AS critical, count_if(discrepancy = 'major') AS major FROM g GROUP BY page_id),
 q AS (SELECT s.*, coalesce(critical, 0) AS critical, coalesce(major, 0) AS major FROM s LEFT JOIN d USING (page_id)),
 z AS (SELECT *, CASE WHEN total > 0 THEN matching / total ELSE 1.0 END AS match_rate, CASE WHEN total > 0 THEN (total - critical - major) / total ELSE 1.0 END AS effective_rate,
  concat_ws(',', CASE WHEN total > 0 AND (total - critical - major) * 100 < 80 * total THEN 'match rate' END, CASE WHEN critical > 0 THEN 'critical' END, CASE WHEN missing_in_optimized > 0 THEN 'missing' END) AS reasons FROM q)
-SELECT *, reasons = '' AS passed FROM z""", uses="evaluations")
+"""
+
+
+@query("quality_match", MATCH_SQL + "SELECT *, reasons = '' AS passed FROM z", uses="evaluations")
 def quality_match(t):
     return E.quality_match(E.compare_runs(t.evaluations))
 
 
-@query("match_recommendations")
+@query("match_recommendations", MATCH_SQL + """
+SELECT page_id, coalesce(nullif(concat_ws('; ', CASE WHEN critical > 0 THEN 'review ' || CAST(critical AS VARCHAR) || ' flipped verdict(s)' END, CASE WHEN major > 0 THEN 'review ' || CAST(major AS VARCHAR) || ' change(s) of degree' END,
+ CASE WHEN missing_in_optimized > 0 THEN CAST(missing_in_optimized AS VARCHAR) || ' heuristic(s) not evaluated, check the batches' END), ''), 'safe to use') AS advice FROM z""", uses="evaluations")
 def match_recommendations(t):
     return E.match_recommendations(E.quality_match(E.compare_runs(t.evaluations))).select("page_id", "advice")
 

@@ -162,7 +162,11 @@ def jsonld_blocks(t):
     return J.jsonld_blocks(t.jsonld)
 
 
-@query("jsonld_flatten")
+@query("jsonld_flatten", """
+WITH j AS (SELECT page_id, trim(regexp_extract(html, '(?is)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1)) AS json FROM jsonld),
+v AS (SELECT page_id, json FROM j WHERE json_valid(json)), o AS (SELECT page_id, CASE WHEN json_extract(json, '$."@graph"') IS NULL THEN [CAST(json AS JSON)] ELSE CAST(json_extract(json, '$."@graph"') AS JSON[]) END AS os FROM v)
+SELECT page_id, 0 AS block, CASE WHEN json_type(x, '$."@type"') = 'ARRAY' THEN CAST(json_extract(x, '$."@type"') AS VARCHAR) ELSE json_extract_string(x, '$."@type"') END AS type, json_extract_string(x, '$.name') AS name
+FROM (SELECT page_id, unnest(os) AS x FROM o) u""", uses="jsonld")
 def jsonld_flatten(t):
     rows = J.jsonld_objects(J.jsonld_blocks(t.jsonld))
     return rows.select("page_id", "block", F.get_json_object("json", "$['@type']").alias("type"),

@@ -9,6 +9,7 @@ from ..operators import quality as O
 from ..rules import elements as RE
 from . import sqltext as Q
 from .catalog import query
+from .chunks import salted_join
 from .element_queries import DEDUPED_SQL
 from .text_queries import MATCH_SQL, PRICE_SQL
 
@@ -62,12 +63,14 @@ SELECT page_id, seq, viewport_index, elements, issues, total_images AS total, lo
 def viewport_summaries(t):
     """Signals with the elements of their viewport."""
     seen = t.boxes.select("page_id", "viewport_index", "element_index").distinct().groupBy("page_id", "viewport_index").agg(F.count("*").alias("elements"))
-    rows = O.viewport_validation(t.signals).join(seen, ["page_id", "viewport_index"])
+    rows = salted_join(O.viewport_validation(t.signals), seen, ["page_id", "viewport_index"])
     return rows.select("page_id", "seq", "viewport_index", "elements", "issues", F.col("total_images").alias("total"),
                        F.col("loaded_images").alias("loaded"), F.col("lazy_pending").alias("pending"), F.col("failed_images").alias("failed"))
 
 
-@query("text_summaries")
+@query("text_summaries", f"""
+WITH {QUALITY_SQL} SELECT page_id, 'Collection: ' || CASE WHEN passed THEN 'PASSED' ELSE 'FAILED' END || ' (score: ' || CAST(CAST(score AS BIGINT) AS VARCHAR) || '/100)' || CASE WHEN flags <> '' THEN chr(10) || 'Flags: ' || flags ELSE '' END
+ || CASE WHEN recheck <> '' THEN chr(10) || 'Recheck viewports: ' || replace(recheck, ',', ', ') ELSE '' END AS text FROM cq""", uses="signals")
 def text_summaries(t):
     return O.collection_quality(t.signals).select("page_id", O.quality_text().alias("text"))
 
