@@ -251,7 +251,7 @@ SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY {Q.case('s
 FROM evaluations WHERE status IN ('fail', 'partial')""", uses="evaluations")
 def issue_evaluations(t):
     """Order of the issues of a page. Severity and confidence make the first cuts, positions the last."""
-    cut = [F.col("severity_turn"), F.col("confidence_turn"), chunks.by_width(F.col("seq"), 10**12)]
+    cut = [F.col("severity_turn"), F.col("confidence_turn"), chunks.by_width(F.col("seq"), 10**14)]
     order = ["severity_turn", "confidence_turn", "seq"]
     return chunks.row_index(E.issue_order(t.evaluations), ["page_id"], order, cut, "place").select("page_id", "seq", "place")
 

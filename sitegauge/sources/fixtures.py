@@ -25,7 +25,7 @@ FROM {orders}
 
 EVALUATIONS = """
 SELECT l_orderkey AS page_id, l_linenumber - 1 AS viewport_index,
- (l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000 AS seq,
+ ((l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000) * 64 + CAST(l_quantity AS BIGINT) AS seq,
  CASE WHEN l_linenumber % 2 = 0 THEN 'optimized' ELSE 'baseline' END AS run,
  concat(CASE l_partkey % 5 WHEN 0 THEN 'PDP-PRICE' WHEN 1 THEN 'PDP-CTA' WHEN 2 THEN 'PDP-SELECT' WHEN 3 THEN 'PLP-GRID' ELSE 'XXX-NEW' END,
         '-00', CAST(l_partkey % 3 + 1 AS VARCHAR(20))) AS heuristic_id,
@@ -41,7 +41,7 @@ FROM {lineitem}
 
 BOXES = """
 SELECT l_orderkey AS page_id, l_linenumber - 1 AS viewport_index, l_suppkey % 20 AS element_index,
- (l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000 AS seq,
+ ((l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000) * 64 + CAST(l_quantity AS BIGINT) AS seq,
  CASE l_partkey % 11 WHEN 0 THEN 'cta' WHEN 1 THEN 'form' WHEN 2 THEN 'trust' WHEN 3 THEN 'value_prop' WHEN 4 THEN 'navigation'
    WHEN 5 THEN 'price' WHEN 6 THEN 'variant' WHEN 7 THEN 'stock' WHEN 8 THEN 'shipping' WHEN 9 THEN 'gallery' END AS element_type,
  CAST(l_partkey % 101 AS DOUBLE) / 100 AS confidence,
@@ -75,7 +75,7 @@ FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM {event
 
 SIGNALS = """
 SELECT l_orderkey AS page_id, l_linenumber - 1 AS viewport_index,
- (l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000 AS seq,
+ ((l_linenumber * 100000 + l_suppkey % 100000) * 10000000 + l_partkey % 10000000) * 64 + CAST(l_quantity AS BIGINT) AS seq,
  CAST(CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 5 ELSE 0 END AS INT) AS blank_images,
  CAST(CASE WHEN l_partkey % 4 = 0 THEN l_partkey % 6 ELSE 0 END AS INT) AS placeholder_images,
  CAST(CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 9 ELSE 0 END AS INT) AS lazy_pending,
@@ -97,7 +97,7 @@ FROM {part}
 """
 
 NODES = """
-SELECT l_orderkey AS page_id, (l_partkey * 8 + l_linenumber) * 100000 + l_suppkey % 100000 AS doc_pos,
+SELECT l_orderkey AS page_id, ((l_partkey * 8 + l_linenumber) * 100000 + l_suppkey % 100000) * 64 + CAST(l_quantity AS BIGINT) AS doc_pos,
  l_linenumber AS form_id, l_linenumber % 4 AS depth, l_linenumber % 5 AS list_depth,
  CASE l_partkey % 13 WHEN 0 THEN 'button' WHEN 1 THEN 'a' WHEN 2 THEN 'h1' WHEN 3 THEN 'h2' WHEN 4 THEN 'input' WHEN 5 THEN 'form'
    WHEN 6 THEN 'nav' WHEN 7 THEN 'span' WHEN 8 THEN 'label' WHEN 9 THEN 'img' WHEN 10 THEN 'select' WHEN 11 THEN 'iframe' ELSE 'div' END AS tag,

@@ -156,14 +156,22 @@ def _group(row):
     return (label or "dialog") if attrs.get("role") in ("dialog", "alertdialog") else None
 
 
+_ROWS_PER_BATCH = 20_000
+
+
 def _parse(batches):
+    rows = []
     for batch in batches:
         for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
             if html is None:
                 continue
-            rows = [{**{k: v for k, v in r.items() if k[0] != "_"}, "page_id": page_id,
-                     "attrs": list(r["attrs"].items())} for r in _Elements().finish(html)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            rows += [{**{k: v for k, v in r.items() if k[0] != "_"}, "page_id": page_id,
+                      "attrs": list(r["attrs"].items())} for r in _Elements().finish(html)]
+            if len(rows) >= _ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def node_text():

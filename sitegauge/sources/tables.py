@@ -15,7 +15,7 @@ GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem
 EVENT_CHUNK = 1_000_000
 INSIGHT_CHUNK = 1_000_000
 # Positions of the derived node table are spread; real document positions are dense.
-DERIVED_NODE_CHUNK = 800_000 * 100_000
+DERIVED_NODE_CHUNK = 800_000 * 100_000 * 64
 NODE_CHUNK = 50_000
 
 
