@@ -26,22 +26,31 @@ def dedupe_key() -> Column:
 def merged_evidence(insights: DataFrame) -> DataFrame:
     """Evidence texts of a page and key joined by ' | ' in order, in parts of at most 1000 texts.
 
-    A text is left out when it equals what has been joined so far, which, for texts without the separator,
-    means that every text before it was the same. So a key keeps its first text and all from the first
-    different one on. One key may hold very many texts, hence the chunks and the parts.
+    A text is left out when it equals what has been joined so far. Keys of up to 1000 texts, nearly all, are
+    folded text by text. A larger key stays spread over chunks: there a text is left out while every text before
+    it was the same, which is the same rule for texts that do not themselves hold the separator.
     """
     texts = insights.filter(F.coalesce("evidence_text", F.lit("")) != "").select(
         "page_id", "dedupe_key", "seq", F.col("evidence_text").alias("text"))
     keys, cut = ["page_id", "dedupe_key"], [chunks.by_width(F.col("seq"), INSIGHT_CHUNK)]
     c = chunks.Chunked(texts, keys, ["seq"], cut)
-    first = c.attach({"_f": F.min_by(F.struct("seq", "text"), "seq")}, {"_first": lambda b, w: F.first("_f").over(w)})
-    c2 = chunks.Chunked(first.drop(*c.cuts), keys, ["seq"], cut)
+    rows = c.drop_cuts(c.attach(
+        {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_c": F.count("*")},
+        {"_first": lambda b, w: F.first("_f").over(w), "_all": lambda b, w: F.sum("_c").over(w)}))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
+
+    few = rows.filter(F.col("_all") <= PART_TEXTS).groupBy(*keys).agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
+    folded = F.aggregate(F.slice("texts", 2, PART_TEXTS), F.element_at("texts", 1), lambda acc, x: F.when(
+        acc == x, acc).otherwise(F.concat(acc, F.lit(" | "), x)))
+    small = few.select(*keys, F.lit(0).cast("bigint").alias("part"), folded.alias("evidence_text"))
+
+    c2 = chunks.Chunked(rows.filter(F.col("_all") > PART_TEXTS), keys, ["seq"], cut)
     differs = F.when(F.col("text") != F.col("_first.text"), F.col("seq"))
-    rows = c2.attach({"_d": F.min(differs)}, {"_from": lambda b, w: F.min("_d").over(w)})
-    kept = c2.drop_cuts(rows.filter((F.col("seq") == F.col("_first.seq")) | (F.col("seq") >= F.col("_from"))), "_first", "_from")
+    many = c2.attach({"_d": F.min(differs)}, {"_from": lambda b, w: F.min("_d").over(w)})
+    kept = c2.drop_cuts(many.filter((F.col("seq") == F.col("_first.seq")) | (F.col("seq") >= F.col("_from"))), "_first", "_from", "_all")
     numbered = chunks.row_index(kept, keys, ["seq"], cut, "_n").withColumn("part", F.floor((F.col("_n") - 1) / PART_TEXTS))
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return numbered.groupBy(*keys, "part").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), " | ").alias("evidence_text"))
+    large = numbered.groupBy(*keys, "part").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " | ").alias("evidence_text"))
+    return small.unionByName(large)
 
 
 def dedupe_insights(insights: DataFrame) -> DataFrame:

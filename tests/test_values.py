@@ -91,7 +91,8 @@ def fold(texts):
     return out
 
 
-@pytest.mark.parametrize("texts", [["a"], ["a", "a"], ["a", "b", "a"], ["a", "a", "b", "b", "a"], [None, "x", None, "x", "y"], [None]])
+@pytest.mark.parametrize("texts", [["a"], ["a", "a"], ["a", "b", "a"], ["a", "a", "b", "b", "a"], [None, "x", None, "x", "y"], [None],
+                                   ["a", "b", "a | b", "b"]])
 def test_evidence_is_folded_in_order(spark, texts):
     got = I.dedupe_insights(insights(spark, [{"evidence_text": t} for t in texts])).collect()
     assert len(got) == 1 and got[0].evidence_text == fold(texts) and got[0].merged == len(texts)
