@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the session names; a local one only where none is set, as in tests."""
+    """A new folder below the one the session names in ``spark.checkpoint.dir``.
+
+    Where none is set, a session of one process (as in tests) gets a temporary one; a cluster must name one, since
+    a folder of one machine would hide rows from the others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/sitegauge-checkpoints"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="sitegauge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sitegauge-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: later passes read only the columns they need, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation. Its size is known to the planner, which so broadcasts small ones only."""
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
