@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from ..sources.shared import shared_folder
+from . import packing, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +27,29 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def byte_bpe() -> str:
+    """The public tokenizer file of the queries; the operators take any path."""
+    import public_tokenizers
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, directory, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_token_id_output")
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    folder = shared_folder(spark)
+    tokenfiles.write_tokens(table(spark, directory, "documents"), folder, byte_bpe())
+    found = tokenfiles.read_tokens(spark, folder)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, directory, "documents"), byte_bpe())
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(digests)
