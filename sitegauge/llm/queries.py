@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import packing, simhash, tokenfiles
+from . import mixing, packing, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,12 @@ def byte_bpe() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op1_mix_sources")
+def op1(spark: SparkSession, directory: str) -> DataFrame:
+    rows = mixing.mixed(table(spark, directory, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, directory, "documents"))
