@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import mixing, packing, simhash, tokenfiles
+from . import mixing, packing, quality, simhash, tokenfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,45 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
                         F.crc32("ids").alias("ids_crc32"))
 
 
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+windows AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+            FROM w, unnest(range(1, len(words) - 1)) AS r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+places AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS o(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, len(words)::BIGINT AS n_words,
+             len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(places.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN places USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             n_words > 0 AND n_symbols > 0.1 * n_words AS s1, n_words > 0 AND n_symbols > n_words AS l1,
+             n_words > 0 AND n_dup_lines > 0.3 * n_lines AS s2, n_words > 0 AND n_dup_lines > 0.6 * n_lines AS l2,
+             n_words > 0 AND word_chars > 12 * n_words AS s3, n_words > 0 AND word_chars > 24 * n_words AS l3 FROM m),
+h AS (SELECT source, r, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE CASE r WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END))::DOUBLE AS f
+      FROM b, unnest([1, 2, 3]) AS x(r) GROUP BY source, r),
+mean AS (SELECT r, sum(n) AS n, sum(n * n) AS n2, count(*) AS hosts, sum(f) / sum(n) AS p FROM h GROUP BY r),
+spread AS (SELECT h.r, sum(h.n * (f / h.n - p) ** 2) AS s FROM h JOIN mean USING (r) GROUP BY h.r),
+prior AS (SELECT r, p, CASE WHEN hosts < 2 OR p <= 0 OR p >= 1
+                            OR (s - p * (1 - p) * (hosts - 1)) / (n - n2 / n) <= p * (1 - p) / 1000001 THEN 1000000
+                       ELSE greatest(p * (1 - p) / ((s - p * (1 - p) * (hosts - 1)) / (n - n2 / n)) - 1, 0) END AS k
+          FROM mean JOIN spread USING (r)),
+verdict AS (SELECT source, bool_or((f + k * p) / (n + k) > 0.3) AS distrusted FROM h JOIN prior USING (r) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distrusted AS host_distrusted,
+       NOT base_failed AND NOT CASE WHEN distrusted THEN s1 OR s2 OR s3 ELSE l1 OR l2 OR l3 END AS kept
+FROM b JOIN verdict ON b.source IS NOT DISTINCT FROM verdict.source
+"""
+
+
+@query("op9_quality_rules", QUALITY_SQL)
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    rows = quality.judged(table(spark, directory, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                       F.col("distrusted").alias("host_distrusted"), "kept")
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, directory, "documents"), byte_bpe())
