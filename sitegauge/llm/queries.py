@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import mixing, packing, quality, simhash, tokenfiles
+from . import minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,17 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_document_fingerprints")
+def op6(spark: SparkSession, directory: str) -> DataFrame:
+    rows = minhash.with_next(table(spark, directory, "documents"))
+    rows = rows.withColumn("edited", minhash.half_replaced(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"),
+                       F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                       minhash.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    near = {n: minhash.likeness(F.col("fingerprint"), F.col(f"{n}_fingerprint")) for n in ("edited", "next")}
+    return rows.withColumns({f"near_{n}": near[n] for n in near}).drop("next_fingerprint")
+
+
 @query("op7_token_id_output")
 def op7(spark: SparkSession, directory: str) -> DataFrame:
     folder = shared_folder(spark)
@@ -54,6 +65,35 @@ def op7(spark: SparkSession, directory: str) -> DataFrame:
                         F.crc32("ids").alias("ids_crc32"))
 
 
+# The rules of the URL query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+URL_VALUES = ", ".join(str(r) for r in URL_RULES)
+URL_SQL = f"""
+WITH rules(h, p, v) AS (VALUES {URL_VALUES}),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+x AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS k FROM u),
+f AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM x JOIN rules
+      ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM x LEFT JOIN f USING (k)
+"""
+
+
+@query("op8_url_filters", URL_SQL)
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_VALUES} AS t(host, path, verdict)")
+    pages = table(spark, directory, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUALITY_SQL = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
