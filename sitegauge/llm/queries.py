@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
+from . import htmltext, licenses, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,24 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_license_scans")
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    rows = licenses.scan(table(spark, directory, "documents"))
+    exact = F.filter("spans", lambda s: s["exact"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size(exact).cast("long").alias("n_base"),
+        F.array_min(F.transform(exact, lambda s: s["first"])).alias("first_word"),
+        F.array_max(F.transform(exact, lambda s: s["first"])).alias("last_word"),
+        labels(exact).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["containment"])), F.lit(0.0)).alias("score"))
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, directory: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, directory, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_document_fingerprints")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     rows = minhash.with_next(table(spark, directory, "documents"))
