@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import htmltext, licenses, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
+from . import htmltext, licenses, lm, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op1(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    return lm.scores(table(spark, directory, "documents"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, directory: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, directory, "documents"))
