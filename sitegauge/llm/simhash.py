@@ -51,16 +51,19 @@ def fingerprint(raw: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every row, over its whole text."""
+    """(doc_id, text_hash, fingerprint as a signed long) of every row, over its whole text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())]
+            prints = [fingerprint(t.as_py() or b"", width) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+                [batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                ["doc_id", "text_hash", "fingerprint"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, fingerprint long")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(common.whole(text)).alias("text_hash"),
+                       text.alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, text_hash long, fingerprint long")
 
 
 def _compress(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,14 +247,26 @@ def _chunk(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as a signed long, component_id): documents whose fingerprints differ in at most ``budget``
-    bits are linked; a component has the smallest id in it."""
+    """(doc_id, text_hash, fingerprint as a signed long, class, component_id) of every row: documents whose fingerprints
+    differ in at most ``budget`` bits are linked. A component's class is its least fingerprint, its id the smallest
+    document id in it."""
     prints = written(fingerprints(docs, width, id_col, text_col))
-    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = written(common.components(links(classes, budget)).withColumnRenamed("node", "fingerprint"))
-    linked = classes.join(roots, "fingerprint")
-    least = linked.groupBy("root").agg(F.min("least").alias("low"))
-    joined = roots.join(least, "root").select("fingerprint", "low")
-    named = classes.join(joined, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("low", "least").alias("component_id"))
-    return prints.join(written(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    kinds = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    roots = written(common.components(links(kinds, budget)).select(F.col("node").alias("fingerprint"), "root"))
+    least = kinds.join(roots, "fingerprint").groupBy("root").agg(F.min("least").alias("low"))
+    linked = roots.join(least, "root").select("fingerprint", "root", "low")
+    named = written(kinds.join(linked, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("root", "fingerprint").alias("class"), F.coalesce("low", "least").alias("component_id")))
+    return prints.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "class", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component: the one with the smallest id, null last (of such, the least text hash)."""
+    rows = near_duplicates(docs, width, budget, id_col, text_col)
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    kept = written(first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash")))
+    own_hash = F.xxhash64(common.whole(text_col))
+    return docs.withColumn("_own", own_hash).join(
+        kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi"
+    ).dropDuplicates([id_col, "_own"]).drop("_own")
