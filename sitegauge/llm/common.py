@@ -45,6 +45,17 @@ def uniform(*keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(2 ** 53))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -144,8 +144,9 @@ def resampled(docs: DataFrame, **options) -> DataFrame:
     sizes = written(sized(docs, **names))
     weights = {k: v for k, v in options.items() if k not in names}
     taken = written(copies(sizes, written(targets(sizes, **weights))).where("copies > 0"))
-    taken = taken.toDF("_id", "_source", "_size", "_copies")
-    same = (F.col(names["id_col"]).eqNullSafe(F.col("_id")) & F.col(names["source_col"]).eqNullSafe(F.col("_source"))
-            & (common.word_count(F.col(names["text_col"])) == F.col("_size")))
-    return (docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*docs.columns))
+    own = common.fresh(docs, "key", "origin", "size", "copies", "copy")
+    key, origin, size, number, copy = own
+    same = (F.col(names["id_col"]).eqNullSafe(F.col(key)) & F.col(names["source_col"]).eqNullSafe(F.col(origin))
+            & (common.word_count(F.col(names["text_col"])) == F.col(size)))
+    return (docs.join(taken.toDF(*own[:4]), same)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).drop(*own))

@@ -221,9 +221,12 @@ def _best(items: DataFrame, n_cells: int, capacity: int, level: int) -> DataFram
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """The rows of ``items`` with ``sequence_id`` and ``offset``: sequences of at most ``capacity``, without gaps."""
-    table = written(items.withColumn("_id", F.monotonically_increasing_id()))  # numbers are fixed once written
-    rest = table.select("_id", F.col(length_col).cast("long").alias("length"))
+    """The rows of ``items`` with ``sequence_id`` and ``offset`` (in place of columns of that name): sequences of at most
+    ``capacity``, without gaps. Lengths are from 1 to ``capacity``."""
+    items = items.drop("sequence_id", "offset")
+    key = common.fresh(items, "item")[0]
+    table = written(items.withColumn(key, F.monotonically_increasing_id()))  # numbers are fixed once written
+    rest = table.select(F.col(key).alias("_id"), F.col(length_col).cast("long").alias("length"))
     done, level = [], 0
     while True:
         n_cells = -(-rest.count() // CELL) or 1
@@ -246,5 +249,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length_col: str = "length")
     for more in done[1:]:
         all_done = all_done.union(more)
     before = F.sum("length").over(W.partitionBy("sequence_id").orderBy("_id")) - F.col("length")
-    spots = all_done.select("_id", "sequence_id", before.alias("offset"))
-    return table.join(spots, "_id").drop("_id")
+    spots = all_done.select(F.col("_id").alias(key), "sequence_id", before.alias("offset"))
+    return table.join(spots, key).drop(key)

@@ -115,8 +115,9 @@ def kept_documents(docs: DataFrame, max_rate: float = MAX_RATE, id_col: str = "d
                    text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
     hosts = judged(docs, max_rate, id_col=id_col, host_col=host_col, text_col=text_col)
-    ids = written(hosts.where("kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"),
-                                             F.col("text_hash").alias("_hash")).distinct())
-    same = (F.col(id_col).eqNullSafe(F.col("_id")) & F.col(host_col).eqNullSafe(F.col("_host"))
-            & (F.xxhash64(common.whole(text_col)) == F.col("_hash")))
+    key, host, text_hash = common.fresh(docs, "key", "host", "hash")
+    ids = written(hosts.where("kept").select(F.col("doc_id").alias(key), F.col("host").alias(host),
+                                             F.col("text_hash").alias(text_hash)).distinct())
+    same = (F.col(id_col).eqNullSafe(F.col(key)) & F.col(host_col).eqNullSafe(F.col(host))
+            & (F.xxhash64(common.whole(text_col)) == F.col(text_hash)))
     return docs.join(ids, same, "left_semi")

@@ -265,8 +265,8 @@ def deduplicated(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str =
     """One row of ``docs`` of each component: the one with the smallest id, null last (of such, the least text hash)."""
     rows = near_duplicates(docs, width, budget, id_col, text_col)
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
-    kept = written(first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash")))
-    own_hash = F.xxhash64(common.whole(text_col))
-    return docs.withColumn("_own", own_hash).join(
-        kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi"
-    ).dropDuplicates([id_col, "_own"]).drop("_own")
+    own, key, text_hash = common.fresh(docs, "own", "key", "hash")
+    kept = written(first.select(F.col("x.doc_id").alias(key), F.col("x.text_hash").alias(text_hash)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(text_hash))
+    return (docs.withColumn(own, F.xxhash64(common.whole(text_col))).join(kept, same, "left_semi")
+            .dropDuplicates([id_col, own]).drop(own))

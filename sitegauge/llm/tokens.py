@@ -21,7 +21,7 @@ REMEMBERED = 400_000
 # Bytes of text that are cut at a time.
 BATCH_BYTES = 4_000_000
 # White space of the tokenizer's pattern, as a character class.
-BLANK = "[\\s\\x0b\\x85\\xa0  -     　]"
+BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Characters that the pattern keeps in one piece of their own after letters.
 MARKS = ".,;:!?#*$%&|<>()[]{}=+/\\@~^\""
 

@@ -12,7 +12,7 @@ about ``BLOCK_BYTES``; each block is a pass of its own, so a list may be of any
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and fits no rule. Rules with a null host or path
 are left out. Of equally long rules that fit, blocking wins. Repeated rows stay; empty tables give no rows, an empty list
-allows all.
+allows all. Columns of the pages named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -113,32 +113,33 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col:
         F.concat(common.lower_ascii(F.col("host")), "path").alias("key"), F.length("path").alias("n"), "verdict").distinct())
     lengths = sorted(r[0] for r in table.select("n").distinct().collect())  # no more than the longest path has characters
     host, path = url_parts(F.col(url_col))
-    rows = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", F.lit(None).cast("string"))
+    own_keys, own_hits = common.fresh(pages, "keys", "hits")
+    rows = pages.withColumns({"host": host, "path": path}).withColumn("rule", F.lit(None).cast("string"))
     rows = rows.withColumn("verdict", F.lit(default))
     n = table.count()
     if not n:
         return rows
     no_hits = F.array().cast("array<struct<length:int,block:boolean,key:string>>")
     keys = candidates(F.col("host"), F.col("path"), lengths)
-    rows = rows.withColumn("_keys", keys).withColumn("_hits", no_hits)
-    universe = written(rows.select(F.explode("_keys").alias("key")).distinct())
+    rows = rows.withColumn(own_keys, keys).withColumn(own_hits, no_hits)
+    universe = written(rows.select(F.explode(own_keys).alias("key")).distinct())
     blocks = -(-n * BITS_PER_KEY // 4 // BLOCK_BYTES) or 1  # twice the first level's bytes leave room for all levels
     for block in range(blocks):
         mine = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(blocks)) == block
-        hits = F.col("_hits")
+        hits = F.col(own_hits)
         for verdict in ("allow", "block"):
             listed = written(table.where(mine & (F.col("verdict") == verdict)).select("key").distinct())
             levels = cascade(listed, universe.where(mine))
             if levels:
-                hits = F.concat(hits, _hits(levels, block, blocks, verdict == "block"))
-        rows = rows.withColumn("_hits", hits)
+                hits = F.concat(hits, _hits(own_keys, levels, block, blocks, verdict == "block"))
+        rows = rows.withColumn(own_hits, hits)
         if blocks > 1:
             rows = written(rows)
-    best = F.array_max("_hits")
+    best = F.array_max(own_hits)
     return (rows.withColumn("rule", best["key"]).withColumn("verdict", F.when(best.isNull(), default)
-            .when(best["block"], "block").otherwise("allow")).drop("_keys", "_hits"))
+            .when(best["block"], "block").otherwise("allow")).drop(own_keys, own_hits))
 
 
-def _hits(levels: list[Filter], block: int, blocks: int, blocking: bool) -> Column:
-    found = F.filter("_keys", lambda k: (F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(blocks)) == block) & is_listed(levels, k))
+def _hits(keys: str, levels: list[Filter], block: int, blocks: int, blocking: bool) -> Column:
+    found = F.filter(keys, lambda k: (F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(blocks)) == block) & is_listed(levels, k))
     return F.transform(found, lambda k: F.struct(F.length(k).alias("length"), F.lit(blocking).alias("block"), k.alias("key")))
