@@ -14,7 +14,7 @@ from ..sources.shared import shared_folder
 from ..streaming import streams as S
 from .catalog import query
 from .html_queries import HASH_SQL, TITLE_SQL
-from .quality_queries import metrics
+from .quality_queries import CHECKED_SQL, metrics
 from .step_queries import DECREMENT, VISITS_SQL, W, streak_sql
 from .text_queries import DOMAIN_SQL
 
@@ -68,14 +68,21 @@ def run_id(t):
 
 @query("stream_pages", f"SELECT page_id, {DOMAIN_SQL.format('url')} AS domain, {TITLE_SQL} AS title, {HASH_SQL} AS dom_hash FROM pages")
 def stream_pages(t):
-    return S.run_appended(S.page_facts(S.read_stream(t.spark, t.directory, "pages")))
+    return S.run_appended(S.page_facts(S.read_stream(t.spark, t.directory, "pages", t.files_per_trigger)))
 
 
 def action_stream(t):
     """The events of the driver table as they land, in the shape of the step log without its step numbers."""
     from ..sources.fixtures import ACTIONS
-    events = S.read_stream(t.spark, t.directory, "events")
-    return S.with_time(t.spark.sql(ACTIONS, events=events), "ts")
+    events = S.read_stream(t.spark, t.directory, "events", t.files_per_trigger)
+    return S.with_time(t.spark.sql(ACTIONS, events=events), "ts", S.replay_delay(t.events, "ts"))
+
+
+def line_stream(t, sql):
+    """Lines as they land, in the shape of a derived table, with their shipping date as event time."""
+    lines = t.spark.sql(sql.replace("FROM {lineitem}", ", l_shipdate FROM {lineitem}"), lineitem=S.read_stream(
+        t.spark, t.directory, "lineitem", t.files_per_trigger))
+    return S.with_time(lines, "l_shipdate", S.replay_delay(t.lineitem, "l_shipdate"))
 
 
 @query("stream_actions", "SELECT event_id, run_id, tool_name, success FROM actions", uses="actions")
@@ -85,62 +92,56 @@ def stream_actions(t):
 
 @query("stream_visit_loops", VISITS_SQL, uses="actions")
 def stream_visit_loops(t):
-    rows = S.run_updates(S.visit_loops(action_stream(t)), ["run_id", "page"])
-    return rows.withColumn("loops", F.col("visits") >= 3)
+    windows = S.run_updates(S.visit_loops(action_stream(t)), ["window", "run_id", "page"])
+    return S.visits_so_far(windows).withColumn("loops", F.col("visits") >= 3)
+
+
+def run_state(t):
+    return S.run_state(S.run_updates(S.run_parts(action_stream(t)), ["window", "run_id", "stretch"]))
 
 
 @query("stream_failure_streaks", f"""
 WITH s AS (SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER {W} AS f FROM {streak_sql('actions', 'NOT success')} x)
 SELECT run_id, max(step) AS steps, max(f) AS failures, arg_max(in_a_row, step) AS in_a_row FROM s GROUP BY run_id""", uses="actions")
 def stream_failure_streaks(t):
-    return S.run_updates(S.run_state(action_stream(t)), ["run_id"]).select("run_id", "steps", "failures", "in_a_row")
+    return run_state(t).select("run_id", "steps", "failures", "in_a_row")
 
 
 @query("stream_budget", f"""
 SELECT run_id, count(*) AS steps, greatest(0, 1000 - sum({DECREMENT})) AS confidence_left, epoch_us(max(ts)) - epoch_us(min(ts)) AS elapsed_us FROM actions GROUP BY run_id""", uses="actions")
 def stream_budget(t):
-    return S.run_updates(S.run_state(action_stream(t)), ["run_id"]).select("run_id", "steps", "confidence_left", "elapsed_us")
-
+    return run_state(t).select("run_id", "steps", "confidence_left", "elapsed_us")
 
-@query("stream_domain_cache", f"""
-WITH RECURSIVE d AS (SELECT DISTINCT {DOMAIN_SQL.format('url')} AS domain, CAST(floor(epoch(ts)) AS BIGINT) AS second FROM actions WHERE url LIKE 'http%'),
-m(domain, second) AS (SELECT domain, min(second) FROM d GROUP BY domain UNION ALL SELECT m.domain, (SELECT min(d.second) FROM d WHERE d.domain = m.domain AND d.second > m.second + 1800) FROM m WHERE m.second IS NOT NULL)
-SELECT d.domain, count(*) AS moments, count_if(m.second IS NULL) AS hits FROM d LEFT JOIN m USING (domain, second) GROUP BY 1""", uses="actions")
-def stream_domain_cache(t):
-    visits = action_stream(t).filter(F.col("url").startswith("http")).select(U.domain_of(F.col("url")).alias("domain"), "ts")
-    rows = S.run_appended(S.domain_cache(visits))
-    return rows.groupBy("domain").agg(F.count("*").alias("moments"), F.count_if("hit").alias("hits"))
 
-
-NODE_STREAM = "SELECT l_orderkey AS page_id, concat('/el[', CAST(l_linenumber AS VARCHAR(20)), ']') AS xpath, l_shipdate FROM {lineitem}"
+NODE_STREAM = "SELECT l_orderkey AS page_id, concat('/el[', CAST(l_linenumber AS VARCHAR(20)), ']') AS xpath FROM {lineitem}"
 
 
 @query("stream_dedupe_nodes", "SELECT DISTINCT l_orderkey AS page_id, concat('/el[', CAST(l_linenumber AS VARCHAR), ']') AS xpath FROM lineitem")
 def stream_dedupe_nodes(t):
-    """The derived sightings are all in one batch, so no state expires between them."""
-    nodes = t.spark.sql(NODE_STREAM, lineitem=S.read_stream(t.spark, t.directory, "lineitem"))
-    return S.run_appended(S.first_sightings(S.with_time(nodes, "l_shipdate")).select("page_id", "xpath"))
+    return S.run_appended(S.first_sightings(line_stream(t, NODE_STREAM)).select("page_id", "xpath"))
 
 
 @query("stream_quality", """
 SELECT page_id, strftime(date_trunc('day', l_shipdate), '%Y-%m-%d') AS day, count(*) AS viewports, sum(blank_images) AS blank, sum(loaded_images) AS loaded, sum(total_images) AS images, max(CAST(overlay AS INT)) AS overlay
 FROM (SELECT l_orderkey AS page_id, l_shipdate, CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey % 5 ELSE 0 END AS blank_images, CAST(l_quantity AS INT) AS total_images, CAST(l_quantity AS INT) - CAST(l_quantity AS INT) % 4 AS loaded_images, l_suppkey % 31 = 0 AS overlay FROM lineitem) s
-WHERE date_trunc('day', l_shipdate) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 10 MINUTE GROUP BY ALL""")
+GROUP BY ALL""")
 def stream_quality(t):
-    """Windows that the watermark has closed."""
     from ..sources.fixtures import SIGNALS
-    sql = SIGNALS.replace("FROM {lineitem}", ", l_shipdate FROM {lineitem}")
-    signals = t.spark.sql(sql, lineitem=S.read_stream(t.spark, t.directory, "lineitem"))
-    rows = S.run_appended(S.quality_windows(S.with_time(signals, "l_shipdate"), "1 day"))
+    rows = S.run_updates(S.quality_windows(line_stream(t, SIGNALS), "1 day"), ["window", "page_id"])
     return rows.select("page_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "viewports", "blank", "loaded", "images", "overlay")
 
 
+@query("stream_recheck", f"WITH {CHECKED_SQL} SELECT page_id, seq, issues FROM cv WHERE severity = 'fail'", uses="signals")
+def stream_recheck(t):
+    """The viewports that a quality stream sends back for another look."""
+    from ..sources.fixtures import SIGNALS
+    return S.run_recheck(line_stream(t, SIGNALS))
+
+
 @query("stream_sessions", """
 WITH g AS (SELECT run_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS n FROM actions),
 s AS (SELECT run_id, ts, sum(n) OVER (PARTITION BY run_id ORDER BY ts) AS i FROM g)
-SELECT run_id, epoch_us(max(ts)) - epoch_us(min(ts)) + 600000000 AS length_us, count(*) AS steps FROM s GROUP BY run_id, i
-HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM actions) - INTERVAL 10 MINUTE""", uses="actions")
+SELECT run_id, epoch_us(max(ts)) - epoch_us(min(ts)) + 600000000 AS length_us, count(*) AS steps FROM s GROUP BY run_id, i""", uses="actions")
 def stream_sessions(t):
-    """Sessions that the watermark has closed."""
-    rows = S.run_appended(S.sessions(action_stream(t)))
+    rows = S.sessions(S.run_updates(S.session_parts(action_stream(t)), ["window", "run_id"]))
     return rows.select("run_id", (F.unix_micros("end") - F.unix_micros("start")).alias("length_us"), "steps")

@@ -22,6 +22,9 @@ NODE_CHUNK = 50_000
 class Tables:
     """Given and derived tables by name, e.g. ``Tables(spark, directory).nodes``."""
 
+    #: Files that a stream takes at a time; none: all that are there. Results do not depend on it.
+    files_per_trigger: int | None = None
+
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
 

@@ -1,4 +1,9 @@
-"""Streaming forms of the batch operators. On a finite input they agree with their batch twins.
+"""Streaming forms of the batch operators. On a finite input they agree with their batch twins, however many files
+or micro-batches it comes in.
+
+Keyed state is made of sums, least and greatest values and bit sets per key and event-time window. These do not depend on
+the order in which rows come, are folded before the shuffle, so a hot run is spread over its windows, and are dropped once the
+watermark has passed their window. What needs an order (streaks, sessions) is folded afterwards from those small rows.
 
 Results go to a table below ``spark.checkpoint.dir``, the folder all executors share. Updates carry the batch
 they come from, so the latest value of a key is the one of its last batch.
@@ -9,32 +14,42 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import html as H
-from ..rules.steps import CACHE_SECONDS
 from ..sources.shared import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# How late a row of a live stream may come, and the width of the windows that hold a key's state.
 DELAY = "10 minutes"
-FILES_PER_TRIGGER = 1000
+STATE_WINDOW = "1 day"
+# Steps whose outcomes fit the bits of one long.
+BITS = 63
+
+
+def read_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A table, one file or a folder of part files, as it lands. By default a trigger takes all that is there."""
+    path = f"{directory}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
 
 
-def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """Files of one table as they land, with the schema of those that are there."""
-    schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(directory))
+def with_time(df: DataFrame, column: str, delay: str = DELAY, out: str = "ts") -> DataFrame:
+    """Event time as the timestamp type that watermarks take. Rows later than the delay are dropped by keyed operators."""
+    return df.withColumn(out, F.col(column).cast("timestamp")).withWatermark(out, delay)
 
 
-def with_time(df: DataFrame, column: str, out: str = "ts") -> DataFrame:
-    """Event time as the timestamp type that watermarks take, late rows dropped after ten minutes."""
-    return df.withColumn(out, F.col(column).cast("timestamp")).withWatermark(out, DELAY)
+def replay_delay(table: DataFrame, column: str) -> str:
+    """The delay with which no row of a finite table is late, in whatever order its files are: its span of time."""
+    moment = F.unix_seconds(F.col(column).cast("timestamp"))
+    seconds = table.agg(F.max(moment) - F.min(moment)).first()[0] or 0
+    return f"{seconds + 1} seconds"
 
 
 def run_appended(stream: DataFrame) -> DataFrame:
@@ -70,8 +85,13 @@ def page_facts(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- keyed aggregates
 
 def visit_loops(actions: DataFrame) -> DataFrame:
-    """Visits per run and URL so far."""
-    return actions.groupBy("run_id", U.normalize_url(F.col("url")).alias("page")).agg(F.count("*").alias("visits"))
+    """Visits per run and URL within each state window."""
+    return actions.groupBy(F.window("ts", STATE_WINDOW), "run_id", U.normalize_url(F.col("url")).alias("page")).agg(
+        F.count("*").alias("visits"))
+
+
+def visits_so_far(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("run_id", "page").agg(F.sum("visits").alias("visits"))
 
 
 def first_sightings(nodes: DataFrame) -> DataFrame:
@@ -80,78 +100,55 @@ def first_sightings(nodes: DataFrame) -> DataFrame:
 
 
 def quality_windows(signals: DataFrame, window: str) -> DataFrame:
-    """Loading signs of each page per window, closed when the watermark passes."""
+    """Loading signs of each page per window."""
     return signals.groupBy(F.window("ts", window), "page_id").agg(
         F.count("*").alias("viewports"), F.sum("blank_images").alias("blank"), F.sum("loaded_images").alias("loaded"),
         F.sum("total_images").alias("images"), F.max(F.col("overlay").cast("int")).alias("overlay"))
 
 
-def sessions(actions: DataFrame, gap: str = DELAY) -> DataFrame:
-    """A run's steps without a pause longer than the gap."""
-    return actions.groupBy(F.session_window("ts", gap), "run_id").agg(F.count("*").alias("steps")).select(
-        "run_id", "session_window.start", "session_window.end", "steps")
+def session_parts(actions: DataFrame, gap: str = DELAY) -> DataFrame:
+    """A run's steps per window as long as the gap. Steps of one window are always of one session."""
+    return actions.groupBy(F.window("ts", gap), "run_id").agg(
+        F.count("*").alias("steps"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def sessions(parts: DataFrame, gap: str = DELAY) -> DataFrame:
+    """A run's steps without a pause of the gap or longer, from the parts. A run has at most one part per gap of time,
+    whatever its steps."""
+    ordered = Window.partitionBy("run_id").orderBy("first")
+    new = F.coalesce(F.col("first") >= F.lag("last").over(ordered) + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    numbered = parts.withColumn("_new", new.cast("int")).withColumn("_session", F.sum("_new").over(ordered))
+    return numbered.groupBy("run_id", "_session").agg(
+        F.min("first").alias("start"), (F.max("last") + F.expr(f"INTERVAL {gap}")).alias("end"),
+        F.sum("steps").alias("steps")).drop("_session")
 
 
 # ---------------------------------------------------------------- state of a run
 
-RUN_STATE = "steps BIGINT, failures BIGINT, in_a_row BIGINT, lost BIGINT, started TIMESTAMP"
-RUN_OUT = "run_id BIGINT, steps BIGINT, failures BIGINT, in_a_row BIGINT, confidence_left BIGINT, elapsed_us BIGINT"
-
-
-def _run_progress(key, batches, state):
-    """Fold the steps of a micro-batch, in event order, into five numbers. Idle runs end by timeout."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    steps, failures, in_a_row, lost, started = state.get if state.exists else (0, 0, 0, 0, None)
-    rows = pd.concat(list(batches)).sort_values("event_id")
-    for ok, progress in zip(rows["success"], rows["progress_score"], strict=True):
-        steps += 1
-        failures += not ok
-        in_a_row = 0 if ok else in_a_row + 1
-        lost += 25 if progress > 0.6 else 100 if progress < 0.3 else 50
-    started = rows["ts"].min() if started is None else min(started, rows["ts"].min())
-    state.update((steps, failures, in_a_row, lost, started.to_pydatetime() if hasattr(started, "to_pydatetime") else started))
-    state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 86_400_000)
-    gone = (rows["ts"].max() - pd.Timestamp(started)) // pd.Timedelta(microseconds=1)
-    yield pd.DataFrame({"run_id": [key[0]], "steps": [steps], "failures": [failures], "in_a_row": [in_a_row],
-                        "confidence_left": [max(0, 1000 - lost)], "elapsed_us": [gone]})
-
-
-def run_state(actions: DataFrame) -> DataFrame:
-    """Steps, failures in a row, confidence and elapsed time of each run that moved in a batch.
-
-    Only the four columns the fold needs are shuffled, a batch is bounded by the files per trigger, and what is
-    kept between batches is five numbers per run."""
-    rows = actions.select("run_id", "event_id", "ts", "success", "progress_score")
-    return rows.groupBy("run_id").applyInPandasWithState(_run_progress, RUN_OUT, RUN_STATE, "update", "EventTimeTimeout")
-
-
-CACHE_OUT = "domain STRING, second BIGINT, hit BOOLEAN"
-
-
-def _cached(key, batches, state):
-    """Which moments of a domain find a stored result; a miss stores one, a hit does not renew it."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    stored = state.get[0] if state.exists else None
-    seconds = sorted(set(pd.concat(list(batches))["second"]))
-    hits = []
-    for s in seconds:
-        hit = stored is not None and s - stored <= CACHE_SECONDS
-        stored = stored if hit else s
-        hits.append(hit)
-    state.update((int(stored),))
-    state.setTimeoutTimestamp(max(int(seconds[-1]) * 1000, state.getCurrentWatermarkMs()) + CACHE_SECONDS * 1000 + 1)
-    yield pd.DataFrame({"domain": key[0], "second": seconds, "hit": hits})
-
-
-def domain_cache(visits: DataFrame) -> DataFrame:
-    """``visits(domain, ts)``: moments of a domain that would find its result in the cache. Moments of a batch
-    are made distinct before the state sees them, so a batch holds at most its seconds per domain."""
-    moments = visits.select("domain", "ts", F.unix_seconds("ts").alias("second")).dropDuplicatesWithinWatermark(["domain", "second"])
-    return moments.groupBy("domain").applyInPandasWithState(_cached, CACHE_OUT, "stored BIGINT", "append", "EventTimeTimeout")
+def run_parts(actions: DataFrame) -> DataFrame:
+    """Steps, failures, lost confidence and bounds in time per run, state window and stretch of 63 events; the last success, and
+    a bit for each failure."""
+    ok = F.coalesce("success", F.lit(False))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("event_id", F.lit(BITS)).cast("int"))
+    failed = F.when(~ok, bit).otherwise(0)
+    lost = F.when(F.col("progress_score") > 0.6, 25).when(F.col("progress_score") < 0.3, 100).otherwise(50)
+    return actions.groupBy(F.window("ts", STATE_WINDOW), "run_id", F.floor(F.col("event_id") / BITS).alias("stretch")).agg(
+        F.count("*").alias("steps"), F.count_if(~ok).alias("failures"), F.sum(lost).alias("lost"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(F.when(ok, F.col("event_id"))).alias("last_ok"),
+        F.bit_or(failed).alias("failed"))
+
+
+def run_state(parts: DataFrame) -> DataFrame:
+    """Steps, failures, failures in a row at the end, confidence left and elapsed time of each run."""
+    total = parts.groupBy("run_id").agg(
+        F.sum("steps").alias("steps"), F.sum("failures").alias("failures"), F.max("last_ok").alias("last_ok"),
+        F.greatest(F.lit(0), 1000 - F.sum("lost")).alias("confidence_left"),
+        (F.unix_micros(F.max("last")) - F.unix_micros(F.min("first"))).alias("elapsed_us"))
+    start = F.col("stretch") * BITS
+    after = F.least(F.greatest(F.coalesce(F.col("last_ok") - start + 1, F.lit(0)), F.lit(0)), F.lit(BITS)).cast("int")
+    ends = parts.select("run_id", "stretch", "failed").join(total.select("run_id", "last_ok"), "run_id").groupBy("run_id").agg(
+        F.sum(F.bit_count(F.call_function("shiftrightunsigned", "failed", after))).alias("in_a_row"))
+    return total.join(ends, "run_id").drop("last_ok")
 
 
 def recheck_list(signals: DataFrame, save: Callable[[DataFrame, int], None], folder: str):
@@ -159,6 +156,14 @@ def recheck_list(signals: DataFrame, save: Callable[[DataFrame, int], None], fol
     from ..operators.quality import viewport_validation
 
     def failed(batch, batch_id):
-        save(viewport_validation(batch).filter("severity = 'fail'").select("page_id", "viewport_index", "issues"), batch_id)
+        save(viewport_validation(batch).filter("severity = 'fail'").select("page_id", "seq", "issues"), batch_id)
 
     return signals.writeStream.foreachBatch(failed).option("checkpointLocation", folder).trigger(availableNow=True).start()
+
+
+def run_recheck(signals: DataFrame) -> DataFrame:
+    """The failed viewports of all batches. A batch that is retried writes its own folder again."""
+    spark, folder = signals.sparkSession, shared_folder(signals.sparkSession)
+    recheck_list(signals, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={n}"),
+                 f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").drop("batch")
