@@ -95,6 +95,16 @@ def viewport_ref(viewport_index: Column, element_index: Column) -> Column:
     return F.format_string("[v%d-%d]", viewport_index, element_index)
 
 
+def kept_sections(text: Column, wanted: Column) -> Column:
+    """The viewport sections of a text whose numbers are wanted, with a blank line between. A text without section marks, or
+    with nothing wanted, stays whole."""
+    mark = r"(?m)^--- Viewport-\d+ \(scroll: \d+px\) ---$"
+    number = lambda part: F.regexp_extract(part, r"^--- Viewport-(\d+) \(scroll: \d+px\) ---", 1).try_cast("int")
+    kept = F.filter(F.split(text, f"(?={mark})"), lambda part: F.coalesce(F.array_contains(wanted, number(part)), F.lit(False)))
+    trimmed = F.transform(kept, lambda part: F.regexp_replace(part, r"\s+$", ""))
+    return F.when((F.size(wanted) == 0) | ~text.rlike(mark), text).otherwise(F.array_join(trimmed, "\n\n"))
+
+
 def focus_area(text: Column) -> Column:
     word = F.regexp_replace(F.lower(text), r"[-\s]", "_")
     return F.when(word.contains("above") | word.contains("fold"), "above_fold").otherwise("full_page")

@@ -109,17 +109,16 @@ def form_rules() -> dict:
 
 
 def form_fields(typed: DataFrame) -> DataFrame:
-    """Fields of visible forms, with whether their form has a label and how many such forms it is.
+    """Fields of visible forms, with whether their form has a label.
 
     One form may hold very many fields, so its totals reach them through chunks of positions."""
     is_head = shown("form") & (F.col("tag") == "form")
     rows = typed.filter(F.col("form_id").isNotNull())
     whole = chunks.key_totals(
-        rows, ["page_id", "form_id"], {"form_heads": F.sum("_heads"), "form_label": F.max("_label")},
-        {"_heads": F.count_if(is_head), "_label": F.bool_or((F.col("tag") == "label") & F.col("is_visible"))},
-        chunks.by_hash("page_id", "doc_pos"))
-    return whole.filter(is_field() & (F.col("form_heads") > 0)).withColumn(
-        "_copies", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("form_heads"))))
+        rows, ["page_id", "form_id"], {"form_shown": F.max("_shown"), "form_label": F.max("_label")},
+        {"_shown": F.bool_or(is_head), "_label": F.bool_or((F.col("tag") == "label") & F.col("is_visible"))},
+        chunks.by_hash(rows, "page_id", "doc_pos"))
+    return whole.filter(is_field() & F.col("form_shown"))
 
 
 def field_rules() -> dict:
@@ -279,13 +278,16 @@ class RuleBook:
         self.rules[name] = by_condition
 
     def run(self, names, pages: DataFrame, typed: DataFrame) -> DataFrame:
-        """Insights of the named rules; a name that is not registered gives one error row."""
-        frames = []
+        """Insights of the named rules; a name that is not registered gives one error row.
+
+        The built-in rules among them share one audit, so the nodes are typed once for all of them."""
+        names = list(dict.fromkeys(names))
+        builtin = [n for n in names if n in R.RULES]
+        frames = [audit(pages, typed, builtin).select(*OUT)] if builtin else []
+        frames += [self.rules[n](pages, typed).select(*OUT) for n in names if n in self.rules and n not in R.RULES]
         for n in names:
-            if n in self.rules:
-                frames.append(self.rules[n](pages, typed).select(*OUT))
-            else:
-                frames.append(pages.limit(1).select(
+            if n not in self.rules:
+                frames.append(pages.sparkSession.range(1).select(
                     F.lit(None).cast("bigint").alias("page_id"), F.lit("error").alias("type"), F.lit("low").alias("severity"),
                     F.lit("error").alias("category"), F.lit("").alias("element"), F.lit(f"unknown rule: {n}").alias("issue"),
                     F.lit("").alias("recommendation")))

@@ -57,10 +57,8 @@ def batched_evaluations(replies: DataFrame, keys: list[str], categories: list[st
 
 
 def enrich(evaluations: DataFrame, heuristics: DataFrame, lenient: bool = False) -> DataFrame:
-    """Severity and principle of the heuristic. Unknown ids are dropped, or kept as medium when lenient.
-
-    ``heuristics`` is the knowledge table; ``sources.knowledge`` checks that it is small enough to broadcast."""
-    facts = F.broadcast(heuristics.select("heuristic_id", F.col("severity").alias("_severity"), F.col("principle").alias("_principle")))
+    """Severity and principle of the heuristic. Unknown ids are dropped, or kept as medium when lenient."""
+    facts = heuristics.select("heuristic_id", F.col("severity").alias("_severity"), F.col("principle").alias("_principle"))
     rows = evaluations.drop("severity", "principle").join(facts, "heuristic_id", "left" if lenient else "inner")
     return rows.withColumns({"severity": F.coalesce("_severity", F.lit("medium")),
                              "principle": F.coalesce("_principle", F.lit(""))}).drop("_severity", "_principle")
@@ -244,9 +242,11 @@ def batch_of(category: Column) -> Column:
     return map_value(category, {c: " + ".join(b) for b in H.CATEGORY_BATCHES for c in b}, category)
 
 
-def evaluations_to_insights(evaluations: DataFrame) -> DataFrame:
-    """Fail and partial evaluations as insights, in the three styles of id, type and element."""
-    rows = evaluations.filter(F.col("status").isin("fail", "partial"))
+def evaluations_to_insights(evaluations: DataFrame, heuristics: DataFrame) -> DataFrame:
+    """Fail and partial evaluations as insights, in the three styles of id, type and element. Advice that a model left out
+    names the heuristic's principle, if the knowledge table has it."""
+    facts = heuristics.select("heuristic_id", "principle")
+    rows = evaluations.drop("principle").filter(F.col("status").isin("fail", "partial")).join(facts, "heuristic_id", "left")
     issue = F.coalesce(F.nullif("issue", F.lit("")), F.col("observation"))
     viewport = F.concat(F.lit("viewport_"), F.col("viewport_index").cast("string"))
     return rows.select(
@@ -254,5 +254,5 @@ def evaluations_to_insights(evaluations: DataFrame) -> DataFrame:
         issue.alias("issue"), F.when(F.col("status") == "fail", "heuristic_fail").otherwise("heuristic_partial").alias("plain_type"),
         S.id_to_type(F.col("heuristic_id")).alias("type"), viewport.alias("element"),
         F.concat(viewport, F.lit("_scroll_"), (F.col("viewport_index") * 680).cast("string")).alias("scrolled_element"),
-        S.default_recommendation(F.col("recommendation"), F.col("status"), F.lit(None).cast("string")).alias("recommendation"),
+        S.default_recommendation(F.col("recommendation"), F.col("status"), F.col("principle")).alias("recommendation"),
         F.coalesce(F.nullif("recommendation", F.lit("")), F.lit("Review and address the issue")).alias("plain_recommendation"))

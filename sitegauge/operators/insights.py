@@ -14,7 +14,7 @@ from ..plans import chunks
 from ..rules import insights as R
 from ..sources.tables import INSIGHT_CHUNK
 
-PART_TEXTS = 1000
+SEPARATOR = " | "
 
 
 def dedupe_key() -> Column:
@@ -23,48 +23,51 @@ def dedupe_key() -> Column:
         F.lower(F.trim("type")), F.lit("|"), F.lower(F.trim(element))))
 
 
-def merged_evidence(insights: DataFrame) -> DataFrame:
-    """Evidence texts of a page and key joined by ' | ' in order, in parts of at most 1000 texts.
+def evidence_texts(insights: DataFrame) -> DataFrame:
+    """The texts that make up the joined evidence of a page and key, one row each in the order of ``seq``.
 
-    A text is left out when it equals what has been joined so far. Keys of up to 1000 texts, nearly all, are
-    folded text by text. A larger key stays spread over chunks: there a text is left out while every text before
-    it was the same, which is the same rule for texts that do not themselves hold the separator.
+    A text is left out when it equals all that has been joined so far, with ' | ' between. That can only happen while every text
+    before it was the same, or to a text that holds the separator. The first is told by what is carried over chunks.
+    For the second, joined text longer than the key's longest text with a separator cannot be equalled any more; so
+    only the texts before that point, which together are about as long as that one text, are folded one by one.
     """
-    texts = insights.filter(F.coalesce("evidence_text", F.lit("")) != "").select(
-        "page_id", "dedupe_key", "seq", F.col("evidence_text").alias("text"))
     keys, cut = ["page_id", "dedupe_key"], [chunks.by_width(F.col("seq"), INSIGHT_CHUNK)]
+    texts = insights.withColumn("dedupe_key", dedupe_key()).filter(F.coalesce("evidence_text", F.lit("")) != "").select(
+        *keys, "seq", F.col("evidence_text").alias("text"))
     c = chunks.Chunked(texts, keys, ["seq"], cut)
-    rows = c.drop_cuts(c.attach(
-        {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_c": F.count("*")},
-        {"_first": lambda b, w: F.first("_f").over(w), "_all": lambda b, w: F.sum("_c").over(w)}))
+    c.df = c.df.withColumns({"_own": F.first("text").over(c.local), "_holds": F.contains("text", F.lit(SEPARATOR))})
+    length = F.when(~F.col("_holds"), F.length("text") + len(SEPARATOR)).otherwise(0)
+    rows = c.attach(
+        {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_d": F.min(F.when(F.col("text") != F.col("_own"), F.col("seq"))),
+         "_m": F.max(F.when(F.col("_holds"), F.length("text"))), "_l": F.sum(length)},
+        {"_first": lambda b, w: F.first("_f").over(w),
+         "_change": lambda b, w: F.when(F.col("_f.text") != F.col("_first.text"), F.col("_f.seq")).otherwise(F.col("_d")),
+         "_from": lambda b, w: F.min("_change").over(w), "_longest": lambda b, w: F.coalesce(F.max("_m").over(w), F.lit(0)),
+         "_before": lambda b, w: F.coalesce(F.sum("_l").over(b), F.lit(0))})
+    rows = c.drop_cuts(rows.withColumn("_joined", F.col("_before") + F.sum(length).over(c.so_far()) - length))
+    kept = rows.filter((F.col("seq") == F.col("_first.seq")) | (F.col("seq") >= F.col("_from")))
+    out = [*keys, "seq", "text"]
+    apart = kept.filter(F.col("_joined") > F.col("_longest")).select(*out)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-
-    few = rows.filter(F.col("_all") <= PART_TEXTS).groupBy(*keys).agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
-    folded = F.aggregate(F.slice("texts", 2, PART_TEXTS), F.element_at("texts", 1), lambda acc, x: F.when(
-        acc == x, acc).otherwise(F.concat(acc, F.lit(" | "), x)))
-    small = few.select(*keys, F.lit(0).cast("bigint").alias("part"), folded.alias("evidence_text"))
-
-    c2 = chunks.Chunked(rows.filter(F.col("_all") > PART_TEXTS), keys, ["seq"], cut)
-    differs = F.when(F.col("text") != F.col("_first.text"), F.col("seq"))
-    many = c2.attach({"_d": F.min(differs)}, {"_from": lambda b, w: F.min("_d").over(w)})
-    kept = c2.drop_cuts(many.filter((F.col("seq") == F.col("_first.seq")) | (F.col("seq") >= F.col("_from"))), "_first", "_from", "_all")
-    numbered = chunks.row_index(kept, keys, ["seq"], cut, "_n").withColumn("part", F.floor((F.col("_n") - 1) / PART_TEXTS))
-    large = numbered.groupBy(*keys, "part").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " | ").alias("evidence_text"))
-    return small.unionByName(large)
+    folded = kept.filter(F.col("_joined") <= F.col("_longest")).groupBy(*keys).agg(ordered.alias("texts")).select(*keys, F.inline(
+        F.aggregate(F.slice("texts", 2, F.size("texts")), F.struct(
+            F.col("texts")[0]["text"].alias("joined"), F.slice("texts", 1, 1).alias("texts")),
+            lambda acc, x: F.when(acc["joined"] == x["text"], acc).otherwise(F.struct(
+                F.concat(acc["joined"], F.lit(SEPARATOR), x["text"]).alias("joined"),
+                F.concat(acc["texts"], F.array(x)).alias("texts"))))["texts"]))
+    return apart.unionByName(folded)
 
 
 def dedupe_insights(insights: DataFrame) -> DataFrame:
-    """First insight per page and key, with the first selector and the joined evidence (one row per part)."""
+    """First insight per page and key, with the first selector and the first screenshot; one row per key, folded before the
+    shuffle. All its evidence texts are the rows of ``evidence_texts``."""
     rows = insights.withColumn("dedupe_key", dedupe_key())
     fields = ["seq", "severity", "category", "type", "element", "issue", "recommendation", "heuristic_id", "confidence", "source"]
-    selector = F.nullif("evidence_selector", F.lit(""))
+    firsts = {c: F.nullif(c, F.lit("")) for c in ("evidence_selector", "evidence_screenshot")}
     base = rows.groupBy("page_id", "dedupe_key").agg(
         F.min_by(F.struct(*fields), "seq").alias("f"), F.count("*").alias("merged"),
-        F.min_by(selector, F.when(selector.isNotNull(), F.col("seq"))).alias("evidence_selector"))
-    # One base row per key, so the join is even whatever the sizes of the keys.
-    out = base.select("page_id", "dedupe_key", "f.*", "merged", "evidence_selector").join(
-        merged_evidence(rows), ["page_id", "dedupe_key"], "left")
-    return out.withColumn("part", F.coalesce("part", F.lit(0)))
+        *[F.min_by(v, F.when(v.isNotNull(), F.col("seq"))).alias(c) for c, v in firsts.items()])
+    return base.select("page_id", "dedupe_key", "f.*", "merged", *firsts)
 
 
 def merge_styles(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,19 +103,36 @@ def prioritize(insights: DataFrame) -> DataFrame:
     score = (N.severity_rank(F.col("severity")) * 100 + F.when(is_critical_type(), 50).otherwise(0)
              + F.coalesce(F.col("confidence") * 10, F.lit(0.0)))
     rows = insights.withColumn("score", score).withColumn("_down", -F.col("score"))
-    cut = [F.col("_down"), chunks.by_width(F.col("seq"), INSIGHT_CHUNK)]
-    return chunks.row_index(rows, ["page_id"], ["_down", "seq"], cut, "place").drop("_down")
+    return chunks.row_index(rows, ["page_id"], ["_down", "seq"], value_cut(F.col("_down"), 1000), "place").drop("_down")
+
+
+def value_cut(value: Column, per_unit: int, width: int = INSIGHT_CHUNK) -> list[Column]:
+    """Cuts of rows ordered by a number, then ``seq``: by its steps of 1 / ``per_unit``, a bounded number of them however many
+    different numbers there are; rows that stand on a step, where equal numbers gather, are cut further by position."""
+    nearest, below = F.round(value * per_unit), F.floor(value * per_unit)
+    on_step = value == nearest / per_unit
+    step = F.when(on_step, nearest).when(below / per_unit > value, below - 1).otherwise(below)
+    return [step, (~on_step).cast("int"), F.when(on_step, chunks.by_width(F.col("seq"), width)).otherwise(0)]
 
 
 def hypotheses(insights: DataFrame) -> DataFrame:
     """Tests for the severe insights: numbered in their order, placed by priority."""
-    rows = insights.filter(F.col("severity").isin("critical", "high"))
-    cut = [chunks.by_width(F.col("seq"), INSIGHT_CHUNK)]
-    rows = chunks.row_index(rows, ["page_id"], ["seq"], cut, "number")
+    rows = insights.filter(F.col("severity").isin("critical", "high")).withColumn(
+        "priority", map_value(F.col("severity"), R.SEVERITY_PRIORITY))
+    levels = sorted({R.SEVERITY_PRIORITY[x] for x in ("critical", "high")}, reverse=True)
+    # Number and place come from one pass: rows so far, rows so far of the same priority, and all rows of higher ones.
+    c = chunks.Chunked(rows, ["page_id"], ["seq"], [chunks.by_width(F.col("seq"), INSIGHT_CHUNK)])
+    sums = {"_all": F.count("*"), **{f"_p{p}": F.count_if(F.col("priority") == p) for p in levels}}
+    rows = c.attach(sums, {**{f"{n}_before": (lambda b, w, n=n: F.coalesce(F.sum(n).over(b), F.lit(0))) for n in sums},
+                           **{f"{n}_total": (lambda b, w, n=n: F.sum(n).over(w)) for n in sums}})
+    so_far = c.so_far()
+    place = F
+    for i, p in enumerate(levels):
+        higher = reduce(lambda a, b: a + b, [F.col(f"_p{q}_total") for q in levels[:i]], F.lit(0))
+        same = F.col(f"_p{p}_before") + F.count_if(F.col("priority") == p).over(so_far)
+        place = place.when(F.col("priority") == p, higher + same)
     metric = map_value(F.col("category"), R.CATEGORY_METRIC, R.CATEGORY_METRIC["custom"])
-    rows = rows.withColumns({"priority": map_value(F.col("severity"), R.SEVERITY_PRIORITY), "metric": metric})
-    rows = rows.withColumn("_down", -F.col("priority"))
-    rows = chunks.row_index(rows, ["page_id"], ["_down", "seq"], [F.col("_down"), *cut], "place")
+    rows = rows.withColumns({"number": F.col("_all_before") + F.count("*").over(so_far), "place": place, "metric": metric})
     number = F.col("number").cast("string")
     return rows.select(
         "page_id", "seq", "place", F.concat(F.lit("H-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("id"),

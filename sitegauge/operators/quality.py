@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -108,7 +108,10 @@ def unscanned_segments(pages: DataFrame, positions: DataFrame) -> DataFrame:
     """Segments left per page, the first three as text. A page has as many segments as its height allows."""
     left = plan_segments(pages).join(segments_scanned(pages, positions), ["page_id", "segment"], "left_anti")
     text = F.concat(F.col("start").cast("bigint").cast("string"), F.lit("-"), F.col("stop").cast("bigint").cast("string"), F.lit("px"))
-    firsts = left.groupBy("page_id").agg(F.count("*").alias("left"), F.array_sort(F.collect_list(F.struct("segment", text.alias("t")))).alias("s"))
+    near = Window.partitionBy("page_id").orderBy("segment")  # cut to three before the shuffle
+    three = left.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= 3).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("segment", text.alias("t")))).alias("s"))
+    firsts = left.groupBy("page_id").agg(F.count("*").alias("left")).join(three, "page_id")
     more = F.when(F.col("left") > 3, F.format_string(" (+%d more)", F.col("left") - 3)).otherwise("")
     return firsts.select("page_id", "left", F.concat(F.array_join(F.transform(F.slice("s", 1, 3), lambda x: x["t"]), ", "), more).alias("regions"))
 
@@ -181,7 +184,7 @@ def reconcile_prices(structured: DataFrame, visible: DataFrame, tolerance: float
     both = visible.select("page_id", "seq", "price", F.lit(None).cast("double").alias("jsonld_price")).unionByName(
         structured.select("page_id", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("double").alias("price"), "jsonld_price"))
     rows = chunks.key_totals(both, ["page_id"], {"known": F.max("_known")}, {"_known": F.max("jsonld_price")},
-                             chunks.by_hash("page_id", "seq"))
+                             chunks.by_hash(both, "page_id", "seq"))
     matched = F.bool_or(N.prices_match(F.col("known"), F.col("price"), tolerance))
     sums = rows.groupBy("page_id").agg(F.max("jsonld_price").alias("jsonld_price"), F.min_by("price", F.when(F.col("price").isNotNull(), F.col("seq"))).alias("dom_price"),
                                        F.coalesce(matched, F.lit(False)).alias("same"))

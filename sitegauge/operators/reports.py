@@ -1,7 +1,8 @@
 """Texts and documents made from results.
 
-A page's document is written in parts of bounded size: almost always one, several for a page with very many
-insights, so that no task has to hold all rows of one page.
+A report has a row for its head and one for each of its entries, in the order of (section, position), so its totals are those
+of the page and no task holds all rows of one page, whatever their number. Prompts and evidence packages are made of what one
+page shows, so each is one text.
 """
 
 from __future__ import annotations
@@ -10,17 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import relabel_refs, title_case, viewport_ref
-from ..plans import chunks
 from ..rules import insights as R
-from ..sources.tables import INSIGHT_CHUNK
 
-PART_LINES = 500
-
-
-def _in_parts(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
-    """Rows with the number of the part they fall in, by position within the key."""
-    numbered = chunks.row_index(rows, keys, [order], [chunks.by_width(F.col(order), width)], "_n")
-    return numbered.withColumn("part", F.floor((F.col("_n") - 1) / PART_LINES)).drop("_n")
+SOURCES = ("tool", "heuristic", "vision")
+NULLS = {"ignoreNullFields": "false"}
 
 
 def _ordered(value: Column, order: str) -> Column:
@@ -28,39 +22,47 @@ def _ordered(value: Column, order: str) -> Column:
 
 
 def viewport_sections(boxes: DataFrame) -> DataFrame:
-    """One text section per viewport of a page, in parts by element index."""
+    """One text section per viewport of a page: its elements, one line per element index."""
     line = F.concat_ws(" ", viewport_ref(F.col("viewport_index"), F.col("element_index")), "element_type",
                        F.format_string("at %d,%d", "x", "y"))
     rows = boxes.filter(F.col("element_type").isNotNull()).groupBy("page_id", "viewport_index", "element_index").agg(
         F.min_by(line, "seq").alias("line"))
-    part = F.floor(F.col("element_index") / PART_LINES)
-    out = rows.groupBy("page_id", "viewport_index", part.alias("part")).agg(
-        F.array_join(_ordered(F.col("line"), "element_index"), "\n").alias("body"))
+    body = F.array_join(_ordered(F.col("line"), "element_index"), "\n")
     head = F.format_string("--- Viewport-%d (scroll: %dpx) ---\n", F.col("viewport_index"), F.col("viewport_index") * 680)
-    return out.withColumn("section", F.concat(F.when(F.col("part") == 0, head).otherwise(""), "body")).drop("body")
+    return rows.groupBy("page_id", "viewport_index").agg(body.alias("body")).select(
+        "page_id", "viewport_index", F.concat(head, "body").alias("section"))
 
 
 def filter_sections(sections: DataFrame, wanted: DataFrame) -> DataFrame:
     return sections.join(wanted, ["page_id", "viewport_index"], "left_semi")
 
 
-def report_json(insights: DataFrame, scores: DataFrame) -> DataFrame:
-    """JSON document per page: scores, then insights with severity, category and source."""
-    entry = F.struct("severity", "category", "source", "type", "element", "issue", "recommendation", "heuristic_id", "confidence")
-    parts = _in_parts(insights, ["page_id"], "seq", INSIGHT_CHUNK).groupBy("page_id", "part").agg(
-        _ordered(entry, "seq").alias("insights"))
-    rows = parts.join(scores, "page_id")
-    score = F.struct(*[c for c in scores.columns if c != "page_id"])
+def report_json(pages: DataFrame, insights: DataFrame, scores: DataFrame, tests: DataFrame) -> DataFrame:
+    """Report of each page, also of one without insights, as lines of JSON: its head (section 0) with ``pages``' facts, scores and
+    totals by severity, category and source, its insights (1) in their order and its hypotheses (2) by place."""
+    counts = {"total": F.count("*"), **{f"severity_{s}": F.count_if(F.col("severity") == s) for s in R.SEVERITIES},
+              **{f"category_{c}": F.count_if(F.col("category") == c) for c in R.CATEGORIES},
+              **{f"source_{s}": F.count_if(F.col("source") == s) for s in SOURCES}}
+    sums = insights.groupBy("page_id").agg(*[v.alias(n) for n, v in counts.items()])
+    planned = tests.groupBy("page_id").agg(F.count("*").alias("hypotheses"))
+    rows = pages.join(scores, "page_id").join(sums, "page_id", "left").join(planned, "page_id", "left").fillna(
+        0, [*counts, "hypotheses"])
 
-    def of(field, value):
-        return F.filter("insights", lambda i: i[field] == value)
+    def by(kind, names):
+        return F.struct(*[F.col(f"{kind}_{n}").alias(n) for n in names])
 
-    doc = F.struct(
-        F.struct("page_id", "part", F.lit("1.0.0").alias("version")).alias("meta"), score.alias("scores"),
-        F.struct(F.size("insights").alias("total"), F.struct(*[of("severity", s).alias(s) for s in R.SEVERITIES]).alias("bySeverity"),
-                 F.struct(*[of("category", c).alias(c) for c in R.CATEGORIES]).alias("byCategory"),
-                 F.struct(*[of("source", s).alias(s) for s in ("tool", "heuristic", "vision")]).alias("bySource")).alias("insights"))
-    return rows.select("page_id", "part", F.to_json(doc).alias("json"))
+    meta = F.struct(*pages.columns, F.lit("1.0.0").alias("version"))
+    score = F.struct(*[c for c in scores.columns if c != "page_id"])
+    totals = F.struct("total", by("severity", R.SEVERITIES).alias("bySeverity"), by("category", R.CATEGORIES).alias("byCategory"),
+                      by("source", SOURCES).alias("bySource"))
+    head = F.struct(meta.alias("meta"), score.alias("scores"), totals.alias("insights"),
+                    F.struct(F.col("hypotheses").alias("total")).alias("hypotheses"))
+    entry = F.struct("severity", "category", "source", "type", "element", "issue", "recommendation", "heuristic_id", "confidence")
+    test = F.struct("id", "title", "hypothesis", "control", "treatment", "primary_metric", "impact", "priority")
+    return (rows.select("page_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("position"), F.to_json(head, NULLS).alias("json"))
+            .unionByName(insights.select("page_id", F.lit(1).alias("section"), F.col("seq").alias("position"), F.to_json(entry, NULLS).alias("json")))
+            .unionByName(tests.select("page_id", F.lit(2).alias("section"), F.col("place").cast("bigint").alias("position"),
+                                      F.to_json(test, NULLS).alias("json"))))
 
 
 def insight_text() -> Column:
@@ -72,40 +74,44 @@ def insight_text() -> Column:
 
 
 def report_markdown(insights: DataFrame, scores: DataFrame, tests: DataFrame) -> DataFrame:
-    """Markdown per page as ordered sections: summary, one per severity, recommended tests."""
+    """Markdown of each page as ordered rows: summary (section 0), one section per severity that has issues, recommended tests.
+    Position -1 is a section's heading."""
     table = [("Overall score", F.concat(F.col("overall").cast("string"), F.lit("/100")))] + [
         (f"{s.title()} issues", F.col(f"{s}_count").cast("string")) for s in R.SEVERITIES]
-    summary = scores.select("page_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("part"), F.concat_ws(
+    top = F.lit(-1).cast("bigint").alias("position")
+    summary = scores.select("page_id", F.lit(0).alias("section"), top, F.concat_ws(
         "\n", F.lit("# Page audit"), F.lit("| Metric | Value |"), F.lit("| --- | --- |"),
         *[F.concat(F.lit(f"| {n} | "), v, F.lit(" |")) for n, v in table]).alias("text"))
+    titles = F.explode(F.array(*[F.when(F.col(f"{s}_count") > 0, F.struct(
+        F.lit(i).alias("section"), F.lit(f"## {s.title()} issues").alias("text"))) for i, s in enumerate(R.SEVERITIES, 1)]))
+    heads = scores.select("page_id", titles.alias("x")).filter("x IS NOT NULL").select("page_id", "x.section", top, "x.text")
     turn = F.array_position(F.array(*[F.lit(s) for s in R.SEVERITIES]), F.col("severity")).cast("int")
-    issues = _in_parts(insights.withColumn("section", turn), ["page_id", "section"], "seq", INSIGHT_CHUNK).groupBy(
-        "page_id", "section", "part").agg(F.first("severity").alias("severity"), F.array_join(_ordered(insight_text(), "seq"), "\n\n").alias("body"))
-    issues = issues.select("page_id", "section", "part", F.concat(
-        F.lit("## "), F.initcap("severity"), F.lit(" issues\n\n"), "body").alias("text"))
+    issues = insights.select("page_id", turn.alias("section"), F.col("seq").alias("position"), insight_text().alias("text"))
     test = F.concat_ws("\n", F.concat(F.lit("### "), "id", F.lit(" "), "title"), F.concat(F.lit("- Control: "), "control"),
                        F.concat(F.lit("- Treatment: "), "treatment"), F.concat(F.lit("- Metric: "), "primary_metric"),
                        F.concat(F.lit("- Impact: "), "impact"), F.format_string("- Priority: %d/10", "priority"))
-    plans = _in_parts(tests, ["page_id"], "place", 100_000).groupBy("page_id", "part").agg(
-        F.concat(F.lit("## Recommended tests\n\n"), F.array_join(_ordered(test, "place"), "\n\n")).alias("text"))
-    plans = plans.select("page_id", F.lit(len(R.SEVERITIES) + 1).alias("section"), "part", "text")
-    return summary.unionByName(issues).unionByName(plans)
-
+    last = F.lit(len(R.SEVERITIES) + 1).alias("section")
+    plans = tests.select("page_id", last, F.col("place").cast("bigint").alias("position"), test.alias("text"))
+    plan_heads = scores.filter((F.col("critical_count") > 0) | (F.col("high_count") > 0)).select(
+        "page_id", last, top, F.lit("## Recommended tests").alias("text"))
+    return summary.unionByName(heads).unionByName(issues).unionByName(plan_heads).unionByName(plans)
 
-def evidence_package(deduped: DataFrame, viewports: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Nested document per page: elements, viewports, metrics, warnings.
 
-    Element positions of a page are deduplicated before; its elements still go by parts of the index."""
+def evidence_package(pages: DataFrame, deduped: DataFrame, viewports: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Nested document per page: ``pages``' facts, elements, viewports with the elements that show in them, metrics, warnings."""
     element = F.struct("element_index", viewport_ref(F.col("viewport_index"), F.col("element_index")).alias("ref"), "element_type",
                        "confidence", "x", "y", "w", "h", "viewports")
-    parts = deduped.withColumn("part", F.floor(F.col("element_index") / PART_LINES)).groupBy("page_id", "part").agg(
-        F.array_sort(F.collect_list(element)).alias("elements"))
-    shots = viewports.groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct(
-        "viewport_index", F.format_string("viewport-%d", "viewport_index").alias("id"), "scroll_y"))).alias("viewports"))
+    elements = deduped.groupBy("page_id").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+    seen = deduped.select("page_id", F.explode("viewports").alias("viewport_index"), "element_index").groupBy(
+        "page_id", "viewport_index").agg(F.array_sort(F.collect_set("element_index")).alias("visible"))
+    shots = viewports.join(seen, ["page_id", "viewport_index"], "left").groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct(
+        "viewport_index", F.format_string("viewport-%d", "viewport_index").alias("id"), "scroll_y",
+        F.coalesce("visible", F.array()).alias("elements")))).alias("viewports"))
     facts = metrics.select("page_id", F.struct(*[c for c in metrics.columns if c not in ("page_id", "warnings")]).alias("metrics"), "warnings")
-    rows = facts.join(shots, "page_id", "left").join(parts, "page_id", "left")
-    return rows.select("page_id", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(F.struct(
-        F.lit("1.0.0").alias("schemaVersion"), "page_id", "elements", "viewports", "metrics", "warnings")).alias("json"))
+    rows = pages.withColumn("meta", F.struct(*[c for c in pages.columns if c != "page_id"])).select("page_id", "meta").join(
+        facts, "page_id").join(shots, "page_id", "left").join(elements, "page_id", "left")
+    return rows.select("page_id", F.to_json(F.struct(
+        F.lit("1.0.0").alias("schemaVersion"), "page_id", "meta", "elements", "viewports", "metrics", "warnings"), NULLS).alias("json"))
 
 
 def prompts(sections: DataFrame, wanted: DataFrame, heuristics: DataFrame) -> DataFrame:
@@ -114,11 +120,9 @@ def prompts(sections: DataFrame, wanted: DataFrame, heuristics: DataFrame) -> Da
     ``wanted(page_id, category, viewport_index)`` holds at most six viewports per category, so a text is short."""
     rule = F.format_string("[%s] (%s) %s", "heuristic_id", "severity", "principle")
     rules = heuristics.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("rules"))
-    rows = wanted.join(sections, ["page_id", "viewport_index"]).join(F.broadcast(rules), "category")
     body = relabel_refs(F.col("section"), F.col("viewport_index"))
-    texts = rows.groupBy("page_id", "category", "part").agg(
-        F.first("rules").alias("rules"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-            "viewport_index", body.alias("v")))), lambda x: x["v"]), "\n\n").alias("sections"))
-    return texts.select("page_id", "category", "part", F.concat_ws(
+    texts = wanted.join(sections, ["page_id", "viewport_index"]).groupBy("page_id", "category").agg(
+        F.array_join(_ordered(body, "viewport_index"), "\n\n").alias("sections")).join(rules, "category")
+    return texts.select("page_id", "category", F.concat_ws(
         "\n", F.concat(F.lit("Category: "), "category"), F.lit("Page:"), "sections", F.lit("Rules:"), "rules",
         F.lit("Judge every rule and answer in JSON.")).alias("prompt"))

@@ -18,6 +18,7 @@ from ..functions.lookup import map_value
 from ..plans import chunks
 from ..rules import pages as P
 from ..rules import steps as R
+from ..sources.shared import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,19 +58,29 @@ def detect_failures(actions: DataFrame) -> DataFrame:
     return rows.withColumn("failure", kind)
 
 
-def streaks(actions: DataFrame, failed: Column, out: str, total: str | None = None) -> DataFrame:
-    """Failures in a row up to each step (0 on a good step), and failures so far."""
-    rows = actions.withColumn("_failed", failed)
-    rows = chunks.running_max(rows, RUN, ORDER, cut(), F.when(~F.col("_failed"), F.col("step")), "_good")
-    rows = rows.withColumn(out, F.col("step") - F.coalesce("_good", F.lit(0)))
+def streaks(actions: DataFrame, failed: Column, out: str, total: str | None = None, last: dict[str, Column] | None = None) -> DataFrame:
+    """Failures in a row up to each step (0 on a good step), failures so far as ``total``, and for each entry of ``last`` the
+    latest step so far at which its condition held. All in one pass over the chunks."""
+    marks = {"_good": ~failed, **(last or {})}
+    c = chunks.Chunked(actions.withColumns({f"_at{n}": F.when(m, F.col("step")) for n, m in marks.items()}).withColumn(
+        "_failed", failed.cast("int")), RUN, ORDER, cut())
+    rows = c.attach({**{f"_part{n}": F.max(f"_at{n}") for n in marks}, "_n": F.sum("_failed")},
+                    {**{f"_before{n}": (lambda b, w, n=n: F.max(f"_part{n}").over(b)) for n in marks},
+                     "_total": lambda b, w: F.coalesce(F.sum("_n").over(b), F.lit(0))})
+    so_far = c.so_far()
+    rows = rows.withColumns({n: F.greatest(f"_before{n}", F.max(f"_at{n}").over(so_far)) for n in marks})
     if total:
-        rows = chunks.running_sum(rows, RUN, ORDER, cut(), F.col("_failed").cast("int"), total)
-    return rows.drop("_good", "_failed")
+        rows = rows.withColumn(total, F.col("_total") + F.sum("_failed").over(so_far))
+    rows = rows.withColumn(out, F.col("step") - F.coalesce("_good", F.lit(0)))
+    return c.drop_cuts(rows, *[f"{p}{n}" for n in marks for p in ("_at", "_before")], "_good", "_failed", "_total")
 
 
 def route_failures(actions: DataFrame) -> DataFrame:
-    """What to do about each failure; a missing element ends the run at the third failure in a row."""
-    rows = streaks(detect_failures(actions), F.col("failure").isNotNull(), "in_a_row")
+    """What to do about each failure; a missing element ends the run at the third failure in a row.
+
+    A streak needs the failures first: they are written once, so that its two passes do not find them twice."""
+    found = written(detect_failures(actions).select("run_id", "step", "failure"))
+    rows = streaks(found, F.col("failure").isNotNull(), "in_a_row")
     worn = (F.col("failure") == "ELEMENT_NOT_FOUND") & (F.col("in_a_row") >= R.MAX_ELEMENT_RETRIES)
     return rows.filter(F.col("failure").isNotNull()).withColumn(
         "strategy", F.when(worn, "TERMINATE").otherwise(map_value(F.col("failure"), R.FAILURE_STRATEGY)))
@@ -78,8 +89,7 @@ def route_failures(actions: DataFrame) -> DataFrame:
 def termination(actions: DataFrame, max_steps: int, failure_limit: int) -> DataFrame:
     """First step at which a run ends and why. ``done`` marks the step that reports it is done, ``coverage``
     the percent scanned by then; being done only counts once all is covered."""
-    rows = streaks(actions, ~F.col("success"), "in_a_row")
-    rows = chunks.running_max(rows, RUN, ORDER, cut(), F.when(F.col("done"), F.col("step")), "_done")
+    rows = streaks(actions, ~F.col("success"), "in_a_row", last={"_done": F.col("done")})
     done, covered = F.col("_done").isNotNull(), F.col("coverage") >= 100
     over, worn = F.col("step") >= max_steps, F.col("in_a_row") >= failure_limit
     reason = (F.when(done, F.when(covered, "done").otherwise(F.format_string("coverage incomplete (%d%%)", "coverage")))
@@ -123,7 +133,7 @@ def confidence_decay(actions: DataFrame) -> DataFrame:
 
 def verification_plan(actions: DataFrame, every: int = 3) -> DataFrame:
     """Steps to verify (each third, and those that change the URL) and, of the others, those to critique."""
-    rows = with_previous(detect_failures(actions).drop("prev_url"), "url")
+    rows = detect_failures(actions)
     verify = (F.col("step") % every == 0) | F.coalesce(F.col("url") != F.col("prev_url"), F.lit(False))
     return rows.withColumns({"verify": verify, "critique": ~verify & F.col("failure").isNull()})
 
@@ -220,7 +230,8 @@ def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5,
     mask = F.lit(0)
     for i, criterion in enumerate(criteria):
         mask = mask + F.when(goal_met(criterion), 2 ** i).otherwise(0)
-    c = chunks.Chunked(actions.select("run_id", "step", mask.alias("mask")), RUN, ORDER, cut(width))
+    masks = written(actions.select("run_id", "step", mask.alias("mask")))  # two passes: to tabulate and to walk
+    c = chunks.Chunked(masks, RUN, ORDER, cut(width))
 
     def tabulate(pdf):
         ends = range(len(states))

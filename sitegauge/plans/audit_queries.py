@@ -30,7 +30,7 @@ FORM = "(element_type = 'form' AND is_visible AND tag = 'form')"
 FORMS_SQL = f"""fs AS (SELECT page_id, form_id, count_if({FIELD}) AS fields, bool_or(tag = 'label' AND is_visible) AS has_label, bool_or({says(R.ERROR_WORDS)}) AS has_error,
  bool_or((tag IN ('button', 'input') AND (type_attr = 'submit' OR contains(lower(text), 'submit'))) OR (tag = 'button' AND is_visible)) AS has_submit FROM typed GROUP BY ALL),
 forms AS (SELECT h.page_id, h.doc_pos, h.xpath, fs.* EXCLUDE (page_id) FROM typed h JOIN fs ON fs.page_id = h.page_id AND fs.form_id = h.form_id WHERE h.element_type = 'form' AND h.is_visible AND h.tag = 'form'),
-fields AS (SELECT f.*, fs.has_label FROM typed f JOIN typed h ON h.page_id = f.page_id AND h.form_id = f.form_id AND h.element_type = 'form' AND h.is_visible AND h.tag = 'form'
+fields AS (SELECT f.*, fs.has_label FROM typed f SEMI JOIN (SELECT page_id, form_id FROM typed WHERE element_type = 'form' AND is_visible AND tag = 'form') h ON h.page_id = f.page_id AND h.form_id = f.form_id
  JOIN fs ON fs.page_id = f.page_id AND fs.form_id = f.form_id WHERE f.tag IN ('input', 'select', 'textarea') AND f.is_visible AND NOT (f.tag = 'input' AND f.type_attr = 'hidden'))"""
 PAGES_SQL = f"""ps AS (SELECT page_id, count_if({CTA}) AS ctas, count_if({CTA} AND y < 800) AS fold_ctas, count_if({TRUST}) AS trusts, count_if({TRUST} AND y < 800) AS fold_trusts,
  {", ".join(f"bool_or({TRUST} AND {says(w)}) AS has_{r[3:]}" for r, w in R.TRUST_WORDS.items())}, count_if({H1}) AS h1s, count_if({H2}) AS h2s,

@@ -19,9 +19,15 @@ def by_width(column: Column, width: int) -> Column:
     return F.floor(column / width)
 
 
-def by_hash(*columns: str, buckets: int = 64) -> Column:
+def buckets_for(df: DataFrame) -> int:
+    """Buckets that a key without an order is split into: several times the tasks of a shuffle, so that a hot key spreads
+    over all of them at any size of cluster. A key of few rows occupies at most as many buckets as rows."""
+    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_hash(df: DataFrame, *columns: str) -> Column:
     """Chunk for totals without an order."""
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets_for(df)))
 
 
 @dataclass
@@ -57,14 +63,16 @@ class Chunked:
         """Rows with values carried from the other chunks of the key.
 
         ``carried`` maps an output name to a function of (window over the chunks before this one,
-        window over all chunks of the key), both in chunk order.
+        window over all chunks of the key), both in chunk order. A later one may use an earlier one's output.
+        Rows are read twice, so all values of one order are carried in one call.
         """
         ordered = Window.partitionBy(*self.keys).orderBy(*self.cuts)
         before = ordered.rowsBetween(Window.unboundedPreceding, -1)
         whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        carry = self.chunk_rows(partials).select(
-            *self.keys, *self.cuts, *[f(before, whole).alias(n) for n, f in carried.items()])
-        return self.df.join(carry, [*self.keys, *self.cuts])
+        carry = self.chunk_rows(partials)
+        for name, f in carried.items():
+            carry = carry.withColumn(name, f(before, whole))
+        return self.df.join(carry.select(*self.keys, *self.cuts, *carried), [*self.keys, *self.cuts])
 
     def drop_cuts(self, df: DataFrame, *more: str) -> DataFrame:
         return df.drop(*self.cuts, *more)
@@ -111,19 +119,18 @@ def previous(df, keys, order, chunk, columns: dict[str, str]) -> DataFrame:
 def key_totals(df, keys, totals: dict[str, Column], partials: dict[str, Column],
                salt: Column | None = None) -> DataFrame:
     """Totals of a key on each of its rows; ``totals`` are aggregates of ``partials``."""
-    salt = salt if salt is not None else by_hash(*df.columns)
+    salt = salt if salt is not None else by_hash(df, *df.columns)
     c = Chunked(df, keys, [], [salt])
     rows = c.attach(partials, {n: (lambda b, w, e=e: e.over(w)) for n, e in totals.items()})
     return c.drop_cuts(rows)
 
 
-
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], buckets: int = 64, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join many ``left`` rows per key with few ``right`` rows per key, when one key may hold a third of ``left``.
 
     The buckets that a key occupies (a small distinct list) meet ``right`` on the key; the rows then meet that on
     (key, bucket), which splits a hot key over ``buckets`` tasks. ``right`` is never copied for absent buckets.
     """
-    rows = left.withColumn("_bucket", by_hash(*left.columns, buckets=buckets))
+    rows = left.withColumn("_bucket", by_hash(left, *left.columns))
     spread = rows.select(*keys, "_bucket").distinct().join(right, keys)
     return rows.join(spread, [*keys, "_bucket"], how).drop("_bucket")

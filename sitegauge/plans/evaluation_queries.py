@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as RP
 from ..operators import evaluations as E
+from ..operators.insights import value_cut
 from ..rules import heuristics as H
 from ..rules import insights as I
 from ..functions.text import word_similarity
@@ -41,7 +42,7 @@ def knowledge_counts(t):
 SELECT category, severity, count(*) AS n FROM (SELECT h.category, h_severity AS severity FROM evaluations e JOIN {DIM} ON h.heuristic_id = e.heuristic_id) x
 WHERE (contains(lower(category), 'pric') OR contains(lower(category), 'purchase')) AND NOT contains(lower(category), 'mobile') AND severity IN ('critical', 'high') GROUP BY ALL""", uses="evaluations")
 def filter_categories(t):
-    dim = F.broadcast(builtin_heuristics(t.spark).select("heuristic_id", "category", "severity"))
+    dim = builtin_heuristics(t.spark).select("heuristic_id", "category", "severity")
     rows = t.evaluations.drop("severity").join(dim, "heuristic_id")
     return E.filter_categories(rows, ["Pric", "Purchase"], ["Mobile"], "high").groupBy("category", "severity").agg(F.count("*").alias("n"))
 
@@ -250,8 +251,8 @@ def group_by_viewport(t):
 SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY {Q.case('severity', I.SEVERITY_RANK, 0)} DESC, confidence DESC, seq) AS place
 FROM evaluations WHERE status IN ('fail', 'partial')""", uses="evaluations")
 def issue_evaluations(t):
-    """Order of the issues of a page. Severity and confidence make the first cuts, positions the last."""
-    cut = [F.col("severity_turn"), F.col("confidence_turn"), chunks.by_width(F.col("seq"), 10**14)]
+    """Order of the issues of a page. Severity makes the first cut, steps of confidence and then positions the others."""
+    cut = [F.col("severity_turn"), *value_cut(F.col("confidence_turn"), 1000, 10**14)]
     order = ["severity_turn", "confidence_turn", "seq"]
     return chunks.row_index(E.issue_order(t.evaluations), ["page_id"], order, cut, "place").select("page_id", "seq", "place")
 
@@ -321,7 +322,7 @@ SELECT page_id, coalesce({BATCH_SQL}, category) AS batch, count(DISTINCT categor
 FROM (SELECT e.page_id, h.category FROM evaluations e JOIN {DIM} USING (heuristic_id)) x GROUP BY ALL""", uses="evaluations")
 def batch_categories(t):
     """Batches a page's judged categories fall into: related ones together, others alone."""
-    dim = F.broadcast(builtin_heuristics(t.spark).select("heuristic_id", "category"))
+    dim = builtin_heuristics(t.spark).select("heuristic_id", "category")
     per = t.evaluations.join(dim, "heuristic_id").groupBy("page_id", "category").agg(F.count("*").alias("n"))
     return per.groupBy("page_id", E.batch_of(F.col("category")).alias("batch")).agg(
         F.count("*").alias("categories"), F.sum("n").alias("evaluations"))
@@ -336,20 +337,11 @@ def batch_viewports(t):
 SELECT page_id, seq, heuristic_id, {CATEGORY_SQL} AS category, severity, confidence, coalesce(nullif(issue, ''), observation) AS issue,
  CASE WHEN status = 'fail' THEN 'heuristic_fail' ELSE 'heuristic_partial' END AS plain_type, replace(lower(heuristic_id), '-', '_') AS type,
  'viewport_' || CAST(viewport_index AS VARCHAR) AS element, 'viewport_' || CAST(viewport_index AS VARCHAR) || '_scroll_' || CAST(viewport_index * 680 AS VARCHAR) AS scrolled_element,
- coalesce(nullif(recommendation, ''), CASE WHEN status = 'partial' THEN 'Review and improve: ' ELSE 'Address issue: ' END) AS recommendation,
+ coalesce(nullif(recommendation, ''), CASE WHEN status = 'partial' THEN 'Review and improve: ' ELSE 'Address issue: ' END || coalesce(principle, '')) AS recommendation,
  coalesce(nullif(recommendation, ''), 'Review and address the issue') AS plain_recommendation
-FROM evaluations WHERE status IN ('fail', 'partial')""", uses="evaluations")
+FROM evaluations LEFT JOIN (SELECT heuristic_id, principle FROM {DIM}) h USING (heuristic_id) WHERE status IN ('fail', 'partial')""", uses="evaluations")
 def evaluations_to_insights(t):
-    return E.evaluations_to_insights(t.evaluations)
-
-
-@query("filter_dom_sections")
-def filter_dom_sections(t):
-    """Sections of a page's viewport text that a category needs, over the serialized boxes."""
-    from ..operators.reports import filter_sections, viewport_sections
-    sections = viewport_sections(t.boxes)
-    wanted = E.select_viewports(t.viewports).filter(F.col("category") == "Mobile Usability").select("page_id", "viewport_index")
-    return filter_sections(sections, wanted)
+    return E.evaluations_to_insights(t.evaluations, builtin_heuristics(t.spark))
 
 
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^\\w\\s]', '', 'g'), '\\s+'), lambda w: w <> ''))".format

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluations as E
 from ..operators import insights as O
 from ..rules import insights as I
+from ..sources.knowledge import builtin_heuristics
 from . import sqltext as Q
 from .catalog import query
 from .text_queries import RANK_SQL, TITLE_SQL
@@ -20,14 +21,33 @@ def with_business(df):
 KEY_SQL = "coalesce(nullif(heuristic_id, ''), lower(trim(type)) || '|' || lower(trim(coalesce(element, ''))))"
 
 
+KEYED_SQL = f"(SELECT *, {KEY_SQL} AS dedupe_key FROM insights)"
+
+
 @query("dedupe_insights", f"""
-SELECT page_id, dedupe_key, 0 AS part, count(*) AS merged, min(seq) AS seq, arg_min(severity, seq) AS severity, arg_min(category, seq) AS category, arg_min(type, seq) AS type, arg_min(issue, seq) AS issue,
- arg_min(evidence_selector, seq) FILTER (WHERE evidence_selector <> '') AS evidence_selector,
- list_reduce(list(evidence_text ORDER BY seq) FILTER (WHERE evidence_text <> ''), lambda a, b: CASE WHEN a = b THEN a ELSE a || ' | ' || b END) AS evidence_text
-FROM (SELECT *, {KEY_SQL} AS dedupe_key FROM insights) i GROUP BY ALL""", uses="insights")
+SELECT page_id, dedupe_key, count(*) AS merged, min(seq) AS seq, arg_min(severity, seq) AS severity, arg_min(category, seq) AS category, arg_min(type, seq) AS type, arg_min(issue, seq) AS issue,
+ arg_min(evidence_selector, seq) FILTER (WHERE evidence_selector <> '') AS evidence_selector, arg_min(evidence_screenshot, seq) FILTER (WHERE evidence_screenshot <> '') AS evidence_screenshot
+FROM {KEYED_SQL} i GROUP BY ALL""", uses="insights")
 def dedupe_insights(t):
-    return O.dedupe_insights(t.insights).select("page_id", "dedupe_key", "part", "merged", "seq", "severity", "category", "type",
-                                                "issue", "evidence_selector", "evidence_text")
+    return O.dedupe_insights(t.insights).select("page_id", "dedupe_key", "merged", "seq", "severity", "category", "type",
+                                                "issue", "evidence_selector", "evidence_screenshot")
+
+
+@query("insight_evidence", f"""
+WITH f AS (SELECT page_id, dedupe_key, list_reduce(list({{'j': evidence_text, 'k': [{{'seq': seq, 'text': evidence_text}}]}} ORDER BY seq),
+  lambda a, b: CASE WHEN a.j = b.j THEN a ELSE {{'j': a.j || ' | ' || b.j, 'k': list_concat(a.k, b.k)}} END) AS r FROM {KEYED_SQL} i WHERE evidence_text <> '' GROUP BY ALL),
+k AS (SELECT page_id, dedupe_key, unnest(r.k) AS x FROM f) SELECT page_id, dedupe_key, x.seq AS seq, x.text AS text FROM k""", uses="insights")
+def insight_evidence(t):
+    return O.evidence_texts(t.insights)
+
+
+@query("evidence_styles", f"""
+SELECT page_id, dedupe_key, style_name AS style, arg_max(style_value, seq) AS value FROM {KEYED_SQL} i WHERE style_name IS NOT NULL GROUP BY ALL""", uses="insights")
+def evidence_styles(t):
+    """Styles of merged evidence: a later insight's value replaces an earlier one's."""
+    styles = F.when(F.col("style_name").isNotNull(), F.create_map(F.coalesce("style_name", F.lit("")), "style_value"))
+    rows = t.insights.withColumns({"dedupe_key": O.dedupe_key(), "styles": styles})
+    return O.merge_styles(rows, ["page_id", "dedupe_key"])
 
 
 def boost_sql():
@@ -80,10 +100,12 @@ WEIGHT_SQL = Q.case("category", I.CATEGORY_WEIGHT_TENTHS, 8)
 COUNTS_SQL = ", ".join(f"count_if(severity = '{s}') AS {s}_count" for s in I.SEVERITIES)
 
 
-@query("score_overall", f"""
-WITH s AS (SELECT page_id, sum({DEDUCT_SQL}) AS d, sum({DEDUCT_SQL} * {WEIGHT_SQL}) AS t, {COUNTS_SQL} FROM insights GROUP BY page_id)
+SCORE_SQL = f"""WITH s AS (SELECT page_id, sum({DEDUCT_SQL}) AS d, sum({DEDUCT_SQL} * {WEIGHT_SQL}) AS t, {COUNTS_SQL} FROM insights GROUP BY page_id)
 SELECT c_custkey AS page_id, coalesce(critical_count, 0) AS critical_count, coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, coalesce(low_count, 0) AS low_count,
- CASE WHEN d IS NULL THEN 100 ELSE greatest(0, least(100, 100 - CASE WHEN t = d * 10 THEN d ELSE floor((t * 7 + d * 30 + 50) / 100) END)) END AS overall FROM customer LEFT JOIN s ON s.page_id = c_custkey""", uses="insights")
+ CASE WHEN d IS NULL THEN 100 ELSE greatest(0, least(100, 100 - CASE WHEN t = d * 10 THEN d ELSE floor((t * 7 + d * 30 + 50) / 100) END)) END AS overall FROM customer LEFT JOIN s ON s.page_id = c_custkey"""
+
+
+@query("score_overall", SCORE_SQL, uses="insights")
 def score_overall(t):
     return O.score_overall(t.customer.select(F.col("c_custkey").alias("page_id")), t.insights)
 
@@ -108,7 +130,7 @@ def severity_counts(t):
 SELECT page_id, source, type, severity, issue FROM insights UNION ALL
 SELECT page_id, 'vision', CASE WHEN status = 'fail' THEN 'heuristic_fail' ELSE 'heuristic_partial' END, severity, coalesce(nullif(issue, ''), observation) FROM evaluations WHERE status IN ('fail', 'partial')""", uses="insights evaluations")
 def union_insights(t):
-    seen = E.evaluations_to_insights(t.evaluations).select(
+    seen = E.evaluations_to_insights(t.evaluations, builtin_heuristics(t.spark)).select(
         "page_id", F.lit("vision").alias("source"), F.col("plain_type").alias("type"), "severity", "issue")
     return t.insights.select("page_id", "source", "type", "severity", "issue").unionByName(seen)
 

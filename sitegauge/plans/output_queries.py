@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import kept_sections
 from ..operators import elements as E
 from ..operators import evaluations as EV
 from ..operators import evidence as V
@@ -13,43 +14,124 @@ from ..sources.knowledge import builtin_heuristics
 from ..sources.shared import shared_folder
 from ..streaming import streams as S
 from .catalog import query
+from ..rules import insights as RI
+from .evaluation_queries import DIM, SELECTED_SQL
 from .html_queries import HASH_SQL, TITLE_SQL
+from .insight_queries import HYPOTHESES_SQL, SCORE_SQL
 from .quality_queries import CHECKED_SQL, metrics
 from .step_queries import DECREMENT, VISITS_SQL, W, streak_sql
 from .text_queries import DOMAIN_SQL
+from .text_queries import TITLE_SQL as TITLE_CASE_SQL
 
 
 def scores(t):
-    return I.score_overall(t.customer.select(F.col("c_custkey").alias("page_id")), t.insights)
+    return I.score_overall(t.page_facts, t.insights)
 
 
-@query("export_report_json")
-def export_report_json(t):
-    return O.report_json(t.insights, scores(t))
+SCORE_FIELDS = ["critical_count", "high_count", "medium_count", "low_count", "overall"]
+SCORES_SQL = f"sco AS ({SCORE_SQL})"
+
+
+def json_of(fields) -> str:
+    """DuckDB text of a JSON object."""
+    return "json_object(" + ", ".join(f"'{name}', {value}" for name, value in fields) + ")"
+
+
+def counts_of(kind, names):
+    return json_of((n, f"coalesce(n.{kind}_{n}, 0)") for n in names)
+
+
+COUNTED_SQL = "n AS (SELECT page_id, count(*) AS total, " + ", ".join(
+    f"count_if({k} = '{x}') AS {k}_{x}" for k, names in (("severity", RI.SEVERITIES), ("category", RI.CATEGORIES), ("source", O.SOURCES))
+    for x in names) + " FROM insights GROUP BY page_id)"
+META_FIELDS = ["page_id", "url", "title", "page_type", "business_type"]
+HEAD_SQL = json_of([
+    ("meta", json_of([*((f, f"p.{f}") for f in META_FIELDS), ("version", "'1.0.0'")])),
+    ("scores", json_of((f, f"CAST(sco.{f} AS BIGINT)") for f in SCORE_FIELDS)),
+    ("insights", json_of([("total", "coalesce(n.total, 0)"), ("bySeverity", counts_of("severity", RI.SEVERITIES)),
+                          ("byCategory", counts_of("category", RI.CATEGORIES)), ("bySource", counts_of("source", O.SOURCES))])),
+    ("hypotheses", json_of([("total", "coalesce(h.total, 0)")]))])
+ENTRY_FIELDS = ["severity", "category", "source", "type", "element", "issue", "recommendation", "heuristic_id", "confidence"]
+TEST_FIELDS = ["id", "title", "hypothesis", "control", "treatment", "primary_metric", "impact", "priority"]
 
 
-@query("export_report_md")
+@query("export_report_json", f"""
+WITH {HYPOTHESES_SQL}, {SCORES_SQL}, {COUNTED_SQL}, h AS (SELECT page_id, count(*) AS total FROM hyp GROUP BY page_id)
+SELECT p.page_id, 0 AS section, 0 AS position, CAST({HEAD_SQL} AS VARCHAR) AS json FROM page_facts p JOIN sco USING (page_id) LEFT JOIN n USING (page_id) LEFT JOIN h USING (page_id)
+UNION ALL SELECT page_id, 1, seq, CAST({json_of((f, f) for f in ENTRY_FIELDS)} AS VARCHAR) FROM insights
+UNION ALL SELECT page_id, 2, place, CAST({json_of((f, f) for f in TEST_FIELDS)} AS VARCHAR) FROM hyp""", uses="insights page_facts")
+def export_report_json(t):
+    """Reports written as lines of JSON, and read back."""
+    rows = O.report_json(t.page_facts, t.insights, scores(t), I.hypotheses(t.insights))
+    path = f"{shared_folder(t.spark)}/reports"
+    sinks.write_documents(rows, "json", path)
+    return sinks.read_documents(t.spark, path, rows.schema)
+
+
+MARK = "chr(10)"
+INSIGHT_MD = ("concat_ws(chr(10), '### ' || " + TITLE_CASE_SQL.format("type") + ", '- Category: ' || category, '- Element: `' || coalesce(element, 'N/A') || '`', "
+              "'- Issue: ' || issue, '- Recommendation: ' || recommendation, '- Heuristic: ' || heuristic_id)")
+SUMMARY_MD = "concat_ws(chr(10), '# Page audit', '| Metric | Value |', '| --- | --- |', '| Overall score | ' || CAST(CAST(overall AS BIGINT) AS VARCHAR) || '/100 |', " + ", ".join(
+    f"'| {s.title()} issues | ' || CAST({s}_count AS VARCHAR) || ' |'" for s in RI.SEVERITIES) + ")"
+TEST_MD = ("concat_ws(chr(10), '### ' || id || ' ' || title, '- Control: ' || control, '- Treatment: ' || treatment, '- Metric: ' || primary_metric, "
+           "'- Impact: ' || impact, '- Priority: ' || CAST(priority AS VARCHAR) || '/10')")
+
+
+@query("export_report_md", f"""
+WITH {HYPOTHESES_SQL}, {SCORES_SQL}
+SELECT page_id, 0 AS section, -1 AS position, {SUMMARY_MD} AS text FROM sco
+""" + "".join(f"UNION ALL SELECT page_id, {i}, -1, '## {s.title()} issues' FROM sco WHERE {s}_count > 0\n" for i, s in enumerate(RI.SEVERITIES, 1)) + f"""
+UNION ALL SELECT page_id, list_position({RI.SEVERITIES}, severity), seq, {INSIGHT_MD} FROM insights
+UNION ALL SELECT page_id, {len(RI.SEVERITIES) + 1}, -1, '## Recommended tests' FROM sco WHERE critical_count > 0 OR high_count > 0
+UNION ALL SELECT page_id, {len(RI.SEVERITIES) + 1}, place, {TEST_MD} FROM hyp""", uses="insights page_facts")
 def export_report_md(t):
     return O.report_markdown(t.insights, scores(t), I.hypotheses(t.insights))
 
 
 @query("evidence_package")
 def evidence_package(t):
-    return O.evidence_package(E.dedupe_boxes(t.boxes), t.viewports, V.warnings(metrics(t)))
+    pages = t.viewports.select("page_id").distinct().join(t.page_facts, "page_id", "left")
+    return O.evidence_package(pages, E.dedupe_boxes(t.boxes), t.viewports, V.warnings(metrics(t)))
+
+
+SECTIONS_SQL = """ln AS (SELECT page_id, viewport_index, element_index, arg_min('[v' || CAST(viewport_index AS VARCHAR) || '-' || CAST(element_index AS VARCHAR) || '] ' || element_type || ' at ' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR), seq) AS line
+  FROM boxes WHERE element_type IS NOT NULL GROUP BY ALL),
+sec AS (SELECT page_id, viewport_index, '--- Viewport-' || CAST(viewport_index AS VARCHAR) || ' (scroll: ' || CAST(viewport_index * 680 AS VARCHAR) || 'px) ---' || chr(10) || string_agg(line, chr(10) ORDER BY element_index) AS section FROM ln GROUP BY page_id, viewport_index)"""
+PROMPTS_SQL = f"""{SECTIONS_SQL}, {SELECTED_SQL},
+ru AS (SELECT category, string_agg(r, chr(10) ORDER BY r) AS rules FROM (SELECT category, '[' || heuristic_id || '] (' || h_severity || ') ' || principle AS r FROM {DIM} WHERE page_type = 'pdp') d GROUP BY category),
+px AS (SELECT page_id, category, string_agg(section, chr(10) || chr(10) ORDER BY viewport_index) AS sections FROM sv JOIN sec USING (page_id, viewport_index) GROUP BY ALL),
+pr AS (SELECT page_id, category, concat_ws(chr(10), 'Category: ' || category, 'Page:', sections, 'Rules:', rules, 'Judge every rule and answer in JSON.') AS prompt FROM px JOIN ru USING (category))"""
+
+
+@query("viewport_sections", f"WITH {SECTIONS_SQL} SELECT * FROM sec", uses="boxes")
+def viewport_sections(t):
+    return O.viewport_sections(t.boxes)
+
+
+@query("filter_dom_sections", f"""
+WITH {SECTIONS_SQL}, {SELECTED_SQL}, k AS (SELECT page_id, category, string_agg(section, chr(10) || chr(10) ORDER BY viewport_index) AS text FROM sv JOIN sec USING (page_id, viewport_index) GROUP BY ALL)
+SELECT w.page_id, w.category, coalesce(k.text, '') AS text FROM (SELECT DISTINCT page_id, category FROM sv SEMI JOIN sec USING (page_id)) w LEFT JOIN k USING (page_id, category)""", uses="boxes viewports")
+def filter_dom_sections(t):
+    """A page's text, cut down to the viewports that each category needs."""
+    sections = O.viewport_sections(t.boxes)
+    ordered = F.array_sort(F.collect_list(F.struct("viewport_index", "section")))
+    texts = sections.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), "\n").alias("text"))
+    wanted = EV.select_viewports(t.viewports).groupBy("page_id", "category").agg(F.collect_set("viewport_index").alias("wanted"))
+    return wanted.join(texts, "page_id").select("page_id", "category", kept_sections(F.col("text"), F.col("wanted")).alias("text"))
 
 
 def page_prompts(t):
-    wanted = EV.select_viewports(t.viewports).filter(F.col("category").isin("Mobile Usability", "CTA & Purchase Confidence"))
+    """Prompts of all categories of product pages."""
     dim = builtin_heuristics(t.spark).filter("page_type = 'pdp'")
-    return O.prompts(O.viewport_sections(t.boxes), wanted.drop("place"), dim)
+    return O.prompts(O.viewport_sections(t.boxes), EV.select_viewports(t.viewports).drop("place"), dim)
 
 
-@query("build_prompt")
+@query("build_prompt", f"WITH {PROMPTS_SQL} SELECT * FROM pr", uses="boxes viewports")
 def build_prompt(t):
     return page_prompts(t)
 
 
-@query("audit_log_sink")
+@query("audit_log_sink", f"WITH {PROMPTS_SQL} SELECT category, count(*) AS prompts, sum(length(prompt)) AS chars FROM pr GROUP BY ALL", uses="boxes viewports")
 def audit_log_sink(t):
     """Prompts written by category and counted from what was written."""
     path = f"{shared_folder(t.spark)}/prompts"
@@ -57,11 +139,12 @@ def audit_log_sink(t):
     return t.spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("prompts"), F.sum(F.length("prompt")).alias("chars"))
 
 
-@query("run_id", None)
+@query("run_id", """
+SELECT page_id, strftime(seen_at, '%Y-%m-%dT%H-%M-%S') || '-' || substr(md5(url), 1, 6) AS run_id FROM urls""", uses="urls")
 def run_id(t):
     """Opaque id of an audit from its time and URL."""
     return t.urls.select("page_id", F.concat(F.date_format("seen_at", "yyyy-MM-dd'T'HH-mm-ss"), F.lit("-"), F.substring(
-        F.lower(F.hex(F.xxhash64("url"))), 1, 6)).alias("run_id"))
+        F.md5("url"), 1, 6)).alias("run_id"))
 
 
 # ---------------------------------------------------------------- streams

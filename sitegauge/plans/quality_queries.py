@@ -87,12 +87,12 @@ def heights(t):
 
 SEGMENTS_SQL = HEIGHTS_SQL + """, sg AS (SELECT page_id, page_height, segment, segment * 700 AS start, least(segment * 700 + 800, page_height) AS stop FROM
  (SELECT page_id, page_height, unnest(range(CAST(ceil(page_height / 700) AS BIGINT))) AS segment FROM hp) x),
-sc AS (SELECT DISTINCT sg.page_id, sg.segment FROM sg JOIN viewports v ON v.page_id = sg.page_id AND v.viewport_index % 2 = 0 AND v.scroll_y < sg.stop AND v.scroll_y + 800 > sg.start)"""
+sc AS (SELECT DISTINCT sg.page_id, sg.segment FROM sg JOIN viewports v ON v.page_id = sg.page_id AND v.scanned AND v.scroll_y < sg.stop AND v.scroll_y + 800 > sg.start)"""
 
 
-def even_positions(t):
-    """Every second viewport was visited."""
-    return t.viewports.filter("viewport_index % 2 = 0")
+def scanned(t):
+    """The viewports that the crawl has visited."""
+    return t.viewports.filter("scanned")
 
 
 @query("plan_segments", f"WITH {SEGMENTS_SQL} SELECT page_id, segment, start, stop FROM sg", uses="viewports")
@@ -102,14 +102,14 @@ def plan_segments(t):
 
 @query("segments_scanned", f"WITH {SEGMENTS_SQL} SELECT * FROM sc", uses="viewports")
 def segments_scanned(t):
-    return O.segments_scanned(heights(t), even_positions(t))
+    return O.segments_scanned(heights(t), scanned(t))
 
 
 @query("coverage_percent", f"""
 WITH {SEGMENTS_SQL}, c AS (SELECT page_id, count(*) AS scanned FROM sc GROUP BY 1), n AS (SELECT page_id, count(*) AS segments FROM sg GROUP BY 1)
 SELECT page_id, segments, coalesce(scanned, 0) AS scanned, floor(coalesce(scanned, 0) * 100 / segments + 0.5) AS percent, segments + 8 AS required_steps FROM n LEFT JOIN c USING (page_id)""", uses="viewports")
 def coverage_percent(t):
-    return O.coverage(heights(t), even_positions(t))
+    return O.coverage(heights(t), scanned(t))
 
 
 @query("unscanned_segments", f"""
@@ -117,7 +117,7 @@ WITH {SEGMENTS_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY page_id ORD
 SELECT page_id, n AS left, string_agg(CAST(start AS VARCHAR) || '-' || CAST(stop AS VARCHAR) || 'px', ', ' ORDER BY segment) || CASE WHEN n > 3 THEN ' (+' || CAST(n - 3 AS VARCHAR) || ' more)' ELSE '' END AS regions
 FROM l WHERE r <= 3 GROUP BY page_id, n""".replace("AS left,", 'AS "left",'), uses="viewports")
 def unscanned_segments(t):
-    return O.unscanned_segments(heights(t), even_positions(t))
+    return O.unscanned_segments(heights(t), scanned(t))
 
 
 @query("element_coverage", """
@@ -169,7 +169,7 @@ def interval_union(t):
 METRICS_SQL = f"""{HEIGHTS_SQL}, de AS ({DEDUPED_SQL}),
 es AS (SELECT page_id, {", ".join(f"count_if(element_type = '{k}') AS n_{k}" for k in RE.ELEMENT_TYPES)}, count(*) AS elements, count_if(w > 0 AND h > 0) AS boxed, count_if(element_type IN ('cta', 'price', 'value_prop')) AS important,
  count_if(element_type IN ('cta', 'price', 'value_prop') AND list_contains(viewports, 0)) AS important_first, count_if(confidence < 0.5) AS low_confidence FROM de GROUP BY page_id),
-vr AS (SELECT page_id, scroll_y AS start, scroll_y + 800 AS stop FROM viewports WHERE viewport_index % 2 = 0),
+vr AS (SELECT page_id, scroll_y AS start, scroll_y + 800 AS stop FROM viewports WHERE scanned),
 vw AS (SELECT page_id, start, stop, max(stop) OVER (PARTITION BY page_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM vr),
 cu AS (SELECT page_id, sum(greatest(0, stop - greatest(start, coalesce(reach, start)))) AS covered FROM vw GROUP BY page_id), cl AS (SELECT page_id, sum(stop - start) AS covered FROM vr GROUP BY page_id),
 pm AS (SELECT hp.page_id, hp.page_id % 3 <> 0 AS has_structured, CASE hp.page_id % 3 WHEN 1 THEN 9.5 WHEN 2 THEN 0 END AS price, {", ".join(f"coalesce({c}, 0) AS {c}" for c in [f"n_{k}" for k in RE.ELEMENT_TYPES] + ["elements", "low_confidence"])},
@@ -185,7 +185,7 @@ def page_facts(t):
 
 
 def metrics(t, capped=False):
-    ranges = even_positions(t).select("page_id", F.col("scroll_y").alias("start"), (F.col("scroll_y") + 800).alias("stop"))
+    ranges = scanned(t).select("page_id", F.col("scroll_y").alias("start"), (F.col("scroll_y") + 800).alias("stop"))
     covered = V.summed_lengths(ranges) if capped else V.interval_union(ranges, 1_000_000)
     rows = V.page_metrics(V.element_metrics(E.dedupe_boxes(t.boxes)), covered, page_facts(t), capped)
     return rows.join(page_facts(t).select("page_id", "price"), "page_id")

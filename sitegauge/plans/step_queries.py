@@ -9,6 +9,8 @@ from . import sqltext as Q
 from .catalog import query
 
 W = "(PARTITION BY run_id ORDER BY step)"
+# What detecting failures reads of a step.
+STATE = ("dom_hash", "url", "ax_text", "success", "tool_name", "error")
 ERROR_PAGE, FORM_ERROR = RP.ERROR_PAGE, RP.FORM_ERROR
 STATES_SQL = f"""st AS (SELECT *, lag(dom_hash) OVER {W} AS p_hash, lag(url) OVER {W} AS p_url, lag(ax_text) OVER {W} AS p_ax, lag(title) OVER {W} AS p_title,
  row_number() OVER (PARTITION BY run_id, dom_hash ORDER BY step) AS hash_count FROM actions)"""
@@ -24,25 +26,25 @@ def streak_sql(source, failed):
 
 @query("redirect_loop", f"WITH {STATES_SQL} SELECT run_id, step, hash_count FROM st WHERE hash_count >= 3", uses="actions")
 def redirect_loop(t):
-    return O.redirect_loop(t.actions).select("run_id", "step", "hash_count")
+    return O.redirect_loop(t.steps("dom_hash")).select("run_id", "step", "hash_count")
 
 
 @query("detect_failures", f"WITH {FAILURES_SQL} SELECT run_id, step, failure FROM fl", uses="actions")
 def detect_failures(t):
-    return O.detect_failures(t.actions).select("run_id", "step", "failure")
+    return O.detect_failures(t.steps(*STATE)).select("run_id", "step", "failure")
 
 
 @query("route_failures", f"""
 WITH {FAILURES_SQL} SELECT run_id, step, failure, in_a_row, CASE WHEN failure = 'ELEMENT_NOT_FOUND' AND in_a_row >= 3 THEN 'TERMINATE' ELSE {Q.case('failure', R.FAILURE_STRATEGY)} END AS strategy
 FROM {streak_sql('fl', 'failure IS NOT NULL')} x WHERE failure IS NOT NULL""", uses="actions")
 def route_failures(t):
-    return O.route_failures(t.actions).select("run_id", "step", "failure", "in_a_row", "strategy")
+    return O.route_failures(t.steps(*STATE)).select("run_id", "step", "failure", "in_a_row", "strategy")
 
 
 @query("failure_streaks", f"""
 SELECT run_id, step, in_a_row, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER {W} AS total_failures FROM {streak_sql('actions', 'NOT success')} x""", uses="actions")
 def failure_streaks(t):
-    return O.streaks(t.actions, ~F.col("success"), "in_a_row", "total_failures").select("run_id", "step", "in_a_row", "total_failures")
+    return O.streaks(t.steps("success"), ~F.col("success"), "in_a_row", "total_failures").select("run_id", "step", "in_a_row", "total_failures")
 
 
 @query("termination_reason", f"""
@@ -51,7 +53,7 @@ r AS (SELECT run_id, step, CASE WHEN d IS NOT NULL THEN CASE WHEN cov >= 100 THE
  FROM e WHERE step >= 30 OR in_a_row >= 3 OR (d IS NOT NULL AND cov >= 100))
 SELECT run_id, steps, ended_at, reason FROM (SELECT run_id, max(step) AS steps FROM actions GROUP BY run_id) a LEFT JOIN (SELECT run_id, min(step) AS ended_at, arg_min(reason, step) AS reason FROM r GROUP BY run_id) b USING (run_id)""", uses="actions")
 def termination_reason(t):
-    rows = t.actions.withColumns({"done": F.col("k") % 19 == 0, "coverage": F.least(F.lit(100), F.col("step") * 4)})
+    rows = t.steps("success", "k").withColumns({"done": F.col("k") % 19 == 0, "coverage": F.least(F.lit(100), F.col("step") * 4)})
     return O.termination(rows, 30, 3)
 
 
@@ -61,14 +63,14 @@ TWENTY_DAYS_MS = 20 * 86_400_000
 
 @query("elapsed_ms", f"SELECT run_id, step, {ELAPSED} AS elapsed_us FROM actions", uses="actions")
 def elapsed_ms(t):
-    return O.elapsed(t.actions).select("run_id", "step", "elapsed_us")
+    return O.elapsed(t.steps("ts")).select("run_id", "step", "elapsed_us")
 
 
 @query("budget_status", f"""
 SELECT run_id, step, step >= 40 OR e >= {TWENTY_DAYS_MS}000 AS exceeded, CASE WHEN step >= 40 THEN 'steps' WHEN e >= {TWENTY_DAYS_MS}000 THEN 'time' END AS kind, greatest(0, 40 - step) AS steps_left,
  greatest(0, {TWENTY_DAYS_MS}000 - e) AS time_left_us, step * 10 >= 320 AS near_limit FROM (SELECT *, {ELAPSED} AS e FROM actions) x""", uses="actions")
 def budget_status(t):
-    return O.budget_status(t.actions, 40, TWENTY_DAYS_MS)
+    return O.budget_status(t.steps("ts"), 40, TWENTY_DAYS_MS)
 
 
 DECREMENT = "CASE WHEN progress_score > 0.6 THEN 25 WHEN progress_score < 0.3 THEN 100 ELSE 50 END"
@@ -77,13 +79,13 @@ DECREMENT = "CASE WHEN progress_score > 0.6 THEN 25 WHEN progress_score < 0.3 TH
 @query("confidence_decay", f"""
 SELECT run_id, step, greatest(0, 1000 - l) / 1000 AS confidence, greatest(0, 1000 - l) < 300 AS escalates FROM (SELECT *, sum({DECREMENT}) OVER {W} AS l FROM actions) x""", uses="actions")
 def confidence_decay(t):
-    return O.confidence_decay(t.actions).select("run_id", "step", "confidence", "escalates")
+    return O.confidence_decay(t.steps("progress_score")).select("run_id", "step", "confidence", "escalates")
 
 
 @query("should_verify", f"""
 WITH {FAILURES_SQL}, v AS (SELECT *, step % 3 = 0 OR coalesce(url <> p_url, FALSE) AS verify FROM fl) SELECT run_id, step, verify, NOT verify AND failure IS NULL AS critique FROM v""", uses="actions")
 def should_verify(t):
-    return O.verification_plan(t.actions).select("run_id", "step", "verify", "critique")
+    return O.verification_plan(t.steps(*STATE)).select("run_id", "step", "verify", "critique")
 
 
 ELEMENTS_SQL = "list_transform(range(n_elements + 1), lambda i: 'a:' || CAST(i * (k % 3 + 1) AS VARCHAR))"
@@ -96,12 +98,12 @@ SELECT run_id, step, url <> p_url AS url_changed, title <> p_title AS title_chan
 def state_diff(t):
     seen = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_elements")), lambda i: F.concat(
         F.lit("a:"), (i * (F.col("k") % 3 + 1)).cast("string")))
-    return O.state_diff(t.actions.withColumn("elements", seen))
+    return O.state_diff(t.steps("url", "title", "dom_hash", "n_elements", "k").withColumn("elements", seen))
 
 
 @query("navigation_flag", f"SELECT run_id, step, coalesce(url <> lag(url) OVER {W}, FALSE) AS navigated FROM actions", uses="actions")
 def navigation_flag(t):
-    rows = O.with_previous(t.actions, "url")
+    rows = O.with_previous(t.steps("url"), "url")
     return rows.select("run_id", "step", F.coalesce(F.col("url") != F.col("prev_url"), F.lit(False)).alias("navigated"))
 
 
@@ -110,15 +112,16 @@ GOALS = ['url contains "cart"', "title contains 'page 2'", 'shows "welcome"', "u
 
 @query("subgoal_progress")
 def subgoal_progress(t):
-    return O.subgoal_progress(t.actions, GOALS)
+    return O.subgoal_progress(t.steps("url", "title", "ax_text"), GOALS)
 
 
 @query("prevalidate_actions", f"""
 SELECT run_id, step, element_index FROM actions WHERE tool_name IN {Q.in_list(R.TARGETING_TOOLS)} AND element_index IS NOT NULL AND element_index >= n_elements""", uses="actions")
 def prevalidate_actions(t):
-    seen = t.actions.filter("n_elements > 0").select("run_id", "step", F.explode(
+    steps = t.steps("tool_name", "element_index", "n_elements")
+    seen = steps.filter("n_elements > 0").select("run_id", "step", F.explode(
         F.sequence(F.lit(0), (F.col("n_elements") - 1).cast("int"))).alias("element_index"))
-    return O.prevalidate(t.actions, seen).select("run_id", "step", "element_index")
+    return O.prevalidate(steps, seen).select("run_id", "step", "element_index")
 
 
 @query("failed_combos", "SELECT run_id, tool_name, element_index, count(*) AS failed FROM actions WHERE NOT success GROUP BY ALL", uses="actions")
@@ -136,12 +139,12 @@ def visit_counts(t):
 
 @query("pages_seen", "SELECT run_id, url, min(step) AS first_step FROM actions GROUP BY ALL", uses="actions")
 def pages_seen(t):
-    return O.pages_seen(t.actions)
+    return O.pages_seen(t.steps("url"))
 
 
 @query("exclude_error_pages", f"SELECT run_id, step FROM actions WHERE NOT regexp_matches(url, '{ERROR_PAGE}')", uses="actions")
 def exclude_error_pages(t):
-    return t.actions.filter(~F.col("url").rlike(ERROR_PAGE)).select("run_id", "step")
+    return t.steps("url").filter(~F.col("url").rlike(ERROR_PAGE)).select("run_id", "step")
 
 
 @query("recent_memory", f"""
@@ -150,7 +153,7 @@ SELECT a.run_id, steps, recent, errors FROM (SELECT run_id, count(*) AS steps FR
 JOIN (SELECT run_id, string_agg('Step ' || CAST(step AS VARCHAR) || ': ' || tool_name || CASE WHEN success THEN ' (ok)' ELSE ' (failed)' END, '; ' ORDER BY step) AS recent FROM r WHERE r <= 3 GROUP BY 1) b USING (run_id)
 LEFT JOIN (SELECT run_id, string_agg(error, ', ' ORDER BY step) AS errors FROM f WHERE r <= 2 GROUP BY 1) c USING (run_id)""", uses="actions")
 def recent_memory(t):
-    return O.recent_memory(t.actions)
+    return O.recent_memory(t.steps("tool_name", "success", "error"))
 
 
 # ---------------------------------------------------------------- messages

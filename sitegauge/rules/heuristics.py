@@ -1,61 +1,94 @@
-"""The built-in knowledge of what a good page does: ids, severities and categories are fixed values,
-the principles are our own wording. ``sources.knowledge.read_heuristics`` loads another set."""
+"""The built-in knowledge of what a good page does. ``sources.knowledge.read_heuristics`` loads another set, with a text and
+checkpoints for each item; here an item has its category's advice."""
 
-# Fixed values: (page type, category, id family, severity of each item in order).
-FAMILIES = [
-    ("pdp", "Layout & Structure", "PDP-LAYOUT", "high high medium high"),
-    ("pdp", "Product Imagery & Media", "PDP-IMAGE", "high medium high medium"),
-    ("pdp", "Pricing & Cost Transparency", "PDP-PRICE", "critical medium high medium"),
-    ("pdp", "Description & Value Proposition", "PDP-DESC", "high high medium"),
-    ("pdp", "Specifications & Details", "PDP-SPEC", "medium low medium"),
-    ("pdp", "Reviews & Social Proof", "PDP-REVIEW", "high high medium medium"),
-    ("pdp", "Selection & Configuration", "PDP-SELECT", "high high high"),
-    ("pdp", "CTA & Purchase Confidence", "PDP-CTA", "critical high high high"),
-    ("pdp", "Mobile Usability", "PDP-MOBILE", "high high high"),
-    ("pdp", "Utility & Secondary Actions", "PDP-UTILITY", "low low medium"),
-    ("plp", "Layout & Grid", "PLP-GRID", "high high low medium medium"),
-    ("plp", "Filtering & Sorting", "PLP-FILTER", "high high high medium medium"),
-    ("plp", "Product Cards", "PLP-CARD", "critical high medium medium low"),
-    ("plp", "Navigation & Breadcrumbs", "PLP-NAV", "high medium medium"),
-    ("plp", "Mobile Usability", "PLP-MOBILE", "high high high"),
-    ("plp", "Pagination & Loading", "PLP-PAGE", "high high high medium"),
+# Page type, category, id and severity of each item.
+HEURISTICS = [
+    ("pdp", "Layout & Structure", "PDP-LAYOUT-001", "high"),
+    ("pdp", "Layout & Structure", "PDP-LAYOUT-002", "high"),
+    ("pdp", "Layout & Structure", "PDP-LAYOUT-003", "medium"),
+    ("pdp", "Layout & Structure", "PDP-LAYOUT-004", "high"),
+    ("pdp", "Product Imagery & Media", "PDP-IMAGE-001", "high"),
+    ("pdp", "Product Imagery & Media", "PDP-IMAGE-002", "medium"),
+    ("pdp", "Product Imagery & Media", "PDP-IMAGE-003", "high"),
+    ("pdp", "Product Imagery & Media", "PDP-IMAGE-004", "medium"),
+    ("pdp", "Pricing & Cost Transparency", "PDP-PRICE-001", "critical"),
+    ("pdp", "Pricing & Cost Transparency", "PDP-PRICE-002", "medium"),
+    ("pdp", "Pricing & Cost Transparency", "PDP-PRICE-003", "high"),
+    ("pdp", "Pricing & Cost Transparency", "PDP-PRICE-004", "medium"),
+    ("pdp", "Description & Value Proposition", "PDP-DESC-001", "high"),
+    ("pdp", "Description & Value Proposition", "PDP-DESC-002", "high"),
+    ("pdp", "Description & Value Proposition", "PDP-DESC-003", "medium"),
+    ("pdp", "Specifications & Details", "PDP-SPEC-001", "medium"),
+    ("pdp", "Specifications & Details", "PDP-SPEC-002", "low"),
+    ("pdp", "Specifications & Details", "PDP-SPEC-003", "medium"),
+    ("pdp", "Reviews & Social Proof", "PDP-REVIEW-001", "high"),
+    ("pdp", "Reviews & Social Proof", "PDP-REVIEW-002", "high"),
+    ("pdp", "Reviews & Social Proof", "PDP-REVIEW-003", "medium"),
+    ("pdp", "Reviews & Social Proof", "PDP-REVIEW-004", "medium"),
+    ("pdp", "Selection & Configuration", "PDP-SELECT-001", "high"),
+    ("pdp", "Selection & Configuration", "PDP-SELECT-002", "high"),
+    ("pdp", "Selection & Configuration", "PDP-SELECT-003", "high"),
+    ("pdp", "CTA & Purchase Confidence", "PDP-CTA-001", "critical"),
+    ("pdp", "CTA & Purchase Confidence", "PDP-CTA-002", "high"),
+    ("pdp", "CTA & Purchase Confidence", "PDP-CTA-003", "high"),
+    ("pdp", "CTA & Purchase Confidence", "PDP-CTA-004", "high"),
+    ("pdp", "Mobile Usability", "PDP-MOBILE-001", "high"),
+    ("pdp", "Mobile Usability", "PDP-MOBILE-002", "high"),
+    ("pdp", "Mobile Usability", "PDP-MOBILE-003", "high"),
+    ("pdp", "Utility & Secondary Actions", "PDP-UTILITY-001", "low"),
+    ("pdp", "Utility & Secondary Actions", "PDP-UTILITY-002", "low"),
+    ("pdp", "Utility & Secondary Actions", "PDP-UTILITY-003", "medium"),
+    ("plp", "Layout & Grid", "PLP-GRID-001", "high"),
+    ("plp", "Layout & Grid", "PLP-GRID-002", "high"),
+    ("plp", "Layout & Grid", "PLP-GRID-003", "low"),
+    ("plp", "Layout & Grid", "PLP-GRID-004", "medium"),
+    ("plp", "Layout & Grid", "PLP-GRID-005", "medium"),
+    ("plp", "Filtering & Sorting", "PLP-FILTER-001", "high"),
+    ("plp", "Filtering & Sorting", "PLP-FILTER-002", "high"),
+    ("plp", "Filtering & Sorting", "PLP-FILTER-003", "high"),
+    ("plp", "Filtering & Sorting", "PLP-FILTER-004", "medium"),
+    ("plp", "Filtering & Sorting", "PLP-FILTER-005", "medium"),
+    ("plp", "Product Cards", "PLP-CARD-001", "critical"),
+    ("plp", "Product Cards", "PLP-CARD-002", "high"),
+    ("plp", "Product Cards", "PLP-CARD-003", "medium"),
+    ("plp", "Product Cards", "PLP-CARD-004", "medium"),
+    ("plp", "Product Cards", "PLP-CARD-005", "low"),
+    ("plp", "Navigation & Breadcrumbs", "PLP-NAV-001", "high"),
+    ("plp", "Navigation & Breadcrumbs", "PLP-NAV-002", "medium"),
+    ("plp", "Navigation & Breadcrumbs", "PLP-NAV-003", "medium"),
+    ("plp", "Mobile Usability", "PLP-MOBILE-001", "high"),
+    ("plp", "Mobile Usability", "PLP-MOBILE-002", "high"),
+    ("plp", "Mobile Usability", "PLP-MOBILE-003", "high"),
+    ("plp", "Pagination & Loading", "PLP-PAGE-001", "high"),
+    ("plp", "Pagination & Loading", "PLP-PAGE-002", "high"),
+    ("plp", "Pagination & Loading", "PLP-PAGE-003", "high"),
+    ("plp", "Pagination & Loading", "PLP-PAGE-004", "medium"),
 ]
 
-# Our wording of what each item asks for, in id order.
-PRINCIPLES = {
-    "PDP-LAYOUT": ["One clear path down the page", "Key facts sit near the top",
-                   "Folded sections are easy to spot and open", "Name, picture, price and action lead"],
-    "PDP-IMAGE": ["Pictures show real size", "Pictures show the product in use",
-                  "Several angles with zoom", "Media never delays buying"],
-    "PDP-PRICE": ["The whole price is in view", "Unit price where size varies",
-                  "Extra costs are named by the price", "Discounts explain themselves"],
-    "PDP-DESC": ["Says what it is and for whom", "Benefits can be skimmed", "Claims come with proof"],
-    "PDP-SPEC": ["Specs are tabular and even", "Hard words are explained", "Specs need no other document"],
-    "PDP-REVIEW": ["Reviews are on the page", "Average and count are shown", "Reviews can be filtered",
-                   "Good and bad reviews both show"],
-    "PDP-SELECT": ["Options are plain to pick", "Sold-out options are marked", "A choice updates price and stock"],
-    "PDP-CTA": ["The main action stands out", "The main action stays in reach",
-                "Reassurance sits by the action", "Nothing avoidable blocks adding"],
-    "PDP-MOBILE": ["Targets are easy to tap", "Key facts need little scrolling", "Buying leads on small screens"],
-    "PDP-UTILITY": ["Saving does not compete with buying", "Gift choices where they fit", "Few distractions"],
-    "PLP-GRID": ["Items line up evenly", "The eye finds header, tools, items", "Grid or list by choice",
-                 "Columns suit the screen", "Items have room"],
-    "PLP-FILTER": ["Filters are in view", "Chosen filters show and clear", "Useful sort orders",
-                   "Price takes a range", "Filtering keeps the place"],
-    "PLP-CARD": ["A card carries the deciding facts", "Card pictures match in size", "Variants show on the card",
-                 "Rating and stock show on the card", "Quick add where it helps"],
-    "PLP-NAV": ["A trail shows the place", "Subcategories are in view", "The heading says what to expect"],
-    "PLP-MOBILE": ["Filters open in a full sheet", "Cards and tools are easy to tap", "Picture and price lead"],
-    "PLP-PAGE": ["Paging is clear", "Loading more keeps the place", "Coming back restores the place",
-                 "First items show fast"],
+# Advice of our own for a category.
+ADVICE = {
+    "Layout & Structure": "Put what visitors decide on first and keep the order of the page easy to follow",
+    "Product Imagery & Media": "Let pictures answer what a visitor would check in a shop",
+    "Pricing & Cost Transparency": "Show what the visitor will pay before they have to ask",
+    "Description & Value Proposition": "Say in plain words what the visitor gains",
+    "Specifications & Details": "Make facts easy to find and to compare",
+    "Reviews & Social Proof": "Let other customers speak, with numbers and in full",
+    "Selection & Configuration": "Make each choice, and what it changes, visible at once",
+    "CTA & Purchase Confidence": "Keep the main action easy to find, to reach and to trust",
+    "Mobile Usability": "Design for a thumb and a small screen first",
+    "Utility & Secondary Actions": "Let helpful extras step back behind the main task",
+    "Layout & Grid": "Arrange items so that the eye can scan them evenly",
+    "Filtering & Sorting": "Help visitors narrow a long list without losing their place",
+    "Product Cards": "Give each card what is needed to choose or to skip it",
+    "Navigation & Breadcrumbs": "Tell visitors where they are and where they can go",
+    "Pagination & Loading": "Make it clear how much there is, and load it without surprises",
 }
 
 
 def heuristic_rows():
     """(page_type, category, heuristic_id, severity, principle) of every built-in item."""
-    for page_type, category, family, severities in FAMILIES:
-        for n, severity in enumerate(severities.split(), start=1):
-            yield page_type, category, f"{family}-{n:03d}", severity, PRINCIPLES[family][n - 1]
+    for page_type, category, heuristic_id, severity in HEURISTICS:
+        yield page_type, category, heuristic_id, severity, ADVICE[category]
 
 
 # Categories judged together.

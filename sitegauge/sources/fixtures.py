@@ -19,7 +19,10 @@ SELECT o_custkey AS page_id, o_orderkey AS seq,
  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 103 AS DOUBLE) / 100 END AS confidence,
  CASE WHEN o_orderkey % 6 <> 0 THEN concat('seen ', CAST(o_orderkey % 5 AS VARCHAR(20))) END AS evidence_text,
  CASE WHEN o_orderkey % 3 = 0 THEN concat('#s', CAST(o_orderkey % 8 AS VARCHAR(20))) END AS evidence_selector,
- CASE o_orderkey % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'heuristic' ELSE 'vision' END AS source
+ CASE o_orderkey % 3 WHEN 0 THEN 'tool' WHEN 1 THEN 'heuristic' ELSE 'vision' END AS source,
+ CASE WHEN o_orderkey % 8 = 1 THEN concat('shot-', CAST(o_orderkey % 12 AS VARCHAR(20)), '.png') END AS evidence_screenshot,
+ CASE o_orderkey % 4 WHEN 0 THEN 'color' WHEN 1 THEN 'font-size' WHEN 2 THEN 'z-index' END AS style_name,
+ concat('v', CAST(o_orderkey % 17 AS VARCHAR(20))) AS style_value
 FROM {orders}
 """
 
@@ -52,10 +55,16 @@ FROM {lineitem}
 """
 
 VIEWPORTS = """
-SELECT DISTINCT l_orderkey AS page_id, l_linenumber - 1 AS viewport_index, (l_linenumber - 1) * 680 AS scroll_y
+SELECT DISTINCT l_orderkey AS page_id, l_linenumber - 1 AS viewport_index, (l_linenumber - 1) * 680 AS scroll_y, l_linenumber % 2 = 1 AS scanned
 FROM {lineitem}
 """
 
+PAGE_FACTS = """
+SELECT c_custkey AS page_id, concat('https://shop', CAST(c_nationkey AS VARCHAR(20)), '.example.com/p/', CAST(c_custkey AS VARCHAR(20))) AS url, c_name AS title,
+ CASE c_custkey % 4 WHEN 0 THEN 'pdp' WHEN 1 THEN 'plp' WHEN 2 THEN 'home' ELSE 'other' END AS page_type, lower(c_mktsegment) AS business_type
+FROM {customer}
+"""
+
 ACTIONS = """
 SELECT user_id AS run_id, event_id, ts,
  CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'extract_text' WHEN 'purchase' THEN 'type_text' WHEN 'signup' THEN 'go_to_url' ELSE 'click' END AS tool_name,
@@ -178,6 +187,7 @@ DERIVED = {
     "evaluations": (EVALUATIONS, ["lineitem"]),
     "boxes": (BOXES, ["lineitem"]),
     "viewports": (VIEWPORTS, ["lineitem"]),
+    "page_facts": (PAGE_FACTS, ["customer"]),
     "actions": (ACTIONS, ["events"]),
     "signals": (SIGNALS, ["lineitem"]),
     "prices": (PRICES, ["part"]),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_prompts(prompts: DataFrame, path: str) -> None:
@@ -11,5 +13,12 @@ def write_prompts(prompts: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, column: str, path: str) -> None:
-    """One text document per line."""
-    documents.select(column).write.mode("overwrite").text(path)
+    """Files of lines: each the row's other columns as tab-separated text before the document, which holds no line break."""
+    keys = [F.col(c).cast("string") for c in documents.columns if c != column]
+    documents.select(F.concat_ws("\t", *keys, column).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that ``write_documents`` wrote; the document is the last column."""
+    parts = F.split("value", "\t", len(schema))
+    return spark.read.text(path).select(*[parts[i].cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import chunks
 from .fixtures import DERIVED
+from .shared import written
 
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
          "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -37,6 +38,15 @@ class Tables:
             return SHAPES.get(name, lambda df: df)(raw)
         raise AttributeError(name)
 
+    def steps(self, *columns: str) -> DataFrame:
+        """``actions`` with the number of each step in its run, and of the other columns the named ones.
+
+        Numbers are wanted by operators that pass over the log more than once, so the rows are written to the shared
+        folder (a job that runs now)."""
+        log = self.actions.select("run_id", "event_id", *columns)
+        cut = [chunks.by_width(F.col("event_id"), EVENT_CHUNK)]
+        return written(chunks.row_index(log, ["run_id"], ["event_id"], cut, "step"))
+
 
 def _with_attributes(df: DataFrame) -> DataFrame:
     """Flat attribute columns become the ``attrs`` map that parsed HTML also has; empty ones are absent."""
@@ -50,10 +60,4 @@ def _with_attributes(df: DataFrame) -> DataFrame:
         *flat.values(), "required_attr", "onclick_attr")
 
 
-def _with_steps(df: DataFrame) -> DataFrame:
-    """Number the events of a run and add the state before each."""
-    cut = [chunks.by_width(F.col("event_id"), EVENT_CHUNK)]
-    return chunks.row_index(df, ["run_id"], ["event_id"], cut, "step")
-
-
-SHAPES = {"nodes": _with_attributes, "actions": _with_steps}
+SHAPES = {"nodes": _with_attributes}

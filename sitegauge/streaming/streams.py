@@ -37,7 +37,8 @@ def read_stream(spark: SparkSession, directory: str, name: str, files_per_trigge
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    # A pattern that only this name matches: a source takes files or folders that match one, but no plain path to a file.
+    return reader.parquet(f"{directory}/{name}.parque[t]")
 
 
 def with_time(df: DataFrame, column: str, delay: str = DELAY, out: str = "ts") -> DataFrame:

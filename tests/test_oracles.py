@@ -4,8 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from sitegauge.plans.everything import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

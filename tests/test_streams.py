@@ -26,10 +26,11 @@ def parts(spark, data, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", NAMES)
-@pytest.mark.parametrize("layout", ["folder", "file per batch"])
+@pytest.mark.parametrize("layout", ["one file", "folder", "file per batch"])
 def test_any_layout(spark, data, parts, monkeypatch, name, layout):
     monkeypatch.setattr(Tables, "files_per_trigger", 1 if layout == "file per batch" else None)
-    assert oracle.compare(QUERIES[name](spark, parts), oracle.connect(data), ORACLES[name]) == ""
+    rows = QUERIES[name](spark, data if layout == "one file" else parts)
+    assert oracle.compare(rows, oracle.connect(data), ORACLES[name]) == ""
 
 
 @pytest.fixture
