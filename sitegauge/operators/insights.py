@@ -36,16 +36,22 @@ def evidence_texts(insights: DataFrame) -> DataFrame:
         *keys, "seq", F.col("evidence_text").alias("text"))
     c = chunks.Chunked(texts, keys, ["seq"], cut)
     c.df = c.df.withColumns({"_own": F.first("text").over(c.local), "_holds": F.contains("text", F.lit(SEPARATOR))})
-    length = F.when(~F.col("_holds"), F.length("text") + len(SEPARATOR)).otherwise(0)
+    change = F.when(F.col("text") != F.col("_own"), F.col("seq"))
+    c.df = c.df.withColumn("_run", F.min(change).over(c.so_far()).isNull())  # still the chunk's first text
+    length = F.when(F.col("_holds"), 0).otherwise(F.length("text") + len(SEPARATOR))
     rows = c.attach(
-        {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_d": F.min(F.when(F.col("text") != F.col("_own"), F.col("seq"))),
-         "_m": F.max(F.when(F.col("_holds"), F.length("text"))), "_l": F.sum(length)},
+        {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_d": F.min(change), "_m": F.max(F.when(F.col("_holds"), F.length("text"))),
+         "_l": F.sum(length), "_r": F.sum(F.when(F.col("_run"), length).otherwise(0))},
         {"_first": lambda b, w: F.first("_f").over(w),
          "_change": lambda b, w: F.when(F.col("_f.text") != F.col("_first.text"), F.col("_f.seq")).otherwise(F.col("_d")),
          "_from": lambda b, w: F.min("_change").over(w), "_longest": lambda b, w: F.coalesce(F.max("_m").over(w), F.lit(0)),
-         "_before": lambda b, w: F.coalesce(F.sum("_l").over(b), F.lit(0))})
-    rows = c.drop_cuts(rows.withColumn("_joined", F.col("_before") + F.sum(length).over(c.so_far()) - length))
-    kept = rows.filter((F.col("seq") == F.col("_first.seq")) | (F.col("seq") >= F.col("_from")))
+         "_added": lambda b, w: F.when(F.col("_f.seq") >= F.col("_from"), F.col("_l")).otherwise(F.col("_l") - F.col("_r")),
+         "_before": lambda b, w: F.coalesce(F.sum("_added").over(b), F.lit(0))})
+    is_first = F.col("seq") == F.col("_first.seq")
+    own = F.when(F.col("seq") >= F.col("_from"), length).otherwise(0)
+    joined = F.length("_first.text") + F.when(is_first, 0).otherwise(F.col("_before") + F.sum(own).over(c.so_far()) - own)
+    rows = c.drop_cuts(rows.withColumn("_joined", joined))  # at least so long is what a text is compared with
+    kept = rows.filter(is_first | (F.col("seq") >= F.col("_from")))
     out = [*keys, "seq", "text"]
     apart = kept.filter(F.col("_joined") > F.col("_longest")).select(*out)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
