@@ -154,8 +154,19 @@ def page_purpose(signals: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- product pages
 
-def primary_cta(nodes: DataFrame) -> DataFrame:
-    """Best purchase button per page: text points, plus 5 inside a form; the first in the page of equals."""
+Parts = tuple[dict[str, Column], dict[str, Column]]  # sums over a page's nodes, and what follows from them
+
+
+def _summed(nodes: DataFrame, *parts: Parts) -> DataFrame:
+    """One row per page, from one pass over the nodes."""
+    sums = {n: c for p in parts for n, c in p[0].items()}
+    rows = nodes.groupBy("page_id").agg(*[c.alias(n) for n, c in sums.items()])
+    for _, derived in parts:
+        rows = rows.withColumns(derived)
+    return rows
+
+
+def _cta_parts() -> Parts:
     tag, name, id_ = F.col("tag"), F.lower(attr("name")), F.lower(attr("id"))
     test = F.lower(F.concat(attr("data-testid"), attr("data-test")))
     candidate = ((tag == "button") & (id_.contains("add") | id_.contains("cart") | test.contains("add") | name.contains("add")
@@ -165,64 +176,83 @@ def primary_cta(nodes: DataFrame) -> DataFrame:
     points = _points(*[(low.contains(w), 20 if len(w) >= 6 else 10)
                        for w in ("add to cart", "add to bag", "add to basket", "buy now", "add")])
     score = points + F.when(F.col("form_id").isNotNull(), 5).otherwise(0)
-    rows = nodes.filter(candidate & F.col("is_visible") & (shown != ""))
-    best = rows.groupBy("page_id").agg(F.max_by(
-        F.struct(shown.alias("cta_text"), score.alias("cta_score"), has_attr("disabled").alias("cta_disabled")),
-        F.struct(score, -F.col("doc_pos"))).alias("b"))
-    plain = F.lower(F.regexp_replace("cta_text", r"\s+", " "))
-    return best.select("page_id", "b.*").withColumns({
-        "adds_to_cart": plain.rlike("add to (cart|bag|basket)") | (plain == "add"), "buys_now": plain.contains("buy now")})
+    best = F.max_by(F.struct(shown.alias("cta_text"), score.alias("cta_score"), has_attr("disabled").alias("cta_disabled")),
+                    F.when(candidate & F.col("is_visible") & (shown != ""), F.struct(score, -F.col("doc_pos"))))
+    plain = F.lower(F.regexp_replace(F.col("_cta.cta_text"), r"\s+", " "))
+    return {"_cta": best}, {**{n: F.col(f"_cta.{n}") for n in ("cta_text", "cta_score", "cta_disabled")},
+                            "adds_to_cart": plain.rlike("add to (cart|bag|basket)") | (plain == "add"), "buys_now": plain.contains("buy now")}
 
 
-def variant_signals(nodes: DataFrame) -> DataFrame:
+def _variant_parts() -> Parts:
     name, id_, test = F.lower(attr("name")), F.lower(attr("id")), F.lower(attr("data-testid"))
     chooser = name.rlike("option|variant")
     select = (F.col("tag") == "select") & (chooser | id_.rlike("option|variant"))
     radio = (F.col("tag") == "input") & (attr("type") == "radio") & chooser
     swatch = F.lower(attr("class")).contains("swatch") | test.contains("swatch")
-    sums = nodes.groupBy("page_id").agg(F.count_if(select).alias("selects"), F.count_if(radio).alias("radios"),
-                                        F.count_if(swatch).alias("swatches"))
-    return sums.withColumns({"has_variants": (F.col("selects") > 0) | (F.col("radios") > 3) | (F.col("swatches") > 0),
-                             "variant_count": F.col("selects") + F.col("radios")})
+    return ({"selects": F.count_if(select), "radios": F.count_if(radio), "swatches": F.count_if(swatch)},
+            {"has_variants": (F.col("selects") > 0) | (F.col("radios") > 3) | (F.col("swatches") > 0),
+             "variant_count": F.col("selects") + F.col("radios")})
 
 
-def media_signals(nodes: DataFrame) -> DataFrame:
-    """Distinct sources of images larger than 40x40 (all images where no box is known), at most 30."""
-    large = F.coalesce((F.col("w") > 40) & (F.col("h") > 40), F.lit(True))
-    sources = nodes.filter((F.col("tag") == "img") & large & (attr("src") != "")).select("page_id", attr("src").alias("src")).distinct()
-    return sources.groupBy("page_id").agg(F.least(F.count("*"), F.lit(30)).alias("media")).withColumn("gallery", F.col("media") >= 3)
-
-
-def grid_signals(nodes: DataFrame) -> DataFrame:
+def _grid_parts() -> Parts:
     href, cls, test = F.lower(attr("href")), F.lower(attr("class")), F.lower(attr("data-testid"))
     link = (F.col("tag") == "a") & href.rlike("/product|/p/")
     filters = ((F.col("tag") == "select") & F.lower(attr("name")).contains("sort")) | cls.contains("filter") | test.contains(
         "filter") | F.lower(attr("aria-label")).contains("filter")
     card = has_attr("data-product-id") | test.contains("product") | cls.rlike("product-card|product-tile")
-    sums = nodes.groupBy("page_id").agg(F.count_if(link).alias("product_links"), F.count_if(card).alias("cards"),
-                                        F.bool_or(filters).alias("has_filters"))
-    return sums.withColumn("is_grid", ((F.col("product_links") >= 8) | (F.col("cards") >= 8)) & F.col("has_filters"))
+    return ({"product_links": F.count_if(link), "cards": F.count_if(card), "has_filters": F.bool_or(filters)},
+            {"is_grid": ((F.col("product_links") >= 8) | (F.col("cards") >= 8)) & F.col("has_filters")})
 
 
-def cart_signals(nodes: DataFrame) -> DataFrame:
+def _cart_parts() -> Parts:
     text, cls, name = F.lower("text"), F.lower(attr("class")), F.lower(attr("name"))
     quantity = ((F.col("tag") == "input") & ((attr("type") == "number") | name.contains("quantity"))) | (
         (F.col("tag") == "select") & name.contains("quantity"))
     item = cls.contains("cart-item") | F.lower(attr("data-testid")).contains("cart-item")
-    sums = nodes.groupBy("page_id").agg(
-        F.bool_or(text.contains("subtotal")).alias("subtotal"), F.bool_or(text.contains("checkout")).alias("checkout"),
-        F.count_if(item).alias("line_items"), F.count_if(quantity).alias("quantities"))
-    return sums.withColumn("is_cart", (F.col("subtotal") & F.col("checkout")) | (
-        (F.col("line_items") >= 2) & (F.col("quantities") >= 1)))
+    return ({"subtotal": F.bool_or(text.contains("subtotal")), "checkout": F.bool_or(text.contains("checkout")),
+             "line_items": F.count_if(item), "quantities": F.count_if(quantity)},
+            {"is_cart": (F.col("subtotal") & F.col("checkout")) | ((F.col("line_items") >= 2) & (F.col("quantities") >= 1))})
 
 
-def checkout_signals(nodes: DataFrame) -> DataFrame:
+def _checkout_parts() -> Parts:
     text = F.lower("text")
     address = (F.col("tag") == "input") & (F.lower(attr("name")).contains("address") | F.lower(attr("id")).contains("address"))
-    sums = nodes.groupBy("page_id").agg(
-        F.bool_or(address).alias("address"), F.bool_or(text.contains("payment")).alias("payment"),
-        F.bool_or(text.contains("shipping")).alias("shipping"))
-    return sums.withColumn("is_checkout", F.col("address") & (F.col("payment") | F.col("shipping")))
+    return ({"address": F.bool_or(address), "payment": F.bool_or(text.contains("payment")), "shipping": F.bool_or(text.contains("shipping"))},
+            {"is_checkout": F.col("address") & (F.col("payment") | F.col("shipping"))})
+
+
+def primary_cta(nodes: DataFrame) -> DataFrame:
+    """Best purchase button per page: text points, plus 5 inside a form; the first in the page of equals."""
+    return _summed(nodes, _cta_parts()).filter(F.col("_cta").isNotNull()).drop("_cta")
+
+
+def variant_signals(nodes: DataFrame) -> DataFrame:
+    return _summed(nodes, _variant_parts())
+
+
+def media_signals(nodes: DataFrame) -> DataFrame:
+    """Distinct sources of images larger than 40x40 (all images where no box is known), at most 30."""
+    large = F.coalesce((F.col("w") > 40) & (F.col("h") > 40), F.lit(True))
+    sources = nodes.filter((F.col("tag") == "img") & large & (attr("src") != "")).select("page_id", attr("src").alias("src")).distinct()
+    return sources.groupBy("page_id").agg(F.least(F.count("*"), F.lit(30)).alias("media")).withColumn("gallery", F.col("media") >= 3)
+
+
+def grid_signals(nodes: DataFrame) -> DataFrame:
+    return _summed(nodes, _grid_parts())
+
+
+def cart_signals(nodes: DataFrame) -> DataFrame:
+    return _summed(nodes, _cart_parts())
+
+
+def checkout_signals(nodes: DataFrame) -> DataFrame:
+    return _summed(nodes, _checkout_parts())
+
+
+def product_signals(nodes: DataFrame) -> DataFrame:
+    """All of the above per page: one pass over the nodes, and one over their images."""
+    rows = _summed(nodes, _cta_parts(), _variant_parts(), _grid_parts(), _cart_parts(), _checkout_parts()).drop("_cta")
+    return rows.join(media_signals(nodes), "page_id", "left")
 
 
 def product_score(facts: DataFrame) -> DataFrame:

@@ -206,12 +206,10 @@ ovr AS (SELECT page_id, CASE WHEN {HOME_SQL} AND score < 30 THEN 'homepage' ELSE
 
 
 def product_facts(t):
-    """One row per page. Every side is already aggregated to pages, so the joins cannot skew."""
+    """One row per page. The signals are already aggregated to pages, so the join cannot skew."""
     rows = t.urls.select("page_id", "url", F.col("page_text").alias("title"),
                          F.when(F.col("page_id") % 3 == 0, 10).alias("price"), (F.col("page_id") % 4 == 0).alias("schema_product"))
-    for side in (P.primary_cta, P.variant_signals, P.media_signals, P.grid_signals, P.cart_signals, P.checkout_signals):
-        rows = rows.join(side(t.nodes), "page_id", "left")
-    return rows
+    return rows.join(P.product_signals(t.nodes), "page_id", "left")
 
 
 @query("pdp_score", FACTS_SQL + "SELECT page_id, score, page_type, confidence FROM pdp", uses="urls nodes")

@@ -110,7 +110,12 @@ def navigation_flag(t):
 GOALS = ['url contains "cart"', "title contains 'page 2'", 'shows "welcome"', "url contains login"]
 
 
-@query("subgoal_progress")
+@query("subgoal_progress", f"""
+WITH RECURSIVE g AS (SELECT run_id, step, [contains(lower(url), 'cart'), contains(lower(title), 'page 2'), contains(lower(ax_text), 'welcome'), contains(lower(url), 'login')] AS met FROM actions),
+w(run_id, step, goal, spent) AS (SELECT DISTINCT run_id, 0::BIGINT, 0, 0 FROM actions UNION ALL
+ SELECT w.run_id, g.step, CASE WHEN goal < 4 AND (coalesce(met[goal + 1], FALSE) OR spent + 1 >= 5) THEN goal + 1 ELSE goal END,
+  CASE WHEN goal = 4 OR coalesce(met[goal + 1], FALSE) OR spent + 1 >= 5 THEN 0 ELSE spent + 1 END FROM w JOIN g ON g.run_id = w.run_id AND g.step = w.step + 1)
+SELECT * FROM w WHERE step > 0""", uses="actions")
 def subgoal_progress(t):
     return O.subgoal_progress(t.steps("url", "title", "ax_text"), GOALS)
 

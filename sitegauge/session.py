@@ -8,8 +8,8 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A later style wins when two pieces of evidence name the same one.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # A hot key of a join is split also where an aggregate on the same key follows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

@@ -38,6 +38,12 @@ _CLOSED_BY = {
 _SCOPES = frozenset("table ul ol dl select form div section article body".split())
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)|opacity\s*:\s*0(\.0+)?\s*(;|$)", re.I)
 _HIDING_ANCESTORS, _GROUP_ANCESTORS = 10, 5
+_CLOSES: dict[str, set] = {}
+for _name, _tags in _CLOSED_BY.items():
+    for _tag in _tags:
+        _CLOSES.setdefault(_tag, set()).add(_name)
+# Elements nested deeper become siblings at this depth, as in browsers; so paths stay bounded.
+_MOST_DEPTH = 512
 
 SCHEMA = ("page_id BIGINT, doc_pos BIGINT, parent_pos BIGINT, last_pos BIGINT, depth INT, tag STRING, xpath STRING,"
           " raw_text STRING, attrs MAP<STRING,STRING>, hidden BOOLEAN, region STRING, form_id BIGINT,"
@@ -55,10 +61,11 @@ class _Elements(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows, self.open, self.skipping = [], [], None
+        self.count: dict[str, int] = {}  # open elements by tag
         self._add("body", {})
 
     def _add(self, tag, attrs):
-        parent = self.open[-1] if self.open else None
+        parent = self.open[min(len(self.open), _MOST_DEPTH) - 1] if self.open else None
         pos = len(self.rows)
         if parent:
             n = parent["_seen"][tag] = parent["_seen"].get(tag, 0) + 1
@@ -66,14 +73,14 @@ class _Elements(HTMLParser):
         else:
             xpath = "/html/body"
         row = {"doc_pos": pos, "parent_pos": parent and parent["doc_pos"], "last_pos": pos,
-               "depth": len(self.open), "tag": tag, "xpath": xpath, "raw_text": "", "attrs": attrs,
+               "depth": min(len(self.open), _MOST_DEPTH), "tag": tag, "xpath": xpath, "raw_text": "", "attrs": attrs,
                "list_depth": int(tag in ("ul", "ol")), "_seen": {}}
         row["_gone"] = bool("hidden" in attrs or _GONE.search(attrs.get("style", ""))
                             or (tag == "input" and attrs.get("type", "").lower() == "hidden"))
         row["form_id"] = pos if tag == "form" else (parent and parent["form_id"])
         row["hidden"] = (row["_gone"] or attrs.get("aria-hidden") == "true"
                          or any(r["_gone"] for r in self.open[-_HIDING_ANCESTORS:]))
-        row["region"] = next((g for g in map(_region, reversed(self.open)) if g), "unknown")
+        row["region"] = (_region(parent) or parent["region"]) if parent else "unknown"
         row["group_name"] = next((g for g in map(_group, self.open[:-_GROUP_ANCESTORS - 1:-1]) if g), "")
         self.rows.append(row)
         return row
@@ -92,16 +99,18 @@ class _Elements(HTMLParser):
             if tag not in _VOID:
                 self.skipping = [tag, 1]
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.open[at]["tag"]
-            if tag in _CLOSED_BY.get(name, ()):
-                self._close(at)
-                break
-            if name in _SCOPES:
-                break
+        if any(self.count.get(name) for name in _CLOSES.get(tag, ())):
+            for at in range(len(self.open) - 1, 0, -1):
+                name = self.open[at]["tag"]
+                if tag in _CLOSED_BY.get(name, ()):
+                    self._close(at)
+                    break
+                if name in _SCOPES:
+                    break
         row = self._add(tag, {k: v or "" for k, v in attrs})
         if tag not in _VOID:
             self.open.append(row)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         if tag not in _SKIP:
@@ -114,10 +123,11 @@ class _Elements(HTMLParser):
                 if not self.skipping[1]:
                     self.skipping = None
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at]["tag"] == tag:
-                self._close(at)
-                return
+        if self.count.get(tag):
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at]["tag"] == tag:
+                    self._close(at)
+                    return
 
     def handle_data(self, data):
         if not self.skipping:
@@ -126,6 +136,7 @@ class _Elements(HTMLParser):
     def _close(self, at):
         while len(self.open) > at:
             row = self.open.pop()
+            self.count[row["tag"]] = self.count.get(row["tag"], 0) - 1
             row["last_pos"] = len(self.rows) - 1
             if self.open:
                 parent = self.open[-1]

@@ -124,3 +124,16 @@ def test_rule_book(spark, nodes):
         A.audit(nodes, nodes, ["nope"])
     urls = spark.createDataFrame([(1, "https://x/")], "page_id BIGINT, url STRING")
     assert [r.issue for r in book.run(["nope"], urls, nodes).collect()] == ["unknown rule: nope"]
+
+
+def test_deep_nesting_is_bounded():
+    """Unclosed elements by the ten thousand: time stays linear, and paths as short as in a browser."""
+    import time
+
+    from sitegauge.sources import html as source
+    start = time.process_time()
+    rows = source._Elements().finish("<header>" + "<div>" * 50_000 + "x")
+    rows += source._Elements().finish("<b>" * 30_000 + "<p>a" * 2_000 + "</i>" * 30_000)
+    assert time.process_time() - start < 30 and len(rows) > 80_000
+    assert max(r["depth"] for r in rows) == 512 and max(len(r["xpath"]) for r in rows) < 5_000
+    assert rows[40_000]["region"] == "header"
