@@ -52,11 +52,6 @@ def noisy_or(weights: Column) -> Column:
                        lambda acc, w: acc + clamp01(w) - acc * clamp01(w))
 
 
-NOISY_OR_SQL = """CREATE OR REPLACE TEMPORARY FUNCTION noisy_or(weights ARRAY<DOUBLE>) RETURNS DOUBLE
-RETURN aggregate(array_sort(weights), 0D,
-  (acc, w) -> acc + greatest(0D, least(1D, w)) - acc * greatest(0D, least(1D, w)))"""
-
-
 def image_tokens(width: Column, height: Column) -> Column:
     tiles = F.ceil(width / 512) * F.ceil(height / 512)
     return F.when((width <= 0) | (height <= 0), IMAGE_TOKENS).otherwise(tiles * IMAGE_TOKENS + IMAGE_TOKENS).cast("bigint")

@@ -59,12 +59,14 @@ def element_metrics(elements: DataFrame) -> DataFrame:
                              "fold_coverage": _share(F.col("important_first"), F.col("important"))})
 
 
-def interval_union(ranges: DataFrame, width: int) -> DataFrame:
+def interval_union(ranges: DataFrame, width: int = 10_000) -> DataFrame:
     """Length covered by the ranges ``[start, stop)`` of a page.
 
-    A row adds what lies beyond the furthest stop of the rows before it; ``width`` cuts long pages.
+    Of ranges that start alike only the longest counts, so a page has no more rows than pixels, whatever its boxes. A row
+    adds what lies beyond the furthest stop of the rows before it; ``width`` cuts long pages.
     """
-    rows = chunks.running_max(ranges, ["page_id"], ["start", "stop"], [chunks.by_width(F.col("start"), width)],
+    longest = ranges.groupBy("page_id", "start").agg(F.max("stop").alias("stop"))
+    rows = chunks.running_max(longest, ["page_id"], ["start", "stop"], [chunks.by_width(F.col("start"), width)],
                               F.col("stop"), "_reach", inclusive=False)
     added = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("_reach", F.col("start"))))
     return rows.groupBy("page_id").agg(F.sum(added).alias("covered"))

@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions.lookup import count_true
 from ..plans import chunks
 from ..rules import steps as R
+from ..sources.tables import DERIVED_NODE_CHUNK
 
 # ---------------------------------------------------------------- viewport signals
 
@@ -148,13 +149,18 @@ def scroll_progress(scroll: Column, height: Column) -> Column:
 
 # ---------------------------------------------------------------- snapshots
 
-def merge_snapshots(nodes: DataFrame, chunk_height: int = 1_000_000) -> DataFrame:
-    """Union of the snapshots of a page: a path counts as first seen, nodes are placed by y and numbered again."""
+def merge_snapshots(nodes: DataFrame, chunk_height: int = 10_000, chunk_nodes: int = DERIVED_NODE_CHUNK) -> DataFrame:
+    """Union of the snapshots of a page: a path counts as first seen, nodes are placed by y and numbered again.
+
+    Long pages are cut by height; nodes without a box, which all come last, by snapshot and position."""
     first = nodes.groupBy("page_id", "xpath").agg(F.min_by(
         F.struct("snapshot", "doc_pos", "tag", "y", "is_visible", "keeps_index"), F.struct("snapshot", "doc_pos")).alias("n"))
     rows = first.select("page_id", "xpath", "n.*").withColumn("_y", F.coalesce("y", F.lit(2**40)))
     shown = rows.filter(F.col("is_visible") & F.col("keeps_index"))
-    numbered = chunks.row_index(shown, ["page_id"], ["_y", "snapshot", "doc_pos"], [chunks.by_width(F.col("_y"), chunk_height)], "_n")
+    boxless = F.col("y").isNull()
+    cut = [chunks.by_width(F.col("_y"), chunk_height), F.when(boxless, F.col("snapshot")).otherwise(0),
+           F.when(boxless, chunks.by_width(F.col("doc_pos"), chunk_nodes)).otherwise(0)]
+    numbered = chunks.row_index(shown, ["page_id"], ["_y", "snapshot", "doc_pos"], cut, "_n")
     rest = rows.filter(~(F.col("is_visible") & F.col("keeps_index"))).withColumn("_n", F.lit(None).cast("bigint"))
     return numbered.unionByName(rest).withColumn("idx", F.col("_n") - 1).drop("_n", "_y")
 

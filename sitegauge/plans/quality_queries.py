@@ -162,8 +162,8 @@ WITH r AS (SELECT page_id, start, stop, max(stop) OVER (PARTITION BY page_id ORD
  FROM (SELECT page_id, y AS start, y + h AS stop FROM boxes) b)
 SELECT page_id, sum(greatest(0, stop - greatest(start, coalesce(reach, start)))) AS covered FROM r GROUP BY page_id""", uses="boxes")
 def interval_union(t):
-    """Pixels of a page that its boxes cover. Cut every 1000 pixels, so that the derived pages have several chunks."""
-    return V.interval_union(t.boxes.select("page_id", F.col("y").alias("start"), (F.col("y") + F.col("h")).alias("stop")), 1000)
+    """Pixels of a page that its boxes cover."""
+    return V.interval_union(t.boxes.select("page_id", F.col("y").alias("start"), (F.col("y") + F.col("h")).alias("stop")))
 
 
 METRICS_SQL = f"""{HEIGHTS_SQL}, de AS ({DEDUPED_SQL}),
@@ -186,7 +186,7 @@ def page_facts(t):
 
 def metrics(t, capped=False):
     ranges = scanned(t).select("page_id", F.col("scroll_y").alias("start"), (F.col("scroll_y") + 800).alias("stop"))
-    covered = V.summed_lengths(ranges) if capped else V.interval_union(ranges, 1_000_000)
+    covered = V.summed_lengths(ranges) if capped else V.interval_union(ranges)
     rows = V.page_metrics(V.element_metrics(E.dedupe_boxes(t.boxes)), covered, page_facts(t), capped)
     return rows.join(page_facts(t).select("page_id", "price"), "page_id")
 
@@ -233,7 +233,7 @@ def snapshots(t):
 WITH {SNAP_SQL}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, xpath ORDER BY snapshot, doc_pos) AS r FROM sn) x WHERE r = 1)
 SELECT page_id, xpath, snapshot, tag, CASE WHEN is_visible AND keeps_index THEN row_number() OVER (PARTITION BY page_id, is_visible AND keeps_index ORDER BY y NULLS LAST, snapshot, doc_pos) - 1 END AS idx FROM f""", uses="nodes")
 def merge_snapshots(t):
-    return O.merge_snapshots(snapshots(t), 1000).select("page_id", "xpath", "snapshot", "tag", "idx")
+    return O.merge_snapshots(snapshots(t)).select("page_id", "xpath", "snapshot", "tag", "idx")
 
 
 @query("mark_new_nodes", f"WITH {SNAP_SQL} SELECT page_id, doc_pos, snapshot = min(snapshot) OVER (PARTITION BY page_id, xpath) AS is_new FROM sn", uses="nodes")
@@ -244,15 +244,15 @@ def mark_new_nodes(t):
 # ---------------------------------------------------------------- prices
 
 @query("reconcile_price", f"""
-WITH p AS (SELECT page_id % 500 AS page_id, max(jsonld_price) AS j FROM prices GROUP BY 1),
-v AS (SELECT page_id % 500 AS page_id, page_id AS seq, {PRICE_SQL.format('dom_price_text')} AS d FROM prices),
+WITH p AS (SELECT page_id // 4 AS page_id, max(jsonld_price) AS j FROM prices GROUP BY 1),
+v AS (SELECT page_id // 4 AS page_id, page_id AS seq, {PRICE_SQL.format('dom_price_text')} AS d FROM prices),
 a AS (SELECT page_id, any_value(j) AS j, arg_min(d, seq) FILTER (WHERE d IS NOT NULL) AS d, coalesce(bool_or({MATCH_SQL.format('j', 'd')}), FALSE) AS m FROM p JOIN v USING (page_id) GROUP BY page_id)
 SELECT page_id, j AS jsonld_price, d AS dom_price, CASE WHEN j IS NOT NULL AND d IS NOT NULL THEN 'both' WHEN j IS NOT NULL THEN 'structured' WHEN d IS NOT NULL THEN 'visible' ELSE 'none' END AS sources,
  CASE WHEN j IS NOT NULL AND d IS NOT NULL THEN CASE WHEN m THEN 'ok' ELSE 'critical' END WHEN j IS NULL AND d IS NULL THEN 'info' ELSE 'warning' END AS severity,
  CASE WHEN j IS NOT NULL AND d IS NOT NULL THEN m ELSE j IS NOT NULL OR d IS NOT NULL END AS matched, coalesce(j, d) AS selected FROM a""", uses="prices")
 def reconcile_price(t):
     """Several visible prices per page: parts whose keys agree modulo 500 stand for one page."""
-    rows = t.prices.select((F.col("page_id") % 500).alias("page_id"), F.col("page_id").alias("seq"), "jsonld_price",
+    rows = t.prices.select((F.floor(F.col("page_id") / 4)).alias("page_id"), F.col("page_id").alias("seq"), "jsonld_price",
                            N.parse_price(F.col("dom_price_text")).alias("price"))
     structured = rows.groupBy("page_id").agg(F.max("jsonld_price").alias("jsonld_price"))
     return O.reconcile_prices(structured, rows.select("page_id", "seq", "price"))

@@ -292,13 +292,12 @@ def aggregate_confidence(t):
 
 
 @query("noisy_or", """
-SELECT page_id, list_reduce(list_prepend(0.0::DOUBLE, list_sort(list(w))), lambda a, b: a + b - a * b) AS confidence
+SELECT page_id, round(1 - product(1 - w), 6) AS confidence
 FROM (SELECT DISTINCT page_id, confidence * 0.5 AS w FROM boxes) b GROUP BY page_id""", uses="boxes")
 def noisy_or(t):
-    """The SQL function over the distinct weights of a page; weights are steps of a hundredth, so arrays stay short."""
-    t.spark.sql(N.NOISY_OR_SQL)
+    """All distinct weights of a page together, to six places; the product is folded on the map side."""
     return t.boxes.select("page_id", (F.col("confidence") * 0.5).alias("w")).distinct().groupBy("page_id").agg(
-        F.expr("noisy_or(array_agg(w))").alias("confidence"))
+        F.round(1 - F.product(1 - F.col("w")), 6).alias("confidence"))
 
 
 @query("dom_prices", f"""
