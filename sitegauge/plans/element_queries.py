@@ -9,6 +9,7 @@ from ..rules import consent as RC
 from ..rules import elements as R
 from ..rules import pages as RP
 from ..sources.html import node_interactive
+from ..sources.shared import written
 from . import sqltext as Q
 from .catalog import query
 from .html_queries import COLLECTED_SQL, INTERACTIVE_SQL
@@ -286,6 +287,12 @@ def ui_noise(t):
     return C.ui_noise(t.nodes)
 
 
+@query("without_noise", "SELECT page_id, doc_pos FROM nodes WHERE NOT (" + " OR ".join(
+    Q.any_selector(s) for s in RC.NOISE_SELECTORS.values()) + ")", uses="nodes")
+def without_noise(t):
+    return C.without_noise(t.nodes).select("page_id", "doc_pos")
+
+
 BLANK, STAND_IN = "(tag = 'img' AND src_attr IN ('', 'about:blank'))", f"regexp_matches(src_attr, '{RC.PLACEHOLDER_SOURCE}')"
 
 
@@ -309,10 +316,11 @@ def blocking_overlay(t):
 def element_selector(t):
     from ..operators.evidence import element_selectors
     from ..sources.html import html_nodes
-    return element_selectors(html_nodes(t.pages)).select("page_id", "doc_pos", "selector")
+    nodes = written(html_nodes(t.pages).select("page_id", "doc_pos", "tag", "xpath", "attrs"))  # read three times below
+    return element_selectors(nodes).select("page_id", "doc_pos", "selector")
 
 
 @query("element_group")
 def element_group(t):
     from ..sources.html import html_nodes
-    return html_nodes(t.pages).groupBy("page_id", "group_name").agg(F.count("*").alias("nodes"))
+    return html_nodes(t.pages).select("page_id", "doc_pos", "group_name")

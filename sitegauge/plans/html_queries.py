@@ -9,6 +9,7 @@ from ..operators import structured as J
 from ..rules.elements import INTERACTIVE_ROLES, INTERACTIVE_TAGS, SKIP_TAGS
 from ..sources.html import html_nodes as parse_nodes
 from ..sources.html import node_interactive
+from ..sources.shared import written
 from ..sources.tables import DERIVED_NODE_CHUNK, NODE_CHUNK
 from . import sqltext as Q
 from .catalog import query
@@ -120,8 +121,7 @@ def html_nodes(t):
 
 @query("node_xpath")
 def node_xpath(t):
-    return parse_nodes(t.pages).groupBy("page_id").agg(
-        F.count("*").alias("nodes"), F.count_distinct("xpath").alias("paths"), F.max(F.length("xpath")).alias("longest"))
+    return parse_nodes(t.pages).select("page_id", "doc_pos", "xpath")
 
 
 @query("node_text", f"""
@@ -136,15 +136,13 @@ def node_text(t):
 
 @query("node_attrs")
 def node_attrs(t):
-    """Kept attributes of the parsed pages, counted per page and name."""
-    rows = parse_nodes(t.pages).select("page_id", F.explode(H.kept_attributes()).alias("name", "value"))
-    return rows.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.max(F.length("value")).alias("longest"))
+    """Kept attributes of each element of the parsed pages."""
+    return parse_nodes(t.pages).select("page_id", "doc_pos", F.explode(H.kept_attributes()).alias("name", "value"))
 
 
 @query("node_visible")
 def node_visible(t):
-    return parse_nodes(t.pages).groupBy("page_id", "tag").agg(
-        F.count_if("is_visible").alias("visible"), F.count_if(~F.col("is_visible")).alias("hidden"))
+    return parse_nodes(t.pages).select("page_id", "doc_pos", "tag", "is_visible")
 
 
 INTERACTIVE_SQL = f"(tag IN {Q.in_list(INTERACTIVE_TAGS)} OR role_attr IN {Q.in_list(INTERACTIVE_ROLES)} OR onclick_attr)"
@@ -222,7 +220,9 @@ def normalize_availability(t):
 
 @query("content_regions")
 def content_regions(t):
-    return H.content_regions(parse_nodes(t.pages)).groupBy("page_id", "region").agg(F.count("*").alias("nodes"))
+    """Region of each element. Nodes are joined with their page's main part, so the parsed pages are written once."""
+    nodes = written(parse_nodes(t.pages).select("page_id", "doc_pos", "last_pos", "tag", "attrs", "region"))
+    return H.content_regions(nodes).select("page_id", "doc_pos", "region", "in_main")
 
 
 COLLECTED_SQL = "(tag IN ('a', 'button', 'input', 'select', 'textarea') OR role_attr IN ('button', 'link'))"
@@ -242,7 +242,7 @@ SELECT page_id, doc_pos, row_number() OVER (PARTITION BY page_id ORDER BY doc_po
 FROM nodes WHERE is_visible AND (tag IN ('button', 'nav') OR """ + INTERACTIVE_SQL + ")", uses="nodes")
 def element_index(t):
     nodes = t.nodes.withColumn("element_type", F.when(F.col("tag").isin("button", "nav"), F.col("tag")))
-    rows = nodes.withColumn("is_interactive", node_interactive())
+    rows = nodes.select("page_id", "doc_pos", "is_visible", "element_type", node_interactive().alias("is_interactive"))
     return H.element_index(rows, by_width(F.col("doc_pos"), DERIVED_NODE_CHUNK)).select("page_id", "doc_pos", "idx")
 
 
@@ -254,6 +254,6 @@ def ax_outline(t):
 
 @query("serialize_nodes")
 def serialize_nodes(t):
-    """One line per indexed element of every page, in document order."""
-    rows = H.element_index(E.with_type(parse_nodes(t.pages)), by_width(F.col("doc_pos"), NODE_CHUNK))
+    """One line per indexed element of every page, in document order. Numbering reads twice, so the parsed pages are written."""
+    rows = H.element_index(written(E.with_type(parse_nodes(t.pages))), by_width(F.col("doc_pos"), NODE_CHUNK))
     return rows.select("page_id", "idx", E.node_line().alias("line"))
