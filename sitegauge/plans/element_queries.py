@@ -12,7 +12,7 @@ from ..sources.html import node_interactive
 from ..sources.shared import written
 from . import sqltext as Q
 from .catalog import query
-from .html_queries import COLLECTED_SQL, INTERACTIVE_SQL
+from .html_queries import COLLECTED_SQL, INTERACTIVE_SQL, TREE_SQL
 from .text_queries import S
 
 VIEWPORT = 800
@@ -320,7 +320,7 @@ def element_selector(t):
     return element_selectors(nodes).select("page_id", "doc_pos", "selector")
 
 
-@query("element_group")
+@query("element_group", f"WITH {TREE_SQL} SELECT page_id, CAST(doc_pos AS BIGINT) AS doc_pos, CASE WHEN contains(xpath, '/form') THEN 'form' ELSE '' END AS group_name FROM xp")
 def element_group(t):
     from ..sources.html import html_nodes
     return html_nodes(t.pages).select("page_id", "doc_pos", "group_name")

@@ -6,7 +6,8 @@ from ..functions import urls as U
 from ..operators import elements as E
 from ..operators import html as H
 from ..operators import structured as J
-from ..rules.elements import INTERACTIVE_ROLES, INTERACTIVE_TAGS, SKIP_TAGS
+from ..rules.elements import INTERACTIVE_ROLES, INTERACTIVE_TAGS, KEPT_ATTRIBUTES, SKIP_TAGS
+from ..sources.html import CLOSED_BY, SCOPES, VOID
 from ..sources.html import html_nodes as parse_nodes
 from ..sources.html import node_interactive
 from ..sources.shared import written
@@ -111,6 +112,35 @@ def page_text(t):
                        F.length("t").alias("chars"))
 
 
+def sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+# The tree of a page by replaying its tags on a stack: which elements are open, and at which position each started.
+CLOSERS = {}
+for _name, _tags in CLOSED_BY.items():
+    for _tag in sorted(_tags):
+        CLOSERS.setdefault(_tag, []).append(_name)
+CLOSERS_SQL = "MAP {" + ", ".join(f"'{k}': {sql_list(v)}" for k, v in sorted(CLOSERS.items())) + "}"
+PLAIN_SQL = "html"
+for _gone in ("<!--.*?-->", "<script\\b.*?</script>", "<style\\b.*?</style>", "<title\\b.*?</title>"):
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_gone}', '', 'gis')"
+TREE_SQL = f"""RECURSIVE tg AS (SELECT page_id, unnest(l) AS tag_text, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all({PLAIN_SQL}, '</?[a-zA-Z][^>]*>') AS l FROM pages) x),
+nm AS (SELECT *, lower(regexp_extract(tag_text, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, tag_text LIKE '</%' AS closes FROM tg),
+ev AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k, count_if(NOT closes) OVER (PARTITION BY page_id ORDER BY i) AS pos FROM nm WHERE tag NOT IN {Q.in_list(SKIP_TAGS + ['html', 'head', 'title', 'body', 'base'])}),
+st(page_id, k, tags, starts, pos, parent, tag, tag_text) AS (
+ SELECT page_id, 0::BIGINT, ['body'], [0::HUGEINT], 0::HUGEINT, NULL::HUGEINT, 'body', '<body>' FROM pages
+ UNION ALL SELECT page_id, k, CASE WHEN closes OR tag IN {Q.in_list(sorted(VOID))} THEN tags[1:keep] ELSE list_append(tags[1:keep], tag) END,
+  CASE WHEN closes OR tag IN {Q.in_list(sorted(VOID))} THEN starts[1:keep] ELSE list_append(starts[1:keep], pos) END, CASE WHEN NOT closes THEN pos END, starts[keep], tag, tag_text
+ FROM (SELECT e.*, s.tags, s.starts, CASE WHEN least_open > greatest(scope, 1) THEN least_open - 1 ELSE len(s.tags) END AS keep
+  FROM (SELECT s.*, e.tag AS t, e.closes AS c, coalesce(list_max(list_filter(range(2, len(s.tags) + 1), lambda j: CASE WHEN e.closes THEN s.tags[j] = e.tag ELSE list_contains(coalesce({CLOSERS_SQL}[e.tag], []), s.tags[j]) END)), 0) AS least_open,
+    CASE WHEN e.closes THEN 0 ELSE coalesce(list_max(list_filter(range(2, len(s.tags) + 1), lambda j: list_contains({sql_list(sorted(SCOPES))}, s.tags[j]))), 0) END AS scope
+   FROM st s JOIN ev e ON e.page_id = s.page_id AND e.k = s.k + 1) s JOIN ev e ON e.page_id = s.page_id AND e.k = s.k + 1) y),
+el AS (SELECT page_id, pos AS doc_pos, parent, tag, tag_text, row_number() OVER (PARTITION BY page_id, parent, tag ORDER BY pos) AS n FROM st WHERE pos IS NOT NULL),
+xp(page_id, doc_pos, xpath) AS (SELECT page_id, doc_pos, '/html/body' FROM el WHERE doc_pos = 0
+ UNION ALL SELECT el.page_id, el.doc_pos, xp.xpath || '/' || el.tag || CASE WHEN el.n > 1 THEN '[' || CAST(el.n AS VARCHAR) || ']' ELSE '' END FROM xp JOIN el ON el.page_id = xp.page_id AND el.parent = xp.doc_pos)"""
+
+
 @query("html_nodes")
 def html_nodes(t):
     """Every element of every page with its type."""
@@ -119,7 +149,7 @@ def html_nodes(t):
                         "is_interactive", "element_type", "type_confidence")
 
 
-@query("node_xpath")
+@query("node_xpath", f"WITH {TREE_SQL} SELECT page_id, CAST(doc_pos AS BIGINT) AS doc_pos, xpath FROM xp")
 def node_xpath(t):
     return parse_nodes(t.pages).select("page_id", "doc_pos", "xpath")
 
@@ -134,13 +164,18 @@ def node_text(t):
     return t.nodes.withColumn("raw_text", long).select("page_id", "doc_pos", text_of().alias("text"))
 
 
-@query("node_attrs")
+ATTRS_SQL = "regexp_extract_all(tag_text, '\\s([a-zA-Z-]+)=\"([^\"]*)\"', {0})".format
+
+
+@query("node_attrs", f"""
+WITH {TREE_SQL}, kept AS (SELECT page_id, doc_pos, unnest({ATTRS_SQL(1)}) AS name, unnest({ATTRS_SQL(2)}) AS value FROM el)
+SELECT page_id, CAST(doc_pos AS BIGINT) AS doc_pos, name, CASE WHEN length(value) > 100 THEN substr(value, 1, 100) || '...' ELSE value END AS value FROM kept WHERE value <> '' AND name IN {Q.in_list(KEPT_ATTRIBUTES)}""")
 def node_attrs(t):
     """Kept attributes of each element of the parsed pages."""
     return parse_nodes(t.pages).select("page_id", "doc_pos", F.explode(H.kept_attributes()).alias("name", "value"))
 
 
-@query("node_visible")
+@query("node_visible", f"""WITH {TREE_SQL} SELECT page_id, CAST(doc_pos AS BIGINT) AS doc_pos, tag, NOT regexp_matches(tag_text, '(?i)\\shidden|aria-hidden="true"|display\\s*:\\s*none') AS is_visible FROM el""")
 def node_visible(t):
     return parse_nodes(t.pages).select("page_id", "doc_pos", "tag", "is_visible")
 

@@ -24,22 +24,22 @@ from ..rules.elements import INTERACTIVE_ROLES, INTERACTIVE_TAGS, MAX_TEXT, SKIP
 # The parser travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OUTSIDE_BODY = frozenset("html head body title base".split())
 _SKIP = frozenset(SKIP_TAGS)
 # Elements whose end tag may be left out: a new element on the right closes an open one on the left.
-_CLOSED_BY = {
+CLOSED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr "
                    "main nav ol p pre section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
     "option": frozenset(["option", "optgroup"]), "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
 }
-_SCOPES = frozenset("table ul ol dl select form div section article body".split())
+SCOPES = frozenset("table ul ol dl select form div section article body".split())
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)|opacity\s*:\s*0(\.0+)?\s*(;|$)", re.I)
 _HIDING_ANCESTORS, _GROUP_ANCESTORS = 10, 5
 _CLOSES: dict[str, set] = {}
-for _name, _tags in _CLOSED_BY.items():
+for _name, _tags in CLOSED_BY.items():
     for _tag in _tags:
         _CLOSES.setdefault(_tag, set()).add(_name)
 # Elements nested deeper become siblings at this depth, as in browsers; so paths stay bounded.
@@ -96,19 +96,19 @@ class _Elements(HTMLParser):
                 self.skipping = [tag, 1]
             return
         if tag in _SKIP:
-            if tag not in _VOID:
+            if tag not in VOID:
                 self.skipping = [tag, 1]
             return
         if any(self.count.get(name) for name in _CLOSES.get(tag, ())):
             for at in range(len(self.open) - 1, 0, -1):
                 name = self.open[at]["tag"]
-                if tag in _CLOSED_BY.get(name, ()):
+                if tag in CLOSED_BY.get(name, ()):
                     self._close(at)
                     break
-                if name in _SCOPES:
+                if name in SCOPES:
                     break
         row = self._add(tag, {k: v or "" for k, v in attrs})
-        if tag not in _VOID:
+        if tag not in VOID:
             self.open.append(row)
             self.count[tag] = self.count.get(tag, 0) + 1
 
