@@ -71,12 +71,12 @@ def test_types(spark):
 
 
 INSIGHT = ("page_id BIGINT, seq BIGINT, severity STRING, category STRING, type STRING, element STRING, issue STRING, recommendation STRING,"
-           " heuristic_id STRING, confidence DOUBLE, source STRING, evidence_text STRING, evidence_selector STRING")
+           " heuristic_id STRING, confidence DOUBLE, source STRING, evidence_text STRING, evidence_selector STRING, evidence_screenshot STRING")
 
 
 def insights(spark, rows):
     base = dict(page_id=1, severity="high", category="cta", type="t", element="/e", issue="Long enough issue", recommendation="Long enough",
-                heuristic_id=None, confidence=None, source="tool", evidence_text=None, evidence_selector=None)
+                heuristic_id=None, confidence=None, source="tool", evidence_text=None, evidence_selector=None, evidence_screenshot=None)
     names = [c.split()[0] for c in INSIGHT.split(",")]
     return spark.createDataFrame([tuple({**base, "seq": i, **r}[n] for n in names) for i, r in enumerate(rows)], INSIGHT)
 
@@ -94,21 +94,16 @@ def fold(texts):
 @pytest.mark.parametrize("texts", [["a"], ["a", "a"], ["a", "b", "a"], ["a", "a", "b", "b", "a"], [None, "x", None, "x", "y"], [None],
                                    ["a", "b", "a | b", "b"]])
 def test_evidence_is_folded_in_order(spark, texts):
-    got = I.dedupe_insights(insights(spark, [{"evidence_text": t} for t in texts])).collect()
-    assert len(got) == 1 and got[0].evidence_text == fold(texts) and got[0].merged == len(texts)
-
-
-def test_long_evidence_goes_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(I, "PART_TEXTS", 4)
-    texts = [f"t{i}" for i in range(10)]
-    got = sorted(I.dedupe_insights(insights(spark, [{"evidence_text": t} for t in texts])).collect(), key=lambda r: r.part)
-    assert " | ".join(r.evidence_text for r in got) == fold(texts) and len(got) == 3
+    rows = insights(spark, [{"evidence_text": t} for t in texts])
+    got = I.dedupe_insights(rows).collect()
+    assert len(got) == 1 and got[0].merged == len(texts)
+    assert (" | ".join(r.text for r in I.evidence_texts(rows).orderBy("seq").collect()) or None) == fold(texts)
 
 
 def test_dedupe_is_idempotent(spark):
     rows = insights(spark, [{"type": "A "}, {"type": "a"}, {"heuristic_id": "PDP-CTA-001"}, {"heuristic_id": "PDP-CTA-001", "element": "/x"}])
     once = I.dedupe_insights(rows)
-    assert once.count() == 2 and I.dedupe_insights(once.drop("dedupe_key", "part", "merged")).count() == 2
+    assert once.count() == 2 and I.dedupe_insights(once.drop("dedupe_key", "merged")).count() == 2
 
 
 def test_styles_later_wins(spark):
