@@ -222,20 +222,19 @@ def homepage_override(t):
     return P.homepage_override(P.product_score(product_facts(t))).select("page_id", "page_type", "confidence")
 
 
-@query("combine_page_type", """
-WITH v AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdp' WHEN 1 THEN 'cart' WHEN 2 THEN 'plp' ELSE 'other' END AS ta, CAST(page_id % 20 AS DOUBLE) / 20 AS ca,
- CASE page_id % 3 WHEN 0 THEN 'pdp' WHEN 1 THEN 'cart' ELSE 'other' END AS tb, CAST(page_id % 11 AS DOUBLE) / 11 AS cb FROM urls),
-m AS (SELECT *, ca * 0.7 >= cb * 0.3 AS f FROM (SELECT page_id, ta, tb, ca, cb FROM v) x),
+@query("combine_page_type", f"""
+WITH a AS ({FACTS_SQL} SELECT page_id, page_type AS ta, CAST(confidence AS DOUBLE) AS ca FROM pdp),
+b AS (SELECT page_id, page_type AS tb, CAST(confidence AS DOUBLE) AS cb FROM ({PAGE_TYPE_SQL}) x),
+m AS (SELECT *, ca * 0.7::DOUBLE >= cb * 0.3::DOUBLE AS f FROM a JOIN b USING (page_id)),
 c AS (SELECT *, CASE WHEN ta = tb THEN least(1.0::DOUBLE, ca * 0.7::DOUBLE + cb * 0.3::DOUBLE + 0.1::DOUBLE) WHEN f THEN greatest(0.3::DOUBLE, ca - 0.15::DOUBLE) ELSE greatest(0.3::DOUBLE, cb - 0.15::DOUBLE) END AS bl FROM m)
-SELECT page_id, CASE WHEN ca >= 0.7 OR ta = tb OR f THEN ta ELSE tb END AS page_type, CASE WHEN ca >= 0.7 THEN ca ELSE bl END AS confidence,
- CASE WHEN ca >= 0.7 THEN 'product' ELSE 'combined' END AS tier, ca < 0.7 AND bl < 0.6 AS review FROM c""", uses="urls")
+SELECT page_id, CASE WHEN ca >= 0.7::DOUBLE OR ta = tb OR f THEN ta ELSE tb END AS page_type, CASE WHEN ca >= 0.7::DOUBLE THEN ca ELSE bl END AS confidence,
+ CASE WHEN ca >= 0.7::DOUBLE THEN 'product' ELSE 'combined' END AS tier, ca < 0.7::DOUBLE AND bl < 0.6::DOUBLE AS review FROM c""", uses="urls nodes")
 def combine_page_type(t):
-    p = F.col("page_id")
-    ta = F.when(p % 4 == 0, "pdp").when(p % 4 == 1, "cart").when(p % 4 == 2, "plp").otherwise("other")
-    tb = F.when(p % 3 == 0, "pdp").when(p % 3 == 1, "cart").otherwise("other")
-    rows = t.urls.select("page_id", ta.alias("ta"), (p % 20 / 20).alias("ca"), tb.alias("tb"), (p % 11 / 11).alias("cb"))
+    """The product detector's verdict on each page together with that of the rules."""
+    product = P.product_score(product_facts(t)).select("page_id", F.col("page_type").alias("ta"), F.col("confidence").alias("ca"))
+    rules = P.page_type(t.urls, t.nodes).select("page_id", F.col("page_type").alias("tb"), F.col("confidence").alias("cb"))
     out = P.combine_page_type((F.col("ta"), F.col("ca")), (F.col("tb"), F.col("cb")))
-    return rows.select("page_id", *[c.alias(n) for n, c in out.items()])
+    return product.join(rules, "page_id").select("page_id", *[c.alias(n) for n, c in out.items()])
 
 
 JSON_SQL = "nullif(regexp_extract(response, '(?s)(\\{.*\\})', 1), '')"
