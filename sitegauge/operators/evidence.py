@@ -112,3 +112,18 @@ def extraction_quality(metrics: DataFrame) -> DataFrame:
         "quality": F.greatest(F.lit(0), F.least(F.lit(100), N.half_up(100 - lost))).cast("bigint"),
         "meets": ~(low["boxes"] | low["coverage"] | low["fold"]),
         "issues": F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in issues.items()])), ",")})
+
+
+def metrics_text() -> Column:
+    """Metrics of a page in words: the element types it has, coverage in whole percent, structured data, warnings."""
+    def percent(name):
+        return F.concat(F.floor(F.col(name) * 100 + 0.5).cast("string"), F.lit("%"))
+
+    kinds = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col(f"n_{k}") > 0, F.concat(F.lit(f"{k} "), F.col(f"n_{k}").cast("string"))) for k in ELEMENT_TYPES])), ", ")
+    return F.concat_ws(
+        "\n", F.concat(F.lit("Elements: "), F.when(kinds == "", "none").otherwise(kinds)),
+        F.concat(F.lit("Coverage: boxes "), percent("box_coverage"), F.lit(", screenshots "), percent("page_coverage"),
+                 F.lit(", above fold "), percent("fold_coverage")),
+        F.concat(F.lit("Structured data: "), F.when(F.col("has_structured"), "yes").otherwise("no")),
+        F.concat(F.lit("Warnings: "), F.size("warnings").cast("string")))

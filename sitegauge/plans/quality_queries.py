@@ -220,6 +220,21 @@ def extraction_quality(t):
     return V.extraction_quality(rows).select("page_id", "quality", "meets", "issues")
 
 
+def percent_sql(name):
+    return f"CAST(CAST(floor({name} * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%'"
+
+
+KINDS_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN n_{k} > 0 THEN '{k} ' || CAST(n_{k} AS VARCHAR) END" for k in RE.ELEMENT_TYPES) + ")"
+
+
+@query("metrics_summaries", f"""
+WITH {METRICS_SQL}, {WARNINGS_SQL} SELECT page_id, concat_ws(chr(10), 'Elements: ' || coalesce(nullif({KINDS_SQL}, ''), 'none'),
+ 'Coverage: boxes ' || {percent_sql('box_coverage')} || ', screenshots ' || {percent_sql('page_coverage')} || ', above fold ' || {percent_sql('fold_coverage')},
+ 'Structured data: ' || CASE WHEN has_structured THEN 'yes' ELSE 'no' END, 'Warnings: ' || CAST(len(warnings) AS VARCHAR)) AS text FROM pw""", uses="viewports boxes")
+def metrics_summaries(t):
+    return V.warnings(metrics(t)).select("page_id", V.metrics_text().alias("text"))
+
+
 # ---------------------------------------------------------------- snapshots
 
 SNAP_SQL = "sn AS (SELECT *, form_id AS snapshot, tag IN ('button', 'a', 'input', 'nav') AS keeps_index FROM nodes)"
