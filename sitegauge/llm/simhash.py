@@ -265,8 +265,12 @@ def deduplicated(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str =
     """One row of ``docs`` of each component: the one with the smallest id, null last (of such, the least text hash)."""
     rows = near_duplicates(docs, width, budget, id_col, text_col)
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
-    own, key, text_hash = common.fresh(docs, "own", "key", "hash")
-    kept = written(first.select(F.col("x.doc_id").alias(key), F.col("x.text_hash").alias(text_hash)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(text_hash))
-    return (docs.withColumn(own, F.xxhash64(common.whole(text_col))).join(kept, same, "left_semi")
-            .dropDuplicates([id_col, own]).drop(own))
+    key, kind = common.fresh(docs, "key", "kind")
+
+    def keys(doc_id, text_hash) -> dict:
+        """Without nulls, so that the join and the removal of repeated rows share one shuffle of the texts."""
+        return {key: F.coalesce(doc_id, F.lit(0)), kind: F.xxhash64(text_hash, doc_id.isNull())}
+
+    kept = first.select("x.*").withColumns(keys(F.col("doc_id"), F.col("text_hash"))).select(key, kind)
+    rows = docs.withColumns(keys(F.col(id_col).cast("long"), F.xxhash64(common.whole(text_col))))
+    return rows.dropDuplicates([key, kind]).join(written(kept), [key, kind], "left_semi").drop(key, kind)
