@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -45,6 +48,25 @@ def uniform(*keys: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(2 ** 53))
 
 
+_shipped: set[str] = set()
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose tasks can import this package: its files go to the executors once per application.
+
+    Modules, and with them what a worker remembers (token ids), so live as long as the worker, not just one task."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = f"{tempfile.mkdtemp(prefix='sitegauge-code-')}/sitegauge.zip"  # the driver serves it to the executors
+        with zipfile.ZipFile(archive, "w") as files:
+            for module in sorted(package.rglob("*.py")):
+                files.write(module, module.relative_to(package.parent))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+
 # Tags by their part in a page.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -229,4 +231,4 @@ def main_texts(pages: DataFrame, labelled: list[tuple] = LABELLED, id_col: str =
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     rows = pages.selectExpr(f"cast(`{id_col}` AS long) AS page_id", f"`{url_col}` AS url", f"`{html_col}` AS html")
-    return rows.mapInArrow(extract, "page_id long, url string, text string")
+    return map_batches(rows, extract, "page_id long, url string, text string")

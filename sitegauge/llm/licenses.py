@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 THRESHOLD = 0.8
 MOST_TEMPLATES = 10_000
 SEPARATORS = bytes(b if 0x61 <= b <= 0x7A or 0x30 <= b <= 0x39 or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32
@@ -79,7 +81,7 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()),
                                               pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    rows = map_batches(docs.select(F.col(text_col).alias("text")), count, "word string, n long")
     return {r["word"].encode(): r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -173,4 +175,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                                              ["doc_id", "n_words", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(search, f"doc_id long, n_words long, spans {SPANS}")
+    return map_batches(rows, search, f"doc_id long, n_words long, spans {SPANS}")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, gru
-from .common import written
+from .common import map_batches, written
 
 FOLDS, HELD_OUT = 7, 2
 BUCKETS = 256
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [names.cast(pa.string()), found.field(1), pa.array(buckets(names), pa.int32())], ["word", "n", "bucket"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long, bucket int")
+    rows = map_batches(docs.select(F.col(text_col).alias("text")), count, "word string, n long, bucket int")
     return written(rows.groupBy("word", "bucket").agg(F.sum("n").alias("n")))
 
 
@@ -147,7 +147,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
     small = _Slots(vocabulary)
     for turn in range(rounds):
         share = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
-        models = written(share.select("text").mapInArrow(_trainer(flat, small), "weight double, flat binary"))
+        models = written(map_batches(share.select("text"), _trainer(flat, small), "weight double, flat binary"))
         flat = mean(models, flat)
     return flat
 
@@ -193,7 +193,7 @@ def mean(models: DataFrame, otherwise: np.ndarray) -> np.ndarray:
     n = models.count()
     while n > 1:
         n = -(-n // FAN_IN)
-        models = written(models.repartition(n).mapInArrow(add, "weight double, flat binary"))
+        models = written(map_batches(models.repartition(n), add, "weight double, flat binary"))
     rows = models.select("flat").collect()
     return np.frombuffer(bytes(rows[0][0]), "<f8").astype(np.float32) if rows else otherwise
 
@@ -249,7 +249,7 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
     counts = word_counts(training)
     vocabulary = Vocabulary(counts, training.count())
     flat = train(training, vocabulary, rounds)
-    parts = written(rows.mapInArrow(_scorer(flat, vocabulary), PARTS))
+    parts = written(map_batches(rows, _scorer(flat, vocabulary), PARTS))
     rest = parts.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     more = rest.join(counts.select("word", "n"), "word").groupBy("row").agg(
         F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))

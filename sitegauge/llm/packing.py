@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .common import written
+from .common import map_batches, written
 from .tokens import coder
 
 CAPACITY = 2048
@@ -60,7 +60,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             yield _batch(rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.whole(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return map_batches(rows, cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -191,8 +191,8 @@ def _evolved(rows: DataFrame, capacity: int, level: int, epoch: int) -> DataFram
                     schema=pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("bins", pa.list_(pa.int32())),
                                       ("used", pa.int32()), ("fitness", pa.float64())]))
 
-    return written(rows.select("cell", "island", "lengths", "elites").mapInArrow(
-        run, "cell long, island int, bins array<int>, used int, fitness double"))
+    return written(map_batches(
+        rows.select("cell", "island", "lengths", "elites"), run, "cell long, island int, bins array<int>, used int, fitness double"))
 
 
 def _best(items: DataFrame, n_cells: int, capacity: int, level: int) -> DataFrame:

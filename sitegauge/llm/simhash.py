@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import written
+from .common import map_batches, written
 
 SEED = 42
 BLOCK, BLOCKS = 16, 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(common.whole(text)).alias("text_hash"),
                        text.alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, text_hash long, fingerprint long")
+    return map_batches(rows, hashed, "doc_id long, text_hash long, fingerprint long")
 
 
 def _compress(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def _walked(tables: list[DataFrame], budget: int) -> DataFrame:
         if kept is not None:
             yield from _chunk(kept, budget)
 
-    return dealt.select(*key, "side", "bits").mapInArrow(walk, "a long, b long")
+    return map_batches(dealt.select(*key, "side", "bits"), walk, "a long, b long")
 
 
 def _chunk(rows: np.ndarray, budget: int) -> Iterator[pa.RecordBatch]:

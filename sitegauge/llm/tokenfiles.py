@@ -72,7 +72,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         yield pa.RecordBatch.from_pylist(
             [{"part": part, "n_docs": n_docs, "n_tokens": at, "width": 2 if small else 4}], schema=PART)
 
-    parts = common.written(dealt.mapInArrow(write, "part long, n_docs long, n_tokens long, width int"))
+    parts = common.written(common.map_batches(dealt, write, "part long, n_docs long, n_tokens long, width int"))
     base = F.sum("n_tokens").over(W.orderBy("part")) - F.col("n_tokens")  # one row per part
     parts.where("n_docs > 0").withColumn("base", base).write.mode("overwrite").parquet(f"{folder}/manifest")
 
@@ -107,4 +107,4 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                             .cast(pa.binary())], ["doc_id", "start", "ids"])
 
     dealt = manifest.repartition(common.shuffle_partitions(manifest), "part")
-    return dealt.mapInArrow(read, "doc_id long, start long, ids binary")
+    return common.map_batches(dealt, read, "doc_id long, start long, ids binary")
