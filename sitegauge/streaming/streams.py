@@ -11,10 +11,8 @@ they come from, so the latest value of a key is the one of its last batch.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +20,6 @@ from ..functions import urls as U
 from ..operators import html as H
 from ..sources.shared import shared_folder
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # How late a row of a live stream may come, and the width of the windows that hold a key's state.
 DELAY = "10 minutes"
 STATE_WINDOW = "1 day"
