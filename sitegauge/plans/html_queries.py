@@ -253,7 +253,14 @@ def normalize_availability(t):
     return t.prices.select("page_id", J.normalize_availability(F.col("jsonld_availability")).alias("availability"))
 
 
-@query("content_regions")
+@query("content_regions", f"""
+WITH {TREE_SQL}, up AS (SELECT xp.*, el.tag, list_filter(string_split(regexp_replace(p.xpath, '\\[\\d+\\]', '', 'g'), '/'), lambda x: x IN ('nav', 'header', 'footer')) AS l
+ FROM xp JOIN el USING (page_id, doc_pos) LEFT JOIN xp p ON p.page_id = el.page_id AND p.doc_pos = el.parent),
+dv AS (SELECT d.page_id, d.doc_pos, d.xpath, count(*) AS size FROM up d JOIN xp e ON e.page_id = d.page_id AND starts_with(e.xpath, d.xpath || '/') WHERE d.tag = 'div' GROUP BY ALL),
+mn AS (SELECT page_id, coalesce(arg_min(xpath, doc_pos) FILTER (WHERE tag = 'main'), any_value(big)) AS main FROM up
+ LEFT JOIN (SELECT page_id, arg_max(xpath, size * 1000000 - doc_pos) AS big FROM dv GROUP BY page_id) b USING (page_id) GROUP BY page_id),
+ins AS (SELECT up.*, coalesce(xpath = main OR starts_with(xpath, main || '/'), FALSE) AS in_main FROM up JOIN mn USING (page_id))
+SELECT page_id, CAST(doc_pos AS BIGINT) AS doc_pos, in_main, CASE WHEN len(l) > 0 THEN CASE WHEN l[-1] = 'footer' THEN 'footer' ELSE 'header' END WHEN in_main THEN 'main' ELSE 'unknown' END AS region FROM ins""")
 def content_regions(t):
     """Region of each element. Nodes are joined with their page's main part, so the parsed pages are written once."""
     nodes = written(parse_nodes(t.pages).select("page_id", "doc_pos", "last_pos", "tag", "attrs", "region"))
