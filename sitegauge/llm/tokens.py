@@ -10,7 +10,9 @@ equal ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,32 +47,36 @@ class Coder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces; letters and the marks after them are encoded apart."""
-        known, fresh, parts = self.known, {}, []
-        for piece in pieces:
-            if piece in known:
-                continue
+        known = self.known
+        got = list(map(known.get, pieces))
+        missing = [i for i, ids in enumerate(got) if ids is None]
+        split, fresh = [], {}
+        for i in missing:
+            piece = pieces[i]
             stem = piece.rstrip(MARKS)
             if len(stem) < len(piece) and stem[-1:].isalpha() and stem.lstrip(" ").isalpha():
                 tail = piece[len(stem):]
-                parts.append((piece, stem, tail))
-                for x in (stem, tail):
-                    if x not in known:
-                        fresh[x] = None
+                split.append((i, stem, tail))
+                if stem not in known:
+                    fresh[stem] = b""
+                if tail not in known:
+                    fresh[tail] = b""
             else:
-                fresh[piece] = None
+                fresh[piece] = b""
         names = list(fresh)
         fresh = dict(zip(names, self._library(names), strict=True))
-        for piece, stem, tail in parts:
-            fresh[piece] = (known.get(stem) or fresh[stem]) + (known.get(tail) or fresh[tail])
-        got = [known[x] if x in known else fresh[x] for x in pieces]
-        for x, ids in fresh.items():
-            if len(known) >= REMEMBERED:
-                break
-            known[x] = ids
+        both = fresh if not split else {**fresh}
+        for i, stem, tail in split:
+            both[pieces[i]] = (known.get(stem) or fresh[stem]) + (known.get(tail) or fresh[tail])
+        for i in missing:
+            got[i] = both[pieces[i]]
+        room = REMEMBERED - len(known)
+        if room > 0:
+            known.update(both if len(both) <= room else islice(both.items(), room))
         return got
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -110,7 +116,7 @@ class Coder:
         # One more piece is the line break; it stands before the first piece of each but the first line of a text.
         flat = np.concatenate([np.frombuffer(b"".join(ids), "<u4"), self.newline])
         length = np.zeros(2 * n + 1, np.int64)
-        length[wanted] = [len(x) // 4 for x in ids]
+        length[wanted] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.zeros(2 * n + 1, np.int64)
         begin[wanted] = np.cumsum(length[wanted]) - length[wanted]
         length[2 * n], begin[2 * n] = len(self.newline), len(flat) - len(self.newline)
