@@ -263,7 +263,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 3, id_col: st
 def deduplicated(docs: DataFrame, width: int = 3, budget: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """One row of ``docs`` of each component: the one with the smallest id, null last (of such, the least text hash)."""
-    rows = near_duplicates(docs, width, budget, id_col, text_col)
+    return one_of_each(docs, near_duplicates(docs, width, budget, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``docs`` of each class of ``rows`` (doc_id, text_hash, class)."""
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
     key, kind = common.fresh(docs, "key", "kind")
 
