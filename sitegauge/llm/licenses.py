@@ -4,13 +4,14 @@ Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII. Two th
 
 * places where a phrase's words stand consecutively (exact), and
 * text blocks that contain at least ``THRESHOLD`` of a template's different words. A template of t words is looked for in
-  blocks of 2t words, one every t words (and one for a shorter text), so every stretch of t words lies in a block.
+  every block of 2t words, whatever word it starts at.
 
 The search is an exact set-similarity join with a containment threshold. All template words are ordered by their frequency
 over all documents (counted first, in one pass that sends one number per template word and batch), rarest first.
 A template with n different words must share o = ceil(THRESHOLD * n) of them with a block, so the block holds one of the
-template's first n - o + 1 words (prefix filter), has at least o different words (length filter), and, from
-the shared prefix word on, both have enough words left to reach o (positional filter). What passes is counted exactly.
+template's first n - o + 1 words (prefix filter). The blocks around such words make up stretches; one with less than o
+of the template's words is left out (length filter), and over the others a window slides with the count of each shared word.
+A block that starts at no shared word holds no more of them than the one at the next, so only those are looked at.
 
 The templates are the query set; they are a parameter that every task holds, at most ``MOST_TEMPLATES``. Documents are
 scanned where they lie and never shuffled.
@@ -91,7 +92,7 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
         self.threshold = threshold
         self.sizes, self.labels, self.sets, self.needed = [], [], [], []
-        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
+        self.prefixes: dict[bytes, list[int]] = {}
         vocabulary = {w for text, _ in templates for w in words(text.encode())}
         #: Place of each template word in the order by frequency, rarest first.
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
@@ -103,44 +104,60 @@ class Templates:
             self.labels.append(label)
             self.sets.append(frozenset(ordered))
             self.needed.append(needed)
-            for place, word in enumerate(ordered[:len(ordered) - needed + 1]):
-                self.prefixes.setdefault(word, []).append((number, place))
+            for word in ordered[:len(ordered) - needed + 1]:
+                self.prefixes.setdefault(word, []).append(number)
 
     def search(self, found: list[bytes]) -> list[dict]:
-        """Blocks that meet the threshold of a template; of overlapping ones of a template, the first of the best."""
+        """Blocks that meet the threshold of a template; of overlapping ones of a template, the first of the best (of
+        equally good ones the shortest). A block ends where it first holds all the template's words that it has."""
         if self.prefixes.keys().isdisjoint(found):
             return []
-        candidates: dict[tuple[int, int], int] = {}
+        stretches: dict[int, list[list[int]]] = {}
         for at, word in enumerate(found):
-            for number, place in self.prefixes.get(word, ()):
-                size = self.sizes[number]
-                for block in range(max(0, at // size - 1), at // size + 1):
-                    key = (number, block)
-                    candidates[key] = min(place, candidates.get(key, place))
+            for number in self.prefixes.get(word, ()):
+                wide, own = 2 * self.sizes[number], stretches.setdefault(number, [])
+                if own and at - wide < own[-1][1]:
+                    own[-1][1] = at + wide
+                else:
+                    own.append([max(0, at - wide + 1), at + wide])
         hits: list[dict] = []
-        for (number, block), place in sorted(candidates.items()):
-            size, own, needed = self.sizes[number], self.sets[number], self.needed[number]
-            here = found[block * size:(block + 2) * size]
-            different = set(here)
-            # Length filter; positional filter with the rarest shared prefix word: what is left on both sides.
-            if len(different) < needed or len(own) - place < needed:
-                continue
-            rarest = min((self.rank[w] for w in different if w in own), default=0)
-            if sum(self.rank.get(w, -1) >= rarest for w in different) < needed:
-                continue
-            shared = different & own
-            if len(shared) < needed:
-                continue
-            places = [i for i, w in enumerate(here) if w in shared]
-            hit = {"label": self.labels[number], "first": block * size + places[0], "last": block * size + places[-1],
-                   "containment": len(shared) / len(own), "exact": False}
-            if hits and hits[-1]["label"] == hit["label"] and hit["first"] <= hits[-1]["last"]:
-                if hit["containment"] > hits[-1]["containment"]:
-                    hits[-1] = hit
-            else:
-                hits.append(hit)
+        for number in sorted(stretches):
+            own, needed, best = self.sets[number], self.needed[number], []
+            for low, high in stretches[number]:
+                if len(own.intersection(found[low:high])) < needed:
+                    continue
+                for first, last, shared in self._blocks(found, number, low, high):
+                    hit = {"label": self.labels[number], "first": first, "last": last,
+                           "containment": shared / len(own), "exact": False}
+                    if not best or first > best[-1]["last"]:
+                        best.append(hit)
+                    elif (hit["containment"], first - last) > (best[-1]["containment"], best[-1]["first"] - best[-1]["last"]):
+                        best[-1] = hit
+            hits += best
         return hits
 
+    def _blocks(self, found: list[bytes], number: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+        """(first, last, shared words) of each block over the threshold that starts at a shared word from low to high."""
+        own, needed, wide = self.sets[number], self.needed[number], 2 * self.sizes[number]
+        places = [i for i in range(low, min(high, len(found))) if found[i] in own]
+        counts: Counter[bytes] = Counter()
+        shared = end = 0
+        for k, first in enumerate(places):
+            while end < len(places) and places[end] < first + wide:
+                word = found[places[end]]
+                shared += not counts[word]
+                counts[word] += 1
+                end += 1
+            if shared >= needed:
+                seen = set()
+                for last in places[k:end]:
+                    seen.add(found[last])
+                    if len(seen) == shared:
+                        break
+                yield first, last, shared
+            counts[found[first]] -= 1
+            shared -= not counts[found[first]]
+
 
 def phrase_places(found: list[bytes], phrases: list[tuple[bytes, str]]) -> list[dict]:
     """Each place where a phrase's words stand one after the other, overlapping ones too."""

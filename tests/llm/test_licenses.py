@@ -69,6 +69,36 @@ def test_every_block_over_the_threshold_is_found(spark, threshold):
             assert s.containment >= threshold - 1e-9 and 0 <= s.first <= s.last < len(plain_words(text))
 
 
+def plain_windows(text, templates, threshold):
+    """Labels that meet the threshold in a block of 2t words at any start."""
+    found = plain_words(text)
+    return {label for t, label in templates for size in [len(t.split())] for at in range(len(found))
+            if len(set(t.split()) & set(found[at:at + 2 * size])) >= threshold * len(set(t.split())) - 1e-9}
+
+
+SPREAD = "this work is except where otherwise noted licensed under the terms of the gnu general public license version 3"
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_blocks_at_every_start(spark, threshold):
+    """What stands before a notice does not change whether it is found."""
+    rows = [(k, f"{'x ' * k}{SPREAD}{' y' * (k % 7)}", "s") for k in range(40)]
+    rows += [(100 + i, t, s) for i, t, s in licensed_rows()]
+    found = licenses.scan(documents(spark, rows), threshold=threshold, phrases=[]).collect()
+    texts = {i: t for i, t, _ in rows}
+    for r in found:
+        assert {s.label for s in r.spans} == plain_windows(texts[r.doc_id], licenses.TEMPLATES, threshold)
+        if r.doc_id < 40:
+            gpl = [s for s in r.spans if s.label == "gpl-3"]
+            assert [(s.first, s.last, s.containment) for s in gpl] == [(r.doc_id, r.doc_id + 18, 1.0)]
+
+
+def test_two_notices_side_by_side(spark):
+    notice = licenses.TEMPLATES[2][0]
+    rows = licenses.scan(documents(spark, [(1, f"{notice} {notice}", "s")]), templates=[licenses.TEMPLATES[2]]).collect()
+    assert [(s.first, s.last) for s in rows[0].spans] == [(0, 11), (12, 23)]
+
+
 def test_phrases_overlap(spark):
     docs = documents(spark, [(1, "CC BY-NC by nc; cc by nc cc. By NC", "s"), (2, "xcc by nc", "s"), (3, "cc by ncé", "s")])
     rows = {r.doc_id: [s.first for s in r.spans if s.exact] for r in licenses.scan(docs).collect()}
