@@ -2,8 +2,9 @@
 
 A page is cut into flat blocks at block-level tags. A block is described by its number of words and its link density
 (the share of its words inside links), the same of the blocks before and after it, whether it is a heading, and whether
-it stands in an article or in an element marked as something else (menu, header, footer, sidebar, form, notice, advert,
-comments). A decision tree, trained here on the small labelled table below, tells which blocks are main text; they are
+it stands in an article or in an element marked as something else: surely (menu, footer, form, advert, comments) or perhaps (a
+name such as header, sidebar, share, notice, which also stands on wrappers of whole pages). An article ends the second kind
+of mark, a main element every mark but ``hidden``. A decision tree, trained here on the small labelled table below, tells which blocks are main text; they are
 joined in page order. Scripts, styles, head, markup comments and form controls never make blocks.
 
 The parser keeps one small record per open element and passes over a page once, so time grows with the page's length
@@ -37,15 +38,29 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 OTHER_TAGS = frozenset("nav footer aside form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-# Words of a class or id that mark an element as something else than the article.
-OTHER_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|advertisement|adverts|advertising|banner|breadcrumbs?|comments?|consent|cookies?|discuss"
-    r"|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification"
-    r"|paywall|popup|promo|promoted|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor|sponsored"
-    r"|subscribe|toolbar|widget)(?:$|[-_\s])", re.IGNORECASE)
+# Words of a class or id that mark an element as something else than the article, and those that only may.
+SURE_NAMES, LOOSE_NAMES = (re.compile(rf"(?:^|[-_])(?:{x})(?:$|[-_])", re.IGNORECASE) for x in (
+    r"ad|ads|advert|advertisement|adverts|advertising|breadcrumbs?|comments?|consent|cookies?|discuss"
+    r"|disqus|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notification"
+    r"|paywall|popup|related|replies|reply|respond|signup|sponsor|sponsored|subscribe|toolbar",
+    r"banner|header|masthead|notices?|promo|promoted|share|sharing|sidebar|social"))
+# Names that tell of a page's layout, or of the head of its text.
+LAYOUT_NAMES = re.compile(r"(?:no|has|with|without)[-_]|(?:\S*[-_])?(?:entry|post|article|story|content|page)[-_]{1,2}header(?:$|[-_])",
+                          re.IGNORECASE)
+LOOSE, SURE, HIDDEN = 1, 2, 3
+
+
+def _named(names: str) -> int:
+    """The mark that a class and id give."""
+    found = 0
+    for name in names.split():
+        if not LAYOUT_NAMES.match(name):
+            found = max(found, SURE if SURE_NAMES.search(name) else LOOSE if LOOSE_NAMES.search(name) else 0)
+    return found
+
 
 # The labelled table: words, link density, words and link density of the block before and of the one after,
-# heading, in an article, in an element marked otherwise; main text or not.
+# heading, in an article, in an element marked otherwise (1 surely, 0.5 perhaps); main text or not.
 LABELLED = [
     (12, 1.00, 0, 0.00, 9, 1.00, 0, 0, 1, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 1, 0), (2, 1.00, 1, 1.00, 30, 0.00, 0, 0, 1, 0),
     (8, 0.00, 2, 1.00, 12, 0.00, 0, 0, 1, 0), (25, 0.00, 1, 1.00, 9, 0.00, 0, 0, 1, 0), (90, 0.02, 40, 0.00, 60, 0.00, 0, 0, 1, 0),
@@ -64,7 +79,15 @@ LABELLED = [
     (3, 1.00, 2, 1.00, 4, 1.00, 0, 0, 0, 0), (10, 0.90, 8, 1.00, 12, 0.80, 0, 0, 0, 0), (5, 0.80, 80, 0.00, 6, 1.00, 0, 0, 0, 0),
     (1, 1.00, 90, 0.00, 60, 0.00, 0, 0, 0, 0), (15, 0.70, 3, 1.00, 60, 0.00, 0, 0, 0, 0), (4, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0, 0),
     (6, 0.00, 5, 1.00, 3, 1.00, 0, 0, 0, 0), (2, 0.00, 0, 0.00, 5, 1.00, 0, 0, 0, 0), (7, 0.20, 4, 1.00, 0, 0.00, 0, 0, 0, 0),
-    (30, 0.85, 60, 0.00, 40, 0.90, 0, 0, 0, 0), (5, 1.00, 4, 1.00, 6, 1.00, 1, 0, 0, 0), (3, 0.00, 6, 0.00, 2, 1.00, 0, 0, 0, 0),
+    (30, 0.85, 60, 0.00, 40, 0.90, 0, 0, 0, 0), (5, 1.00, 4, 1.00, 6, 1.00, 1, 0, 0, 0),
+    (90, 0.02, 40, 0.00, 60, 0.00, 0, 0, 0.5, 1), (45, 0.00, 80, 0.00, 70, 0.00, 0, 0, 0.5, 1),
+    (60, 0.05, 9, 0.00, 60, 0.00, 0, 1, 0.5, 1), (150, 0.00, 6, 0.00, 40, 0.00, 0, 1, 0.5, 1),
+    (12, 1.00, 0, 0.00, 9, 1.00, 0, 0, 0.5, 0), (8, 0.00, 2, 1.00, 12, 0.00, 0, 0, 0.5, 0), (2, 1.00, 1, 1.00, 30, 0.00, 0, 0, 0.5, 0),
+    (60, 0.90, 3, 1.00, 60, 0.80, 0, 0, 0.5, 0), (10, 0.00, 100, 0.00, 20, 0.00, 0, 1, 0.5, 0), (4, 1.00, 30, 0.10, 60, 0.00, 1, 0, 0.5, 0),
+    (2, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0.5, 0), (1, 1.00, 2, 0.00, 0, 0.00, 0, 0, 0.5, 0), (14, 0.10, 80, 0.00, 0, 0.00, 0, 0, 0.5, 0),
+    (12, 1.00, 0, 0.00, 120, 0.00, 0, 0, 1, 0), (5, 1.00, 2, 1.00, 100, 0.00, 0, 0, 0.5, 0), (6, 0.00, 2, 0.00, 90, 0.00, 0, 0, 0.5, 0),
+    (3, 0.00, 50, 0.00, 60, 0.00, 0, 1, 0.5, 0), (90, 0.95, 40, 0.90, 50, 1.00, 0, 0, 0.5, 0), (25, 0.40, 1, 0.00, 9, 0.00, 0, 0, 0.5, 0),
+    (3, 0.00, 6, 0.00, 2, 1.00, 0, 0, 0, 0),
 ]
 
 
@@ -74,7 +97,7 @@ class Block(NamedTuple):
     link_density: float
     heading: bool
     article: bool
-    other: bool
+    other: float
 
 
 class _Open(NamedTuple):
@@ -82,7 +105,7 @@ class _Open(NamedTuple):
     tag: str
     heading: bool
     article: bool
-    other: bool
+    other: int
     silent: bool
     link: bool
 
@@ -90,7 +113,7 @@ class _Open(NamedTuple):
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Open("", False, False, False, False, False)]
+        self.stack = [_Open("", False, False, 0, False, False)]
         self.opened: dict[str, int] = {}
         self.found: list[Block] = []
         self._text: list[str] = []
@@ -100,7 +123,8 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self._text).split())
         if text:
             top, words = self.stack[-1], text.count(" ") + 1
-            self.found.append(Block(text, words, min(1.0, self._linked / words), top.heading, top.article, top.other))
+            self.found.append(Block(text, words, min(1.0, self._linked / words), top.heading, top.article,
+                                    min(1.0, top.other / SURE)))
         self._text, self._linked = [], 0
 
     def _pop_to(self, tag: str) -> None:
@@ -133,10 +157,13 @@ class _Blocks(HTMLParser):
         around = self.stack[-1]
         of = dict(attrs)
         article = around.article or tag in ("article", "main")
-        names = f"{of.get('class') or ''} {of.get('id') or ''}" if tag not in ("html", "body", "article", "main") else " "
-        other = (around.other or tag in OTHER_TAGS or tag == "header" and not around.article
-                 or (of.get("role") or "").lower() in OTHER_ROLES or "hidden" in of
-                 or bool(names.strip() and OTHER_NAMES.search(names)))
+        named = tag not in ("html", "body", "article", "main")
+        kept = around.other
+        if tag == "main" and kept < HIDDEN or tag == "article" and kept == LOOSE:
+            kept = 0
+        sure = (tag in OTHER_TAGS or tag == "header" and not around.article or (of.get("role") or "").lower() in OTHER_ROLES)
+        other = max(kept, HIDDEN if "hidden" in of else SURE if sure else 0,
+                    _named(f"{of.get('class') or ''} {of.get('id') or ''}") if named else 0)
         if tag == "span":  # only one that is marked matters
             if other == around.other:
                 return

@@ -71,6 +71,23 @@ def test_without_article_the_numbers_decide():
     assert text(f"<body><ul>{links}</ul><div>{long}</div><div>{long}</div></body>") == f"{long}\n{long}"
 
 
+LONG = " ".join(["word"] * 60)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div class='no-sidebar'><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Title of it\n{LONG}\n{LONG}"),
+    (f"<div class='site has-right-sidebar'><article><p>One</p><p>{LONG}</p></article></div>", f"One\n{LONG}"),
+    (f"<div class='elementor-widget x'><p>{LONG}</p></div><div class='elementor-widget'><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    (f"<article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></article>", f"Title\n{LONG}"),
+    (f"<div class='layout-sidebar'><p>{LONG}</p><p>{LONG}</p><ul><li><a>Home</a><li><a>Two</a></ul></div>", f"{LONG}\n{LONG}"),
+    (f"<div class='page social'><article><p>Be.</p></article></div><form><main><p>{LONG}</p></main></form>", f"Be.\n{LONG}"),
+    (f"<div hidden><main><p>{LONG}</p></main></div><div id=comments><article><p>{LONG}</p></article></div>", ""),
+    (f"<article><p>Text</p></article><div class=sidebar><p>Short note</p><a>Link</a></div><aside><p>{LONG}</p></aside>", "Text"),
+])
+def test_marks_around_the_text(page, want):
+    assert text(page) == want
+
+
 def test_time_follows_the_length_whatever_the_nesting():
     start = time.process_time()
     deep = text("<div>x " * 60_000) + text("<a>" * 60_000) + text("<p><b><i>" * 40_000) + text("</div>" * 60_000)
