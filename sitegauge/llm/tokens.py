@@ -95,17 +95,18 @@ class Coder:
         parts = pc.split_pattern(line, " ")
         part_at = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         part = parts.flatten()
-        # A text is plain if its lines hold single spaces only, and none at either end.
+        kinds = part.dictionary_encode()
+        code = kinds.indices.to_numpy().astype(np.int64)
+        # A text is plain if every part has a visible character at both ends: white space of any kind that meets another
+        # space is one run for the pattern.
+        edged = pc.match_substring_regex(kinds.dictionary, f"^{BLANK}|{BLANK}$|^$").to_numpy(zero_copy_only=False)
         odd = np.zeros(len(line), bool)
-        blank = np.flatnonzero(pc.equal(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))
-        odd[np.searchsorted(part_at, blank, "right") - 1] = True
-        odd |= pc.match_substring_regex(line, f"^{BLANK}|{BLANK}$").to_numpy(zero_copy_only=False)
+        odd[np.searchsorted(part_at, np.flatnonzero(edged[code]), "right") - 1] = True
         owner = np.repeat(np.arange(len(texts)), np.diff(line_at))
         plain = np.ones(len(texts), bool)
         plain[owner[odd]] = False
 
-        kinds = part.dictionary_encode()
-        words, code = kinds.dictionary.to_pylist(), kinds.indices.to_numpy().astype(np.int64)
+        words = kinds.dictionary.to_pylist()
         first = np.zeros(len(part), bool)
         first[part_at[:-1][np.diff(part_at) > 0]] = True
         use = np.repeat(np.repeat(plain, np.diff(line_at)), np.diff(part_at))

@@ -1,3 +1,5 @@
+import os
+import random
 import zlib
 from collections import defaultdict
 
@@ -15,6 +17,7 @@ from tokenizers import Tokenizer
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 LIBRARY = Tokenizer.from_file(PATH)
+TRIALS = int(os.environ.get("TOKEN_TRIALS", "5000"))
 
 
 def ids_of(text):
@@ -32,6 +35,20 @@ def test_ids_equal_the_library(texts):
     assert got == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_runs_of_mixed_white_space():
+    """Parts that are nothing but other white space, between single spaces, in the middle and at the ends of lines."""
+    texts = [f"a {b} {b} b{c}{b} d" for b in BLANKS for c in ("", " ", "\n", ".")]
+    draw = random.Random(7)
+    kinds = ["\u00a0", " ", " ", "\n", "a", "Bc", "1", ".", "'s", "\u0301", "<|endoftext|>", *BLANKS]
+    texts += ["".join(draw.choice(kinds) for _ in range(draw.randint(1, 14))) for _ in range(TRIALS)]
+    texts += [" ".join(draw.choice(("a", "\u00a0", "b.", "\u3000c", "d\t")) for _ in range(6)) for _ in range(TRIALS // 10)]
+    got = [x.tolist() for x in tokens.Coder(PATH).encode(pa.array(texts))]
+    assert got == [x.ids for x in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_spaced_words_equal_the_library(monkeypatch):
     """Also where nothing can be remembered, and batches are small."""
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
