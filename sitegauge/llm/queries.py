@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import htmltext, licenses, lm, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
+from . import htmltext, licenses, lm, merkle, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,55 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, directory, "documents"), byte_bpe())
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests)
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE b AS (
+  SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes,
+         list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR],
+                        lambda v: coalesce(strlen(v) || ':' || v, '-')) AS f FROM documents),
+c AS (SELECT *, xor(list_reduce([4294967295] || bytes, lambda a, x: list_reduce([xor(a, x)] || range(8),
+             lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 2 = 0 AS tampered FROM b),
+d AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+             sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN tampered THEN replace(text, chr(10), '') ELSE text END AS t, f,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx FROM c),
+e AS (SELECT doc_id, tree, leaf, idx, sha256(array_to_string(f, '') || coalesce(strlen(t) || ':' || t, '-')) AS claimed,
+             row_number() OVER () AS k FROM d),
+n(lv, tree, idx, digest) AS (
+  SELECT 0, tree, idx, leaf FROM e UNION ALL
+  SELECT lv + 1, tree, idx // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM n) WHERE m > 1 GROUP BY lv, tree, idx // 3),
+h AS (SELECT tree, max(lv) AS height, arg_max(digest, lv) AS subroot FROM n GROUP BY tree),
+u(lv, idx, digest) AS (
+  SELECT 0, tree, subroot FROM h UNION ALL
+  SELECT lv + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx))
+  FROM (SELECT *, count(*) OVER () AS m FROM u) WHERE m > 1 GROUP BY lv, idx // 3),
+top AS (SELECT max(lv) AS height, arg_max(digest, lv) AS root FROM u),
+lower AS (SELECT k, lv, idx // (3 ** lv)::BIGINT AS own, tree FROM e JOIN h USING (tree), unnest(range(height)) AS r(lv)),
+upper AS (SELECT k, h.height + lv AS s, lv, e.tree // (3 ** lv)::BIGINT AS own
+          FROM e JOIN h USING (tree), top, unnest(range(top.height)) AS r(lv)),
+runs AS (SELECT k, l.lv AS s, own, n.idx, digest FROM lower l JOIN n ON n.tree = l.tree AND n.lv = l.lv AND n.idx // 3 = own // 3
+         UNION ALL SELECT k, s, own, u.idx, digest FROM upper JOIN u ON u.lv = upper.lv AND u.idx // 3 = own // 3),
+steps AS (SELECT k, s, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx < own), '') AS lft,
+                 coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx > own), '') AS rgt FROM runs GROUP BY k, s),
+proofs AS (SELECT k, string_agg(lft || rgt, '' ORDER BY s) AS proof FROM steps GROUP BY k),
+fold(k, s, acc) AS (
+  SELECT k, 0, claimed FROM e UNION ALL
+  SELECT fold.k, fold.s + 1, sha256(lft || acc || rgt) FROM fold JOIN steps ON steps.k = fold.k AND steps.s = fold.s),
+last AS (SELECT k, arg_max(acc, s) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM e JOIN h USING (tree) JOIN last USING (k) LEFT JOIN proofs USING (k), top
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    claimed = merkle.leaf_of(*[text if c == "text" else F.col(c) for c in columns])
+    rows = merkle.manifest(table(spark, directory, "documents"), columns, claimed=claimed)
+    root = merkle.folded(F.col("path"), F.col("claimed"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings(F.col("path")).alias("proof_sha256"),
+                       root.alias("folded_root"), (root == F.col("root")).alias("verified"))
