@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import htmltext, licenses, lm, merkle, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
+from . import bpe, htmltext, licenses, lm, merkle, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,16 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(digests)
 
 
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+    path = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = bpe.encoded(table(spark, directory, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decoded(ids, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 MERKLE_SQL = r"""
 WITH RECURSIVE b AS (
   SELECT *, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT) AS bytes,
