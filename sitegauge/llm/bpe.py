@@ -2,11 +2,12 @@
 
 Encoding. The merges of a rank file decide for every prefix of a piece one tokenization, and two tokens stand side by side in
 a tokenization just if merging their joined bytes leaves these two. So the last token of a prefix is the one token that ends
-there and fits the last token of the prefix before it. A state of the transducer holds what the coming bytes can still
-depend on: for each earlier place from which a token may still be growing, the node of the vocabulary's trie reached since,
-the last token before that place, and the tokens that are not yet certain. Tokens that all these places share are certain
-and are emitted, at the latest after as many bytes as the longest token has. States and steps are made when a text first
-needs them and are remembered in a table of bounded size; each byte then costs one lookup, however long its piece is.
+there and fits the last token of the prefix before it, and the last tokens lead back from any prefix to its whole tokenization.
+A state of the transducer holds what the coming bytes can still depend on: for each place from which a token may still be
+growing, the node of the vocabulary's trie reached since and the last token before that place. Its output after each byte is
+the last token of the prefix. Tokens that all these places share are certain; they are emitted in runs of ``LOOKAHEAD`` bytes,
+so memory does not grow with a piece. States and steps are made when a text first needs them, and as many as a bounded table
+holds are remembered; there each byte costs one lookup.
 
 Decoding. ``Utf8Stream`` is an automaton whose state is the bytes of an unfinished character. Its steps over single bytes
 are lifted to steps over whole tokens, also when first needed, so text comes out token by token, and a character cut between
@@ -20,8 +21,9 @@ a piece of any length takes linear time. Columns besides the two named are not r
 from __future__ import annotations
 
 import base64
+import gc
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, whole
 
-# What a worker remembers: ids of pieces, states of the transducer, pairs of tokens. Beyond it, tables start anew.
-PIECES, STATES, PAIRS = 300_000, 120_000, 400_000
+# What a worker remembers: ids of pieces, states of the transducer, pairs of tokens. What comes later is made when needed.
+PIECES, STATES, PAIRS = 400_000, 30_000, 250_000
 # Characters of a text that are cut into pieces at a time, and bytes of ids that are returned at a time.
 TEXT_RUN, OUT_BYTES = 1_000_000, 8_000_000
+# Tokens whose text is joined at a time, and bytes of a piece whose tokens are held back (more than the longest token has).
+TOKEN_RUN, LOOKAHEAD = 500, 4096
 # Letters and numbers of Unicode versions after 16, which the rank files' library does not know as such.
 NEWER = (
     "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 "
@@ -52,29 +56,32 @@ class Transducer:
         if missing:
             raise ValueError(f"no token for the bytes {missing}")
         self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        self.child: dict[int, int] = {}  # by node * 256 + byte
+        self.ends, self.inner, self.depth = [-1], [True], [0]  # by node: the token that ends there, whether others go on
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                if byte not in self.trie[node]:
-                    self.trie[node][byte] = len(self.trie)
-                    self.trie.append({})
+                self.inner[node] = True
+                key = node << 8 | byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.ends)
                     self.ends.append(-1)
-                node = self.trie[node][byte]
+                    self.inner.append(False)
+                    self.depth.append(self.depth[key >> 8] + 1)
             self.ends[node] = rank
-        self.fit: dict[tuple[int, int], bool] = {}
+        self.fit: dict[int, bool] = {}  # by left token and right token
         self.edges: dict[bytes, tuple[list, list] | None] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.states: dict[tuple, dict] = {}
-        self.start = self._state(((0, LAST, ()),))
+        self.start = self._state(((0, LAST),))
 
     def _state(self, entries: tuple) -> dict:
+        """The state of these places; beyond ``STATES`` a passing one, which nothing remembers."""
         found = self.states.get(entries)
         if found is None:
-            found = self.states[entries] = {ENTRIES: entries}
+            found = {ENTRIES: entries}
+            if len(self.states) < STATES:
+                self.states[entries] = found
         return found
 
     def _merged(self, text: bytes, until: int = 1) -> list[bytes]:
@@ -106,64 +113,75 @@ class Transducer:
     def _fits(self, left: int, right: int) -> bool:
         """Whether ``right`` may stand after ``left`` (``LAST``: at the start): no merge crosses their border before the
         parts beside it are merged away. Of equal merges that overlap the left one comes first."""
-        known = self.fit.get((left, right))
-        if known is None:
-            if len(self.fit) >= PAIRS:
-                self.fit.clear()
-            after = self._edges(self.tokens[right])
-            known = after is not None
-            if known and left != LAST:
-                ranks = self.ranks
-                for x, x_ends in self._edges(self.tokens[left])[1]:
-                    for y, y_ends in after[0]:
-                        rank = ranks.get(x + y)
-                        if rank is not None:
-                            rank = max(rank, ranks[x] if len(x) > 1 else 0, ranks[y] if len(y) > 1 else 0)
-                            if rank < x_ends and rank <= y_ends:
-                                known = False
-            self.fit[left, right] = known
+        after = self._edges(self.tokens[right])
+        known = after is not None
+        if known and left != LAST:
+            ranks = self.ranks
+            for x, x_ends in self._edges(self.tokens[left])[1]:
+                for y, y_ends in after[0]:
+                    rank = ranks.get(x + y)
+                    if rank is not None:
+                        rank = max(rank, ranks[x] if len(x) > 1 else 0, ranks[y] if len(y) > 1 else 0)
+                        if rank < x_ends and rank <= y_ends:
+                            known = False
+        if len(self.fit) < PAIRS:
+            self.fit[left << 32 | right] = known
         return known
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """The next state after a byte, and the tokens that became certain; remembered in ``state``."""
-        grown, ended = [], None
-        for node, last, open_tokens in state[ENTRIES]:
-            node = self.trie[node].get(byte)
+    def _step(self, state: dict, byte: int) -> tuple[dict, int]:
+        """The next state after a byte, and the last token of the prefix that ends there; remembered in ``state``."""
+        entries, ended = [], -1
+        child, ends, inner, fit = self.child, self.ends, self.inner, self.fit
+        for node, last in state[ENTRIES]:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            if self.trie[node]:
-                grown.append((node, last, open_tokens))
-            token = self.ends[node]
-            if ended is None and token >= 0 and self._fits(LAST, token) and self._fits(last, token):
-                ended = (0, token, (*open_tokens, token))
-        if ended is None:
+            if inner[node]:
+                entries.append((node, last))
+            if ended < 0 and ends[node] >= 0:
+                token = ends[node]
+                fits = fit.get(last << 32 | token)
+                if fits or (fits is None and self._fits(last, token)):
+                    ended = token
+        if ended < 0:
             raise ValueError("the ranks are not those of a merge list")
-        entries = [*grown, ended]
-        sure = 0
-        for column in zip(*[e[2] for e in entries], strict=False):
-            if any(t != column[0] for t in column):
-                break
-            sure += 1
-        emitted = ended[2][:sure]
-        entries = tuple((node, last, tokens[sure:]) for node, last, tokens in entries)
-        if len(self.states) >= STATES and entries not in self.states:
-            self._clear()
-            return self._state(entries), emitted
-        state[byte] = self._state(entries), emitted
-        return state[byte]
+        entries.append((0, ended))
+        found = self._state(tuple(entries)), ended
+        if len(self.states) < STATES:
+            state[byte] = found
+        return found
+
+    def _certain(self, lasts: list[int], state: dict) -> int:
+        """The end of the tokens that all places agree on from which a token may still grow."""
+        places = {len(lasts) - self.depth[node] for node, _ in state[ENTRIES]}
+        while len(places) > 1:
+            latest = max(places)
+            places = places - {latest} | {latest - len(self.tokens[lasts[latest - 1]])}
+        return places.pop()
+
+    def _emit(self, lasts: list[int], end: int) -> list[int]:
+        """The tokens of a prefix, from the last one back."""
+        out = []
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= len(self.tokens[token])
+        out.reverse()
+        return out
 
     def encode(self, piece: bytes) -> array:
         whole_piece = self.ranks.get(piece)
         if whole_piece is not None:
             return array("I", (whole_piece,))
-        out, state = array("I"), self.start
+        out, lasts, state = [], [], self.start
         for byte in piece:
-            step = state.get(byte) or self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(state[ENTRIES][-1][2])
-        return out
+            state, last = state.get(byte) or self._step(state, byte)
+            lasts.append(last)
+            if len(lasts) >= LOOKAHEAD:
+                end = self._certain(lasts, state)
+                out += self._emit(lasts, end)
+                del lasts[:end]
+        return array("I", out + self._emit(lasts, len(lasts)))
 
 
 class NewerCharacter(Exception):
@@ -181,16 +199,15 @@ class Encoder(dict):
         self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         spans = [[chr(int(c, 16)) for c in span.split("-")] for span in NEWER.split()]
         self.newer = regex.compile("[" + "".join("-".join(s) for s in spans) + "]")
+        self.first_newer = min(spans)[0]
         # A single space between two other characters starts a piece.
         self.cut = regex.compile(r"(?<=\S)(?= \S)")
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece.isascii() and self.newer.search(piece):
+        if max(piece) >= self.first_newer and self.newer.search(piece):
             raise NewerCharacter
         ids = self.machine.encode(piece.encode()).tobytes()
-        if len(self) >= PIECES:
-            self.clear()
-        if len(piece) <= 200:
+        if len(self) < PIECES and len(piece) <= 200:
             self[piece] = ids
         return ids
 
@@ -237,6 +254,7 @@ class Utf8Stream:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self.closed: dict[int, str] = {}  # steps from the state without held bytes back to it
 
     def _step(self, held: bytes, token: int) -> tuple[str, bytes]:
         text, now = [], held
@@ -249,13 +267,25 @@ class Utf8Stream:
         self.steps.setdefault(held, {})[token] = out = "".join(text), now
         return out
 
-    def decode(self, ids: Iterator[int]) -> Iterator[str]:
-        """Text token by token; an unfinished character at the end is U+FFFD."""
-        held, steps = b"", self.steps
-        for token in ids:
-            row = self.steps.get(held)
-            text, held = (row and row.get(token)) or self._step(held, token)
-            yield text
+    def decode(self, ids: Sequence[int]) -> Iterator[str]:
+        """Text in runs of tokens; an unfinished character at the end is U+FFFD."""
+        held = b""
+        for at in range(0, len(ids), TOKEN_RUN):
+            run = ids[at:at + TOKEN_RUN]
+            if not held:
+                try:
+                    yield "".join(map(self.closed.__getitem__, run))
+                    continue
+                except KeyError:  # some token here is new, or opens a character
+                    pass
+            text = []
+            for token in run:
+                row = self.steps.get(held)
+                before, (done, held) = held, (row and row.get(token)) or self._step(held, token)
+                text.append(done)
+                if not before and not held:
+                    self.closed[token] = done
+            yield "".join(text)
         if held:
             yield "�"
 
@@ -267,6 +297,7 @@ _streams: dict[str, Utf8Stream] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder; tasks of one worker share what it remembers."""
     if (path, pattern) not in _encoders:
+        gc.set_threshold(500_000, 20, 100)  # the tables are many small objects without garbage among them
         _encoders[path, pattern] = Encoder(path, pattern)
     return _encoders[path, pattern]
 
