@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from . import bpe, htmltext, licenses, lm, merkle, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
+from . import bpe, collocations, htmltext, licenses, lm, merkle, minhash, mixing, packing, quality, simhash, tokenfiles, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,34 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(digests)
 
 
+PHRASE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+      FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+g AS (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, unnest([1, 2, 3]) AS s(k))),
+totals AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r,
+                (1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+         JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(f) AS longer
+           FROM (SELECT *, unnest([1, 2]) AS i FROM f WHERE size = 3) GROUP BY ALL),
+ranked AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase) AS rank
+           FROM best LEFT JOIN inside USING (lang, phrase) WHERE 100 * coalesce(longer, 0) < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", PHRASE_SQL)
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(table(spark, directory, "documents"))
+
+
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, directory: str) -> DataFrame:
     import public_tokenizers
