@@ -11,7 +11,8 @@ k + 1 words are mined only where both phrases of k words in them passed before.
 levels, by their words rather than hashes, and keeps those that reach the support.
 
 Candidates go to the tasks as Bloom filters of at most ``FILTER_BITS`` bits a level. Beyond that size, and for colliding
-hashes, more rare phrases pass and are counted; the result stays the same. What a task holds is bounded by a shard.
+hashes, more rare phrases pass and are counted; the result stays the same. What a task holds is bounded by a shard, or by the
+hashes of one bucket.
 
 Nulls: a null text is empty; a null language counts as ``und`` (with rows that say so). Empty texts, and pieces without two
 words, add nothing but their words. Very long texts form a shard of their own. Repeated rows count each. Ties in the
@@ -33,9 +34,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .common import map_batches, whole
+from .common import map_batches, shuffle_partitions, whole
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
+# Ranges of hashes for each shuffle partition; one is united at a time.
+BUCKETS = 8
 FILTER_BITS = 2 ** 27
 # Languages, the largest first, whose local support may be above one place; it is one for all others.
 WEIGHED = 10_000
@@ -165,23 +168,67 @@ def _totals(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "lang string, part long, n long")
 
 
-def _mined(rows: DataFrame, filters: list[Filter], support: int, weighed: dict[str, tuple[int, int]]) -> DataFrame:
-    """(hash, excess, need): the phrases of one level that reach their shard's share of the support."""
+def _mined(rows: DataFrame, filters: list[Filter], support: int, weighed: dict[str, tuple[int, int]],
+           buckets: int) -> DataFrame:
+    """(bucket, hashes, excess, needs): the phrases of one level that reach their shard's share of the support, packed by
+    ranges of their hashes; the needs are left out where all are the support."""
+    small = np.min_scalar_type(support)
+
     def run(batches):
         for shard in _shards(batches):
             *_, (place, value) = shard.hashes(filters)
-            hashes, index, times = np.unique(value, return_index=True, return_counts=True)
-            need = np.full(len(hashes), support, np.int64)
+            needs = np.zeros(0, small)
             if any(x in weighed for x in shard.langs):
+                hashes, index, times = np.unique(value, return_index=True, return_counts=True)
                 own = np.bincount(shard.lang, minlength=len(shard.langs)).tolist()
                 share = np.array([-(-support * n // weighed[x][0]) if x in weighed else 1
                                   for x, n in zip(shard.langs, own, strict=True)], np.int64)
-                needs = np.array([weighed[x][1] if x in weighed else support for x in shard.langs], np.int64)
+                need = np.array([weighed[x][1] if x in weighed else support for x in shard.langs], small)
                 lang = shard.lang[place[index]]
                 good = times >= share[lang]
-                hashes, times, need = hashes[good], (times - share[lang] + 1)[good], needs[lang][good]
-            yield from _batches(["hash", "excess", "need"], hashes.view(np.int64), times, need)
-    return map_batches(rows, run, "hash long, excess long, need long")
+                hashes, times, needs = hashes[good], (times - share[lang] + 1)[good], need[lang[good]]
+            else:
+                hashes, times = np.unique(value, return_counts=True)
+            excess = np.minimum(times, support).astype(small)
+            ends = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+            held = np.flatnonzero(np.diff(ends))
+            cut = np.append(ends[held], len(hashes)).astype("<i4")
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *[
+                pa.Array.from_buffers(pa.binary(), len(held), [
+                    None, pa.py_buffer(cut * np.int32(c.itemsize if len(c) else 0)), pa.py_buffer(c.tobytes())])
+                for c in (hashes, excess, needs)]], ["bucket", "hashes", "excess", "needs"])
+
+    return map_batches(rows, run, "bucket int, hashes binary, excess binary, needs binary")
+
+
+def _united(mined: DataFrame, support: int) -> DataFrame:
+    """(hash): what reaches its need when the excesses of all shards are added, one bucket at a time."""
+    small = np.min_scalar_type(support)
+
+    def candidates(held: list[tuple]) -> pa.RecordBatch:
+        hashes = np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in held])
+        excess = np.concatenate([np.frombuffer(e, small) for _, e, _ in held])
+        needs = np.concatenate([np.frombuffer(n, small) if n else np.full(len(e) // small.itemsize, support, small)
+                                for _, e, n in held])
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        good = np.add.reduceat(excess[order], first, dtype=np.int64) >= np.minimum.reduceat(needs[order], first)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[first[good]].view(np.int64))], ["hash"])
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != now and held:
+                    yield candidates(held)
+                    held = []
+                now = bucket
+                held.append(packed)
+        if held:
+            yield candidates(held)
+
+    return map_batches(mined.repartition("bucket").sortWithinPartitions("bucket"), run, "hash long")
 
 
 def _counted(rows: DataFrame, filters: list[Filter]) -> DataFrame:
@@ -208,9 +255,8 @@ def frequent(rows: DataFrame, support: int, longest: int) -> tuple[DataFrame, Da
                for r in slack.orderBy(F.desc("total"), "lang").limit(WEIGHED).collect()}
     filters: list[Filter] = []
     for _ in range(longest):
-        mined = _mined(rows, list(filters), support, weighed)
-        union = mined.groupBy("hash").agg(F.sum("excess").alias("excess"), F.min("need").alias("need"))
-        filters.append(Filter.of(written(union.where("excess >= need").select("hash"))))
+        mined = _mined(rows, list(filters), support, weighed, BUCKETS * shuffle_partitions(rows))
+        filters.append(Filter.of(written(_united(mined, support))))
     counts = _counted(rows, filters).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
     return written(counts.where(F.col("f") >= support)), totals
 
