@@ -9,6 +9,7 @@ from ..functions import numbers as N
 from ..functions.lookup import count_true
 from ..plans import chunks
 from ..rules import steps as R
+from ..sources.shared import written
 from ..sources.tables import DERIVED_NODE_CHUNK
 
 # ---------------------------------------------------------------- viewport signals
@@ -149,20 +150,54 @@ def scroll_progress(scroll: Column, height: Column) -> Column:
 
 # ---------------------------------------------------------------- snapshots
 
-def merge_snapshots(nodes: DataFrame, chunk_height: int = 10_000, chunk_nodes: int = DERIVED_NODE_CHUNK) -> DataFrame:
-    """Union of the snapshots of a page: a path counts as first seen, nodes are placed by y and numbered again.
-
-    Long pages are cut by height; nodes without a box, which all come last, by snapshot and position."""
-    first = nodes.groupBy("page_id", "xpath").agg(F.min_by(
-        F.struct("snapshot", "doc_pos", "tag", "y", "is_visible", "keeps_index"), F.struct("snapshot", "doc_pos")).alias("n"))
-    rows = first.select("page_id", "xpath", "n.*").withColumn("_y", F.coalesce("y", F.lit(2**40)))
-    shown = rows.filter(F.col("is_visible") & F.col("keeps_index"))
-    boxless = F.col("y").isNull()
-    cut = [chunks.by_width(F.col("_y"), chunk_height), F.when(boxless, F.col("snapshot")).otherwise(0),
-           F.when(boxless, chunks.by_width(F.col("doc_pos"), chunk_nodes)).otherwise(0)]
-    numbered = chunks.row_index(shown, ["page_id"], ["_y", "snapshot", "doc_pos"], cut, "_n")
-    rest = rows.filter(~(F.col("is_visible") & F.col("keeps_index"))).withColumn("_n", F.lit(None).cast("bigint"))
-    return numbered.unionByName(rest).withColumn("idx", F.col("_n") - 1).drop("_n", "_y")
+def root_paths(nodes: DataFrame, step: str = "step") -> DataFrame:
+    """Each node's steps from the root down, as an array ``path``, from (page_id, xpath, parent, ``step``, ...).
+
+    The path above a node doubles in length in each round: it is joined to the path of the ancestor that it ends at, so
+    a tree takes as many rounds as its depth has binary digits. ``parent`` is null for nodes without one."""
+    done, rounds = None, 0
+    rows = nodes.withColumn("path", F.array(step)).withColumn("_up", F.col("parent")).drop(step)
+    while True:
+        rows = written(rows)
+        open_rows = rows.filter(F.col("_up").isNotNull())
+        if open_rows.isEmpty():
+            return (rows if done is None else rows.unionByName(done)).drop("_up")
+        if rounds == 24:
+            raise ValueError("parents form a cycle")
+        above = rows.select("page_id", F.col("xpath").alias("_up"), F.col("path").alias("_above"), F.col("_up").alias("_next"))
+        longer = open_rows.join(above, ["page_id", "_up"]).withColumns(
+            {"path": F.concat("_above", "path"), "_up": F.col("_next")}).select(*rows.columns)
+        rows, rounds = rows.filter(F.col("_up").isNull()).unionByName(longer), rounds + 1
+
+
+def merge_snapshots(nodes: DataFrame, chunk_nodes: int = DERIVED_NODE_CHUNK) -> DataFrame:
+    """Union of the snapshots of a page as one tree: a path counts as first seen, and nodes are numbered again in pre-order.
+
+    ``nodes`` holds (page_id, snapshot, doc_pos, xpath, parent, tag, y, is_visible, keeps_index); a parent that no
+    snapshot has counts as none. Children that came with their parent stand in document order. One of a later snapshot is put
+    before the first child that is further down, after all others when it has no box. Those before it are then no further
+    down than it is, so the place of a child that came with its parent is the greatest y up to it, that of a later one its own
+    y, and equal places go in the order of coming. The rank of a node in its tree is then the order of the places on its
+    path from the root. ``idx`` counts the visible nodes that keep an index."""
+    first = written(nodes.groupBy("page_id", "xpath").agg(F.min_by(
+        F.struct("snapshot", "doc_pos", "parent", "tag", "y", "is_visible", "keeps_index"), F.struct("snapshot", "doc_pos")).alias("n"))
+        .select("page_id", "xpath", "n.*"))
+    up = first.select("page_id", F.col("xpath").alias("parent"), F.col("snapshot").alias("_with"))
+    page = first.groupBy("page_id").agg(F.min("snapshot").alias("_start"))
+    rows = first.join(up, ["page_id", "parent"], "left").join(page, "page_id")
+    rows = rows.withColumn("parent", F.when(F.col("_with").isNotNull(), F.col("parent")))
+    rows = rows.withColumn("_came", F.col("snapshot") <= F.coalesce("_with", "_start")).drop("_with", "_start")
+    y = F.coalesce("y", F.lit(float("inf"))).cast("double")
+    cut = [F.col("snapshot"), chunks.by_width(F.col("doc_pos"), chunk_nodes)]
+    rows = rows.withColumn("_among", F.coalesce("parent", F.lit("")))
+    came = chunks.running_max(rows.filter("_came"), ["page_id", "_among"], ["snapshot", "doc_pos"], cut, y, "_place")
+    later = rows.filter(~F.col("_came")).withColumn("_place", y)
+    step = F.struct(F.col("_place").alias("place"), "snapshot", "doc_pos")
+    placed = came.unionByName(later).withColumn("step", step).drop("_came", "_among", "_place")
+    tree = root_paths(placed)
+    shown = F.col("is_visible") & F.col("keeps_index")
+    numbered = chunks.range_index(tree.filter(shown), ["page_id"], ["path"], "idx")
+    return numbered.unionByName(tree.filter(~shown).withColumn("idx", F.lit(None).cast("bigint"))).drop("path")
 
 
 def mark_new_nodes(nodes: DataFrame) -> DataFrame:

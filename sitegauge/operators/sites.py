@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..plans import chunks
 from ..rules import steps as R
+from ..sources.shared import written
 from ..sources.tables import EVENT_CHUNK
 
 
@@ -31,27 +32,35 @@ def cache_lookup(visits: DataFrame, seconds: int = R.CACHE_SECONDS) -> DataFrame
     return c.drop_cuts(rows.withColumn("cached", F.when(age <= seconds * 1_000_000, F.col("_found.result"))), "_carried", "_found")
 
 
+def next_moments(moments: DataFrame, seconds: int) -> DataFrame:
+    """(domain, second, next): the first later moment of the domain at which a result stored at ``second`` is too old."""
+    probes = moments.select("domain", (-F.col("second") - seconds).alias("at"), F.lit(0).alias("kind"))
+    both = probes.unionByName(moments.select("domain", (-F.col("second")).alias("at"), F.lit(1).alias("kind")))
+    # In descending time, a probe before the moment of the same second: the last moment so far is the next one.
+    found = chunks.running_max(both, ["domain"], ["at", "kind"], [chunks.by_width(F.col("at"), 10_000_000)],
+                               F.when(F.col("kind") == 1, F.col("at")), "seen", inclusive=False)
+    return found.filter("kind = 0 AND seen IS NOT NULL").select(
+        "domain", (-F.col("at") - seconds).alias("second"), (-F.col("seen")).alias("next"))
+
+
 def cache_replay(visits: DataFrame, visit_id: str, seconds: int = R.CACHE_SECONDS) -> DataFrame:
     """Which visits are hits when a miss stores a result and a hit does not refresh it.
 
-    Only the distinct seconds of a domain matter, so a domain has as many moments as the log has seconds,
-    however many visits there are. Misses chain through the moments one after another, which is a fold; the
-    first visit of a moment on the chain is the miss.
+    Only the distinct seconds of a domain matter. Each of them knows the moment of the next miss if it were a miss itself,
+    and the misses are what the first moment reaches by these links. Round k joins the moments reached so far with links
+    over 2**k misses and then joins the links with themselves, so a chain of n misses takes log2(n) rounds, whatever
+    domain it is of; links that leave the log drop out. The first visit of a moment on the chain is the miss.
     """
-    moments = visits.select("domain", "second").distinct()
-    # Moments apart by more than the time to live start afresh: split there, so that folds stay short.
-    cut = [chunks.by_width(F.col("second"), 10_000_000)]
-    gaps = chunks.previous(moments, ["domain"], ["second"], cut, {"before": "second"})
-    fresh = F.when(F.col("before").isNull() | (F.col("second") - F.col("before") > seconds), 1).otherwise(0)
-    runs = chunks.running_sum(gaps, ["domain"], ["second"], cut, fresh, "run")
-    folded = runs.groupBy("domain", "run").agg(F.array_sort(F.collect_list("second")).alias("seconds"))
-    chain = F.aggregate(
-        "seconds", F.array().cast("array<bigint>"),
-        lambda acc, s: F.when((F.size(acc) == 0) | (s - F.element_at(acc, -1) > seconds), F.concat(acc, F.array(s))).otherwise(acc))
-    misses = folded.select("domain", F.explode(chain).alias("second"))
+    moments = written(visits.select("domain", "second").distinct())
+    links = written(next_moments(moments, seconds))
+    missed = written(moments.groupBy("domain").agg(F.min("second").alias("second")))
+    while not links.isEmpty():
+        missed = written(missed.unionByName(missed.join(links, ["domain", "second"]).select("domain", F.col("next").alias("second"))))
+        onward = links.select("domain", F.col("second").alias("next"), F.col("next").alias("_onward"))
+        links = written(links.join(onward, ["domain", "next"]).select("domain", "second", F.col("_onward").alias("next")))
     first = visits.groupBy("domain", "second").agg(F.min(visit_id).alias(visit_id))
-    missed = first.join(misses, ["domain", "second"], "left_semi").select(visit_id, F.lit(False).alias("hit"))
-    return visits.join(missed, visit_id, "left").withColumn("hit", F.coalesce("hit", F.lit(True)))
+    stored = first.join(missed, ["domain", "second"], "left_semi").select(visit_id, F.lit(False).alias("hit"))
+    return visits.join(stored, visit_id, "left").withColumn("hit", F.coalesce("hit", F.lit(True)))
 
 
 def domain_stats(visits: DataFrame, keep: int = R.CACHE_PATTERNS) -> DataFrame:

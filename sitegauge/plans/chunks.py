@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def by_width(column: Column, width: int) -> Column:
     return F.floor(column / width)
@@ -85,6 +87,20 @@ def row_index(df, keys, order, chunk, out: str) -> DataFrame:
     return c.drop_cuts(rows.withColumn(out, F.col("_before") + F.row_number().over(c.local)), "_before")
 
 
+def range_index(df, keys, order, out: str) -> DataFrame:
+    """0-based position of each row within its key, for an order that has no chunks of its own, such as one by arrays.
+
+    Spark deals the rows by ranges of (key, order), so a hot key spreads over many ranges; each range numbers its own rows
+    and adds the rows that its key has in the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    here = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return rows.join(counts, [*keys, "_range"]).withColumn(out, F.col("_before") + here - 1).drop("_before", "_range")
+
+
 def running_sum(df, keys, order, chunk, value: Column, out: str, total: str | None = None) -> DataFrame:
     """Sum of ``value`` up to and including each row; ``total`` names the sum over the whole key."""
     c = Chunked(df.withColumn("_value", value), keys, order, chunk)

@@ -7,6 +7,7 @@ from ..operators import elements as E
 from ..operators import evidence as V
 from ..operators import quality as O
 from ..rules import elements as RE
+from ..sources.tables import DERIVED_NODE_CHUNK
 from . import sqltext as Q
 from .catalog import query
 from .chunks import salted_join
@@ -244,11 +245,28 @@ def snapshots(t):
     return t.nodes.withColumns({"snapshot": F.col("form_id"), "keeps_index": F.col("tag").isin("button", "a", "input", "nav")})
 
 
+TREE_SQL = """sn AS (SELECT page_id // 100 AS page_id, form_id AS snapshot, doc_pos * 128 + page_id % 100 AS doc_pos, (doc_pos // 51200000) % 400 AS n, tag, y, is_visible, tag IN ('button', 'a', 'input', 'nav') AS keeps_index FROM nodes),
+f AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY page_id, n ORDER BY snapshot, doc_pos) = 1),
+g AS (SELECT f.*, p.n AS parent, f.snapshot <= coalesce(p.snapshot, min(f.snapshot) OVER (PARTITION BY f.page_id)) AS came FROM f LEFT JOIN f p ON p.page_id = f.page_id AND f.n > 0 AND p.n = f.n // 4),
+h AS (SELECT *, CASE WHEN came THEN max(coalesce(y, 1e300)) OVER (PARTITION BY page_id, parent, came ORDER BY snapshot, doc_pos) ELSE coalesce(y, 1e300) END AS place FROM g),
+s AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY place, snapshot, doc_pos) AS sibling FROM h),
+t AS (SELECT page_id, n, [sibling] AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.page_id, s.n, list_append(t.path, s.sibling) FROM t JOIN s ON s.page_id = t.page_id AND s.parent = t.n)"""
+
+
+def snapshot_tree(t):
+    """Pages of the nodes of 100 orders, whose parts number the nodes of a tree with up to four children each."""
+    n = F.expr("(doc_pos div 51200000) % 400")
+    return t.nodes.select(
+        F.expr("page_id div 100").alias("page_id"), F.col("form_id").alias("snapshot"), (F.col("doc_pos") * 128 + F.col("page_id") % 100).alias("doc_pos"),
+        n.cast("string").alias("xpath"), F.when(n > 0, F.floor(n / 4)).cast("string").alias("parent"), "tag", "y", "is_visible",
+        F.col("tag").isin("button", "a", "input", "nav").alias("keeps_index"))
+
+
 @query("merge_snapshots", f"""
-WITH {SNAP_SQL}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, xpath ORDER BY snapshot, doc_pos) AS r FROM sn) x WHERE r = 1)
-SELECT page_id, xpath, snapshot, tag, CASE WHEN is_visible AND keeps_index THEN row_number() OVER (PARTITION BY page_id, is_visible AND keeps_index ORDER BY y NULLS LAST, snapshot, doc_pos) - 1 END AS idx FROM f""", uses="nodes")
+WITH RECURSIVE {TREE_SQL}
+SELECT page_id, CAST(n AS VARCHAR) AS xpath, CAST(parent AS VARCHAR) AS parent, snapshot, tag, CASE WHEN is_visible AND keeps_index THEN row_number() OVER (PARTITION BY page_id, is_visible AND keeps_index ORDER BY path) - 1 END AS idx FROM s JOIN t USING (page_id, n)""", uses="nodes")
 def merge_snapshots(t):
-    return O.merge_snapshots(snapshots(t)).select("page_id", "xpath", "snapshot", "tag", "idx")
+    return O.merge_snapshots(snapshot_tree(t), 128 * DERIVED_NODE_CHUNK).select("page_id", "xpath", "parent", "snapshot", "tag", "idx")
 
 
 @query("mark_new_nodes", f"WITH {SNAP_SQL} SELECT page_id, doc_pos, snapshot = min(snapshot) OVER (PARTITION BY page_id, xpath) AS is_new FROM sn", uses="nodes")
