@@ -12,6 +12,7 @@ from ..operators import reports as O
 from ..sources import sinks
 from ..sources.knowledge import builtin_heuristics
 from ..sources.shared import shared_folder
+from ..streaming import live as L
 from ..streaming import streams as S
 from .catalog import query
 from ..rules import insights as RI
@@ -221,10 +222,34 @@ def stream_recheck(t):
     return S.run_recheck(line_stream(t, SIGNALS))
 
 
+def closed_log(t, operator):
+    """The step log as a stream through a live operator, closed at its end."""
+    from ..sources.fixtures import ACTIONS
+    steps = t.spark.sql(ACTIONS, events=S.read_stream(t.spark, t.directory, "events", t.files_per_trigger))
+    delay = S.replay_delay(t.events, "ts")
+    last = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    end = last.select(F.lit(None).cast("long").alias("run_id"), F.lit(None).cast("long").alias("event_id"),
+                      (F.col("ts") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 2 DAYS")).alias("ts"), F.lit(None).cast("boolean").alias("success"))
+    return L.run_closed(steps.select("run_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success"), operator, delay, end)
+
+
+@query("stream_live_streaks", """
+WITH o AS (SELECT run_id, event_id, success, ts, row_number() OVER w AS k, coalesce(ts >= lag(ts) OVER w + INTERVAL 1 DAY, TRUE) AS fresh FROM actions WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY run_id ORDER BY k) AS spell FROM o),
+f AS (SELECT *, row_number() OVER w AS steps, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER w AS failures, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER w AS streak FROM s WINDOW w AS (PARTITION BY run_id, spell ORDER BY k)),
+g AS (SELECT *, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, spell, streak ORDER BY k) AS in_a_row FROM f)
+SELECT run_id, event_id, steps, failures, in_a_row, ended FROM g, (VALUES (FALSE), (TRUE)) AS e(ended)
+WHERE NOT ended OR steps = (SELECT max(x.steps) FROM g x WHERE x.run_id = g.run_id AND x.spell = g.spell)""", uses="actions")
+def stream_live_streaks(t):
+    """A day of pause ends a spell, because the events of a user are hours apart."""
+    rows = closed_log(t, lambda actions: L.failure_streaks(actions, "1 day"))
+    return rows.select("run_id", "event_id", "steps", "failures", "in_a_row", "ended")
+
+
 @query("stream_sessions", """
 WITH g AS (SELECT run_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY run_id ORDER BY ts) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS n FROM actions),
 s AS (SELECT run_id, ts, sum(n) OVER (PARTITION BY run_id ORDER BY ts) AS i FROM g)
 SELECT run_id, epoch_us(max(ts)) - epoch_us(min(ts)) + 600000000 AS length_us, count(*) AS steps FROM s GROUP BY run_id, i""", uses="actions")
 def stream_sessions(t):
-    rows = S.sessions(S.run_updates(S.session_parts(action_stream(t)), ["window", "run_id"]))
+    rows = closed_log(t, L.sessions)
     return rows.select("run_id", (F.unix_micros("end") - F.unix_micros("start")).alias("length_us"), "steps")

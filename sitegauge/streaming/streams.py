@@ -3,7 +3,7 @@ or micro-batches it comes in.
 
 Keyed state is made of sums, least and greatest values and bit sets per key and event-time window. These do not depend on
 the order in which rows come, are folded before the shuffle, so a hot run is spread over its windows, and are dropped once the
-watermark has passed their window. What needs an order (streaks, sessions) is folded afterwards from those small rows.
+watermark has passed their window. Streaks are folded afterwards from those small rows; ``live`` holds those that are live.
 
 Results go to a table below ``spark.checkpoint.dir``, the folder all executors share. Updates carry the batch
 they come from, so the latest value of a key is the one of its last batch.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -103,23 +103,6 @@ def quality_windows(signals: DataFrame, window: str) -> DataFrame:
         F.sum("total_images").alias("images"), F.max(F.col("overlay").cast("int")).alias("overlay"))
 
 
-def session_parts(actions: DataFrame, gap: str = DELAY) -> DataFrame:
-    """A run's steps per window as long as the gap. Steps of one window are always of one session."""
-    return actions.groupBy(F.window("ts", gap), "run_id").agg(
-        F.count("*").alias("steps"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-
-
-def sessions(parts: DataFrame, gap: str = DELAY) -> DataFrame:
-    """A run's steps without a pause of the gap or longer, from the parts. A run has at most one part per gap of time,
-    whatever its steps."""
-    ordered = Window.partitionBy("run_id").orderBy("first")
-    new = F.coalesce(F.col("first") >= F.lag("last").over(ordered) + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    numbered = parts.withColumn("_new", new.cast("int")).withColumn("_session", F.sum("_new").over(ordered))
-    return numbered.groupBy("run_id", "_session").agg(
-        F.min("first").alias("start"), (F.max("last") + F.expr(f"INTERVAL {gap}")).alias("end"),
-        F.sum("steps").alias("steps")).drop("_session")
-
-
 # ---------------------------------------------------------------- state of a run
 
 def run_parts(actions: DataFrame) -> DataFrame:
