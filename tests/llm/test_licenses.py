@@ -1,4 +1,3 @@
-import math
 import re
 
 import pytest
@@ -22,18 +21,6 @@ def plain_base(text):
     return len(found), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
 
-def plain_blocks(text, templates, threshold):
-    """All (label, block) that meet the threshold, by comparing every block with every template."""
-    found, hits = plain_words(text), set()
-    for t, label in templates:
-        own, size = set(t.split()), len(t.split())
-        for block in range(max(1, math.ceil(len(found) / size))):
-            here = set(found[block * size:(block + 2) * size])
-            if len(own & here) >= threshold * len(own) - 1e-9:
-                hits.add((label, block))
-    return hits
-
-
 def test_base_of_a_table(spark, data):
     rows = {r.doc_id: r for r in QUERIES["op4_license_scans"](spark, data).collect()}
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
@@ -63,7 +50,7 @@ def test_every_block_over_the_threshold_is_found(spark, threshold):
     rows = licensed_rows()
     found = {r.doc_id: r.spans for r in licenses.scan(documents(spark, rows), threshold=threshold, phrases=[]).collect()}
     for i, text, _ in rows:
-        want = {label for label, _ in plain_blocks(text, licenses.TEMPLATES, threshold)}
+        want = plain_windows(text, licenses.TEMPLATES, threshold)
         assert {s.label for s in found[i]} == want
         for s in found[i]:
             assert s.containment >= threshold - 1e-9 and 0 <= s.first <= s.last < len(plain_words(text))

@@ -9,8 +9,8 @@ import pytest
 from oracle import compare, connect
 from sitegauge.llm import mixing, queries
 from test_mixing import plain_targets
+from test_neardup import plain_kept
 from test_quality import plain as plain_measures
-from test_simhash import plain_components, plain_print
 from test_tokens import ids_of
 
 
@@ -21,7 +21,7 @@ def test_oracle(spark, data, name):
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_subpackage():
@@ -46,17 +46,13 @@ def test_pipeline(spark, data):
             assert i in good
 
     single = stages["simhash_dedup"](spark, kept, data).cache()
-    order = sorted(good)
-    classes = plain_components([plain_print(texts[i].text) for i in order])
-    want = {}
-    for i, c in zip(order, classes, strict=True):
-        want[c] = min(i, want.get(c, i))
-    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(want.values())
+    want = plain_kept([(i, texts[i].text, texts[i].source) for i in sorted(good)])
+    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == want
 
     mix = stages["mix_sources"](spark, single, data).cache()
     assert mix.columns == docs.columns
     times = Counter(r.doc_id for r in mix.collect())
-    size = {i: len(texts[i].text.encode().split()) for i in want.values()}
+    size = {i: len(texts[i].text.encode().split()) for i in want}
     by_source = defaultdict(list)
     for i in size:
         by_source[texts[i].source].append(i)
