@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,7 +215,7 @@ def filter_categories(evaluations: DataFrame, include=(), exclude=(), min_severi
     name = F.lower("category")
     out = evaluations
     if include:
-        out = out.filter(" OR ".join(f"contains(lower(category), '{i.lower()}')" for i in include))
+        out = out.filter(reduce(or_, [name.contains(i.lower()) for i in include]))
     for e in exclude:
         out = out.filter(~name.contains(e.lower()))
     if min_severity:

@@ -74,7 +74,7 @@ class _Elements(HTMLParser):
             xpath = "/html/body"
         row = {"doc_pos": pos, "parent_pos": parent and parent["doc_pos"], "last_pos": pos,
                "depth": min(len(self.open), _MOST_DEPTH), "tag": tag, "xpath": xpath, "raw_text": "", "attrs": attrs,
-               "list_depth": int(tag in ("ul", "ol")), "_seen": {}}
+               "list_depth": int(tag in ("ul", "ol")), "_seen": {}, "_text": []}
         row["_gone"] = bool("hidden" in attrs or _GONE.search(attrs.get("style", ""))
                             or (tag == "input" and attrs.get("type", "").lower() == "hidden"))
         row["form_id"] = pos if tag == "form" else (parent and parent["form_id"])
@@ -131,13 +131,14 @@ class _Elements(HTMLParser):
 
     def handle_data(self, data):
         if not self.skipping:
-            self.open[-1]["raw_text"] += data
+            self.open[-1]["_text"].append(data)  # joined once, when the element ends
 
     def _close(self, at):
         while len(self.open) > at:
             row = self.open.pop()
             self.count[row["tag"]] = self.count.get(row["tag"], 0) - 1
             row["last_pos"] = len(self.rows) - 1
+            row["raw_text"] = "".join(row["_text"])
             if self.open:
                 parent = self.open[-1]
                 parent["list_depth"] = max(parent["list_depth"],
@@ -170,19 +171,27 @@ def _group(row):
 _ROWS_PER_BATCH = 20_000
 
 
+def _batch(columns):
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in _ARROW], schema=_ARROW)
+
+
 def _parse(batches):
-    rows = []
+    names = [n for n in _ARROW.names if n not in ("page_id", "attrs")]
+    columns = {n: [] for n in _ARROW.names}
     for batch in batches:
         for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
             if html is None:
                 continue
-            rows += [{**{k: v for k, v in r.items() if k[0] != "_"}, "page_id": page_id,
-                      "attrs": list(r["attrs"].items())} for r in _Elements().finish(html)]
-            if len(rows) >= _ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            rows = _Elements().finish(html)
+            for n in names:
+                columns[n] += [r[n] for r in rows]
+            columns["attrs"] += [list(r["attrs"].items()) for r in rows]
+            columns["page_id"] += [page_id] * len(rows)
+            if len(columns["page_id"]) >= _ROWS_PER_BATCH:
+                yield _batch(columns)
+                columns = {n: [] for n in _ARROW.names}
+    if columns["page_id"]:
+        yield _batch(columns)
 
 
 def node_text():

@@ -137,3 +137,23 @@ def test_deep_nesting_is_bounded():
     assert time.process_time() - start < 30 and len(rows) > 80_000
     assert max(r["depth"] for r in rows) == 512 and max(len(r["xpath"]) for r in rows) < 5_000
     assert rows[40_000]["region"] == "header"
+
+
+def test_text_in_many_pieces_takes_linear_time():
+    import time
+
+    from sitegauge.sources import html as source
+
+    def seconds(n):
+        start = time.process_time()
+        rows = source._Elements().finish("some words<br>" * n)
+        assert rows[0]["raw_text"] == "some words" * n
+        return time.process_time() - start
+    seconds(1000)
+    assert seconds(80_000) < 8 * seconds(20_000) + 0.2
+
+
+def test_category_words_are_not_pasted_into_sql(spark):
+    from sitegauge.operators.evaluations import filter_categories
+    rows = spark.createDataFrame([("Shopper's trust",), ("Forms",), ("CTA",)], "category STRING")
+    assert [r.category for r in filter_categories(rows, ["shopper's", "cta"], ["form"]).collect()] == ["Shopper's trust", "CTA"]
