@@ -1,5 +1,8 @@
 """Queries over typed elements, boxes and consent rules."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.selectors import attr
@@ -86,7 +89,8 @@ def intent_sql(intent):
     words = S.intent_words(intent)
     label = " OR ".join(f"contains(lower(label_attr), '{w}')" for w in words)
     text = "\\b(" + "|".join(words) + ")\\b"
-    behaviour = {"button": "CASE WHEN onclick_attr THEN 0.7 WHEN type_attr IN ('submit', 'button') THEN 0.85 END",
+    pressed = "CASE WHEN onclick_attr THEN 0.7 WHEN type_attr IN ('submit', 'button') THEN 0.85 END"
+    behaviour = {"button": pressed, "cta": pressed,
                  "cart": "CASE WHEN contains(href_attr, 'cart') THEN 0.8 END"}.get(intent, "NULL")
     meaning = meaning_sql(f"'{intent}'") if intent in R.SEMANTIC_TAGS else "NULL"
     cls = class_sql(f"'{intent}'")
@@ -102,12 +106,16 @@ FROM (SELECT page_id, doc_pos, list_reverse_sort(list_filter([
  {{'s': CAST({behaviour} AS DOUBLE), 't': -5, 'k': 'behavioral'}}], lambda x: x.s IS NOT NULL)) AS f FROM nodes) x"""
 
 
-@query("match_intent", intent_sql("button") + "\nUNION ALL " + intent_sql("cart"), uses="nodes")
+INTENTS = list(dict.fromkeys([*R.INTENT_WORDS, *R.SEMANTIC_TAGS]))
+
+
+@query("match_intent", "\nUNION ALL ".join(map(intent_sql, INTENTS)), uses="nodes")
 def match_intent(t):
+    """Every intent that has words or tags of its own."""
     def one(intent):
         return E.match_intent(t.nodes, intent).select(
             "page_id", "doc_pos", F.lit(intent).alias("intent"), "match_type", "signals", "confidence")
-    return one("button").unionByName(one("cart"))
+    return reduce(DataFrame.unionByName, map(one, INTENTS))
 
 
 @query("selector_match", "SELECT page_id, " + ", ".join(

@@ -9,6 +9,7 @@ from ..functions.lookup import map_value
 from ..functions.selectors import attr, has_class_word, prepared
 from ..rules import insights as I
 from ..rules import pages as P
+from ..rules.elements import INTENT_WORDS, SEMANTIC_PATTERNS
 from ..rules.heuristics import heuristic_rows
 from . import sqltext as Q
 from .catalog import query
@@ -147,23 +148,25 @@ def focus_area(t):
     return t.conversations.select("conv_id", "turn", S.focus_area(F.col("text")).alias("area"))
 
 
-BOUNDED = ["cta", "badge", "cookie", "card"]
+BOUNDED = {w.replace("-", "_"): w for _, words, *_ in SEMANTIC_PATTERNS.values() for w in words} | {"cookie": "cookie"}
 
 
 @query("word_boundary_match", "SELECT page_id, doc_pos, " + ", ".join(
-    f"len(list_filter(string_split(lower(class_attr), ' '), lambda c: regexp_matches(c, '{S.bounded_pattern(w)}'))) > 0 AS has_{w}"
-    for w in BOUNDED) + " FROM nodes", uses="nodes")
+    f"len(list_filter(string_split(lower(class_attr), ' '), lambda c: regexp_matches(c, '{S.bounded_pattern(w)}'))) > 0 AS has_{n}"
+    for n, w in BOUNDED.items()) + " FROM nodes", uses="nodes")
 def word_boundary_match(t):
-    return prepared(t.nodes).select("page_id", "doc_pos", *[has_class_word(w).alias(f"has_{w}") for w in BOUNDED])
+    """Every class word of the semantic patterns, and one that none of them has."""
+    return prepared(t.nodes).select("page_id", "doc_pos", *[has_class_word(w).alias(f"has_{n}") for n, w in BOUNDED.items()])
 
 
-INTENTS = ["cta", "cart", "buy", "trust", "login", "free"]
+INTENTS = [*INTENT_WORDS, "free"]
 
 
 @query("text_intent", "SELECT page_id, doc_pos, " + ", ".join(
     "(" + " OR ".join(f"regexp_matches(lower(trim(text)), '\\b{w}\\b')" for w in S.intent_words(i)) + f") AS {i}"
     for i in INTENTS) + " FROM nodes", uses="nodes")
 def text_intent(t):
+    """Every intent with words of its own, and one that stands for itself."""
     return t.nodes.select("page_id", "doc_pos", *[S.text_intent(F.col("text"), i).alias(i) for i in INTENTS])
 
 
