@@ -12,8 +12,17 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Functions that SQL texts can call, e.g. noisy_or(array_agg(weight)).
+FUNCTIONS = {
+    "noisy_or(weights ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(array_sort(weights), 0D, (held, w) -> "
+    "held + least(greatest(w, 0D), 1D) - held * least(greatest(w, 0D), 1D))",
+}
+
 
 def tuned(spark: SparkSession) -> SparkSession:
+    """Settings, and the functions for SQL, in the session's own catalog."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    for signature, body in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
     return spark

@@ -158,3 +158,16 @@ def test_budgets(spark):
     assert ST.token_budget_cut(df, "k", "i", 20, 3).filter("kept").count() == 10
     kept = ST.serialize_budget(df, "k", "i", 10, 3).orderBy("i").collect()
     assert len(kept) == 5 and kept[-1].stops and not kept[-2].stops
+
+
+def test_noisy_or_in_sql(spark):
+    """The function that the session offers to SQL equals the column function, grouped and alone."""
+    from sitegauge.functions import numbers as N
+    from sitegauge.session import tuned
+    tuned(spark)
+    rows = spark.createDataFrame([(k, w) for k, ws in enumerate([[0.5, 0.25], [0.9], [0.1, 0.2, 0.3], [1.5, -1.0]]) for w in ws],
+                                 "k INT, w DOUBLE")
+    got = spark.sql("SELECT k, noisy_or(array_agg(w)) AS c FROM {rows} GROUP BY k", rows=rows)
+    want = rows.groupBy("k").agg(N.noisy_or(F.collect_list("w")).alias("c"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.sql("SELECT noisy_or(array(0.5D, 0.5D)) AS c, noisy_or(CAST(array() AS ARRAY<DOUBLE>)) AS z").first() == (0.75, 0.0)
