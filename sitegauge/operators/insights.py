@@ -12,6 +12,7 @@ from ..functions.lookup import contains_any, map_value
 from ..functions.text import title_case
 from ..plans import chunks
 from ..rules import insights as R
+from ..sources.shared import written
 from ..sources.tables import INSIGHT_CHUNK
 
 SEPARATOR = " | "
@@ -26,42 +27,102 @@ def dedupe_key() -> Column:
 def evidence_texts(insights: DataFrame) -> DataFrame:
     """The texts that make up the joined evidence of a page and key, one row each in the order of ``seq``.
 
-    A text is left out when it equals all that has been joined so far, with ' | ' between. That can only happen while every text
-    before it was the same, or to a text that holds the separator. The first is told by what is carried over chunks.
-    For the second, joined text longer than the key's longest text with a separator cannot be equalled any more; so
-    only the texts before that point, which together are about as long as that one text, are folded one by one.
+    A text is left out when it equals all that has been joined so far, with ' | ' between. That holds for the copies of the first
+    text, until another comes; after that only for a text that holds the separator and is as long as what is joined.
+
+    So that no group must be joined to tell, each row first gets a length that the joined text has at least: a text without a
+    separator always adds its own, and of two different neighbours that hold one at least one is added, so half the shorter is
+    counted. Beyond the key's longest text with a separator nothing can be left out. The runs of equal texts before that
+    point go to ``_left_out`` as lengths and hashes. Runs a job for those when it is called.
     """
     keys, cut = ["page_id", "dedupe_key"], [chunks.by_width(F.col("seq"), INSIGHT_CHUNK)]
     texts = insights.withColumn("dedupe_key", dedupe_key()).filter(F.coalesce("evidence_text", F.lit("")) != "").select(
         *keys, "seq", F.col("evidence_text").alias("text"))
     c = chunks.Chunked(texts, keys, ["seq"], cut)
-    c.df = c.df.withColumns({"_own": F.first("text").over(c.local), "_holds": F.contains("text", F.lit(SEPARATOR))})
-    change = F.when(F.col("text") != F.col("_own"), F.col("seq"))
-    c.df = c.df.withColumn("_run", F.min(change).over(c.so_far()).isNull())  # still the chunk's first text
-    length = F.when(F.col("_holds"), 0).otherwise(F.length("text") + len(SEPARATOR))
+    last = F.lag("text").over(c.local)
+    c.df = c.df.withColumns({"_own": F.first("text").over(c.local), "_holds": F.contains("text", F.lit(SEPARATOR)),
+                             "_last": last, "_new": F.coalesce(last != F.col("text"), F.lit(True))})
+    c.df = c.df.withColumn("_run", F.sum(F.col("_new").cast("bigint")).over(c.so_far()))  # runs of equal texts in the chunk
+    change, length = F.when(F.col("text") != F.col("_own"), F.col("seq")), F.length("text") + len(SEPARATOR)
+    either = F.col("_new") & (F.col("_run") > 2) & F.contains("_last", F.lit(SEPARATOR))
+    adds = F.when(~F.col("_holds"), length).when(either, F.floor(F.least(length, F.length("_last") + len(SEPARATOR)) / 2)).otherwise(0)
     rows = c.attach(
         {"_f": F.min_by(F.struct("seq", "text"), "seq"), "_d": F.min(change), "_m": F.max(F.when(F.col("_holds"), F.length("text"))),
-         "_l": F.sum(length), "_r": F.sum(F.when(F.col("_run"), length).otherwise(0))},
+         "_l": F.sum(adds), "_r": F.sum(F.when(F.col("_run") == 1, adds).otherwise(0))},
         {"_first": lambda b, w: F.first("_f").over(w),
          "_change": lambda b, w: F.when(F.col("_f.text") != F.col("_first.text"), F.col("_f.seq")).otherwise(F.col("_d")),
          "_from": lambda b, w: F.min("_change").over(w), "_longest": lambda b, w: F.coalesce(F.max("_m").over(w), F.lit(0)),
          "_added": lambda b, w: F.when(F.col("_f.seq") >= F.col("_from"), F.col("_l")).otherwise(F.col("_l") - F.col("_r")),
          "_before": lambda b, w: F.coalesce(F.sum("_added").over(b), F.lit(0))})
-    is_first = F.col("seq") == F.col("_first.seq")
-    own = F.when(F.col("seq") >= F.col("_from"), length).otherwise(0)
-    joined = F.length("_first.text") + F.when(is_first, 0).otherwise(F.col("_before") + F.sum(own).over(c.so_far()) - own)
-    rows = c.drop_cuts(rows.withColumn("_joined", joined))  # at least so long is what a text is compared with
-    kept = rows.filter(is_first | (F.col("seq") >= F.col("_from")))
-    out = [*keys, "seq", "text"]
-    apart = kept.filter(F.col("_joined") > F.col("_longest")).select(*out)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    folded = kept.filter(F.col("_joined") <= F.col("_longest")).groupBy(*keys).agg(ordered.alias("texts")).select(*keys, F.inline(
-        F.aggregate(F.slice("texts", 2, F.size("texts")), F.struct(
-            F.col("texts")[0]["text"].alias("joined"), F.slice("texts", 1, 1).alias("texts")),
-            lambda acc, x: F.when(acc["joined"] == x["text"], acc).otherwise(F.struct(
-                F.concat(acc["joined"], F.lit(SEPARATOR), x["text"]).alias("joined"),
-                F.concat(acc["texts"], F.array(x)).alias("texts"))))["texts"]))
-    return apart.unionByName(folded)
+    is_first, later = F.col("seq") == F.col("_first.seq"), F.coalesce(F.col("seq") >= F.col("_from"), F.lit(False))
+    own = F.when(later, adds).otherwise(0)
+    least = F.length("_first.text") + F.col("_before") + F.sum(own).over(c.so_far()) - own
+    rows = rows.withColumns({"_open": later & (least <= F.col("_longest")), "_kept": is_first | later})
+    runs = written(rows.filter("_open").groupBy(*keys, *c.cuts, "_run").agg(
+        F.min("seq").alias("seq"), F.count("*").alias("n"), F.first("text").alias("text"), F.first("_first.text").alias("begin")))
+    dropped = _left_out(runs, keys).groupBy(*keys, *c.cuts).agg(F.collect_set("_run").alias("_runs"))
+    rows = rows.filter("_kept").join(dropped, [*keys, *c.cuts], "left")
+    return rows.filter(~F.coalesce(F.col("_open") & F.array_contains("_runs", F.col("_run")), F.lit(False))).select(*keys, "seq", "text")
+
+
+# The prime that hashes are taken by, and the base of each of the two.
+PRIME, BASES = 2_147_483_647, (1_000_003, 998_244_353)
+
+
+def _rolled(text: Column) -> Column:
+    """Per base the polynomial hash of a text, and the base to the power of its length: what its place in a longer text
+    needs. The text is not empty."""
+    def add(acc, digit):
+        return F.struct(*[field for i, base in enumerate(BASES) for field in (
+            ((acc[f"h{i}"] * base + F.ascii(digit)) % PRIME).alias(f"h{i}"), (acc[f"p{i}"] * base % PRIME).alias(f"p{i}"))])
+    return F.aggregate(F.split(F.hex(text), ""), _nothing(), add)
+
+
+def _nothing() -> Column:
+    return F.struct(*[F.lit(v).cast("bigint").alias(f"{k}{i}") for i in range(len(BASES)) for k, v in (("h", 0), ("p", 1))])
+
+
+def _then(a: Column, b: Column) -> Column:
+    """Hash of one text followed by another; associative."""
+    return F.struct(*[field for i in range(len(BASES)) for field in (
+        ((a[f"h{i}"] * b[f"p{i}"] + b[f"h{i}"]) % PRIME).alias(f"h{i}"), (a[f"p{i}"] * b[f"p{i}"] % PRIME).alias(f"p{i}"))])
+
+
+def _times(a: Column, n: Column) -> Column:
+    """Hash of a text written n times, by doubling."""
+    return F.aggregate(F.split(F.bin(n), ""), _nothing(), lambda acc, bit: F.when(
+        bit == "1", _then(_then(acc, acc), a)).otherwise(_then(acc, acc)))
+
+
+def _left_out(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Those of the ``runs`` (n equal texts each) of a key that equal all joined before them, ``begin`` being the first text.
+
+    What is joined is carried as its length and hash, so a key is folded as one number set per run, of which there are no more
+    than its longest text has characters. Each run found is then held against the joined text itself, which is as
+    long as the run's text; were they to differ, the query fails.
+    """
+    hashed = runs.withColumns({"_own": _rolled(F.col("text")), "_part": _rolled(F.concat(F.lit(SEPARATOR), "text"))})
+    ordered = F.array_sort(F.collect_list(F.struct(
+        "seq", "n", F.length("text").cast("bigint").alias("length"), F.col("_own").alias("own"), _times(F.col("_part"), F.col("n")).alias("parts"))))
+    groups = hashed.groupBy(*keys).agg(F.first("begin").alias("begin"), ordered.alias("runs"))
+    start = F.struct(F.length("begin").cast("bigint").alias("length"), _rolled(F.col("begin")).alias("hash"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc, x):
+        same = (acc["length"] == x["length"]) & (acc["hash"] == x["own"])
+        return F.when(same, F.struct(acc["length"].alias("length"), acc["hash"].alias("hash"), F.concat(
+            acc["out"], F.array(x["seq"])).alias("out"))).otherwise(F.struct(
+                (acc["length"] + x["n"] * (x["length"] + len(SEPARATOR))).alias("length"),
+                _then(acc["hash"], x["parts"]).alias("hash"), acc["out"].alias("out")))
+
+    found = written(groups.select(*keys, F.explode(F.aggregate("runs", start, step)["out"]).alias("seq")).join(runs, [*keys, "seq"]))
+    added = runs.join(found.select(*keys, "seq"), [*keys, "seq"], "left_anti").select(
+        *keys, F.col("seq").alias("_at"), F.repeat(F.concat(F.lit(SEPARATOR), "text"), F.col("n").cast("int")).alias("_piece"))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("_at") < F.col("seq"), F.struct("_at", "_piece"))))
+    whole = F.concat(F.first("begin"), F.array_join(F.transform(pieces, lambda x: x["_piece"]), ""))
+    held = found.join(added, keys, "left").groupBy(*keys, *[c for c in found.columns if c not in (*keys, "n", "text", "begin")]).agg(
+        F.first("text").alias("text"), whole.alias("_whole"))
+    return held.filter(F.when(F.col("text") == F.col("_whole"), True).otherwise(
+        F.raise_error(F.lit("two texts of one hash differ: change BASES"))))
 
 
 def dedupe_insights(insights: DataFrame) -> DataFrame:

@@ -6,10 +6,6 @@ A run may hold a third of all steps, so every ordered value goes through chunks
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +16,6 @@ from ..rules import pages as P
 from ..rules import steps as R
 from ..sources.shared import written
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 STEP_CHUNK = 100_000
 RUN, ORDER = ["run_id"], ["step"]
 
@@ -206,61 +200,31 @@ def goal_met(criterion: str) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
-def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5, width: int = 10_000) -> DataFrame:
-    """Sub-goal a run works on after each step: the next one once the criterion is met, or after five steps.
+def subgoal_progress(actions: DataFrame, criteria: list[str], patience: int = 5) -> DataFrame:
+    """Sub-goal a run works on after each step: the next one once the criterion is met, or after ``patience`` steps.
 
-    (goal, steps spent) takes few values, so each chunk of steps is a table from the state before it to the
-    state after it. Chunks are tabulated apart, the tables are chained per run, and each chunk is then walked
-    from its known state. No task holds more than one chunk.
+    ``step`` numbers the steps of a run from 1 without gaps, as ``Tables.steps`` does. Each goal takes at most ``patience``
+    steps, so a run of any length is past its last goal after goals x patience of them. Only so many rows of a run are
+    shuffled and walked, as one short array; all later steps have the final state and stay where they lie.
     """
     goals = len(criteria)
-    states = [(g, s) for g in range(goals) for s in range(patience)] + [(goals, 0)]
-
-    def after(state, mask):
-        goal, spent = state
-        if goal == goals:
-            return state
-        if mask >> goal & 1 or spent + 1 >= patience:
-            return goal + 1, 0
-        return goal, spent + 1
-
-    # Next state by (which criteria a step meets, state before it).
-    moves = [[states.index(after(s, mask)) if after(s, mask)[0] < goals else len(states) - 1 for s in states]
-             for mask in range(2 ** goals)]
-    mask = F.lit(0)
-    for i, criterion in enumerate(criteria):
-        mask = mask + F.when(goal_met(criterion), 2 ** i).otherwise(0)
-    masks = written(actions.select("run_id", "step", mask.alias("mask")))  # two passes: to tabulate and to walk
-    c = chunks.Chunked(masks, RUN, ORDER, cut(width))
-
-    def tabulate(pdf):
-        ends = range(len(states))
-        for m in pdf.sort_values("step")["mask"]:
-            move = moves[m]
-            ends = [move[e] for e in ends]
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "_cut0": [pdf["_cut0"].iloc[0]], "ends": [list(ends)]})
-
-    tables = c.df.groupBy("run_id", "_cut0").applyInPandas(tabulate, "run_id BIGINT, _cut0 BIGINT, ends ARRAY<INT>")
-
-    def chain(pdf):
-        """State before each chunk of a run, from one small table per chunk."""
-        pdf, state, before = pdf.sort_values("_cut0"), 0, []
-        for ends in pdf["ends"]:
-            before.append(state)
-            state = ends[state]
-        return pd.DataFrame({"run_id": pdf["run_id"], "_cut0": pdf["_cut0"], "start": before})
-
-    starts = tables.groupBy("run_id").applyInPandas(chain, "run_id BIGINT, _cut0 BIGINT, start INT")
-
-    def progress(pdf):
-        pdf, state, walked = pdf.sort_values("step"), int(pdf["start"].iloc[0]), []
-        for m in pdf["mask"]:
-            state = moves[m][state]
-            walked.append(states[state])
-        return pd.DataFrame({"run_id": pdf["run_id"], "step": pdf["step"], "goal": [g for g, _ in walked], "spent": [s for _, s in walked]})
-
-    return c.df.join(starts, ["run_id", "_cut0"]).groupBy("run_id", "_cut0").applyInPandas(
-        progress, "run_id BIGINT, step BIGINT, goal INT, spent INT")
+    horizon = goals * patience
+    met = F.array(*[goal_met(criterion) for criterion in criteria]) if criteria else F.array().cast("array<boolean>")
+
+    def after(walk, x):
+        """``walk`` with the state after step ``x`` at its end."""
+        last = F.element_at(walk, -1)
+        over, moves_on = last["goal"] >= goals, F.get(x["met"], last["goal"]) | (last["spent"] + 1 >= patience)
+        return F.concat(walk, F.array(F.struct(
+            x["step"].alias("step"), F.when(~over & moves_on, last["goal"] + 1).otherwise(last["goal"]).alias("goal"),
+            F.when(over | moves_on, 0).otherwise(last["spent"] + 1).alias("spent"))))
+
+    begun = F.array(F.struct(F.lit(0).cast("bigint").alias("step"), F.lit(0).alias("goal"), F.lit(0).alias("spent")))
+    early = actions.filter(F.col("step") <= horizon).select("run_id", F.struct("step", met.alias("met")).alias("x"))
+    walked = early.groupBy("run_id").agg(F.array_sort(F.collect_list("x")).alias("xs")).select(
+        "run_id", F.inline(F.slice(F.aggregate("xs", begun, after), 2, horizon)))
+    late = actions.filter(F.col("step") > horizon).select("run_id", "step", F.lit(goals).alias("goal"), F.lit(0).alias("spent"))
+    return walked.unionByName(late)
 
 
 # ---------------------------------------------------------------- message histories and budgets

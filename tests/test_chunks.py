@@ -74,16 +74,18 @@ def walk(steps, met, goals, patience=5):
         yield step, goal, spent
 
 
-def test_subgoals_over_many_chunks(spark):
+@pytest.mark.parametrize("patience", [1, 2, 5, 30])
+def test_subgoals_of_long_runs(spark, patience):
     log = [(r, s, f"https://x/{'cart' if (s * 7 + r) % 11 == 0 else 'p'}", f"Page {s % 4}", "Welcome" if s % 13 == r else "-")
            for r in range(3) for s in range(1, 61)]
     df = spark.createDataFrame(log, "run_id BIGINT, step BIGINT, url STRING, title STRING, ax_text STRING")
     got = {(r.run_id, r.step): (r.goal, r.spent) for r in O.subgoal_progress(
-        df, ["url contains cart", "title contains 'page 2'", 'sees "welcome"'], width=7).collect()}
+        df, ["url contains cart", "title contains 'page 2'", 'sees "welcome"'], patience).collect()}
+    assert len(got) == len(log)
     tests = [lambda x: "cart" in x[2], lambda x: "page 2" in x[3].lower(), lambda x: "welcome" in x[4].lower()]
     for run in range(3):
         mine = [x for x in log if x[0] == run]
-        for x, goal, spent in walk(mine, lambda g, x: tests[g](x), 3):
+        for x, goal, spent in walk(mine, lambda g, x: tests[g](x), 3, patience):
             assert got[(run, x[1])] == (goal, spent)
 
 

@@ -1,5 +1,6 @@
 """Results that must not change with the size of a key, and plans that must not read their input many times."""
 
+import random
 import re
 
 import pytest
@@ -46,6 +47,38 @@ def test_one_evidence_rule_at_every_size(spark, n, start):
         assert [(r.merged, r.seq) for r in I.dedupe_insights(rows).collect()] == [(len(texts), 0)]
 
 
+@pytest.mark.parametrize("step", [1, 300_000])
+def test_evidence_that_holds_separators(spark, step):
+    """Every text holds the separator, so none is kept for lack of one; copies in runs, chains that are left out time and again."""
+    rng = random.Random(3)
+    chain, so_far = ["a | b"], "a | b"
+    for i in range(12):
+        chain += [f"c | {i}"] * (1 + i % 3)
+        so_far += f" | c | {i}" * (1 + i % 3)
+        chain += [so_far] * (i % 4)
+    mixed = [rng.choice(["p | q", "p", "q", "p | q | p", "p | p", "é | 😀", "p | q | p | q"]) for _ in range(400)]
+    for texts in (chain, mixed, ["x | y"] * 3000, ["x | y", "z"] + ["x | y | z"] * 2000 + ["w | w"] * 700,
+                  [f"{i} | {i % 7}" for i in range(4000)], ["x | y", "u | v", "x | y | u | v"] * 900):
+        got = I.evidence_texts(insights(spark, texts, step)).orderBy("seq").collect()
+        assert [r.text for r in got] == joined(texts)
+
+
+def test_a_hot_key_of_separators_is_folded_as_few_numbers(spark, monkeypatch):
+    """Of 20,000 long texts only the first few runs can still equal what is joined; the rest never meets in a group."""
+    folded = []
+    fold = I._left_out
+    monkeypatch.setattr(I, "_left_out", lambda runs, keys: folded.append(runs.count()) or fold(runs, keys))
+    texts = [f"{i:05d} | {'word ' * 20}" for i in range(20_000)]
+    assert I.evidence_texts(insights(spark, texts)).count() == len(joined(texts))
+    assert folded[0] <= 4
+
+
+def test_hashes_of_joined_texts(spark):
+    rows = spark.createDataFrame([("a | b", "c", 1), ("z", "x", 5), ("é😀", " | ", 1000)], "a STRING, b STRING, n INT")
+    a, b = I._rolled(F.col("a")), I._rolled(F.col("b"))
+    assert rows.filter(I._then(a, I._times(b, F.col("n"))) != I._rolled(F.concat("a", F.expr("repeat(b, n)")))).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 999, 1001, 5000])
 def test_report_totals_are_the_pages(spark, n):
     rows = insights(spark, [f"t{i}" for i in range(n)])
