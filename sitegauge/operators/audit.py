@@ -7,6 +7,8 @@ join the aggregate (one row a page) to the pages, so that a page without element
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,42 +258,129 @@ def friction_score(insights: DataFrame, pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- rules of one's own
 
+@dataclass(frozen=True)
+class Parameter:
+    """A value that a rule's condition reads as ``p.<name>``: its SQL type, default, bounds and allowed values."""
+
+    type: str
+    default: object
+    least: float | None = None
+    most: float | None = None
+    choices: tuple[str, ...] = ()
+
+
+SCHEMA = "rule STRING, name STRING, type STRING, least DOUBLE, most DOUBLE, choices ARRAY<STRING>"
+
+
 class RuleBook:
-    """Rules by name: an SQL condition over typed nodes, or a function of (pages, typed nodes) to insights."""
+    """Rules by name: an SQL condition over typed nodes, or a function of (pages, typed nodes) to insights.
+
+    A condition may have parameters. They come as rows (page_group, rule, name, value) of texts, a null group standing for all pages;
+    a page's own group wins over those, and those over the defaults.
+    """
 
     def __init__(self):
         self.rules: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
             n: (lambda pages, typed, n=n: audit(pages, typed, [n])) for n in R.RULES}
+        self.conditions: dict[str, tuple[str, dict[str, Parameter], Column]] = {}
 
-    def register(self, name: str, rule, severity: str = "medium", category: str = "friction", issue: str = "", recommendation: str = ""):
-        """``rule`` is an SQL condition or a function; a name can be used once."""
-        if name in self.rules:
+    def register(self, name: str, rule, severity: str = "medium", category: str = "friction", issue: str = "", recommendation: str = "",
+                 parameters: dict[str, Parameter] | None = None):
+        """``rule`` is an SQL condition or a function; a name can be used once, and only a condition has parameters."""
+        if name in self.rules or name in self.conditions:
             raise ValueError(f"rule '{name}' is already registered")
         if callable(rule):
+            if parameters:
+                raise ValueError(f"rule '{name}' is a function and takes no parameters")
             self.rules[name] = rule
             return
-
-        def by_condition(pages, typed):
-            return typed.filter(F.expr(rule)).select(
-                "page_id", F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.lit(category).alias("category"),
-                F.col("xpath").alias("element"), F.lit(issue).alias("issue"), F.lit(recommendation).alias("recommendation"))
-        self.rules[name] = by_condition
-
-    def run(self, names, pages: DataFrame, typed: DataFrame) -> DataFrame:
-        """Insights of the named rules; a name that is not registered gives one error row.
-
-        The built-in rules among them share one audit, so the nodes are typed once for all of them."""
+        made = F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.lit(category).alias("category"),
+                        F.col("xpath").alias("element"), F.lit(issue).alias("issue"), F.lit(recommendation).alias("recommendation"))
+        self.conditions[name] = rule, dict(parameters or {}), made
+
+    def checked(self, given: DataFrame) -> DataFrame:
+        """``given`` parameter rows with ``problem``: what is wrong with each, null for a valid one. Of rows for one group, rule and
+        parameter that differ none is valid; equal ones count once."""
+        def bound(v):
+            return None if v is None else float(v)
+
+        known = [(n, k, q.type, bound(q.least), bound(q.most), list(map(str, q.choices))) for n, (_, ps, _) in self.conditions.items() for k, q in ps.items()]
+        schema = given.sparkSession.createDataFrame(known, SCHEMA)
+        rules = given.sparkSession.createDataFrame([(n,) for n in (*self.rules, *self.conditions)], "rule STRING")
+        rows = given.groupBy("page_group", "rule", "name").agg(
+            F.min("value").alias("value"), (F.count_distinct("value") + F.max(F.col("value").isNull().cast("int"))).alias("_values"))
+        rows = rows.join(rules.withColumn("_rule", F.lit(True)), "rule", "left").join(schema, ["rule", "name"], "left")
+        value = F.col("value")
+        as_type = reduce(lambda held, kind: F.when(F.col("type") == kind, value.try_cast(kind).isNotNull()).otherwise(held),
+                         sorted({k[2] for k in known}), F.lit(True))
+        number = value.try_cast("double")
+        problem = (F.when(F.col("_rule").isNull(), "no such rule").when(F.col("type").isNull(), "no such parameter")
+                   .when(F.col("_values") > 1, "given more than once").when(value.isNull(), "no value")
+                   .when(~as_type, F.concat(F.lit("not of type "), "type"))
+                   .when(F.col("least").isNotNull() & ~F.coalesce(number >= F.col("least"), F.lit(False)), F.concat(F.lit("below "), F.col("least").cast("string")))
+                   .when(F.col("most").isNotNull() & ~F.coalesce(number <= F.col("most"), F.lit(False)), F.concat(F.lit("above "), F.col("most").cast("string")))
+                   .when((F.size("choices") > 0) & ~F.array_contains("choices", value), F.concat(F.lit("not one of "), F.array_join("choices", ", "))))
+        return rows.select("page_group", "rule", "name", "value", problem.alias("problem"))
+
+    def _conditions(self, names: list[str], pages: DataFrame, typed: DataFrame, given: DataFrame | None) -> list[DataFrame]:
+        """Insights of the conditions, all tested in one pass over the nodes, and an error row per invalid parameter."""
+        held, frames = typed, []
+        everywhere, out = {}, set()
+        if given is not None:
+            rows = written(self.checked(given).filter(
+                F.col("rule").isin(names) | ~F.coalesce(F.col("rule").isin([*self.conditions]), F.lit(False))))
+            bad = F.concat(F.lit("invalid parameter "), F.coalesce("rule", F.lit("")), F.lit("."), F.coalesce("name", F.lit("")),
+                           F.concat(F.lit(" of group "), "page_group"), F.lit(": "), "problem")
+            plain = F.concat(F.lit("invalid parameter "), F.coalesce("rule", F.lit("")), F.lit("."), F.coalesce("name", F.lit("")), F.lit(": "), "problem")
+            frames.append(rows.filter("problem IS NOT NULL").select(*_error(F.coalesce(bad, plain))))
+            usable = rows.filter(F.col("rule").isin(names))
+            # At most one valid row for each parameter that the rules declare, and one invalid row for each rule.
+            for r in usable.filter("page_group IS NULL AND problem IS NULL").collect():
+                everywhere[r["rule"], r["name"]] = r["value"]
+            out = {r["rule"] for r in usable.filter("page_group IS NULL AND problem IS NOT NULL").select("rule").distinct().collect()}
+            if "page_group" in pages.columns:
+                key = F.concat_ws(".", "rule", "name")
+                settings = usable.filter("page_group IS NOT NULL").groupBy("page_group").agg(
+                    F.map_from_entries(F.collect_list(F.when(F.col("problem").isNull(), F.struct(key.alias("k"), "value")))).alias("_given"),
+                    F.collect_set(F.when(F.col("problem").isNotNull(), F.col("rule"))).alias("_out"))
+                held = typed.join(pages.select("page_id", "page_group").join(settings, "page_group").select("page_id", "_given", "_out"), "page_id", "left")
+        tests = {}
+        for name in names:
+            rule, parameters, made = self.conditions[name]
+            if name in out:
+                continue
+            test = F.expr(rule)
+            if parameters:
+                def value(k, q, name=name):
+                    fixed = F.lit(str(everywhere.get((name, k), q.default)))
+                    own = F.get(F.array(F.col("_given")[f"{name}.{k}"]), F.lit(0)) if "_given" in held.columns else F.lit(None).cast("string")
+                    return F.coalesce(own, fixed).cast(q.type).alias(k)
+                held = held.withColumn(f"_p_{name}", F.struct(*[value(k, q) for k, q in parameters.items()]))
+                test = F.expr(f"exists(array(`_p_{name}`), p -> {rule})")
+            if "_out" in held.columns:
+                test = test & ~F.coalesce(F.array_contains("_out", name), F.lit(False))
+            tests[name] = test, made
+        return ([fired(held, tests)] if tests else []) + frames
+
+    def run(self, names, pages: DataFrame, typed: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+        """Insights of the named rules; a name that is not registered gives one error row, as does each invalid row of ``parameters``.
+
+        A rule with an invalid parameter does not run on the pages of that row's group. Pages tell their group in ``page_group``;
+        without that column only parameters for all pages count. The built-in rules share one audit, so the nodes are typed
+        once for all of them, and all conditions are tested in one pass over the nodes."""
         names = list(dict.fromkeys(names))
         builtin = [n for n in names if n in R.RULES]
         frames = [audit(pages, typed, builtin).select(*OUT)] if builtin else []
         frames += [self.rules[n](pages, typed).select(*OUT) for n in names if n in self.rules and n not in R.RULES]
+        conditions = [n for n in names if n in self.conditions]
+        if conditions or parameters is not None:
+            frames += self._conditions(conditions, pages, typed, parameters)
         for n in names:
-            if n not in self.rules:
-                frames.append(pages.sparkSession.range(1).select(
-                    F.lit(None).cast("bigint").alias("page_id"), F.lit("error").alias("type"), F.lit("low").alias("severity"),
-                    F.lit("error").alias("category"), F.lit("").alias("element"), F.lit(f"unknown rule: {n}").alias("issue"),
-                    F.lit("").alias("recommendation")))
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+            if n not in self.rules and n not in self.conditions:
+                frames.append(pages.sparkSession.range(1).select(*_error(F.lit(f"unknown rule: {n}"))))
+        return reduce(DataFrame.unionByName, frames)
+
+
+def _error(issue: Column) -> list[Column]:
+    return [F.lit(None).cast("bigint").alias("page_id"), F.lit("error").alias("type"), F.lit("low").alias("severity"),
+            F.lit("error").alias("category"), F.lit("").alias("element"), issue.alias("issue"), F.lit("").alias("recommendation")]

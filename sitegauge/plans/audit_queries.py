@@ -136,3 +136,33 @@ def register_rule_query(t):
 @query("run_rules", f"{ALL_CTES} {rule_sql('no_search')} UNION ALL {rule_sql('weak_cta_text')} UNION ALL SELECT NULL, 'error', 'low', 'error', '', 'unknown rule: no_such_rule', ''", uses="nodes urls")
 def run_rules(t):
     return A.RuleBook().run(["no_search", "weak_cta_text", "no_such_rule"], t.urls, typed(t))
+
+
+# Parameters per group of pages: (group or all, rule, name, value). The last four are invalid, so their rules do not run there.
+GIVEN = [(None, "small_image", "side", "30"), ("g1", "small_image", "side", "60"), ("g1", "long_text", "chars", "12"),
+         (None, "wordy_tag", "tag", "a"), ("g2", "small_image", "side", "-5"), ("g2", "long_text", "chars", "many"),
+         (None, "long_text", "lines", "3"), ("g0", "no_such_rule", "x", "1")]
+ERRORS = ["small_image.side of group g2: below 1.0", "long_text.chars of group g2: not of type int", "long_text.lines: no such parameter",
+          "no_such_rule.x of group g0: no such rule"]
+
+
+def own_rule_sql(name, issue, condition):
+    return (f"SELECT page_id, '{name}' AS type, 'low' AS severity, 'friction' AS category, xpath AS element, '{issue}' AS issue, 'Check it' AS recommendation "
+            f"FROM (SELECT *, 'g' || CAST(page_id % 4 AS VARCHAR) AS g FROM nodes) n WHERE is_visible AND {condition}")
+
+
+@query("run_rules_with_parameters", " UNION ALL ".join([
+    own_rule_sql("small_image", "Small image", "g <> 'g2' AND tag = 'img' AND w < CASE WHEN g = 'g1' THEN 60 ELSE 30 END"),
+    own_rule_sql("wordy_tag", "Words", "tag = 'a' AND length(text) > 8"),
+    *[f"SELECT NULL, 'error', 'low', 'error', '', 'invalid parameter {e}', ''" for e in ERRORS]]), uses="nodes")
+def run_rules_with_parameters(t):
+    """Thresholds by group of pages; a rule does not run where one of its parameters is invalid."""
+    book = A.RuleBook()
+    for name, rule, issue, parameters in (
+            ("small_image", "is_visible AND tag = 'img' AND w < p.side", "Small image", {"side": A.Parameter("double", 20.0, 1, 1000)}),
+            ("long_text", "is_visible AND length(text) > p.chars", "Long text", {"chars": A.Parameter("int", 100, 1)}),
+            ("wordy_tag", "is_visible AND tag = p.tag AND length(text) > 8", "Words", {"tag": A.Parameter("string", "p", choices=("p", "a"))})):
+        book.register(name, rule, "low", issue=issue, recommendation="Check it", parameters=parameters)
+    pages = t.urls.withColumn("page_group", F.concat(F.lit("g"), (F.col("page_id") % 4).cast("string")))
+    given = t.spark.createDataFrame(GIVEN, "page_group STRING, rule STRING, name STRING, value STRING")
+    return book.run(["small_image", "long_text", "wordy_tag"], pages, t.nodes, given)

@@ -1,5 +1,7 @@
 """Small pages of our own, from tidy to soup."""
 
+import re
+
 import pytest
 
 from sitegauge.operators import audit as A
@@ -126,6 +128,63 @@ def test_rule_book(spark, nodes):
     assert [r.issue for r in book.run(["nope"], urls, nodes).collect()] == ["unknown rule: nope"]
 
 
+GIVEN = "page_group STRING, rule STRING, name STRING, value STRING"
+
+
+def own_rules():
+    book = A.RuleBook()
+    book.register("wordy", "length(text) > p.chars AND tag <> p.but", issue="wordy", parameters={
+        "chars": A.Parameter("int", 3, 1, 50), "but": A.Parameter("string", "p", choices=("p", "q"))})
+    book.register("shout", "text = upper(text) AND text <> lower(text)", issue="shout")
+    return book
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    rows = [(page, f"/{page}/{i}", tag, text) for page in (1, 2, 3) for i, (tag, text) in enumerate(
+        [("a", "four"), ("a", "LETTERS"), ("p", "LETTERS"), ("q", "tenletters")])]
+    return spark.createDataFrame(rows, "page_id BIGINT, xpath STRING, tag STRING, text STRING")
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    return spark.createDataFrame([(1, "a", "u"), (2, "b", "v"), (3, None, "w")], "page_id BIGINT, page_group STRING, url STRING")
+
+
+@pytest.mark.parametrize(("given", "hits", "problems"), [
+    ([], {1: 3, 2: 3, 3: 3}, []),
+    ([(None, "wordy", "chars", "5")], {1: 2, 2: 2, 3: 2}, []),
+    ([(None, "wordy", "chars", "5"), ("a", "wordy", "chars", "9"), ("b", "wordy", "but", "q")], {1: 1, 2: 2, 3: 2}, []),
+    ([("a", "wordy", "chars", "0"), ("b", "wordy", "chars", "51"), ("b", "wordy", "but", "z")], {3: 3},
+     ["wordy.chars of group a: below 1.0", "wordy.chars of group b: above 50.0", "wordy.but of group b: not one of p, q"]),
+    ([(None, "wordy", "chars", "x")], {}, ["wordy.chars: not of type int"]),
+    ([(None, "wordy", "chars", "5"), (None, "wordy", "chars", "6")], {}, ["wordy.chars: given more than once"]),
+    ([("a", "wordy", "chars", "5"), ("a", "wordy", "chars", "5")], {1: 2, 2: 3, 3: 3}, []),
+    ([("a", "wordy", "chars", None), ("b", "wordy", "size", "5"), (None, "no", "n", "1"), (None, "shout", "x", "1"), (None, None, None, None)],
+     {3: 3}, ["wordy.chars of group a: no value", "wordy.size of group b: no such parameter", "no.n: no such rule",
+              "shout.x: no such parameter", ".: no such rule"]),
+])
+def test_rule_parameters(spark, words, grouped, given, hits, problems):
+    rows = own_rules().run(["wordy", "shout"], grouped, words, spark.createDataFrame(given, GIVEN)).collect()
+    found = [r.page_id for r in rows if r.type == "wordy"]
+    assert {p: found.count(p) for p in set(found)} == hits
+    assert sorted(r.issue for r in rows if r.type == "error") == sorted(f"invalid parameter {p}" for p in problems)
+    assert sum(r.type == "shout" for r in rows) == (0 if any("shout" in p for p in problems) else 6)
+
+
+def test_rules_share_one_scan(spark, words, grouped, tmp_path):
+    words.write.parquet(f"{tmp_path}/nodes")
+    nodes, book = spark.read.parquet(f"{tmp_path}/nodes"), own_rules()
+    for i in range(10):
+        book.register(f"more{i}", "length(text) = p.n", parameters={"n": A.Parameter("int", i)})
+    given = spark.createDataFrame([("a", "wordy", "chars", "5")], GIVEN)
+    df = book.run(["wordy", "shout", *[f"more{i}" for i in range(10)]], grouped, nodes, given)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet[^\n]*/nodes", plan)) == 1
+    with pytest.raises(ValueError, match="takes no parameters"):
+        book.register("f", lambda pages, typed: typed, parameters={"n": A.Parameter("int", 1)})
+
+
 def test_deep_nesting_is_bounded():
     """Unclosed elements by the ten thousand: time stays linear, and paths as short as in a browser."""
     import time
