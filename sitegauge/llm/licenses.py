@@ -9,19 +9,26 @@ Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII. Two th
 The search is an exact set-similarity join with a containment threshold. All template words are ordered by their frequency
 over all documents (counted first, in one pass that sends one number per template word and batch), rarest first.
 A template with n different words must share o = ceil(THRESHOLD * n) of them with a block, so the block holds one of the
-template's first n - o + 1 words (prefix filter). The blocks around such words make up stretches; one with less than o
-of the template's words is left out (length filter), and over the others a window slides with the count of each shared word.
-A block that starts at no shared word holds no more of them than the one at the next, so only those are looked at.
+template's first n - o + 1 words (prefix filter). The blocks around such words make up stretches. From the rarest such word of
+a stretch on, template and stretch go through the same order, so they share at most the shorter rest (positional
+filter); one with less than o of the template's words is left out (length filter), and over the others a window slides with
+the count of each shared word. A block that starts at no shared word holds no more of them than the one at the next, so
+only those are looked at.
+
+All blocks over the threshold are returned. Where those of near-identical templates overlap, ``best`` marks the one that shares
+most words (on ties the one that holds more of its template, then the first, then by label).
 
 The templates are the query set; they are a parameter that every task holds, at most ``MOST_TEMPLATES``. Documents are
 scanned where they lie and never shuffled.
 
-Nulls: a null text is empty. Repeated rows stay; an empty table gives no rows.
+Nulls: a null text is empty, a null id stays null. Repeated rows stay; an empty table gives no rows. A very long text is scanned
+whole by one task, in time linear in its words and hits. Only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,9 +69,9 @@ TEMPLATES = [
     ("this work is licensed under a creative commons attribution share alike 4 0 international license", "cc-by-sa"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
 ]
-SPANS = "array<struct<label:string,first:long,last:long,containment:double,exact:boolean>>"
+SPANS = "array<struct<label:string,first:long,last:long,containment:double,exact:boolean,best:boolean>>"
 FOUND = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()),
-                            ("containment", pa.float64()), ("exact", pa.bool_())]))
+                            ("containment", pa.float64()), ("exact", pa.bool_()), ("best", pa.bool_())]))
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -87,94 +94,121 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str = "t
 
 
 class Templates:
-    """Templates indexed by the words of their prefixes."""
+    """Templates indexed by the words of their prefixes. Words are known by their rank in the order by frequency, rarest first."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
-        self.threshold = threshold
-        self.sizes, self.labels, self.sets, self.needed = [], [], [], []
-        self.prefixes: dict[bytes, list[int]] = {}
+        self.sizes, self.starts, self.labels, self.ordered, self.sets, self.needed = [], [], [], [], [], []
+        #: Rank of a prefix word -> (template, place of the word in the template's order).
+        self.prefixes: dict[int, list[tuple[int, int]]] = {}
         vocabulary = {w for text, _ in templates for w in words(text.encode())}
-        #: Place of each template word in the order by frequency, rarest first.
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
         for number, (text, label) in enumerate(templates):
             found = words(text.encode())
-            ordered = sorted(set(found), key=self.rank.__getitem__)
+            ordered = sorted({self.rank[w] for w in found})
             needed = math.ceil(threshold * len(ordered) - 1e-9)
             self.sizes.append(len(found))
+            self.starts.append(found[0] if found else b"")
             self.labels.append(label)
+            self.ordered.append(ordered)
             self.sets.append(frozenset(ordered))
             self.needed.append(needed)
-            for word in ordered[:len(ordered) - needed + 1]:
-                self.prefixes.setdefault(word, []).append(number)
+            for place, rank in enumerate(ordered[:len(ordered) - needed + 1]):
+                self.prefixes.setdefault(rank, []).append((number, place))
+
+    def most_shared(self, number: int, place: int, ranks: set[int]) -> int:
+        """Positional bound: words that a text with ``ranks`` can share with a template if the rarest is at ``place`` of its order.
+        Both go on from there in one order, so it is the shorter rest."""
+        ordered = self.ordered[number]
+        return min(len(ordered) - place, sum(r >= ordered[place] for r in ranks))
 
     def search(self, found: list[bytes]) -> list[dict]:
-        """Blocks that meet the threshold of a template; of overlapping ones of a template, the first of the best (of
-        equally good ones the shortest). A block ends where it first holds all the template's words that it has."""
-        if self.prefixes.keys().isdisjoint(found):
-            return []
+        """Blocks that meet the threshold of a template; of overlapping ones of a template, the first of the best (of equally
+        good ones that with the template's first word in front, then the shortest). A block ends where it first holds
+        all the template's words that it has."""
+        marks = [(at, self.rank[word]) for at, word in enumerate(found) if word in self.rank]
         stretches: dict[int, list[list[int]]] = {}
-        for at, word in enumerate(found):
-            for number in self.prefixes.get(word, ()):
+        for at, rank in marks:
+            for number, place in self.prefixes.get(rank, ()):
                 wide, own = 2 * self.sizes[number], stretches.setdefault(number, [])
                 if own and at - wide < own[-1][1]:
                     own[-1][1] = at + wide
+                    own[-1][2] = min(own[-1][2], place)
                 else:
-                    own.append([max(0, at - wide + 1), at + wide])
+                    own.append([max(0, at - wide + 1), at + wide, place])
         hits: list[dict] = []
         for number in sorted(stretches):
             own, needed, best = self.sets[number], self.needed[number], []
-            for low, high in stretches[number]:
-                if len(own.intersection(found[low:high])) < needed:
+            for low, high, place in stretches[number]:
+                part = marks[bisect_left(marks, (low,)):bisect_left(marks, (high,))]
+                here = {r for _, r in part}
+                if self.most_shared(number, place, here) < needed or len(own & here) < needed:
                     continue
-                for first, last, shared in self._blocks(found, number, low, high):
+                for first, last, shared in self._blocks([m for m in part if m[1] in own], number):
                     hit = {"label": self.labels[number], "first": first, "last": last,
-                           "containment": shared / len(own), "exact": False}
+                           "containment": shared / len(own), "exact": False, "best": True, "shared": shared}
                     if not best or first > best[-1]["last"]:
                         best.append(hit)
-                    elif (hit["containment"], first - last) > (best[-1]["containment"], best[-1]["first"] - best[-1]["last"]):
+                    elif self._merit(found, number, hit) > self._merit(found, number, best[-1]):
                         best[-1] = hit
             hits += best
-        return hits
+        return compete(hits)
 
-    def _blocks(self, found: list[bytes], number: int, low: int, high: int) -> Iterator[tuple[int, int, int]]:
-        """(first, last, shared words) of each block over the threshold that starts at a shared word from low to high."""
-        own, needed, wide = self.sets[number], self.needed[number], 2 * self.sizes[number]
-        places = [i for i in range(low, min(high, len(found))) if found[i] in own]
-        counts: Counter[bytes] = Counter()
+    def _merit(self, found: list[bytes], number: int, hit: dict) -> tuple:
+        return hit["containment"], found[hit["first"]] == self.starts[number], hit["first"] - hit["last"]
+
+    def _blocks(self, marks: list[tuple[int, int]], number: int) -> Iterator[tuple[int, int, int]]:
+        """(first, last, shared words) of each block over the threshold that starts at one of the shared words ``marks``."""
+        needed, wide = self.needed[number], 2 * self.sizes[number]
+        counts: Counter[int] = Counter()
         shared = end = 0
-        for k, first in enumerate(places):
-            while end < len(places) and places[end] < first + wide:
-                word = found[places[end]]
-                shared += not counts[word]
-                counts[word] += 1
+        for k, (first, rank) in enumerate(marks):
+            while end < len(marks) and marks[end][0] < first + wide:
+                shared += not counts[marks[end][1]]
+                counts[marks[end][1]] += 1
                 end += 1
             if shared >= needed:
                 seen = set()
-                for last in places[k:end]:
-                    seen.add(found[last])
+                for last, other in marks[k:end]:
+                    seen.add(other)
                     if len(seen) == shared:
                         break
                 yield first, last, shared
-            counts[found[first]] -= 1
-            shared -= not counts[found[first]]
+            counts[rank] -= 1
+            shared -= not counts[rank]
+
+
+def compete(hits: list[dict]) -> list[dict]:
+    """``best`` is false for a block that overlaps one of another label that shares more words, or as many of a shorter template:
+    near-identical templates all meet the threshold where one of them stands. A block that gave way itself defeats none.
+
+    Kept blocks of one label never overlap, nor do those of different labels, so each is found by its neighbours."""
+    kept: list[tuple[int, int]] = []
+    for hit in sorted(hits, key=lambda h: (-h["shared"], -h["containment"], h["first"], h["label"])):
+        at = bisect_left(kept, (hit["first"],))
+        before, after = kept[at - 1:at] if at else [], kept[at:at + 1]
+        hit["best"] = all(last < hit["first"] for _, last in before) and all(first > hit["last"] for first, _ in after)
+        if hit["best"]:
+            insort(kept, (hit["first"], hit["last"]))
+    return hits
 
 
 def phrase_places(found: list[bytes], phrases: list[tuple[bytes, str]]) -> list[dict]:
     """Each place where a phrase's words stand one after the other, overlapping ones too."""
     line, hits = b" " + b" ".join(found) + b" ", []
     for phrase, label in phrases:
-        wanted, at = b" " + phrase + b" ", -1
+        wanted, at, first, counted = b" " + phrase + b" ", -1, 0, 0
         length = phrase.count(b" ")
         while (at := line.find(wanted, at + 1)) >= 0:
-            first = line.count(b" ", 0, at)
-            hits.append({"label": label, "first": first, "last": first + length, "containment": 1.0, "exact": True})
+            first += line.count(b" ", counted, at)  # words since the place before
+            counted = at
+            hits.append({"label": label, "first": first, "last": first + length, "containment": 1.0, "exact": True, "best": True})
     return hits
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES,
          threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, spans) of every row; a span has its label, first and last word (from 0), the containment of
-    the template in the block, and whether it is an exact phrase."""
+    the template in the block, whether it is an exact phrase, and whether it is the best of those that overlap."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates; scan them in parts")
     vocabulary = {w for text, _ in templates for w in words(text.encode())}

@@ -59,7 +59,7 @@ def op4(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "n_words", F.size(exact).cast("long").alias("n_base"),
         F.array_min(F.transform(exact, lambda s: s["first"])).alias("first_word"),
         F.array_max(F.transform(exact, lambda s: s["first"])).alias("last_word"),
-        labels(exact).alias("base_labels"), labels(F.col("spans")).alias("labels"),
+        labels(exact).alias("base_labels"), labels(F.filter("spans", lambda s: s["best"])).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["containment"])), F.lit(0.0)).alias("score"))
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from cases import documents, empty, odd, prose
@@ -106,3 +107,48 @@ def test_too_many_templates(spark, monkeypatch):
     monkeypatch.setattr(licenses, "MOST_TEMPLATES", 2)
     with pytest.raises(ValueError, match="templates"):
         licenses.scan(empty(spark))
+
+
+def test_a_templates_own_text_has_its_label_only(spark):
+    """Near-identical templates compete for a block, wherever it stands; side by side each keeps its own."""
+    texts = [t for t, _ in licenses.TEMPLATES]
+    rows = [(i, text, "s") for i, text in enumerate(texts)]
+    rows += [(100 + i, f"{prose(i, 300)}\n{text.title()}\n{prose(i + 1, 200)}", "s") for i, text in enumerate(texts)]
+    rows += [(1000 + 20 * i + k, f"{a}\n{b}", "s") for i, a in enumerate(texts) for k, b in enumerate(texts)]
+    for r in licenses.scan(documents(spark, rows), phrases=[]).collect():
+        own = {r.doc_id % 100} if r.doc_id < 1000 else {(r.doc_id - 1000) // 20, (r.doc_id - 1000) % 20}
+        assert {s.label for s in r.spans if s.best} == {licenses.TEMPLATES[n][1] for n in own}, r.doc_id
+
+
+def test_the_best_of_overlapping_blocks(spark):
+    """``best`` by all pairs: walked from the block that shares most, one stays if it meets none that stayed."""
+    sizes = {label: len(set(t.split())) for t, label in licenses.TEMPLATES}
+    for r in licenses.scan(documents(spark, licensed_rows()), threshold=0.5, phrases=[]).collect():
+        kept = []
+        for s in sorted(r.spans, key=lambda s: (-round(s.containment * sizes[s.label]), -s.containment, s.first, s.label)):
+            stays = not any(s.first <= k.last and k.first <= s.last for k in kept)
+            kept += [s] if stays else []
+            assert s.best == stays
+
+
+def test_positional_filter():
+    """The rarest shared word and the words after it in the order bound what can be shared; the bound is never too low."""
+    index = licenses.Templates([("a b c d e", "x")], {w: n for n, w in enumerate([b"a", b"b", b"c", b"d", b"e"])}, 0.6)
+    assert index.prefixes.keys() == {0, 1, 2}
+    assert index.most_shared(0, 2, {2, 3}) == 2 < index.needed[0]  # pruned though c is a prefix word
+    assert index.most_shared(0, 1, {1, 2, 3, 4}) == 4
+    assert index.search([b"c", b"d"]) == [] and index.search([b"b", b"d", b"e"])[0]["containment"] == 0.6
+
+
+def test_phrases_and_notices_in_linear_time():
+    index = licenses.Templates(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+
+    def seconds(n):
+        found = [b"cc", b"by", b"nc"] * n
+        notices = licenses.TEMPLATES[2][0].encode().split() * (n // 10)
+        start = time.process_time()
+        assert len(licenses.phrase_places(found, [(b"cc by nc", "c")])) == n
+        assert [h["best"] for h in index.search(notices) if h["label"] == "gpl-3"] == [True] * (n // 10)
+        return time.process_time() - start
+    seconds(1000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.3
