@@ -2,15 +2,18 @@
 
 A page is cut into flat blocks at block-level tags. A block is described by its number of words and its link density
 (the share of its words inside links), the same of the blocks before and after it, whether it is a heading, and whether
-it stands in an article or in an element marked as something else: surely (menu, footer, form, advert, comments) or perhaps (a
-name such as header, sidebar, share, notice, which also stands on wrappers of whole pages). An article ends the second kind
-of mark, a main element every mark but ``hidden``. A decision tree, trained here on the small labelled table below, tells which blocks are main text; they are
-joined in page order. Scripts, styles, head, markup comments and form controls never make blocks.
+it stands in an article or in an element marked as something else: surely (menu, footer, advert, comments) or perhaps (a form, or a
+name such as header, sidebar, share, notice, all of which also stand round whole pages). An article ends the second kind
+of mark, a main element every mark but ``hidden``. Names of a state (nav-open, comments-enabled) are no marks. A decision tree, trained
+here on the small labelled table below, tells which blocks are main text; they are joined in page order. Scripts, styles, head,
+markup comments and form controls never make blocks.
 
 The parser keeps one small record per open element and passes over a page once, so time grows with the page's length
 whatever its nesting. Pages are tasks' rows, taken one at a time.
 
-Nulls: a null page is empty and has an empty text. Repeated rows stay; an empty table gives no rows.
+Nulls: a null page is empty and has an empty text; a null id or url stays null. Repeated rows stay, equal pages have equal texts; an
+empty table gives no rows. A very long page is parsed whole by one task, in time linear in its length. Only the three named
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -35,18 +38,18 @@ SILENT_TAGS = frozenset(
     "head script style title noscript template svg math iframe object audio video canvas select option textarea button "
     "datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OTHER_TAGS = frozenset("nav footer aside form menu dialog".split())
+OTHER_TAGS = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 # Words of a class or id that mark an element as something else than the article, and those that only may.
 SURE_NAMES, LOOSE_NAMES = (re.compile(rf"(?:^|[-_])(?:{x})(?:$|[-_])", re.IGNORECASE) for x in (
     r"ad|ads|advert|advertisement|adverts|advertising|breadcrumbs?|comments?|consent|cookies?|discuss"
     r"|disqus|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notification"
     r"|paywall|popup|related|replies|reply|respond|signup|sponsor|sponsored|subscribe|toolbar",
     r"banner|header|masthead|notices?|promo|promoted|share|sharing|sidebar|social"))
-# Names that tell of a page's layout, or of the head of its text.
-LAYOUT_NAMES = re.compile(r"(?:no|has|with|without)[-_]|(?:\S*[-_])?(?:entry|post|article|story|content|page)[-_]{1,2}header(?:$|[-_])",
-                          re.IGNORECASE)
+# Names that tell of a page's layout or state, or of the head of its text.
+LAYOUT_NAMES = re.compile(r"(?:no|has|with|without)[-_]|(?:\S*[-_])?(?:entry|post|article|story|content|page)[-_]{1,2}header(?:$|[-_])"
+                          r"|\S+[-_](?:open|opened|closed|active|inactive|enabled|disabled|visible|expanded|collapsed)$", re.IGNORECASE)
 LOOSE, SURE, HIDDEN = 1, 2, 3
 
 
@@ -162,7 +165,8 @@ class _Blocks(HTMLParser):
         if tag == "main" and kept < HIDDEN or tag == "article" and kept == LOOSE:
             kept = 0
         sure = (tag in OTHER_TAGS or tag == "header" and not around.article or (of.get("role") or "").lower() in OTHER_ROLES)
-        other = max(kept, HIDDEN if "hidden" in of else SURE if sure else 0,
+        perhaps = tag == "form" or (of.get("role") or "").lower() == "form"
+        other = max(kept, HIDDEN if "hidden" in of else SURE if sure else LOOSE if perhaps else 0,
                     _named(f"{of.get('class') or ''} {of.get('id') or ''}") if named else 0)
         if tag == "span":  # only one that is marked matters
             if other == around.other:

@@ -88,6 +88,40 @@ def test_marks_around_the_text(page, want):
     assert text(page) == want
 
 
+PARAGRAPHS = "\n".join(" ".join(f"{name}{i}" for i in range(60)) for name in ("first", "second", "third"))
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS.split("\n"))
+AROUND = ("<header><a href=/>Site</a></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<footer><p>All rights reserved"
+          "</p><a href=/t>Terms</a></footer>")
+COMMENTS = "<div class=comments><h3>Comments</h3>" + "".join(f"<p>{' '.join(['I think'] * 30)} {i}</p>" for i in range(3)) + "</div>"
+SIGN_UP = "<form class=x action=/s><label>Your mail</label><input name=m><p>We send one letter a week</p><button>Go</button></form>"
+LAYOUTS = {
+    "form round the page": f"<form id=aspnetForm>{AROUND[0]}<div>{BODY}</div>{AROUND[1]}</form>",
+    "form round an article": f"<form id=f>{AROUND[0]}<article>{BODY}</article>{AROUND[1]}</form>",
+    "state of the menu": f"<div class='page nav-open'>{AROUND[0]}<div>{BODY}</div>{AROUND[1]}</div>",
+    "state of a dialog": f"<div class='site modal-open'>{AROUND[0]}<article>{BODY}</article></div>",
+    "comments are on": f"<div class='comments-enabled'><article>{BODY}</article>{COMMENTS}</div>",
+    "table layout": f"<table><tr><td>{AROUND[0]}</td><td>{BODY}</td></tr></table>",
+    "sections": f"{AROUND[0]}<section class=content>{BODY}</section>{COMMENTS}{AROUND[1]}",
+    "main": f"<body class='search-active'>{AROUND[0]}<main>{BODY}</main><aside>{BODY[:400]}</aside>{AROUND[1]}",
+    "sign up inside": f"<article>{BODY}{SIGN_UP}</article>{COMMENTS}",
+    "sign up after": f"<div class=post>{BODY}</div>{SIGN_UP}{AROUND[1]}",
+    "popup that is open": f"<div class='popup popup-open'><p>{' '.join(['Buy now'] * 30)}</p></div><article>{BODY}</article>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    assert text(LAYOUTS[layout]) == PARAGRAPHS
+
+
+def test_precision_and_recall_over_layouts():
+    """By words, over all layouts: what is kept is text, and text is kept."""
+    kept = [text(page).split() for page in LAYOUTS.values()]
+    wanted = set(PARAGRAPHS.split())
+    right = sum(w in wanted for k in kept for w in k)
+    assert right >= 0.98 * sum(map(len, kept)) and right >= 0.98 * len(wanted) * len(LAYOUTS)
+
+
 def test_time_follows_the_length_whatever_the_nesting():
     start = time.process_time()
     deep = text("<div>x " * 60_000) + text("<a>" * 60_000) + text("<p><b><i>" * 40_000) + text("</div>" * 60_000)
