@@ -1,16 +1,17 @@
 """Texts and documents made from results.
 
 A report has a row for its head and one for each of its entries, in the order of (section, position), so its totals are those
-of the page and no task holds all rows of one page, whatever their number. Prompts and evidence packages are made of what one
-page shows, so each is one text.
+of the page and no task holds all rows of one page, whatever their number; evidence packages are such lines too. Prompts are made
+of at most six viewports, so each is one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import relabel_refs, title_case, viewport_ref
+from ..plans import chunks
 from ..rules import insights as R
 
 SOURCES = ("tool", "heuristic", "vision")
@@ -97,21 +98,41 @@ def report_markdown(insights: DataFrame, scores: DataFrame, tests: DataFrame) ->
     return summary.unionByName(heads).unionByName(issues).unionByName(plan_heads).unionByName(plans)
 
 
-def evidence_package(pages: DataFrame, deduped: DataFrame, viewports: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Nested document per page: ``pages``' facts, elements, viewports with the elements that show in them, metrics, warnings."""
-    element = F.struct("element_index", viewport_ref(F.col("viewport_index"), F.col("element_index")).alias("ref"), "element_type",
-                       "confidence", "x", "y", "w", "h", "viewports")
-    elements = deduped.groupBy("page_id").agg(F.array_sort(F.collect_list(element)).alias("elements"))
+def evidence_package(pages: DataFrame, deduped: DataFrame, viewports: DataFrame, metrics: DataFrame, band: int = 1000,
+                     most: int = 500) -> DataFrame:
+    """Evidence of each page as lines of JSON in the order of (section, place, part), so a page of any size is in no one task.
+
+    Section 0 is the head: ``pages``' facts, metrics (to four places) and warnings. Section 1 holds the elements in the order of
+    (element_index, x, y), in arrays of at most ``most``; its place is the band of ``band`` indices they are from. Section 2 holds the
+    viewports (place) with the indices that show in them, a line for each band that has some, one line for a viewport without.
+    """
+    fractions = {n: F.round(n, 4) for n, kind in metrics.dtypes if kind == "double"}
+    facts = metrics.withColumns(fractions).select("page_id", F.struct(
+        *[c for c in metrics.columns if c not in ("page_id", "warnings")]).alias("metrics"), "warnings")
+    head = pages.select("page_id", F.struct(*[c for c in pages.columns if c != "page_id"]).alias("meta")).join(facts, "page_id").select(
+        "page_id", F.lit(0).alias("section"), *_spot(F.lit(0), F.lit(0)), F.to_json(F.struct(
+            F.lit("1.0.0").alias("schemaVersion"), "page_id", "meta", "metrics", "warnings"), NULLS).alias("json"))
+
+    within = Window.partitionBy("page_id", "place").orderBy("element_index", "x", "y")
+    element = F.struct("element_index", "x", "y", "w", "h", viewport_ref(F.col("viewport_index"), F.col("element_index")).alias("ref"),
+                       "element_type", "confidence", "viewports")
+    rows = deduped.withColumn("place", chunks.by_width(F.col("element_index"), band))
+    rows = rows.withColumn("part", F.floor((F.row_number().over(within) - 1) / most))
+    elements = rows.groupBy("page_id", "place", "part").agg(F.array_sort(F.collect_list(element)).alias("elements")).select(
+        "page_id", F.lit(1).alias("section"), *_spot(F.col("place"), F.col("part")), F.to_json("elements", NULLS).alias("json"))
+
     seen = deduped.select("page_id", F.explode("viewports").alias("viewport_index"), "element_index").groupBy(
-        "page_id", "viewport_index").agg(F.array_sort(F.collect_set("element_index")).alias("visible"))
-    shots = viewports.join(seen, ["page_id", "viewport_index"], "left").groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct(
-        "viewport_index", F.format_string("viewport-%d", "viewport_index").alias("id"), "scroll_y",
-        F.coalesce("visible", F.array()).alias("elements")))).alias("viewports"))
-    facts = metrics.select("page_id", F.struct(*[c for c in metrics.columns if c not in ("page_id", "warnings")]).alias("metrics"), "warnings")
-    rows = pages.withColumn("meta", F.struct(*[c for c in pages.columns if c != "page_id"])).select("page_id", "meta").join(
-        facts, "page_id").join(shots, "page_id", "left").join(elements, "page_id", "left")
-    return rows.select("page_id", F.to_json(F.struct(
-        F.lit("1.0.0").alias("schemaVersion"), "page_id", "meta", "elements", "viewports", "metrics", "warnings"), NULLS).alias("json"))
+        "page_id", "viewport_index", chunks.by_width(F.col("element_index"), band).alias("part")).agg(
+        F.array_sort(F.collect_set("element_index")).alias("elements"))
+    shots = viewports.select("page_id", "viewport_index", "scroll_y").distinct().join(seen, ["page_id", "viewport_index"], "left").select(
+        "page_id", F.lit(2).alias("section"), *_spot(F.col("viewport_index"), F.coalesce("part", F.lit(0))), F.to_json(F.struct(
+            F.format_string("viewport-%d", "viewport_index").alias("id"), "viewport_index", "scroll_y",
+            F.coalesce("elements", F.array()).alias("elements")), NULLS).alias("json"))
+    return head.unionByName(elements).unionByName(shots)
+
+
+def _spot(place: Column, part: Column) -> list[Column]:
+    return [place.cast("bigint").alias("place"), part.cast("bigint").alias("part")]
 
 
 def prompts(sections: DataFrame, wanted: DataFrame, heuristics: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ from ..sources.shared import shared_folder
 from ..streaming import live as L
 from ..streaming import streams as S
 from .catalog import query
+from ..rules import elements as RE
 from ..rules import insights as RI
 from .evaluation_queries import DIM, SELECTED_SQL
 from .html_queries import HASH_SQL, TITLE_SQL
 from .insight_queries import HYPOTHESES_SQL, SCORE_SQL
-from .quality_queries import CHECKED_SQL, metrics
+from .quality_queries import CHECKED_SQL, METRICS_SQL, WARNINGS_SQL, metrics
 from .step_queries import DECREMENT, VISITS_SQL, W, streak_sql
 from .text_queries import DOMAIN_SQL
 from .text_queries import TITLE_SQL as TITLE_CASE_SQL
@@ -89,10 +90,31 @@ def export_report_md(t):
     return O.report_markdown(t.insights, scores(t), I.hypotheses(t.insights))
 
 
-@query("evidence_package")
+ELEMENT_SQL = json_of([*((f, f"CAST({f} AS BIGINT)") for f in ("element_index", "x", "y", "w", "h")),
+                       ("ref", "'[v' || CAST(viewport_index AS VARCHAR) || '-' || CAST(element_index AS VARCHAR) || ']'"),
+                       ("element_type", "element_type"), ("confidence", "confidence"), ("viewports", "viewports")])
+PACKAGE_HEAD_SQL = json_of([
+    ("schemaVersion", "'1.0.0'"), ("page_id", "pw.page_id"), ("meta", json_of((f, f"p.{f}") for f in META_FIELDS[1:])),
+    ("metrics", json_of([("has_structured", "has_structured"), *((f"n_{k}", f"n_{k}") for k in RE.ELEMENT_TYPES), ("elements", "elements"),
+                         ("low_confidence", "low_confidence"), *((c, f"round(CAST({c} AS DOUBLE), 4)") for c in (
+                             "box_coverage", "fold_coverage", "page_coverage", "price"))])), ("warnings", "warnings")])
+
+
+@query("evidence_package", f"""
+WITH {METRICS_SQL}, {WARNINGS_SQL},
+el AS (SELECT *, element_index // 8 AS place, (row_number() OVER (PARTITION BY page_id, element_index // 8 ORDER BY element_index, x, y) - 1) // 2 AS part FROM de),
+se AS (SELECT page_id, viewport_index, element_index // 8 AS part, list_sort(list(DISTINCT element_index)) AS elements FROM (SELECT page_id, unnest(viewports) AS viewport_index, element_index FROM de) u GROUP BY ALL)
+SELECT pw.page_id, 0 AS section, 0 AS place, 0 AS part, CAST({PACKAGE_HEAD_SQL} AS VARCHAR) AS json FROM pw LEFT JOIN page_facts p USING (page_id)
+UNION ALL SELECT page_id, 1, place, part, '[' || string_agg(CAST({ELEMENT_SQL} AS VARCHAR), ',' ORDER BY element_index, x, y) || ']' FROM el GROUP BY ALL
+UNION ALL SELECT page_id, 2, viewport_index, coalesce(part, 0), CAST({json_of([("id", "'viewport-' || CAST(viewport_index AS VARCHAR)"), ("viewport_index", "viewport_index"), ("scroll_y", "scroll_y"), ("elements", "coalesce(elements, [])")])} AS VARCHAR)
+ FROM viewports LEFT JOIN se USING (page_id, viewport_index)""", uses="viewports boxes page_facts")
 def evidence_package(t):
+    """Packages written as files in order, and read back; parts are small so that the pages at hand have several."""
     pages = t.viewports.select("page_id").distinct().join(t.page_facts, "page_id", "left")
-    return O.evidence_package(pages, E.dedupe_boxes(t.boxes), t.viewports, V.warnings(metrics(t)))
+    rows = O.evidence_package(pages, E.dedupe_boxes(t.boxes), t.viewports, V.warnings(metrics(t)), band=8, most=2)
+    path = f"{shared_folder(t.spark)}/packages"
+    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", path)
+    return sinks.read_documents(t.spark, path, rows.schema)
 
 
 SECTIONS_SQL = """ln AS (SELECT page_id, viewport_index, element_index, arg_min('[v' || CAST(viewport_index AS VARCHAR) || '-' || CAST(element_index AS VARCHAR) || '] ' || element_type || ' at ' || CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR), seq) AS line

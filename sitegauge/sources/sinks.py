@@ -18,6 +18,12 @@ def write_documents(documents: DataFrame, column: str, path: str) -> None:
     documents.select(F.concat_ws("\t", *keys, column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_in_order(documents: DataFrame, order: list[str], column: str, path: str) -> None:
+    """As ``write_documents``, but the files one after the other hold the lines in ``order``: documents of many parts are whole when
+    the files are concatenated. Rows are dealt by ranges, so one document may go over several tasks."""
+    write_documents(documents.repartitionByRange(*order).sortWithinPartitions(*order), column, path)
+
+
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows that ``write_documents`` wrote; the document is the last column."""
     parts = F.split("value", "\t", len(schema))

@@ -116,6 +116,33 @@ def test_cuts_follow_the_order(spark, value):
     assert found == sorted(found)
 
 
+def test_evidence_package_of_a_hot_page(spark, tmp_path):
+    """Parts are bounded, in document order, and hold every element once; the files one after the other are the document."""
+    import json
+
+    from sitegauge.sources import sinks
+    boxes = spark.range(7000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 50 + 2).otherwise(1).alias("page_id"), (F.col("id") % 2900).alias("element_index"), F.col("id").alias("x"),
+        F.lit(5).cast("long").alias("y"), F.lit("cta").alias("element_type"), F.lit(0.5).alias("confidence"), (F.col("id") % 4).alias("viewport_index"),
+        F.lit(1).cast("long").alias("w"), F.lit(1).cast("long").alias("h"), F.array(F.col("id") % 4).alias("viewports"))
+    pages = spark.range(1, 53).select(F.col("id").alias("page_id"), F.lit("u").alias("url"))
+    shots = spark.range(52 * 5).select((F.col("id") % 52 + 1).alias("page_id"), (F.col("id") % 5).alias("viewport_index"), F.col("id").alias("scroll_y"))
+    metrics = pages.select("page_id", F.lit(1 / 3).alias("coverage"), F.array(F.lit("w")).alias("warnings"))
+    rows = O.evidence_package(pages, boxes, shots, metrics, band=1000, most=500)
+    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", f"{tmp_path}/out")
+    lines = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    parsed = [(*map(int, line.split("\t")[:4]), json.loads(line.split("\t", 4)[4])) for line in lines]
+    assert [p[:4] for p in parsed] == sorted(p[:4] for p in parsed) and len({p[:4] for p in parsed}) == len(parsed)
+    want = {}
+    for r in boxes.collect():
+        want.setdefault(r.page_id, []).append((r.element_index, r.x))
+    for page, own in want.items():
+        parts = [p[4] for p in parsed if p[:2] == (page, 1)]
+        assert [(e["element_index"], e["x"]) for part in parts for e in part] == sorted(own) and max(map(len, parts)) <= 500
+    assert sum(p[1] == 0 for p in parsed) == 52 and all(p[4]["metrics"] == {"coverage": 0.3333} for p in parsed if p[1] == 0)
+    assert all(len(p[4]["elements"]) <= 1000 for p in parsed if p[1] == 2)
+
+
 def scans(df, name):
     return len(re.findall(rf"FileScan parquet[^\n]*{name}", df._jdf.queryExecution().executedPlan().toString()))
 
