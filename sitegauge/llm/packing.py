@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import map_batches, written
-from .tokens import coder
+from .tokens import BATCH_BYTES, REMEMBERED, coder
 
 CAPACITY = 2048
 CELL, RELEASED = 4096, 512
@@ -37,15 +37,16 @@ PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.i
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", remembered: int = REMEMBERED, at_a_time: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids): every whole text as ids with ``end_id`` behind, little-endian unsigned
-    32 bit. A longer document is cut so that only its first piece may be short."""
+    32 bit. A longer document is cut so that only its first piece may be short. What a worker remembers (pieces) and cuts at a
+    time (bytes) bounds its memory, not the result."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = coder(tokenizer), np.array([end_id], "<u4")
+        encoder, end = coder(tokenizer, remembered), np.array([end_id], "<u4")
         rows, held = [], 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1), at_a_time), strict=True):
                 ids = np.append(ids, end)
                 stops = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
                 start = 0

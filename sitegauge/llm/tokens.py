@@ -27,18 +27,19 @@ BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 # Characters that the pattern keeps in one piece of their own after letters.
 MARKS = ".,;:!?#*$%&|<>()[]{}=+/\\@~^\""
 
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, int], Coder] = {}
 
 
-def coder(path: str) -> Coder:
-    """The worker's coder of a tokenizer file; tasks of one worker share it."""
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+def coder(path: str, remembered: int = REMEMBERED) -> Coder:
+    """The worker's coder of a tokenizer file; tasks of one worker share it. It remembers the ids of so many pieces."""
+    if (path, remembered) not in _coders:
+        _coders[path, remembered] = Coder(path, remembered)
+    return _coders[path, remembered]
 
 
 class Coder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,16 +75,17 @@ class Coder:
             both[pieces[i]] = (known.get(stem) or fresh[stem]) + (known.get(tail) or fresh[tail])
         for i in missing:
             got[i] = both[pieces[i]]
-        room = REMEMBERED - len(known)
+        room = self.remembered - len(known)
         if room > 0:
             known.update(both if len(both) <= room else islice(both.items(), room))
         return got
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """Ids (unsigned 32 bit) of each text of a string array, null as empty; a text's array is only a view."""
+    def encode(self, texts: pa.Array, at_a_time: int = BATCH_BYTES) -> Iterator[np.ndarray]:
+        """Ids (unsigned 32 bit) of each text of a string array, null as empty; a text's array is only a view. Texts are cut so many
+        bytes at a time."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-        cuts = np.cumsum(sizes) // BATCH_BYTES
+        cuts = np.cumsum(sizes) // at_a_time
         starts = [0, *(np.flatnonzero(np.diff(cuts)) + 1).tolist(), len(texts)] if len(texts) else [0]
         for a, b in zip(starts, starts[1:]):
             yield from self._batch(texts.slice(a, b - a))
