@@ -223,21 +223,31 @@ def filter_categories(evaluations: DataFrame, include=(), exclude=(), min_severi
     return out
 
 
-def _needs() -> DataFrame | Column:
-    return F.array(*[F.struct(F.lit(c).alias("category"), F.array(*[F.lit(i) for i in (wanted or [])]).cast("array<int>").alias("wanted"),
-                              F.lit(most).alias("most")) for c, (wanted, most) in H.VIEWPORT_NEEDS.items()])
+def _chosen(wanted: list[int], most: int) -> Column:
+    """Of a page's ordered candidates ``seen`` the viewports that a category needs."""
+    index = lambda v: v["viewport_index"]
+    fits = F.filter("seen", lambda v: index(v).isin(wanted)) if wanted else F.col("seen")
+    # A viewport without a number is no other viewport, so it is the first of a page only if there is no other.
+    first = F.slice(F.concat(F.filter("seen", lambda v: index(v).isNotNull()), F.filter("seen", lambda v: index(v).isNull())), 1, 1)
+    return F.transform(F.when(F.size(fits) > 0, F.slice(fits, 1, most)).otherwise(first), index)
 
 
 def select_viewports(viewports: DataFrame) -> DataFrame:
     """Viewports each category needs per page: the wanted ones or all, the first ``most`` of them, and the
-    first of the page when none qualifies. Spark cuts to the limit before the shuffle."""
-    rows = viewports.select("page_id", "viewport_index", F.explode(_needs()).alias("n")).select(
-        "page_id", "viewport_index", "n.*").withColumn(
-        "fits", (F.size("wanted") == 0) | F.array_contains("wanted", F.col("viewport_index")))
-    w = Window.partitionBy("page_id", "category").orderBy(F.col("fits").desc(), "viewport_index")
-    top = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max(m for _, m in H.VIEWPORT_NEEDS.values()))
-    return top.filter((F.col("fits") & (F.col("place") <= F.col("most"))) | (F.col("place") == 1)).select(
-        "page_id", "category", "viewport_index", "place")
+    first of the page when none qualifies.
+
+    A page's candidates are the first viewports of each number that some category wants, and the first of the others; Spark cuts
+    to them before the shuffle, so a page of any size has few. Categories then choose among them in the page's row."""
+    named = sorted({i for wanted, _ in H.VIEWPORT_NEEDS.values() for i in wanted or []})
+    most = max(m for _, m in H.VIEWPORT_NEEDS.values())
+    rows = viewports.select("page_id", "viewport_index", F.when(F.col("viewport_index").isin(named), F.col("viewport_index")).alias("slot"))
+    w = Window.partitionBy("page_id", "slot").orderBy("viewport_index")
+    few = rows.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= most)
+    pages = few.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(F.col("viewport_index").isNotNull(), "viewport_index"))).alias("seen"))
+    chosen = F.array(*[F.struct(F.lit(c).alias("category"), _chosen(wanted or [], m).alias("chosen")) for c, (wanted, m) in H.VIEWPORT_NEEDS.items()])
+    each = pages.select("page_id", F.explode(chosen).alias("n"))
+    return each.select("page_id", "n.category", F.posexplode("n.chosen").alias("place", "viewport_index")).select(
+        "page_id", "category", "viewport_index", (F.col("place") + 1).alias("place"))
 
 
 def batch_of(category: Column) -> Column:

@@ -142,8 +142,14 @@ def prompts(sections: DataFrame, wanted: DataFrame, heuristics: DataFrame) -> Da
     rule = F.format_string("[%s] (%s) %s", "heuristic_id", "severity", "principle")
     rules = heuristics.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("rules"))
     body = relabel_refs(F.col("section"), F.col("viewport_index"))
-    texts = wanted.join(sections, ["page_id", "viewport_index"]).groupBy("page_id", "category").agg(
-        F.array_join(_ordered(body, "viewport_index"), "\n\n").alias("sections")).join(rules, "category")
+    # A section is shuffled once, with the categories that need it, and meets them in the row of its page. Spark cannot know how
+    # many categories need a viewport, so it must not broadcast these.
+    needed = wanted.groupBy("page_id", "viewport_index").agg(F.collect_list("category").alias("needing"))
+    pages = needed.hint("merge").join(sections, ["page_id", "viewport_index"]).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("viewport_index", body.alias("v"), "needing"))).alias("parts"))
+    texts = pages.select("page_id", "parts", F.explode(F.array_distinct(F.flatten("parts.needing"))).alias("category"))
+    texts = texts.join(F.broadcast(rules), "category")
+    own = F.flatten(F.transform("parts", lambda p: F.transform(F.filter(p["needing"], lambda c: c == F.col("category")), lambda c: p["v"])))
     return texts.select("page_id", "category", F.concat_ws(
-        "\n", F.concat(F.lit("Category: "), "category"), F.lit("Page:"), "sections", F.lit("Rules:"), "rules",
+        "\n", F.concat(F.lit("Category: "), "category"), F.lit("Page:"), F.array_join(own, "\n\n"), F.lit("Rules:"), "rules",
         F.lit("Judge every rule and answer in JSON.")).alias("prompt"))

@@ -140,7 +140,10 @@ def filter_dom_sections(t):
     ordered = F.array_sort(F.collect_list(F.struct("viewport_index", "section")))
     texts = sections.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda x: x["section"]), "\n").alias("text"))
     wanted = EV.select_viewports(t.viewports).groupBy("page_id", "category").agg(F.collect_set("viewport_index").alias("wanted"))
-    return wanted.join(texts, "page_id").select("page_id", "category", kept_sections(F.col("text"), F.col("wanted")).alias("text"))
+    # A text meets its page's categories in one row. Spark cannot know how many a page has, so it must not broadcast them.
+    needs = wanted.groupBy("page_id").agg(F.collect_list(F.struct("category", "wanted")).alias("needs"))
+    rows = needs.hint("merge").join(texts, "page_id").select("page_id", "text", F.explode("needs").alias("n"))
+    return rows.select("page_id", "n.category", kept_sections(F.col("text"), F.col("n.wanted")).alias("text"))
 
 
 def page_prompts(t):

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot key of a join is split also where an aggregate on the same key follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A task that writes folders keeps this many files open before it sorts its rows by folder.
+    "spark.sql.maxConcurrentOutputFileWriters": "24",
 }
 
 # Functions that SQL texts can call, e.g. noisy_or(array_agg(weight)).
