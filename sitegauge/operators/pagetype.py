@@ -166,7 +166,9 @@ def _summed(nodes: DataFrame, *parts: Parts) -> DataFrame:
     return rows
 
 
-def _cta_parts() -> Parts:
+def best_ctas(nodes: DataFrame) -> DataFrame:
+    """The best purchase button of the pages that have one. Only buttons are grouped: what a page's best one holds is text, so
+    Spark sorts the rows of this aggregate, and with all nodes and flags in it would sort these."""
     tag, name, id_ = F.col("tag"), F.lower(attr("name")), F.lower(attr("id"))
     test = F.lower(F.concat(attr("data-testid"), attr("data-test")))
     candidate = ((tag == "button") & (id_.contains("add") | id_.contains("cart") | test.contains("add") | name.contains("add")
@@ -176,11 +178,12 @@ def _cta_parts() -> Parts:
     points = _points(*[(low.contains(w), 20 if len(w) >= 6 else 10)
                        for w in ("add to cart", "add to bag", "add to basket", "buy now", "add")])
     score = points + F.when(F.col("form_id").isNotNull(), 5).otherwise(0)
-    best = F.max_by(F.struct(shown.alias("cta_text"), score.alias("cta_score"), has_attr("disabled").alias("cta_disabled")),
-                    F.when(candidate & F.col("is_visible") & (shown != ""), F.struct(score, -F.col("doc_pos"))))
-    plain = F.lower(F.regexp_replace(F.col("_cta.cta_text"), r"\s+", " "))
-    return {"_cta": best}, {**{n: F.col(f"_cta.{n}") for n in ("cta_text", "cta_score", "cta_disabled")},
-                            "adds_to_cart": plain.rlike("add to (cart|bag|basket)") | (plain == "add"), "buys_now": plain.contains("buy now")}
+    buttons = nodes.filter(candidate & F.col("is_visible") & (shown != "")).select(
+        "page_id", "doc_pos", shown.alias("cta_text"), score.alias("cta_score"), has_attr("disabled").alias("cta_disabled"))
+    best = F.max_by(F.struct("cta_text", "cta_score", "cta_disabled"), F.struct("cta_score", -F.col("doc_pos")))
+    plain = F.lower(F.regexp_replace("cta_text", r"\s+", " "))
+    return buttons.groupBy("page_id").agg(best.alias("_cta")).select("page_id", "_cta.*").withColumns({
+        "adds_to_cart": plain.rlike("add to (cart|bag|basket)") | (plain == "add"), "buys_now": plain.contains("buy now")})
 
 
 def _variant_parts() -> Parts:
@@ -223,7 +226,7 @@ def _checkout_parts() -> Parts:
 
 def primary_cta(nodes: DataFrame) -> DataFrame:
     """Best purchase button per page: text points, plus 5 inside a form; the first in the page of equals."""
-    return _summed(nodes, _cta_parts()).filter(F.col("_cta").isNotNull()).drop("_cta")
+    return best_ctas(nodes)
 
 
 def variant_signals(nodes: DataFrame) -> DataFrame:
@@ -250,9 +253,11 @@ def checkout_signals(nodes: DataFrame) -> DataFrame:
 
 
 def product_signals(nodes: DataFrame) -> DataFrame:
-    """All of the above per page: one pass over the nodes, and one over their images."""
-    rows = _summed(nodes, _cta_parts(), _variant_parts(), _grid_parts(), _cart_parts(), _checkout_parts()).drop("_cta")
-    return rows.join(media_signals(nodes), "page_id", "left")
+    """All of the above per page: one pass over the nodes for counts and flags, one over their buttons and one over their images."""
+    rows = _summed(nodes, _variant_parts(), _grid_parts(), _cart_parts(), _checkout_parts())
+    for some in (best_ctas(nodes), media_signals(nodes)):
+        rows = rows.join(some.hint("merge"), "page_id", "left")
+    return rows
 
 
 def product_score(facts: DataFrame) -> DataFrame:
