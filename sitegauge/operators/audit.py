@@ -154,7 +154,6 @@ def _page_sums(viewport_height: int) -> dict[str, Column]:
         "trusts": F.count_if(shown("trust")), "fold_trusts": F.count_if(shown("trust") & fold),
         **{f"has_{rule[3:]}": F.bool_or(shown("trust") & says(words)) for rule, words in R.TRUST_WORDS.items()},
         "h1s": F.count_if(h1), "h2s": F.count_if(shown("value_prop") & (F.col("tag") == "h2")),
-        "first_h1": F.min_by(F.struct(clean_text().alias("text"), "xpath"), F.when(h1, F.col("doc_pos"))),
         "navs": F.count_if(shown("navigation")),
         "has_nav": F.bool_or(nav & ((F.col("tag") == "nav") | (F.lower(attr("role")) == "navigation") | says(R.MAIN_NAV_WORDS))),
         "has_breadcrumbs": F.bool_or(says(R.BREADCRUMB_WORDS) | F.lower(attr("aria-label")).contains("breadcrumb")),
@@ -169,8 +168,11 @@ def _page_sums(viewport_height: int) -> dict[str, Column]:
 def page_sums(pages: DataFrame, typed: DataFrame, viewport_height: int) -> DataFrame:
     """One row per page of ``pages(page_id, url)``."""
     sums = _page_sums(viewport_height)
+    # The first heading is text, so Spark sorts the rows of its aggregate: it has headings only, and the sums are hashed.
+    heads = typed.filter(shown("value_prop") & (F.col("tag") == "h1")).select("page_id", "doc_pos", clean_text().alias("text"), "xpath")
+    first = heads.groupBy("page_id").agg(F.min_by(F.struct("text", "xpath"), "doc_pos").alias("first_h1"))
     rows = pages.select("page_id", "url").join(
-        typed.groupBy("page_id").agg(*[c.alias(n) for n, c in sums.items()]), "page_id", "left")
+        typed.groupBy("page_id").agg(*[c.alias(n) for n, c in sums.items()]), "page_id", "left").join(first.hint("merge"), "page_id", "left")
     counts = [n for n in sums if n in ("nav_depth", "forms", "all_fields") or n.endswith("s") and not n.startswith("has_")]
     flags = [n for n in sums if n.startswith("has_")]
     return rows.withColumns({**{n: F.coalesce(n, F.lit(0)) for n in counts}, **{n: F.coalesce(n, F.lit(False)) for n in flags}})
