@@ -100,25 +100,43 @@ def classify_semantic(nodes: DataFrame) -> DataFrame:
     return typed.drop(*[c for c in typed.columns if c.startswith("_g")])
 
 
-def match_intent(nodes: DataFrame, intent: str) -> DataFrame:
-    """How an element expresses an intent: match type of the strongest signal and its confidence."""
-    title = F.lower(attr("title"))
+def _strengths(intent: str) -> dict[str, Column]:
+    """Signals of an intent in a prepared node."""
+    title = F.col("_title")
     labelled = any_of(F.col("_label").contains(w) | title.contains(w) for w in intent_words(intent))
-    id_word = F.lower(attr("id")).rlike(bounded_pattern(intent))
-    strengths = {"meaning": meaning_signal(intent), "class": class_strength(intent), "id": F.when(id_word, 0.8),
-                 "label": F.when(labelled, 0.85), "text": F.when(_says(intent), 0.8), "behaviour": _behaviour(intent)}
-    rows = prepared(nodes).withColumns({f"_i_{n}": c for n, c in strengths.items()})
-    kinds = {"meaning": F.when(F.col("_i_meaning") == 0.95, "aria").otherwise("semantic"),
-             "class": F.when(F.col("_i_class") == 0.95, "exact").otherwise("word_boundary"),
+    id_word = F.col("_id").rlike(bounded_pattern(intent))
+    return {"meaning": meaning_signal(intent), "class": class_strength(intent), "id": F.when(F.col("_id").contains(intent) & id_word, 0.8),
+            "label": F.when(labelled, 0.85), "text": F.when(_says(intent), 0.8), "behaviour": _behaviour(intent)}
+
+
+def _strongest(signals: dict[str, Column]) -> dict[str, Column]:
+    """Match type of the strongest signal, number of signals and their confidence."""
+    meaning, cls = signals["meaning"], signals["class"]
+    kinds = {"meaning": F.when(meaning == 0.95, "aria").otherwise("semantic"),
+             "class": F.when(cls == 0.95, "exact").otherwise("word_boundary"),
              "id": F.lit("word_boundary"), "label": F.lit("aria"), "text": F.lit("text"), "behaviour": F.lit("behavioral")}
-    first = F.greatest(*[F.when(F.col(f"_i_{n}").isNotNull(), F.struct(
-        F.col(f"_i_{n}").alias("strength"), F.lit(-turn).alias("turn"), kind.alias("kind")))
-        for turn, (n, kind) in enumerate(kinds.items())])
-    signals = [F.col(f"_i_{n}") for n in kinds]
-    found = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), 1).otherwise(0) for s in signals])
-    return unprepared(rows.withColumns({
-        "confidence": F.coalesce(_boosted(signals), F.lit(0.0)), "match_type": F.coalesce(first["kind"], F.lit("none")),
-        "signals": found}).drop(*[f"_i_{n}" for n in kinds]))
+    top = F.greatest(*signals.values())
+    match = F
+    for n, kind in kinds.items():
+        match = match.when(signals[n] == top, kind)
+    found = reduce(lambda a, b: a + b, [F.when(s.isNotNull(), 1).otherwise(0) for s in signals.values()])
+    return {"match_type": match.otherwise("none"), "signals": found, "confidence": F.coalesce(_boosted(list(signals.values())), F.lit(0.0))}
+
+
+def match_intents(nodes: DataFrame, intents: list[str]) -> DataFrame:
+    """A row for each node and intent: how the element expresses it, as match type of the strongest signal, number of signals and
+    confidence. A node is read and prepared once for all intents."""
+    rows = prepared(nodes).withColumn("_title", F.lower(attr("title")))
+    each = {intent: _strengths(intent) for intent in intents}
+    rows = rows.withColumns({f"_i{i}_{n}": c for i, s in enumerate(each.values()) for n, c in s.items()})
+    found = [F.struct(F.lit(intent).alias("intent"), *[c.alias(n) for n, c in _strongest({n: F.col(f"_i{i}_{n}") for n in s}).items()])
+             for i, (intent, s) in enumerate(each.items())]
+    return rows.select(*nodes.columns, F.explode(F.array(*found)).alias("_found")).select(*nodes.columns, "_found.*")
+
+
+def match_intent(nodes: DataFrame, intent: str) -> DataFrame:
+    """How an element expresses an intent: match type of the strongest signal and its confidence."""
+    return match_intents(nodes, [intent]).drop("intent")
 
 
 def _behaviour(intent: str) -> Column:

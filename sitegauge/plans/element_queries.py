@@ -1,8 +1,5 @@
 """Queries over typed elements, boxes and consent rules."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.selectors import attr
@@ -112,10 +109,7 @@ INTENTS = list(dict.fromkeys([*R.INTENT_WORDS, *R.SEMANTIC_TAGS]))
 @query("match_intent", "\nUNION ALL ".join(map(intent_sql, INTENTS)), uses="nodes")
 def match_intent(t):
     """Every intent that has words or tags of its own."""
-    def one(intent):
-        return E.match_intent(t.nodes, intent).select(
-            "page_id", "doc_pos", F.lit(intent).alias("intent"), "match_type", "signals", "confidence")
-    return reduce(DataFrame.unionByName, map(one, INTENTS))
+    return E.match_intents(t.nodes, INTENTS).select("page_id", "doc_pos", "intent", "match_type", "signals", "confidence")
 
 
 @query("selector_match", "SELECT page_id, " + ", ".join(

@@ -77,3 +77,35 @@ def test_prompts_are_written_without_a_sort(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/prompts").groupBy("category").count().count() == 10
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= len(H.VIEWPORT_NEEDS)
     assert builtin_heuristics(spark).select("category").distinct().count() <= 24
+
+
+def node_rows(spark):
+    rows = [(1, 5, "button", "Add to cart", {"id": "add", "title": "Basket"}, 3, True, 0), (1, 4, "button", "Add", {"id": "add", "disabled": "disabled"}, None, True, 1),
+            (2, 1, "a", "Sign  in", {"class": "nav-link btn", "href": "/cart", "id": "menu_nav"}, None, True, 2), (3, 1, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, "page_id LONG, doc_pos LONG, tag STRING, text STRING, attrs MAP<STRING, STRING>, form_id INT, is_visible BOOLEAN, y LONG").withColumns({"w": F.lit(50), "h": F.lit(50)})
+
+
+def test_intents_are_matched_in_one_pass(spark):
+    from sitegauge.operators import elements as E
+    from sitegauge.plans.element_queries import INTENTS
+    nodes = node_rows(spark)
+    every = E.match_intents(nodes, INTENTS)
+    assert plan(every).count("Scan") == 1
+    keys = ["page_id", "doc_pos", "match_type", "signals", "confidence"]
+    for intent in INTENTS:
+        one = sorted(map(str, E.match_intent(nodes, intent).select(*keys).collect()))
+        assert sorted(map(str, every.filter(F.col("intent") == intent).select(*keys).collect())) == one
+    found = {(r.doc_pos, r.intent): (r.match_type, r.signals, round(r.confidence, 2)) for r in every.filter("page_id < 3").collect()}
+    assert found[5, "cart"] == ("aria", 2, 0.9) and found[1, "nav"] == ("word_boundary", 2, 0.9) and found[4, "login"] == ("none", 0, 0.0)
+
+
+def test_wide_rows_of_nodes_are_not_sorted(spark):
+    """Aggregates that hold text sort their rows: these get buttons or headings only."""
+    from sitegauge.operators import pagetype as P
+    found = {r.page_id: (r.cta_text, r.cta_score, r.adds_to_cart) for r in P.primary_cta(node_rows(spark)).collect()}
+    assert found == {1: ("Add to cart", 35, True)}
+    text = plan(P.product_signals(node_rows(spark)))
+    wide = [line for line in text.split("\n") if "SortAggregate" in line and ("subtotal" in line or "cards" in line)]
+    assert "SortAggregate" in text and not wide
+    rows = P.product_signals(node_rows(spark)).collect()
+    assert {r.page_id: r.cta_text for r in rows} == {1: "Add to cart", 2: None, 3: None}
