@@ -20,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): SimHash fingerprints within
+    three bits find the nearest, MinHash bands what is past their reach, whole shingle sets judge both."""
     return neardup.deduplicated(docs)
 
 

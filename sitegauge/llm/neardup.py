@@ -1,7 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, whole shingle sets judge them.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and, past their reach, MinHash bands find
+pairs, whole shingle sets judge them.
 
 Two texts are linked if their sets of ``WIDTH``-word shingles (lower case; a shorter text is one shingle) have a Jaccard
-similarity of at least ``LIKE``. Texts that agree on all ``ROWS`` minima of one of ``BANDS`` bands share a bucket. A pair of
+similarity of at least ``LIKE``. A text's SimHash has a bit set that over half of its shingles' hashes have; texts whose
+fingerprints differ in at most ``BUDGET`` bits, found by the trie join of ``simhash``, are pairs: all of one fingerprint meet its
+least text, and these of near fingerprints each other. Most texts at 0.8 differ in more bits, so bands find those: texts that agree on all ``ROWS`` minima of one of ``BANDS`` bands share a bucket. A pair of
 similarity s shares none with probability (1 - s**ROWS)**BANDS, 0.00005 at 0.8. Pairs are made in steps that are linear in
 a bucket, and only of texts that no link connects yet:
 
@@ -30,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .common import map_batches, written
 from .simhash import SEED, one_of_each
 
 WIDTH, LIKE = 5, 0.8
+BUDGET = 3
 BANDS, ROWS = 25, 5
 LEADERS = 2
 SURE = 0.66
@@ -67,6 +71,14 @@ def minima(found: np.ndarray, mixed: np.ndarray, factor: np.ndarray) -> np.ndarr
     return least
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of the different shingles' hashes, as a signed number."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(found), 8 * COUNTED):
+        votes += np.unpackbits(found[a:a + 8 * COUNTED].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(found)).view(np.int64)[0])
+
+
 def bands(least: np.ndarray) -> np.ndarray:
     """One number for each band's minima."""
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
@@ -79,23 +91,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n different shingles, buckets, low bytes of the minima) of every row, over its whole text."""
+    """(doc_id, text_hash, n different shingles, fingerprint, buckets, low bytes of the minima) of every row, over its whole text."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed, factor = _functions()
         for batch in batches:
-            sizes, found, low = [], [], []
+            sizes, prints, found, low = [], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 own = shingles(text.as_py() or b"")
                 least = minima(own, mixed, factor)
                 sizes.append(len(own))
+                prints.append(fingerprint(own))
                 found.append(bands(least).view(np.int64))
                 low.append(least.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()),
                                               pa.array(found, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                                             ["doc_id", "text_hash", "n", "buckets", "low"])
+                                             ["doc_id", "text_hash", "n", "fingerprint", "buckets", "low"])
 
-    return map_batches(rows, signed, "doc_id long, text_hash long, n long, buckets array<long>, low binary")
+    return map_batches(rows, signed, "doc_id long, text_hash long, n long, fingerprint long, buckets array<long>, low binary")
 
 
 def _marked(nodes: DataFrame) -> np.ndarray:
@@ -186,21 +199,34 @@ def _open(held: DataFrame, found: DataFrame) -> DataFrame:
     return written(named.join(several.select("bucket"), "bucket", "left_semi"))
 
 
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints differ in at most ``BUDGET`` bits, as many as nodes and links."""
+    kinds = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    same = nodes.select("fingerprint", "node").join(kinds, "fingerprint").where("node <> least").select("node", "least")
+    near = simhash.links(kinds, BUDGET)
+    for end in ("a", "b"):
+        near = near.join(kinds.select(F.col("fingerprint").alias(end), F.col("least").alias(f"least_{end}")), end)
+    return same.select(*_pair(F.col("node"), F.col("least"))).union(near.select(*_pair(F.col("least_a"), F.col("least_b")))).distinct()
+
+
 def links(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of text hashes that connect all similar texts that share a bucket."""
+    """Pairs (a, b) of text hashes that connect all similar texts whose fingerprints are near or that share a bucket."""
     nodes = written(signed.groupBy(F.col("text_hash").alias("node")).agg(
-        F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("low").alias("low")))
+        F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), F.first("low").alias("low")))
     each = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(each.join(sizes, "bucket"))
     score = shared.groupBy("node").agg(F.sum("size").alias("score"))
     held = written(shared.drop("size").join(score, "node").withColumn("root", F.col("node")))
     found = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    for _ in range(LEADERS):
+    near = near_prints(nodes)  # judged with the first leaders' pairs, so texts are cut once for both
+    for turn in range(LEADERS):
         leader = held.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("score", "node")).alias("lead"))
         met = held.join(leader, "bucket").where(F.col("node") != F.col("lead.node"))
         pairs = met.where((F.col("root") != F.col("lead.root")) & _fits(F.col("n"), F.col("lead.n")))
-        found = written(found.union(_alike(pairs.select(*_pair(F.col("node"), F.col("lead.node"))).distinct(), nodes, rows)))
+        pairs = pairs.select(*_pair(F.col("node"), F.col("lead.node")))
+        pairs = pairs if turn else pairs.union(near)
+        found = written(found.union(_alike(pairs.distinct(), nodes, rows)))
         held = _open(met.drop("lead"), found)
     rest = written(held.select("node", "root").distinct())
     pairs = written(_rare_meetings(written(shingle_sets(rows, rest.select("node"))), rest))

@@ -85,3 +85,18 @@ def test_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     assert sorted(r.doc_id for r in STAGE(spark, docs, data).collect()) == plain_kept(rows)
+
+
+def test_fingerprints_find_pairs(spark, monkeypatch):
+    """With no bucket in common, what fingerprints link is still found, judged by whole sets."""
+    texts = [prose(7, 400), prose(8, 300)]
+    rows = [(n, t + tail, "a") for n, (t, tail) in enumerate((t, tail) for t in texts for tail in ("", " x"))]
+    monkeypatch.setattr(neardup, "signatures", lambda rows, real=neardup.signatures: real(rows).withColumn(
+        "buckets", neardup.F.array(neardup.F.col("text_hash"))))
+    assert sorted(r.doc_id for r in STAGE(spark, documents(spark, rows), "").collect()) == [0, 2]
+
+
+def test_fingerprint_is_the_majority_of_bits():
+    found = neardup.shingles(b"a b c d e f g h i j k l m n")
+    bits = [sum(int(h) >> b & 1 for h in found) * 2 > len(found) for b in range(64)]
+    assert neardup.fingerprint(found) & (2 ** 64 - 1) == sum(1 << b for b in range(64) if bits[b])
