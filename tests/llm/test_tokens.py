@@ -64,6 +64,27 @@ def read_back(spark, docs):
     return folder, tokenfiles.read_tokens(spark, folder).collect()
 
 
+def test_pieces_go_to_the_library_joined():
+    """Many pieces a text, and little text at a time; also by a vocabulary whose names do not tell the bytes."""
+    texts = [" ".join(f"w{i}x{j}, {chr(0xe4)}{j}" for j in range(50)) + "\n!a\n<|endoftext|> b.\nend..." for i in range(400)]
+    want = [ids_of(t)[:-1] for t in texts]
+    for named in (True, False):
+        coder, calls = tokens.Coder(PATH, 1000), []
+
+        class Library:
+            def encode_batch_fast(self, given, library=coder.tokenizer, **more):
+                calls.append(list(given))
+                return library.encode_batch_fast(given, **more)
+
+        coder.tokenizer = Library()
+        if not named:
+            coder.size[:] = 1
+        assert [x.tolist() for x in coder.encode(pa.array(texts, pa.string()))] == want
+        assert max(sum(map(len, given)) for given in calls) < 200_000
+        if named:
+            assert sum(map(len, calls)) <= 5 and len(coder.known) == 1000
+
+
 def check_files(spark, docs):
     folder, rows = read_back(spark, docs)
     want = sorted(((r.doc_id is not None, r.doc_id or 0, ids_of(r.text)) for r in docs.select("doc_id", "text").collect()))
