@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,19 +157,20 @@ def root_paths(nodes: DataFrame, step: str = "step") -> DataFrame:
 
     The path above a node doubles in length in each round: it is joined to the path of the ancestor that it ends at, so
     a tree takes as many rounds as its depth has binary digits. ``parent`` is null for nodes without one."""
-    done, rounds = None, 0
+    done, rounds = [], 0
     rows = nodes.withColumn("path", F.array(step)).withColumn("_up", F.col("parent")).drop(step)
     while True:
         rows = written(rows)
+        done.append(rows.filter(F.col("_up").isNull()))  # a finished path is not written again
         open_rows = rows.filter(F.col("_up").isNotNull())
         if open_rows.isEmpty():
-            return (rows if done is None else rows.unionByName(done)).drop("_up")
+            return reduce(DataFrame.unionByName, done).drop("_up")
         if rounds == 24:
             raise ValueError("parents form a cycle")
-        above = rows.select("page_id", F.col("xpath").alias("_up"), F.col("path").alias("_above"), F.col("_up").alias("_next"))
-        longer = open_rows.join(above, ["page_id", "_up"]).withColumns(
-            {"path": F.concat("_above", "path"), "_up": F.col("_next")}).select(*rows.columns)
-        rows, rounds = rows.filter(F.col("_up").isNull()).unionByName(longer), rounds + 1
+        above = reduce(DataFrame.unionByName, [*done, open_rows]).select(
+            "page_id", F.col("xpath").alias("_up"), F.col("path").alias("_above"), F.col("_up").alias("_next"))
+        rows, rounds = open_rows.join(above, ["page_id", "_up"]).withColumns(
+            {"path": F.concat("_above", "path"), "_up": F.col("_next")}).select(*rows.columns), rounds + 1
 
 
 def merge_snapshots(nodes: DataFrame, chunk_nodes: int = DERIVED_NODE_CHUNK) -> DataFrame:
@@ -179,25 +182,46 @@ def merge_snapshots(nodes: DataFrame, chunk_nodes: int = DERIVED_NODE_CHUNK) ->
     down than it is, so the place of a child that came with its parent is the greatest y up to it, that of a later one its own
     y, and equal places go in the order of coming. The rank of a node in its tree is then the order of the places on its
     path from the root. ``idx`` counts the visible nodes that keep an index."""
-    first = written(nodes.groupBy("page_id", "xpath").agg(F.min_by(
-        F.struct("snapshot", "doc_pos", "parent", "tag", "y", "is_visible", "keeps_index"), F.struct("snapshot", "doc_pos")).alias("n"))
+    first = written(nodes.groupBy("page_id", "xpath").agg(F.min(
+        F.struct("snapshot", "doc_pos", "parent", "tag", "y", "is_visible", "keeps_index")).alias("n"))
         .select("page_id", "xpath", "n.*"))
     up = first.select("page_id", F.col("xpath").alias("parent"), F.col("snapshot").alias("_with"))
+    cut = ["snapshot", "_cut"]
+
+    def placed_within(some: DataFrame, known: Column) -> DataFrame:
+        so_far = Window.partitionBy("page_id", "parent", *cut).orderBy("doc_pos").rowsBetween(Window.unboundedPreceding, 0)
+        y = F.coalesce("y", F.lit(float("inf"))).cast("double")
+        some = some.withColumns({"_came": F.col("snapshot") <= known, "_cut": chunks.by_width(F.col("doc_pos"), chunk_nodes)})
+        return some.filter(F.col("_came").isNotNull()).withColumn(
+            "_place", F.when(F.col("_came"), F.max(F.when(F.col("_came"), y)).over(so_far)).otherwise(y))
+
+    # The join deals the rows by (page, parent), so the greatest y up to a node within its chunk needs no other shuffle. Only nodes
+    # without a parent need the page's first snapshot, and are dealt again as the children of none.
+    rows = written(placed_within(first.join(up, ["page_id", "parent"], "left"), F.coalesce("_with", "snapshot")))
     page = first.groupBy("page_id").agg(F.min("snapshot").alias("_start"))
-    rows = first.join(up, ["page_id", "parent"], "left").join(page, "page_id")
-    rows = rows.withColumn("parent", F.when(F.col("_with").isNotNull(), F.col("parent")))
-    rows = rows.withColumn("_came", F.col("snapshot") <= F.coalesce("_with", "_start")).drop("_with", "_start")
-    y = F.coalesce("y", F.lit(float("inf"))).cast("double")
-    cut = [F.col("snapshot"), chunks.by_width(F.col("doc_pos"), chunk_nodes)]
-    rows = rows.withColumn("_among", F.coalesce("parent", F.lit("")))
-    came = chunks.running_max(rows.filter("_came"), ["page_id", "_among"], ["snapshot", "doc_pos"], cut, y, "_place")
-    later = rows.filter(~F.col("_came")).withColumn("_place", y)
-    step = F.struct(F.col("_place").alias("place"), "snapshot", "doc_pos")
-    placed = came.unionByName(later).withColumn("step", step).drop("_came", "_among", "_place")
-    tree = root_paths(placed)
+    roots = rows.filter(F.col("_with").isNull()).withColumn("parent", F.lit(None).cast(rows.schema["parent"].dataType))
+    roots = placed_within(roots.join(page, "page_id"), F.col("_start")).drop("_start")
+    local = rows.filter(F.col("_with").isNotNull()).unionByName(written(roots)).drop("_with")
+    before = Window.partitionBy("page_id", "parent").orderBy(*cut).rowsBetween(Window.unboundedPreceding, -1)
+    carry = local.filter("_came").groupBy("page_id", "parent", *cut).agg(F.max("_place").alias("_most"))
+    carry = written(carry.withColumn("_before", F.max("_most").over(before)).filter(F.col("_before").isNotNull()).select(
+        F.col("page_id").alias("_page"), F.col("parent").alias("_parent"), *[F.col(c).alias(f"_at{i}") for i, c in enumerate(cut)], "_before"))
+    same = ((F.col("page_id") == F.col("_page")) & F.col("parent").eqNullSafe(F.col("_parent"))
+            & F.col("_cut").eqNullSafe(F.col("_at1")) & (F.col("snapshot") == F.col("_at0")) & F.col("_came"))
+    # Places are needed of nodes that are numbered and of those that have children. Paths are built of the latter, and the
+    # others take their parent's.
     shown = F.col("is_visible") & F.col("keeps_index")
-    numbered = chunks.range_index(tree.filter(shown), ["page_id"], ["path"], "idx")
-    return numbered.unionByName(tree.filter(~shown).withColumn("idx", F.lit(None).cast("bigint"))).drop("path")
+    parents = local.filter(F.col("parent").isNotNull()).select("page_id", F.col("parent").alias("xpath")).distinct()
+    needed = local.join(parents.withColumn("_inner", F.lit(True)), ["page_id", "xpath"], "left").filter(shown | F.col("_inner"))
+    step = F.struct(F.greatest("_before", "_place").alias("place"), "snapshot", "doc_pos")
+    placed = written(needed.join(carry, same, "left").withColumn("step", step).drop(*carry.columns, "_place", "_came", "_cut"))
+    inner = placed.filter("_inner").select("page_id", "xpath", "parent", "step")
+    above = root_paths(inner).select("page_id", F.col("xpath").alias("parent"), F.col("path").alias("_above"))
+    path = F.concat(F.coalesce("_above", F.array().cast(above.schema["_above"].dataType)), F.array("step"))
+    tree = placed.filter(shown).join(above, ["page_id", "parent"], "left").withColumn("path", path).drop("_above", "_inner", "step")
+    numbered = chunks.range_index(tree, ["page_id"], ["path"], "idx")
+    hidden = local.filter(~shown).drop("_place", "_came", "_cut").withColumn("idx", F.lit(None).cast("bigint"))
+    return numbered.drop("path").unionByName(hidden)
 
 
 def mark_new_nodes(nodes: DataFrame) -> DataFrame:

@@ -89,6 +89,22 @@ def test_rounds_grow_with_the_digits_of_the_depth(spark, monkeypatch):
     assert all(paths[i] == list(range(i + 1)) for i in range(200)) and len(tables) <= 9
 
 
+def test_only_inner_nodes_take_rounds(spark, monkeypatch):
+    """A chain with many leaves: paths are built of the nodes with children, and finished paths are not written again."""
+    paths, real = [], O.written
+
+    def counted(df):
+        out = real(df)
+        paths.append(out.count() if "path" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(O, "written", counted)
+    nodes = [(1, 0, i, f"c{i}", f"c{i - 1}" if i else None, "a", None, True, True) for i in range(9)]
+    nodes += [(1, 0, 10 + i, f"l{i}", f"c{i % 9}", "a", None, True, True) for i in range(300)]
+    got = {r.xpath: r.idx for r in O.merge_snapshots(spark.createDataFrame(nodes, SCHEMA)).collect()}
+    assert got == plain(nodes) and sum(paths) <= 9 * 5
+
+
 def test_parents_in_a_cycle(spark):
     import pytest
     loop = spark.createDataFrame([(1, "a", "b", 1), (1, "b", "a", 2)], "page_id INT, xpath STRING, parent STRING, step INT")
