@@ -11,7 +11,7 @@ from ..operators import insights as I
 from ..operators import reports as O
 from ..sources import sinks
 from ..sources.knowledge import builtin_heuristics
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..streaming import live as L
 from ..streaming import streams as S
 from .catalog import query
@@ -111,9 +111,10 @@ UNION ALL SELECT page_id, 2, viewport_index, coalesce(part, 0), CAST({json_of([(
 def evidence_package(t):
     """Packages written as files in order, and read back; parts are small so that the pages at hand have several."""
     pages = t.viewports.select("page_id").distinct().join(t.page_facts, "page_id", "left")
-    rows = O.evidence_package(pages, E.dedupe_boxes(t.boxes), t.viewports, V.warnings(metrics(t)), band=8, most=2)
+    deduped = written(E.dedupe_boxes(t.boxes))  # read by elements, viewports and metrics
+    rows = O.evidence_package(pages, deduped, t.viewports, V.warnings(metrics(t, deduped=deduped)), band=8, most=2)
     path = f"{shared_folder(t.spark)}/packages"
-    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", path)
+    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", path, "gzip")
     return sinks.read_documents(t.spark, path, rows.schema)
 
 

@@ -13,16 +13,18 @@ def write_prompts(prompts: DataFrame, path: str) -> None:
     prompts.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).partitionBy("category").parquet(path)
 
 
-def write_documents(documents: DataFrame, column: str, path: str) -> None:
-    """Files of lines: each the row's other columns as tab-separated text before the document, which holds no line break."""
+def write_documents(documents: DataFrame, column: str, path: str, compression: str = "none") -> None:
+    """Files of lines: each the row's other columns as tab-separated text before the document, which holds no line break. Files in
+    gzip stay what ``write_in_order`` makes of them: one after the other they are one file in gzip."""
     keys = [F.col(c).cast("string") for c in documents.columns if c != column]
-    documents.select(F.concat_ws("\t", *keys, column).alias("value")).write.mode("overwrite").text(path)
+    documents.select(F.concat_ws("\t", *keys, column).alias("value")).write.mode("overwrite").option(
+        "compression", compression).text(path)
 
 
-def write_in_order(documents: DataFrame, order: list[str], column: str, path: str) -> None:
+def write_in_order(documents: DataFrame, order: list[str], column: str, path: str, compression: str = "none") -> None:
     """As ``write_documents``, but the files one after the other hold the lines in ``order``: documents of many parts are whole when
     the files are concatenated. Rows are dealt by ranges, so one document may go over several tasks."""
-    write_documents(documents.repartitionByRange(*order).sortWithinPartitions(*order), column, path)
+    write_documents(documents.repartitionByRange(*order).sortWithinPartitions(*order), column, path, compression)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -143,6 +143,27 @@ def test_evidence_package_of_a_hot_page(spark, tmp_path):
     assert all(len(p[4]["elements"]) <= 1000 for p in parsed if p[1] == 2)
 
 
+def test_compressed_parts_are_one_file_in_order(spark, tmp_path):
+    import gzip
+
+    from sitegauge.sources import sinks
+    rows = spark.range(3000).select(F.col("id") % 7, F.col("id").alias("place"), F.format_string("[%d]", "id").alias("json")).toDF("page_id", "place", "json")
+    sinks.write_in_order(rows, ["page_id", "place"], "json", f"{tmp_path}/out", "gzip")
+    whole = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*.gz")))
+    assert gzip.decompress(whole).decode().splitlines() == [f"{i % 7}\t{i}\t[{i}]" for i in sorted(range(3000), key=lambda i: (i % 7, i))]
+    assert sorted(sinks.read_documents(spark, f"{tmp_path}/out", rows.schema).collect()) == sorted(rows.collect())
+
+
+def test_evidence_package_dedupes_boxes_once(spark, data, monkeypatch):
+    from sitegauge.plans import output_queries as Q
+    tables, real = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df: tables.append(df.columns) or real(df))
+    calls, dedupe = [], Q.E.dedupe_boxes
+    monkeypatch.setattr(Q.E, "dedupe_boxes", lambda boxes: calls.append(1) or dedupe(boxes))
+    Q.evidence_package(Tables(spark, data))
+    assert len(calls) == 1 and ["page_id", "element_index"] == tables[0][:2]
+
+
 def scans(df, name):
     return len(re.findall(rf"FileScan parquet[^\n]*{name}", df._jdf.queryExecution().executedPlan().toString()))
 
