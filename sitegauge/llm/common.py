@@ -15,6 +15,8 @@ from ..sources.shared import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+# Rows between two steps for which a file of its own is made.
+FILE_ROWS = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,6 +84,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most so many rows, in no more partitions than ``FILE_ROWS`` a partition asks for, and in one for each core at
+    least. A small table so becomes a few files rather than one for each shuffle task; each file costs a writer, and on a
+    local file system processes that set its permissions. Nothing is shuffled again."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def ranged(df: DataFrame, by: list[Column], part: str = "_part") -> DataFrame:
     """A written table dealt by ranges of ``by``, with the number of each row's range."""
     n = shuffle_partitions(df)
@@ -105,15 +114,16 @@ def number_rows(df: DataFrame, by: list[Column], name: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node of each node's connected component: (node, root) for the nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps, which keep the components and shrink every tree to a star. Each step
+    Alternates large-star and small-star steps, which keep the components and shrink every tree to a star, until all are
+    stars, of which the last step is not repeated to see that nothing changes. Each step
     is an aggregate and a join on a node; a node with very many neighbours is folded before the shuffle, and its rows
-    in the join are split by adaptive execution. Each round is written to the shared folder; only two numbers a round
+    in the join are split by adaptive execution. Each round is written to the shared folder; only three numbers a round
     reach the driver. Pairs with a null are left out; no edges give no rows.
     """
     known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = written(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(now)
-    while state[0]:
+    state, before = _state(now), None
+    while state[0] and state != before:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (both.join(least, "u").where("v > u")
@@ -121,14 +131,17 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                  .union(least.select("u", F.col("m").alias("v"))).distinct())
-        now, before = written(small), state
+        now, before = written(gathered(small, state[1])), state
         state = _state(now)
-        if state == before:
-            break
     leaf = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaf.union(now.select(F.col("v"), F.col("v")).distinct())
 
 
 def _state(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(mixed), F.sum(F.shiftright(mixed, 20))).first())
+    """The number of nodes that keep edges (u, v) from being stars, the number of edges, and a hash of all."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"), F.xxhash64("u", "v").alias("mixed")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"), F.lit(0).cast("long").alias("mixed")))).alias("x"))
+    nodes = ends.select("x.*").groupBy("node").agg(
+        F.sum("below").alias("below"), F.max("above").alias("above"), F.bit_xor("mixed").alias("mixed"))
+    return tuple(nodes.agg(F.count_if(F.col("below") + F.col("above") > 1), F.coalesce(F.sum("below"), F.lit(0)), F.bit_xor("mixed")).first())

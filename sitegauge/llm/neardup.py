@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, simhash
-from .common import map_batches, written
+from .common import gathered, map_batches, written
 from .simhash import SEED, one_of_each
 
 WIDTH, LIKE = 5, 0.8
@@ -45,6 +45,8 @@ SURE = 0.66
 MARKS = 1 << 27
 # Shingles whose minima are taken at a time, and bytes of sets that a task holds.
 COUNTED, HELD = 2048, 4_000_000
+# A set of shingles counts as so many rows where tables are gathered in files.
+SET_ROWS = 10
 
 
 def shingles(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -159,8 +161,8 @@ def _fits(n, m):
     return F.least(n, m) >= F.lit(LIKE) * F.greatest(n, m) - 1e-9
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose minima mostly agree."""
+def _close(pairs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Those of the pairs (a, b) whose minima mostly agree; there are n nodes."""
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
@@ -171,37 +173,34 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = nodes.select(F.col("node").alias("a"), F.col("low").alias("x"))
     other = nodes.select(F.col("node").alias("b"), F.col("low").alias("y"))
     both = pairs.join(own, "a").join(other, "b").select("a", "b", "x", "y")
-    return map_batches(both, agree, "a long, b long")
+    return map_batches(gathered(both, BANDS * n), agree, "a long, b long")
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar."""
-    pairs = written(_close(pairs, nodes))
+    pairs = written(_close(pairs, nodes, n))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(shingle_sets(rows, written(ends)))
+    sets = written(gathered(shingle_sets(rows, written(gathered(ends, n))), SET_ROWS * n))
     own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return written(pairs.join(own, "a").join(other, "b").where(
-        both >= F.lit(LIKE) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    return written(gathered(pairs.join(own, "a").join(other, "b").where(
+        both >= F.lit(LIKE) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"), BANDS * n))
 
 
 def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(held: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (bucket, node, ...) of the buckets that hold several components, with each node's component."""
-    roots = common.components(found)
-    named = held.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = written(named)
-    several = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(named.join(several.select("bucket"), "bucket", "left_semi"))
+def _named(held: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """Rows (bucket, node, ...) with each node's component."""
+    named = held.drop("root").join(common.components(found), "node", "left")
+    return written(gathered(named.withColumn("root", F.coalesce("root", "node")), BANDS * n))
 
 
-def near_prints(nodes: DataFrame) -> DataFrame:
+def near_prints(nodes: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of nodes that connect all whose fingerprints differ in at most ``BUDGET`` bits, as many as nodes and links."""
-    kinds = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")))
+    kinds = written(gathered(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")), n))
     same = nodes.select("fingerprint", "node").join(kinds, "fingerprint").where("node <> least").select("node", "least")
     near = simhash.links(kinds, BUDGET)
     for end in ("a", "b"):
@@ -211,29 +210,35 @@ def near_prints(nodes: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Pairs (a, b) of text hashes that connect all similar texts whose fingerprints are near or that share a bucket."""
-    nodes = written(signed.groupBy(F.col("text_hash").alias("node")).agg(
-        F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), F.first("low").alias("low")))
+    nodes = written(gathered(signed.groupBy(F.col("text_hash").alias("node")).agg(
+        F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("buckets").alias("buckets"), F.first("low").alias("low")),
+        signed.count()))
+    n = nodes.count()
     each = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(each.join(sizes, "bucket"))
+    shared = written(gathered(each.join(sizes, "bucket"), BANDS * n))
     score = shared.groupBy("node").agg(F.sum("size").alias("score"))
-    held = written(shared.drop("size").join(score, "node").withColumn("root", F.col("node")))
-    found = held.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    near = near_prints(nodes)  # judged with the first leaders' pairs, so texts are cut once for both
+    held = written(gathered(shared.drop("size").join(score, "node").withColumn("root", F.col("node")), BANDS * n))
+    near = near_prints(nodes, n)  # judged with the first leaders' pairs, so texts are cut once for both
+    lowest, highest = F.min("root").alias("low"), F.max("root").alias("high")
     for turn in range(LEADERS):
-        leader = held.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("score", "node")).alias("lead"))
-        met = held.join(leader, "bucket").where(F.col("node") != F.col("lead.node"))
+        # Only buckets that still hold several components go on.
+        leader = held.groupBy("bucket").agg(
+            F.max_by(F.struct("node", "n", "root"), F.struct("score", "node")).alias("lead"), lowest, highest).where("low < high")
+        met = held.join(leader.drop("low", "high"), "bucket").where(F.col("node") != F.col("lead.node"))
         pairs = met.where((F.col("root") != F.col("lead.root")) & _fits(F.col("n"), F.col("lead.n")))
         pairs = pairs.select(*_pair(F.col("node"), F.col("lead.node")))
         pairs = pairs if turn else pairs.union(near)
-        found = written(found.union(_alike(pairs.distinct(), nodes, rows)))
-        held = _open(met.drop("lead"), found)
-    rest = written(held.select("node", "root").distinct())
-    pairs = written(_rare_meetings(written(shingle_sets(rows, rest.select("node"))), rest))
-    return written(found.union(_alike(pairs, nodes, rows)))
+        alike = _alike(pairs.distinct(), nodes, rows, n)
+        found = found.union(alike) if turn else alike
+        held = _named(met.drop("lead"), found, n)
+    several = held.groupBy("bucket").agg(lowest, highest).where("low < high").select("bucket")
+    rest = written(gathered(held.join(several, "bucket", "left_semi").select("node", "root").distinct(), n))
+    sets = written(gathered(shingle_sets(rows, rest.select("node")), SET_ROWS * n))
+    return found.union(_alike(_rare_meetings(sets, rest, n), nodes, rows, n))
 
 
-def _rare_meetings(sets: DataFrame, rest: DataFrame) -> DataFrame:
+def _rare_meetings(sets: DataFrame, rest: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of different components that can be alike, by the rarest shingles of the sets (node, shingles).
 
     In one order for all, by frequency and then by value, two alike sets share one of the first (1 - LIKE) n + 1 shingles of each,
@@ -247,7 +252,8 @@ def _rare_meetings(sets: DataFrame, rest: DataFrame) -> DataFrame:
     own = F.col("n") - F.size("known")
     length = (F.col("n") - F.ceil(F.lit(LIKE) * F.col("n") - 1e-9) + 1 - own).cast("int")
     first = size.where(length > 0).select("node", "root", "n", own.alias("own"), F.posexplode(F.slice("known", 1, length)).alias("at", "s"))
-    first = written(first.select("node", "root", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "s.shingle"))
+    first = written(gathered(
+        first.select("node", "root", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "s.shingle"), BANDS * n))
     several = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     first = first.join(several.select("shingle"), "shingle", "left_semi")
     need = F.lit(LIKE / (1 + LIKE)) * (F.col("p.n") + F.col("q.n")) - 1e-9
@@ -261,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_hash, class) of every row: a class is a component of linked texts."""
     rows = _rows(docs, id_col, text_col)
     signed = written(signatures(rows))
-    roots = written(common.components(links(rows, signed)).select(F.col("node").alias("text_hash"), "root"))
+    roots = common.components(links(rows, signed)).select(F.col("node").alias("text_hash"), "root")
     return signed.select("doc_id", "text_hash").join(roots, "text_hash", "left").select(
         "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("class"))
 

@@ -100,3 +100,31 @@ def test_fingerprint_is_the_majority_of_bits():
     found = neardup.shingles(b"a b c d e f g h i j k l m n")
     bits = [sum(int(h) >> b & 1 for h in found) * 2 > len(found) for b in range(64)]
     assert neardup.fingerprint(found) & (2 ** 64 - 1) == sum(1 << b for b in range(64) if bits[b])
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """However many shuffle tasks there are, a small table between two steps has no more files than cores."""
+    files = []
+
+    def counted(df, real=neardup.written):
+        out = real(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    for module in (neardup, neardup.common, neardup.simhash):
+        monkeypatch.setattr(module, "written", counted)
+    rows = copies()
+    with_many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_many}
+    try:
+        for k, v in with_many.items():
+            spark.conf.set(k, v)
+        kept = [r.doc_id for r in neardup.near_duplicates(documents(spark, rows)).groupBy("class").agg(
+            neardup.F.min("doc_id").alias("doc_id")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(kept) == plain_kept(rows)
+    cores = spark.sparkContext.defaultParallelism
+    first_of_components = 3  # edges of unknown number
+    assert len(files) > 20 and sum(n > cores for n in files) <= first_of_components

@@ -127,3 +127,16 @@ def test_components_of_long_chains_and_hubs(spark):
     root = {r.node: r.root for r in common.components(edges).collect()}
     assert {root[i] for i in range(301)} == {0} and {root[1000 + i] for i in range(500)} == {1000}
     assert root[5000] == root[4000] == 4000 and 8000 not in root
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, real=common.written: tables.append(1) or real(df))
+    stars = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(100 + i, 100) for i in range(1, 9)], "a long, b long")
+    assert {(r.node, r.root) for r in common.components(stars).collect()} == {
+        (i, 1) for i in range(1, 40)} | {(100 + i, 100) for i in range(9)}
+    assert len(tables) == 1
+    # A path, and a node below two others, are none.
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):
+        assert {(r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {
+            (1, 1), (2, 1), (3, 1)}
