@@ -221,10 +221,17 @@ def dedupe_boxes(boxes: DataFrame) -> DataFrame:
     """
     typed = boxes.filter(F.col("element_type").isNotNull())
     best = typed.groupBy("page_id", "element_index", N.half_up(F.col("x")).alias("x"), N.half_up(F.col("y")).alias("y")).agg(
-        F.min_by(F.struct("element_type", "confidence", "viewport_index", "w", "h"),
-                 F.struct(-F.col("confidence"), F.col("seq"))).alias("b"),
+        F.min(F.struct((-F.col("confidence")).alias("down"), "seq", "element_type", "viewport_index", "w", "h")).alias("b"),
         F.array_sort(F.collect_set("viewport_index")).alias("viewports"))
-    return best.select("page_id", "element_index", "x", "y", "b.*", "viewports")
+    return best.select("page_id", "element_index", "x", "y", "b.element_type", (-F.col("b.down")).alias("confidence"),
+                       "b.viewport_index", "b.w", "b.h", "viewports")
+
+
+def together(boxes: DataFrame) -> DataFrame:
+    """Typed boxes dealt by ranges of page, element and rounded position, for ``dedupe_boxes``: it needs no shuffle of its own then, and
+    what is summed by page after it has a row for a page and task. A page of any size goes over several tasks."""
+    return boxes.filter(F.col("element_type").isNotNull()).repartitionByRange(
+        "page_id", "element_index", N.half_up(F.col("x")), N.half_up(F.col("y")))
 
 
 def viewport_elements(deduped: DataFrame) -> DataFrame:

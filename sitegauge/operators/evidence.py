@@ -65,8 +65,10 @@ def interval_union(ranges: DataFrame, width: int = 10_000) -> DataFrame:
     Of ranges that start alike only the longest counts, so a page has no more rows than pixels, whatever its boxes. A row
     adds what lies beyond the furthest stop of the rows before it; ``width`` cuts long pages.
     """
-    longest = ranges.groupBy("page_id", "start").agg(F.max("stop").alias("stop"))
-    rows = chunks.running_max(longest, ["page_id"], ["start", "stop"], [chunks.by_width(F.col("start"), width)],
+    cut = chunks.by_width(F.col("start"), width)
+    # What the join on chunks drops goes before, so both sides of it read one shuffle.
+    longest = ranges.filter(F.col("page_id").isNotNull() & cut.isNotNull()).groupBy("page_id", "start").agg(F.max("stop").alias("stop"))
+    rows = chunks.running_max(longest, ["page_id"], ["start", "stop"], [cut],
                               F.col("stop"), "_reach", inclusive=False)
     added = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("_reach", F.col("start"))))
     return rows.groupBy("page_id").agg(F.sum(added).alias("covered"))

@@ -102,37 +102,60 @@ def evidence_package(pages: DataFrame, deduped: DataFrame, viewports: DataFrame,
                      most: int = 500) -> DataFrame:
     """Evidence of each page as lines of JSON in the order of (section, place, part), so a page of any size is in no one task.
 
-    Section 0 is the head: ``pages``' facts, metrics (to four places) and warnings. Section 1 holds the elements in the order of
+    Section 0 is the head: ``pages``' facts (null where there are none), metrics (to four places) and warnings. Section 1 holds the elements in the order of
     (element_index, x, y), in arrays of at most ``most``; its place is the band of ``band`` indices they are from. Section 2 holds the
     viewports (place) with the indices that show in them, a line for each band that has some, one line for a viewport without.
+
+    Values are dealt once, by ranges of (page_id, section, place), and lines are made of what then lies together: no text is shuffled,
+    and the rows stay dealt in the order of the document.
     """
     fractions = {n: F.round(n, 4) for n, kind in metrics.dtypes if kind == "double"}
     facts = metrics.withColumns(fractions).select("page_id", F.struct(
         *[c for c in metrics.columns if c not in ("page_id", "warnings")]).alias("metrics"), "warnings")
-    head = pages.select("page_id", F.struct(*[c for c in pages.columns if c != "page_id"]).alias("meta")).join(facts, "page_id").select(
-        "page_id", F.lit(0).alias("section"), *_spot(F.lit(0), F.lit(0)), F.to_json(F.struct(
-            F.lit("1.0.0").alias("schemaVersion"), "page_id", "meta", "metrics", "warnings"), NULLS).alias("json"))
-
-    within = Window.partitionBy("page_id", "place").orderBy("element_index", "x", "y")
-    element = F.struct("element_index", "x", "y", "w", "h", viewport_ref(F.col("viewport_index"), F.col("element_index")).alias("ref"),
-                       "element_type", "confidence", "viewports")
-    rows = deduped.withColumn("place", chunks.by_width(F.col("element_index"), band))
-    rows = rows.withColumn("part", F.floor((F.row_number().over(within) - 1) / most))
-    elements = rows.groupBy("page_id", "place", "part").agg(F.array_sort(F.collect_list(element)).alias("elements")).select(
-        "page_id", F.lit(1).alias("section"), *_spot(F.col("place"), F.col("part")), F.to_json("elements", NULLS).alias("json"))
-
-    seen = deduped.select("page_id", F.explode("viewports").alias("viewport_index"), "element_index").groupBy(
-        "page_id", "viewport_index", chunks.by_width(F.col("element_index"), band).alias("part")).agg(
-        F.array_sort(F.collect_set("element_index")).alias("elements"))
-    shots = viewports.select("page_id", "viewport_index", "scroll_y").distinct().join(seen, ["page_id", "viewport_index"], "left").select(
-        "page_id", F.lit(2).alias("section"), *_spot(F.col("viewport_index"), F.coalesce("part", F.lit(0))), F.to_json(F.struct(
-            F.format_string("viewport-%d", "viewport_index").alias("id"), "viewport_index", "scroll_y",
-            F.coalesce("elements", F.array()).alias("elements")), NULLS).alias("json"))
-    return head.unionByName(elements).unionByName(shots)
-
-
-def _spot(place: Column, part: Column) -> list[Column]:
-    return [place.cast("bigint").alias("place"), part.cast("bigint").alias("part")]
+    known = [c for c in pages.columns if c != "page_id"]
+    meta = F.struct(*[F.col(f"meta_{c}").alias(c) for c in known])
+    heads = facts.join(pages.select("page_id", *[F.col(c).alias(f"meta_{c}") for c in known]), "page_id", "left").select(
+        "page_id", *_spot(0, F.lit(0)), F.struct(meta.alias("meta"), "metrics", "warnings").alias("head"))
+    own_only = F.col("viewports").eqNullSafe(F.array("viewport_index"))  # as most boxes: its list is not dealt
+    elements = deduped.select("page_id", *_spot(1, chunks.by_width(F.col("element_index"), band)), "element_index", F.struct(
+        "x", "y", "w", "h", "viewport_index", "element_type", "confidence", F.when(~own_only, F.col("viewports")).alias("others")).alias("element"))
+    shots = viewports.select("page_id", "viewport_index", "scroll_y").distinct().select(
+        "page_id", *_spot(2, F.col("viewport_index")), F.struct("viewport_index", "scroll_y").alias("shot"))
+    seen = deduped.filter(F.col("page_id").isNotNull()).select("page_id", F.explode("viewports").alias("viewport_index"), "element_index").select(
+        "page_id", *_spot(2, F.col("viewport_index")), "element_index")
+    spot = ["page_id", "section", "place"]
+    rows = heads
+    for more in (elements, shots, seen):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    rows = rows.repartitionByRange(*spot)
+
+    # The rows of a viewport give way to the indices that show in it, which hold them.
+    in_order = Window.partitionBy(*spot).orderBy("element_index", "element.x", "element.y")
+    here = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shows = (F.col("section") == 2) & F.col("shot").isNull()
+    rows = rows.withColumns({"turn": F.row_number().over(in_order), "shots": F.collect_set("shot").over(here), "shown": F.max(shows).over(here)})
+    rows = rows.filter((F.col("section") < 2) | shows | ~F.col("shown"))
+    part = F.when(F.col("section") == 1, F.floor((F.col("turn") - 1) / most)).when(
+        F.col("section") == 2, chunks.by_width(F.col("element_index"), band))
+    element = F.struct(
+        "element_index", *[F.col(f"element.{c}").alias(c) for c in ("x", "y", "w", "h")],
+        viewport_ref(F.col("element.viewport_index"), F.col("element_index")).alias("ref"),
+        "element.element_type", "element.confidence", F.coalesce("element.others", F.array("element.viewport_index")).alias("viewports"))
+    lines = rows.groupBy(*spot, part.alias("part")).agg(
+        F.collect_list("head").alias("head"), F.array_sort(F.collect_list(F.when(F.col("section") == 1, element))).alias("elements"),
+        F.first("shots").alias("shot"), F.array_sort(F.collect_set(F.when(F.col("section") == 2, F.col("element_index")))).alias("seen"))
+    # A head or a viewport has a line for each; a place that has neither is one of elements, or of a viewport that is not there.
+    lines = lines.select(*spot, F.coalesce("part", F.lit(0)).alias("part"), "elements", "seen", F.explode_outer(F.arrays_zip("head", "shot")).alias("of"))
+    head = F.struct(F.lit("1.0.0").alias("schemaVersion"), "page_id", "of.head.meta", "of.head.metrics", "of.head.warnings")
+    viewport = F.struct(F.format_string("viewport-%d", "of.shot.viewport_index").alias("id"), "of.shot.viewport_index", "of.shot.scroll_y",
+                        F.col("seen").alias("elements"))
+    json = F.when(F.col("section") == 0, F.to_json(head, NULLS)).when(F.col("section") == 1, F.to_json("elements", NULLS)).otherwise(
+        F.to_json(viewport, NULLS))
+    return lines.filter((F.col("section") == 1) | F.col("of").isNotNull()).select(*spot, "part", json.alias("json"))
+
+
+def _spot(section: int, place: Column) -> list[Column]:
+    return [F.lit(section).alias("section"), place.cast("bigint").alias("place")]
 
 
 def prompts(sections: DataFrame, wanted: DataFrame, heuristics: DataFrame) -> DataFrame:

@@ -110,11 +110,10 @@ UNION ALL SELECT page_id, 2, viewport_index, coalesce(part, 0), CAST({json_of([(
  FROM viewports LEFT JOIN se USING (page_id, viewport_index)""", uses="viewports boxes page_facts")
 def evidence_package(t):
     """Packages written as files in order, and read back; parts are small so that the pages at hand have several."""
-    pages = t.viewports.select("page_id").distinct().join(t.page_facts, "page_id", "left")
-    deduped = written(E.dedupe_boxes(t.boxes))  # read by elements, viewports and metrics
-    rows = O.evidence_package(pages, deduped, t.viewports, V.warnings(metrics(t, deduped=deduped)), band=8, most=2)
+    deduped = written(E.dedupe_boxes(E.together(t.boxes)))  # read by elements, viewports and metrics
+    rows = O.evidence_package(t.page_facts, deduped, t.viewports, V.warnings(metrics(t, deduped=deduped)), band=8, most=2)
     path = f"{shared_folder(t.spark)}/packages"
-    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", path, "gzip")
+    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", path, "gzip", dealt=True)
     return sinks.read_documents(t.spark, path, rows.schema)
 
 

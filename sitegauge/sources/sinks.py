@@ -21,10 +21,12 @@ def write_documents(documents: DataFrame, column: str, path: str, compression: s
         "compression", compression).text(path)
 
 
-def write_in_order(documents: DataFrame, order: list[str], column: str, path: str, compression: str = "none") -> None:
+def write_in_order(documents: DataFrame, order: list[str], column: str, path: str, compression: str = "none", dealt: bool = False) -> None:
     """As ``write_documents``, but the files one after the other hold the lines in ``order``: documents of many parts are whole when
-    the files are concatenated. Rows are dealt by ranges, so one document may go over several tasks."""
-    write_documents(documents.repartitionByRange(*order).sortWithinPartitions(*order), column, path, compression)
+    the files are concatenated. Rows are dealt by ranges, so one document may go over several tasks; ``dealt`` rows are so already,
+    by the first columns of ``order``."""
+    rows = documents if dealt else documents.repartitionByRange(*order)
+    write_documents(rows.sortWithinPartitions(*order), column, path, compression)
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -143,6 +143,80 @@ def test_evidence_package_of_a_hot_page(spark, tmp_path):
     assert all(len(p[4]["elements"]) <= 1000 for p in parsed if p[1] == 2)
 
 
+def test_evidence_package_is_dealt_once_as_values(spark, tmp_path):
+    """Nothing is shuffled after the ranges, no JSON before them, and files of ``dealt`` rows are the document; nulls, places without a
+    viewport, viewports without elements, two rows of one viewport."""
+    import json
+
+    from sitegauge.sources import sinks
+    found = [(p, v, e, x) for p in (1, 2, 3, None) for v in (0, 1, 5, None) for e in (0, 3, 9, 25, None) for x in (7, 4) if (p, v, e) != (2, 1, 3)]
+    boxes = spark.createDataFrame(found, "page_id LONG, viewport_index INT, element_index LONG, x LONG").selectExpr(
+        "page_id", "element_index", "x", "0L AS y", "'cta' AS element_type", "0.5D AS confidence", "viewport_index", "1L AS w", "1L AS h",
+        "CASE WHEN viewport_index IS NULL THEN array() WHEN page_id = 3 THEN array(viewport_index, 6) ELSE array(viewport_index) END AS viewports")
+    seen = [(1, 0, 0), (1, 0, 9), (1, 7, 7), (2, 1, 1), (3, 6, 6), (4, 0, 0), (None, 0, 0), (2, None, 5)]
+    shots = spark.createDataFrame(seen + seen[:2], "page_id LONG, viewport_index INT, scroll_y INT")
+    pages = spark.createDataFrame([(1, "u"), (3, "w"), (9, "z")], "page_id LONG, url STRING")
+    metrics = spark.createDataFrame([(1, 0.5), (2, 0.25), (4, None)], "page_id LONG, coverage DOUBLE").withColumn("warnings", F.array(F.lit("w")))
+    rows = O.evidence_package(pages, boxes, shots, metrics, band=8, most=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    ranges = plan.index("Exchange rangepartitioning")
+    assert plan.index("Exchange") == ranges and plan.count("rangepartitioning") == 1
+    assert "StructsToJson" not in plan[ranges:] and "StructsToJson" in plan[:ranges]
+
+    got = {tuple(r)[:4] + (json.dumps(json.loads(r.json), sort_keys=True),) for r in rows.collect()}
+    want = {(p, 0, 0, 0, json.dumps({"schemaVersion": "1.0.0", "page_id": p, "meta": {"url": u}, "metrics": {"coverage": c}, "warnings": ["w"]}, sort_keys=True))
+            for p, u, c in ((1, "u", 0.5), (2, None, 0.25), (4, None, None))}
+    lists = {}
+    for p, v, e, x in found:
+        band = None if e is None else e // 8
+        lists.setdefault((p, 1, band), []).append((-1 if e is None else e, x, -1 if v is None else v, v))
+    for (p, section, band), own in lists.items():
+        for part in range(-(-len(own) // 2)):
+            want.add((p, section, band, part))
+    texts = {}
+    for p, v, y in set(seen):
+        shown = {e for q, w, e, _ in found if p is not None and q == p and v is not None and (w == v or (q == 3 and v == 6 and w is not None))}
+        for band in {None if e is None else e // 8 for e in shown} or {None}:
+            inside = sorted(e for e in shown if e is not None and e // 8 == band)
+            texts.setdefault((p, 2, v, band or 0), []).append({"id": f"viewport-{'null' if v is None else v}", "viewport_index": v, "scroll_y": y, "elements": inside})
+    want |= {(*k, json.dumps(t, sort_keys=True)) for k, all_of in texts.items() for t in all_of}
+    assert {g for g in got if g[1] != 1} | {g[:4] for g in got if g[1] == 1} == want
+    for key, own in lists.items():
+        parts = [json.loads(g[4]) for g in sorted((g for g in got if g[:3] == key), key=lambda g: g[3])]
+        assert all(0 < len(part) <= 2 for part in parts)
+        flat = [e for part in parts for e in part]
+        assert [(-1 if e["element_index"] is None else e["element_index"], e["x"]) for e in flat] == [o[:2] for o in sorted(own)]
+        assert sorted(str(e["viewports"]) for e in flat) == sorted(str([] if o[3] is None else [o[3], 6] if key[0] == 3 else [o[3]]) for o in own)
+
+    known = boxes.filter("page_id IS NOT NULL AND element_index IS NOT NULL")
+    rows = O.evidence_package(pages, known, shots.filter("page_id IS NOT NULL AND viewport_index IS NOT NULL"), metrics, band=8, most=2)
+    sinks.write_in_order(rows, ["page_id", "section", "place", "part"], "json", f"{tmp_path}/out", dealt=True)
+    lines = [line.split("\t", 4) for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    keys = [tuple(map(int, line[:4])) for line in lines]
+    assert keys == sorted(keys) and len(lines) == rows.count()
+
+
+def test_boxes_that_lie_together_are_deduplicated_where_they_are(spark):
+    from sitegauge.operators import elements as E
+    boxes = spark.range(600).selectExpr(
+        "IF(id % 5 = 0, id % 3, 7) AS page_id", "id % 9 AS element_index", "id AS seq", "IF(id % 4 = 0, NULL, concat('t', id % 3)) AS element_type",
+        "IF(id % 11 = 0, NULL, (id % 6) / 10D) AS confidence", "CAST(id % 2 AS INT) AS viewport_index", "(id % 8) / 4D AS x", "IF(id % 13 = 0, NULL, id % 2) AS y",
+        "id AS w", "id AS h")
+    dealt = E.dedupe_boxes(E.together(boxes))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, E.dedupe_boxes(boxes).collect()))
+
+
+def test_interval_union_shuffles_its_ranges_once(spark):
+    from sitegauge.operators import evidence as V
+    ranges = spark.createDataFrame([(1, 0, 10), (1, 5, 20), (1, 30_000, 30_010), (2, 4, 4), (None, 1, 3), (3, None, 3), (1, 0, 12), (1, None, 7)],
+                                   "page_id LONG, start LONG, stop LONG")
+    rows = V.interval_union(ranges)
+    assert {r.page_id: r.covered for r in rows.collect()} == {1: 30, 2: 0}
+    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_compressed_parts_are_one_file_in_order(spark, tmp_path):
     import gzip
 
@@ -176,6 +250,10 @@ def test_few_scans(spark, data, name, table, most):
     assert scans(QUERIES[name](spark, data), f"{table}.parquet") <= most
 
 
+def test_metrics_read_pages_once(spark, data):
+    assert scans(QUERIES["evidence_metrics"](spark, data), "lineitem.parquet") <= 3
+
+
 def test_steps_are_numbered_over_chunks(spark, data, monkeypatch):
     monkeypatch.setattr("sitegauge.sources.tables.EVENT_CHUNK", 37)
     t = Tables(spark, data)
