@@ -14,18 +14,16 @@ reach the watermark, so the operators keep rows without a run (as one run); ``ru
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources.shared import shared_folder
+from .streams import rocks_state
 
 IDLE = "10 minutes"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STEPS = "run_id bigint, event_id bigint, us bigint, success boolean"
 STREAKS = "run_id bigint, spell bigint, event_id bigint, steps bigint, failures bigint, in_a_row bigint, ended boolean"
 
@@ -106,17 +104,6 @@ def sessions(actions: DataFrame, gap: str = IDLE) -> DataFrame:
         "run_id", "session.start", "session.end", "steps")
 
 
-@contextmanager
-def rocks_state(spark: SparkSession):
-    """Processors with several states need this provider; it is fixed when a query starts."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
-
-
 def start_appended(stream: DataFrame, folder: str):
     """A query that appends to a table below ``folder`` and can be started again from there."""
     with rocks_state(stream.sparkSession):

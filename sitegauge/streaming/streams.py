@@ -12,6 +12,7 @@ they come from, so the latest value of a key is the one of its last batch.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ from ..sources.shared import shared_folder
 # How late a row of a live stream may come, and the width of the windows that hold a key's state.
 DELAY = "10 minutes"
 STATE_WINDOW = "1 day"
+# State is kept in files of each executor and in the checkpoint, not in its heap. All stores of an executor share one cache and
+# one bound on what is not yet in files, whatever the number of keys and partitions.
+ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         f"{ROCKS}.boundedMemoryUsage": "true", f"{ROCKS}.maxMemoryUsageMB": "200"}
+# Where a trigger takes all that is there and updates are the result, a batch without rows would read all state and emit nothing, so it
+# is left out; a task's store is closed when it is committed, so an executor has as many open as it has tasks.
+ONE_PASS = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 # Steps whose outcomes fit the bits of one long.
 BITS = 63
 
@@ -49,6 +58,20 @@ def replay_delay(table: DataFrame, column: str) -> str:
     return f"{seconds + 1} seconds"
 
 
+@contextmanager
+def rocks_state(spark: SparkSession, more: dict[str, str] | None = None):
+    """The settings of ``STATE`` and ``more`` for queries that start in here; they are fixed when a query starts."""
+    settings = {**STATE, **(more or {})}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def run_appended(stream: DataFrame) -> DataFrame:
     """Run an append stream over what is there and read its table."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
@@ -64,8 +87,10 @@ def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     def save(batch: DataFrame, batch_id: int):
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
 
-    (stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state")
-     .trigger(availableNow=True).start().awaitTermination())
+    with rocks_state(spark, ONE_PASS):
+        query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/state").trigger(
+            availableNow=True).start()
+    query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/table").drop("batch")
     values = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")

@@ -69,6 +69,19 @@ def test_streaks_over_stretches(spark, outcomes):
     assert [r.in_a_row for r in got] == ([len(outcomes) - len(outcomes.rstrip("f"))] if outcomes else [])
 
 
+def test_state_of_updates_is_kept_in_files(spark, landed, tmp_path, monkeypatch):
+    """State is in files of a bounded cache and not in the heap; no batch reads all of it at the end; the session keeps its settings."""
+    folder, _ = landed
+    monkeypatch.setattr(S, "shared_folder", lambda spark: f"{tmp_path}/shared")
+    names = [*S.STATE, *S.ONE_PASS]
+    before = [spark.conf.get(n, None) for n in names]
+    windows = S.run_updates(S.visit_loops(stream(spark, folder)), ["window", "run_id", "page"])
+    assert windows.count() == 4 and [spark.conf.get(n, None) for n in names] == before
+    state = {f.suffix for f in (tmp_path / "shared" / "state" / "state").rglob("*") if f.is_file()}
+    assert ".zip" in state and not state & {".delta", ".snapshot"}
+    assert len([f for f in (tmp_path / "shared" / "state" / "commits").iterdir() if f.name.isdigit()]) == 3  # one for each file that landed
+
+
 def test_visits_add_up(spark, landed):
     folder, _ = landed
     windows = S.run_updates(S.visit_loops(stream(spark, folder)), ["window", "run_id", "page"])
